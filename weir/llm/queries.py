@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import near_dups
+from . import bpe, near_dups
 
 QUERIES = {
     "op1_near_duplicates": near_dups.op1_near_duplicates,
+    "op2_bpe": bpe.op2_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
