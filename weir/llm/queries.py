@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, near_dups, packing, secrets
+from . import bpe, fingerprints, near_dups, packing, secrets
 
 QUERIES = {
     "op1_near_duplicates": near_dups.op1_near_duplicates,
     "op2_bpe": bpe.op2_bpe,
+    "op4_fingerprints": fingerprints.op4_fingerprints,
     "op7_secrets": secrets.op7_secrets,
     "op10_packing": packing.op10_packing,
 }
