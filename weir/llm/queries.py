@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, near_dups, packing, secrets
+from . import bpe, fingerprints, hamming, near_dups, packing, quality, secrets
 
 QUERIES = {
     "op1_near_duplicates": near_dups.op1_near_duplicates,
     "op2_bpe": bpe.op2_bpe,
+    "op3_quality": quality.op3_quality,
     "op4_fingerprints": fingerprints.op4_fingerprints,
+    "op5_top_k": hamming.op5_top_k,
     "op7_secrets": secrets.op7_secrets,
     "op10_packing": packing.op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_top_k": hamming.OP5_SQL}
