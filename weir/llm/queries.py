@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, hamming, near_dups, packing, quality, secrets
+from . import bpe, fingerprints, hamming, near_dups, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_near_duplicates": near_dups.op1_near_duplicates,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_top_k": hamming.op5_top_k,
     "op7_secrets": secrets.op7_secrets,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_packing": packing.op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {"op5_top_k": hamming.OP5_SQL}
