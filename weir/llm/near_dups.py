@@ -182,7 +182,8 @@ def near_duplicates(
     member = sized.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), mine.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "blocks")
     # of more than two blocks each pair of different ones is a unit: it also holds the pairs within either
     member = member.where("blocks = 1 or own <> other").select("doc_id", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    unit = both.where("doc_id is not null").join(member, "doc_id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
+    # by a shuffle at any size: the members grow with the input and must not be broadcast while they happen to be few
+    unit = both.where("doc_id is not null").join(member.hint("merge"), "doc_id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
     links = unit.select("doc_id", "text", "cluster", "i", "j").mapInArrow(functools.partial(_confirm, width=words, n=bands * rows, num=num, den=den), "a long, b long")
     found = shared.keep(shared.components(links), "components")
     rep = classes.join(found, classes["rep"] == found["node"], "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component"))
