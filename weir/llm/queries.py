@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, hamming, near_dups, packing, quality, secrets, toxicity
+from . import bpe, fingerprints, hamming, line_dedup, near_dups, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_near_duplicates": near_dups.op1_near_duplicates,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_top_k": hamming.op5_top_k,
     "op7_secrets": secrets.op7_secrets,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_packing": packing.op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op5_top_k": hamming.OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_top_k": hamming.OP5_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
