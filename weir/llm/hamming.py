@@ -132,9 +132,9 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 WITH c AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64),
-b AS (SELECT vec_id, list_transform(embedding, x -> CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM c),
+b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM c),
 d AS (SELECT q.vec_id AS query_id, r.vec_id AS vec_id,
-        CAST(list_sum(list_transform(list_zip(q.bits, r.bits), p -> CASE WHEN p[1] = p[2] THEN 0 ELSE 1 END)) AS BIGINT) AS distance
+        CAST(list_sum(list_transform(list_zip(q.bits, r.bits), lambda p: CASE WHEN p[1] = p[2] THEN 0 ELSE 1 END)) AS BIGINT) AS distance
       FROM (SELECT * FROM b WHERE vec_id % 100 = 0) q CROSS JOIN b r),
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
 SELECT query_id, rank, vec_id, distance FROM n WHERE rank <= 10"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, hamming, line_dedup, near_dups, packing, quality, secrets, toxicity
+from . import bpe, fingerprints, hamming, line_dedup, near_dups, packing, quality, repeats, secrets, toxicity
 
 QUERIES = {
     "op1_near_duplicates": near_dups.op1_near_duplicates,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_top_k": hamming.op5_top_k,
+    "op6_repeats": repeats.op6_repeats,
     "op7_secrets": secrets.op7_secrets,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_line_dedup": line_dedup.op9_line_dedup,
