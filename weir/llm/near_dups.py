@@ -193,5 +193,14 @@ def near_duplicates(
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``near_duplicates`` keeps.
+
+    Rows with a null id stay.
+    """
+    gone = near_duplicates(docs, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias("_weir_id")).distinct()
+    return docs.join(gone.hint("merge"), docs[id_col].cast("long") == gone["_weir_id"], "left_anti")
+
+
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(shared.table(spark, sf_dir, "documents"), words=3, similarity=(85, 100))
