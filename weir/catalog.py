@@ -4,21 +4,621 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .functions import names as N
+from .functions import text as T
+from .functions import values as V
+from .operators import compare as C
+from .operators import documents as M
+from .operators import duplicates as D
+from .operators import intervals as I
+from .operators import jobs as J
+from .operators import plans as P
+from .operators import summaries as S
+from .operators import tables as B
+from .plans import recipes as R
+from .streaming import watch as W
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("h"), "n_chars")
-    groups = docs.groupBy("h").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")).where("n > 1")
-    return docs.join(groups, "h").select("group_id", "doc_id", "n_chars", (F.col("doc_id") == F.col("group_id")).alias("keep"))
+def query(name: str, sql: str | None = None) -> Callable[[Callable], Callable]:
+    """Registers a function of a table reader; ``sql`` gives the same rows."""
+
+    def add(of: Callable[[Callable[[str], DataFrame]], DataFrame]) -> Callable:
+        QUERIES[name] = lambda spark, sf_dir: of(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return of
+
+    return add
+
+
+# ---------------------------------------------------------------- duplicates
+def _files(t) -> DataFrame:
+    d = t("documents")
+    return d.select(F.col("doc_id").alias("id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("size"), F.col("doc_id").cast("double").alias("modified"), F.col("n_chars").alias("pixels"), F.col("text").alias("content"))
+
+
+_GROUPS = "g AS (SELECT doc_id, n_chars, source || '/' || CAST(doc_id AS VARCHAR) AS path, min(doc_id) OVER (PARTITION BY text) AS group_id, count(*) OVER (PARTITION BY text) AS n FROM documents), d AS (SELECT * FROM g WHERE n > 1)"
+_ORDERS = {"largest": "n_chars DESC, doc_id", "oldest": "doc_id, length(path)", "newest": "doc_id DESC, length(path)", "shortest": "length(path), doc_id"}
+
+
+def _keeper(rule: str) -> None:
+    sql = f"WITH {_GROUPS} SELECT group_id, doc_id, n_chars, row_number() OVER (PARTITION BY group_id ORDER BY {_ORDERS[rule]}) = 1 AS keep FROM d"
+    of = lambda t: D.mark(D.exact_groups(_files(t)), rule).select("group_id", F.col("id").alias("doc_id"), F.col("size").alias("n_chars"), "keep")
+    query(f"dup_keep_{rule}", sql)(of)
+    if rule == "largest":
+        query("exact_duplicates", sql)(of)
+
+
+for _rule in _ORDERS:
+    _keeper(_rule)
+
+
+@query("dup_summary", f"WITH {_GROUPS}, k AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY n_chars DESC, doc_id) AS r FROM d) SELECT count(DISTINCT group_id) AS groups, CAST(sum(CASE WHEN r > 1 THEN 1 ELSE 0 END) AS BIGINT) AS going, CAST(sum(CASE WHEN r > 1 THEN n_chars ELSE 0 END) AS BIGINT) AS freed FROM k")
+def _(t):
+    return D.summary(D.mark(D.exact_groups(_files(t))))
+
+
+@query("dup_freed_by_group", f"WITH {_GROUPS} SELECT group_id, count(*) AS files, CAST(sum(n_chars) - max(n_chars) AS BIGINT) AS freed FROM d GROUP BY group_id")
+def _(t):
+    return D.freed_by_group(D.mark(D.exact_groups(_files(t))))
+
+
+def _codes(t) -> DataFrame:
+    e = t("embeddings")
+    bit = F.transform("embedding", lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    return e.select(F.col("vec_id").alias("id"), F.aggregate(bit, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)).alias("code"))
+
+
+_PAIRS = "b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings), p AS (SELECT a.vec_id AS a, b2.vec_id AS b, CAST(list_sum(list_transform(list_zip(a.bits, b2.bits), lambda p: CASE WHEN p[1] = p[2] THEN 0 ELSE 1 END)) AS INTEGER) AS distance FROM b a JOIN b b2 ON a.vec_id < b2.vec_id)"
+
+
+@query("similar_pairs", f"WITH {_PAIRS}, n AS (SELECT * FROM p WHERE distance <= 13) SELECT a, b, distance FROM n")
+def _(t):
+    return D.similar_pairs(_codes(t), 80)
+
+
+@query("similar_clusters", f"WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b FROM p WHERE distance <= 13 UNION ALL SELECT b, a FROM p WHERE distance <= 13), r(id, reach) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.reach = e.a) SELECT id, min(reach) AS group_id FROM r GROUP BY id")
+def _(t):
+    return D.clusters(D.similar_pairs(_codes(t), 80))
+
+
+# ------------------------------------------------------------------- compare
+def _sides(t) -> tuple[DataFrame, DataFrame]:
+    o = t("orders").where("o_orderkey % 5 < 4").select(F.format_string("Order/%d", "o_orderkey").alias("rel"), F.col("o_custkey").alias("size"), F.col("o_orderkey").cast("double").alias("modified"), F.col("o_orderstatus").alias("hash"))
+    p = t("orders").where("o_orderkey % 7 > 0")
+    changed = F.when(F.col("o_orderkey") % 11 == 0, F.lit("X")).otherwise(F.col("o_orderstatus"))
+    p = p.select(F.format_string("ORDER/%d", "o_orderkey").alias("rel"), F.when(F.col("o_orderkey") % 13 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("size"), (F.col("o_orderkey") + F.col("o_orderkey") % 4).cast("double").alias("modified"), changed.alias("hash"))
+    return o, p
+
+
+_COMPARE = """l AS (SELECT o_orderkey AS k, 'Order/' || CAST(o_orderkey AS VARCHAR) AS rel, o_custkey AS size, CAST(o_orderkey AS DOUBLE) AS modified, o_orderstatus AS hash FROM orders WHERE o_orderkey % 5 < 4),
+r AS (SELECT o_orderkey AS k, 'ORDER/' || CAST(o_orderkey AS VARCHAR) AS rel, CASE WHEN o_orderkey % 13 = 0 THEN o_custkey + 1 ELSE o_custkey END AS size, CAST(o_orderkey + o_orderkey % 4 AS DOUBLE) AS modified, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS hash FROM orders WHERE o_orderkey % 7 > 0),
+c AS (SELECT coalesce(l.rel, r.rel) AS rel, CASE WHEN r.k IS NULL THEN 'only-left' WHEN l.k IS NULL THEN 'only-right' WHEN l.size = r.size AND SAME THEN 'identical' ELSE 'different' END AS status, l.modified AS lm, r.modified AS rm FROM l FULL OUTER JOIN r ON l.k = r.k),
+d AS (SELECT rel, status, CASE WHEN status <> 'different' OR abs(lm - rm) < 2 THEN '' WHEN lm > rm THEN 'left is newer' ELSE 'right is newer' END AS newer FROM c)"""
+_CONTENT, _QUICK = _COMPARE.replace("SAME", "l.hash = r.hash"), _COMPARE.replace("SAME", "abs(l.modified - r.modified) < 2")
+
+
+@query("compare_content", f"WITH {_CONTENT} SELECT rel, status, newer FROM d")
+def _(t):
+    return C.compare(*_sides(t)).select("rel", "status", "newer")
+
+
+@query("compare_quick", f"WITH {_QUICK} SELECT rel, status, newer FROM d")
+def _(t):
+    return C.compare(*_sides(t), quick=True).select("rel", "status", "newer")
+
+
+@query("compare_counts", f"WITH {_CONTENT} SELECT status, count(*) AS n FROM d GROUP BY status")
+def _(t):
+    return C.counts(C.compare(*_sides(t)))
+
+
+for _way, _of in (("lr", "'only-left'"), ("rl", "'only-right'"), ("both", "'only-left', 'only-right'")):
+    query(f"copy_plan_{_way}", f"WITH {_CONTENT} SELECT rel, CASE WHEN status = 'only-left' THEN 'right' ELSE 'left' END AS copy_to FROM d WHERE status IN ({_of})")(lambda t, way=_way: C.copy_plan(C.compare(*_sides(t)), way))
+
+
+@query("compare_shown", f"WITH {_CONTENT} SELECT rel, status FROM d WHERE status <> 'identical' ORDER BY lower(rel) LIMIT 20000")
+def _(t):
+    return C.shown(C.compare(*_sides(t)), "diff").select("rel", "status")
+
+
+# -------------------------------------------------------------------- tables
+def _sheets(t) -> dict[str, DataFrame]:
+    customer = t("customer").select(F.col("c_name").alias("Name"), F.col("c_nationkey").alias("Nation  Key"), F.col("c_mktsegment").alias("Segment"))
+    supplier = t("supplier").select(F.col("s_nationkey").alias("nation key"), F.col("s_name").alias("NAME"), F.col("s_suppkey").alias("Code"))
+    return {"customers.csv": customer, "suppliers.csv": supplier}
+
+
+_MERGED = """m AS (SELECT c_name AS "Name", CAST(c_nationkey AS VARCHAR) AS "Nation Key", c_mktsegment AS "Segment", CAST(NULL AS VARCHAR) AS "Code", 'customers.csv' AS "Source file" FROM customer
+UNION ALL SELECT s_name, CAST(s_nationkey AS VARCHAR), NULL, CAST(s_suppkey AS VARCHAR), 'suppliers.csv' FROM supplier)"""
+
+
+@query("merge_by_name", f'WITH {_MERGED} SELECT "Name" AS name, "Nation Key" AS nation, "Segment" AS segment, "Code" AS code, "Source file" AS source FROM m')
+def _(t):
+    return B.merged(_sheets(t)).toDF("name", "nation", "segment", "code", "source")
+
+
+@query("merge_dedupe", "WITH c AS (SELECT c_custkey AS seq, c_mktsegment AS segment, CAST(c_nationkey AS VARCHAR) AS nation FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY segment, nation ORDER BY seq) AS k FROM c) SELECT seq, segment, nation FROM r WHERE k = 1")
+def _(t):
+    rows = t("customer").select(F.col("c_custkey").alias("seq"), F.when(F.col("c_custkey") % 2 == 0, F.upper("c_mktsegment")).otherwise(F.concat(F.lit(" "), F.lower("c_mktsegment"))).alias("s"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("string").alias("nation"))
+    return B.first_rows(rows, ["seq"], ["segment"]).select("seq", "segment", "nation")
+
+
+@query("header_keys", r"SELECT p_partkey, regexp_replace(lower(trim(p_name)), '\s+', ' ', 'g') AS k FROM part")
+def _(t):
+    return t("part").select("p_partkey", V.column_key(F.concat(F.lit("  "), F.upper("p_name"), F.lit("  "))).alias("k"))
+
+
+@query("typed_cells", """WITH c AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '00' || CAST(event_id AS VARCHAR) WHEN event_id % 4 = 1 THEN CAST(event_id AS VARCHAR) || '.5' WHEN event_id % 4 = 2 THEN event_type ELSE ' ' || CAST(-event_id AS VARCHAR) END AS cell FROM events)
+SELECT event_id, CASE WHEN event_id % 4 = 1 THEN 'float' WHEN event_id % 4 = 3 THEN 'int' ELSE 'text' END AS kind, CASE WHEN event_id % 4 = 3 THEN -event_id END AS i, CASE WHEN event_id % 4 = 1 THEN event_id + 0.5::DOUBLE END AS f, CASE WHEN event_id % 4 IN (0, 2) THEN cell END AS t FROM c""")
+def _(t):
+    e = F.col("event_id")
+    cell = F.when(e % 4 == 0, F.concat(F.lit("00"), e.cast("string"))).when(e % 4 == 1, F.concat(e.cast("string"), F.lit(".5"))).when(e % 4 == 2, F.col("event_type")).otherwise(F.concat(F.lit(" "), (-e).cast("string")))
+    return t("events").select("event_id", V.typed(cell).alias("v")).select("event_id", "v.kind", "v.i", "v.f", "v.t")
+
+
+@query("cell_text", "SELECT o_orderkey, CASE WHEN o_totalprice = floor(o_totalprice) THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) ELSE replace(CAST(o_totalprice AS VARCHAR), '.', ',') END AS price, CASE WHEN strftime(o_orderdate, '%H:%M:%S') = '00:00:00' THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS day FROM orders")
+def _(t):
+    return t("orders").select("o_orderkey", V.cell_text("o_totalprice", "double", True).alias("price"), V.cell_text("o_orderdate", "timestamp_ntz").alias("day"))
+
+
+@query("formula_guard", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '''=' || p_name ELSE p_name END AS cell FROM part")
+def _(t):
+    return t("part").select("p_partkey", V.formula_guard(F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("="), F.col("p_name"))).otherwise(F.col("p_name"))).alias("cell"))
+
+
+# ---------------------------------------------------------------------- text
+_SENT = r"list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(TEXT, '\s+', ' ', 'g')), '([.!?…]) +([\"''«“(]?[A-ZÀ-ÖØ-Þ0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) > 0)"
+_STOP = ", ".join("'" + w + "'" for w in T.STOP_WORDS)
+_WORDS = r"list_transform(regexp_extract_all(TEXT, '[\p{L}\p{Nl}\p{No}]{3,}'), lambda w: lower(w))"
+
+
+@query("sentences", f"WITH s AS (SELECT conv_id, turn, {_SENT.replace('TEXT', 'text')} AS s FROM conversations) SELECT conv_id, turn, unnest(range(len(s))) AS place, unnest(s) AS sentence FROM s")
+def _(t):
+    return t("conversations").select("conv_id", "turn", F.posexplode(T.sentences("text")).alias("place", "sentence")).withColumn("place", F.col("place").cast("long"))
+
+
+@query("word_freq", f"WITH w AS (SELECT doc_id, unnest({_WORDS.replace('TEXT', 'text')}) AS word FROM documents), f AS (SELECT doc_id, word, count(*) AS n FROM w WHERE word NOT IN ({_STOP}) GROUP BY doc_id, word) SELECT doc_id, word, n, max(n) OVER (PARTITION BY doc_id) AS top FROM f")
+def _(t):
+    return S.word_frequencies(t("documents"))
+
+
+def _summary_sql(k: str) -> str:
+    return f"""WITH s AS (SELECT doc_id, list_filter({_SENT.replace('TEXT', 'text')}, lambda x: length(x) > 20) AS s FROM documents),
+p AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n, unnest(range(len(s))) AS place, unnest(s) AS sentence FROM s),
+w AS (SELECT doc_id, place, unnest({_WORDS.replace('TEXT', 'sentence')}) AS word FROM p),
+a AS (SELECT doc_id, unnest({_WORDS.replace('TEXT', 'text')}) AS word FROM documents),
+f AS (SELECT doc_id, word, count(*) AS n FROM a WHERE word NOT IN ({_STOP}) GROUP BY doc_id, word),
+g AS (SELECT doc_id, word, CAST(n / CAST(max(n) OVER (PARTITION BY doc_id) AS DOUBLE) AS DECIMAL(20, 12)) AS weight FROM f),
+v AS (SELECT w.doc_id, w.place, sum(g.weight) AS useful, count(*) AS words FROM w LEFT JOIN g ON w.doc_id = g.doc_id AND w.word = g.word GROUP BY w.doc_id, w.place),
+x AS (SELECT p.*, coalesce(round(coalesce(CAST(v.useful AS DOUBLE), 0.0) / sqrt(v.words) * CASE WHEN p.place = 0 THEN 1.25 ELSE 1.0 END, 9), 0.0) AS score FROM p LEFT JOIN v ON p.doc_id = v.doc_id AND p.place = v.place),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) AS rank FROM x)
+SELECT doc_id, place, sentence FROM r WHERE rank <= {k} OR {k} >= n"""
+
+
+@query("summary_5", _summary_sql("5"))
+def _(t):
+    return S.summary(t("documents"), 5).withColumn("place", F.col("place").cast("long"))
+
+
+@query("summary_pct", _summary_sql("greatest(1, ceil(n * 20 / 100.0))"))
+def _(t):
+    return S.summary(t("documents"), -20).withColumn("place", F.col("place").cast("long"))
+
+
+@query("dedupe_lines", "WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS place, unnest(string_split(text, chr(10))) AS line FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, replace(lower(line), 'ß', 'ss') ORDER BY place) AS k FROM l) SELECT doc_id, string_agg(line, chr(10) ORDER BY place) AS text FROM r WHERE k = 1 OR line = '' GROUP BY doc_id")
+def _(t):
+    return S.repeated_lines(t("documents"))
+
+
+@query("text_stats", r"WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS n FROM documents) SELECT doc_id, replace(format('{:,}', n), ',', '.') || ' words. ' || CAST(greatest(1, CAST(round_even(n / 220.0, 0) AS INTEGER)) AS VARCHAR) || ' min read' AS stats FROM c")
+def _(t):
+    return t("documents").select("doc_id", T.text_stats("text").alias("stats"))
+
+
+_HTML = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g'), '(?i)<br\s*/?>|</p>|</h[0-9]>|</li>|</div>', chr(10), 'g'), '<[^>]+>', '', 'g')"
+
+
+@query("html_to_text", f"SELECT page_id, replace(replace(replace(replace({_HTML}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&') AS text FROM pages")
+def _(t):
+    return t("pages").select("page_id", T.html_to_text("html").alias("text"))
+
+
+@query("html_escape", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS html FROM pages")
+def _(t):
+    return t("pages").select("page_id", T.escape("html").alias("html"))
+
+
+@query("url_list", r"""WITH u AS (SELECT page_id, regexp_extract_all(url || ' ' || html, 'https?://[^\s<>"'']+') AS u FROM pages), x AS (SELECT page_id, unnest(range(len(u))) AS k, unnest(list_transform(u, lambda x: regexp_replace(x, '[.,;:!?)\]}]+$', ''))) AS url FROM u), f AS (SELECT page_id, url, min(k) AS k FROM x GROUP BY page_id, url) SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS place, url FROM f""")
+def _(t):
+    return t("pages").select("page_id", F.posexplode(T.urls(F.concat_ws(" ", "url", "html"))).alias("place", "url")).withColumn("place", F.col("place").cast("long"))
+
+
+@query("url_host_counts", r"SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1")
+def _(t):
+    return t("pages").groupBy(F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host")).agg(F.count("*").alias("n"))
+
+
+@query("render_markdown", "SELECT doc_id, '# ' || source || chr(10) || chr(10) || trim(text, ' ' || chr(10)) || chr(10) AS md FROM documents WHERE text = trim(text, ' ' || chr(10)) AND length(text) > 0 AND instr(text, chr(10) || chr(10)) = 0")
+def _(t):
+    d = t("documents").where((T.strip("text") == F.col("text")) & (F.length("text") > 0) & ~F.col("text").contains("\n\n"))
+    return d.select("doc_id", T.rendered("text", F.col("source"), "md").alias("md"))
+
+
+@query("clean_text")
+def _(t):
+    return t("documents").select("doc_id", T.clean("text").alias("text"))
+
+
+@query("markdown_blocks")
+def _(t):
+    return t("documents").select("doc_id", F.posexplode(M.markdown_blocks("text")).alias("place", "b")).select("doc_id", "place", "b.kind", "b.level", "b.text")
+
+
+@query("paragraphs", r"SELECT doc_id, trim(regexp_replace(text, '\s*\n\s*', ' ', 'g')) AS para FROM documents WHERE length(trim(text)) > 0")
+def _(t):
+    return t("documents").select("doc_id", F.explode(T.paragraphs("text")).alias("para"))
+
+
+# --------------------------------------------------------------------- names
+@query("natural_order", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS place FROM (SELECT c_custkey FROM customer)")
+def _(t):
+    rows = t("customer").select("c_custkey", F.concat(F.when(F.col("c_custkey") % 2 == 0, "Item ").otherwise("item "), F.col("c_custkey").cast("string")).alias("name"))
+    return P.numbered(rows, [N.natural_key("name"), F.col("name")]).select("c_custkey", F.col("value").alias("place"))
+
+
+@query("rename_plan", "WITH n AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY lower(p_name), p_partkey) AS k, count(*) OVER () AS total FROM part) SELECT p_partkey, lpad(CAST(k AS VARCHAR), CAST(length(CAST(total AS VARCHAR)) AS INTEGER), '0') || ' - ' || p_name AS new_name FROM n")
+def _(t):
+    rows = P.numbered(t("part").select("p_partkey", "p_name"), [F.lower("p_name"), F.col("p_partkey")])
+    return rows.select("p_partkey", P.new_name(F.col("p_name"), V.number_text("value", F.col("digits"))).alias("new_name"))
+
+
+@query("rename_clash", """WITH p AS (SELECT p_partkey AS seq, p_brand AS parent, p_name AS name, CASE WHEN p_size % 2 = 0 THEN lower(p_type) ELSE upper(p_type) END AS new_name FROM part),
+w AS (SELECT *, lower(parent) AS lp, lower(new_name) AS ln FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY lp, ln ORDER BY seq) AS k, count(*) OVER (PARTITION BY lp, ln) AS n FROM w),
+f AS (SELECT lp, ln, max(CASE WHEN k = 1 THEN name END) AS one, max(CASE WHEN k = 2 THEN name END) AS two FROM r GROUP BY lp, ln)
+SELECT r.seq, r.new_name, CASE WHEN n = 1 THEN '' WHEN k = 1 THEN 'Same new name as ''' || two || '''' ELSE 'Same new name as ''' || one || '''' END AS problem FROM r JOIN f ON r.lp = f.lp AND r.ln = f.ln""")
+def _(t):
+    plan = t("part").select(F.col("p_partkey").alias("seq"), F.col("p_brand").alias("parent"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 2 == 0, F.lower("p_type")).otherwise(F.upper("p_type")).alias("new_name"))
+    return P.clashes(plan).select("seq", "new_name", "problem")
+
+
+@query("rename_template", "SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), greatest(4, CAST(length(CAST(p_partkey AS VARCHAR)) AS INTEGER)), '0') || ' ' || upper(p_brand) || ' ' || p_brand AS new_name FROM part")
+def _(t):
+    p, none = t("part"), F.lit(None).cast("timestamp_ntz")
+    made = N.filled("{n:4} {name:upper} {original}", value=F.col("p_partkey"), digits=2, total=F.lit(0), name=F.col("p_brand"), original=F.col("p_brand"), when=none, taken=none, parent=F.lit(""), ext=F.lit(""), width=F.lit(0), height=F.lit(0), today=F.current_date())
+    return p.select("p_partkey", N.safe_filename(made, normal=False).alias("new_name"))
+
+
+@query("letters_roman", """WITH n AS (SELECT p_partkey AS n FROM part WHERE p_partkey > 0)
+SELECT n, CASE WHEN n > 18278 THEN chr(CAST(65 + (n - 18279) // 17576 % 26 AS INTEGER)) ELSE '' END || CASE WHEN n > 702 THEN chr(CAST(65 + (n - 703) // 676 % 26 AS INTEGER)) ELSE '' END || CASE WHEN n > 26 THEN chr(CAST(65 + (n - 27) // 26 % 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + (n - 1) % 26 AS INTEGER)) AS letters,
+CASE WHEN n < 4000 THEN repeat('M', n // 1000) || ['','C','CC','CCC','CD','D','DC','DCC','DCCC','CM'][n // 100 % 10 + 1] || ['','X','XX','XXX','XL','L','LX','LXX','LXXX','XC'][n // 10 % 10 + 1] || ['','I','II','III','IV','V','VI','VII','VIII','IX'][n % 10 + 1] ELSE CAST(n AS VARCHAR) END AS roman FROM n""")
+def _(t):
+    return t("part").where("p_partkey > 0").select(F.col("p_partkey").alias("n"), V.letters("p_partkey").alias("letters"), V.roman("p_partkey").alias("roman"))
+
+
+@query("safe_names", r"SELECT page_id, substr(trim(regexp_replace(regexp_replace(url, '[<>:\"/\\|?*]', ' ', 'g'), '\s+', ' ', 'g'), ' .'), 1, 120) AS name FROM pages")
+def _(t):
+    return t("pages").select("page_id", N.safe_filename("url").alias("name"))
+
+
+@query("free_names", "WITH n AS (SELECT c_custkey AS seq, c_mktsegment AS base, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS k FROM customer) SELECT seq, base, CASE WHEN k = 1 THEN base ELSE base || ' (' || CAST(k AS VARCHAR) || ')' END AS name FROM n")
+def _(t):
+    return P.free_names(t("customer").select(F.col("c_custkey").alias("seq"), F.col("c_mktsegment").alias("base"))).select("seq", "base", "name")
+
+
+@query("extension_filter", "SELECT nation.n_nationkey, '.' || lower(n_name) AS ext FROM nation WHERE instr(n_name, ' ') = 0")
+def _(t):
+    return t("nation").where("instr(n_name, ' ') = 0").select("n_nationkey", F.explode(N.extensions(F.concat(F.lit(" ,;."), F.col("n_name"), F.lit("; ")))).alias("ext"))
+
+
+@query("unsafe_paths", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'an absolute path' WHEN page_id % 3 = 1 THEN 'a path that climbs out of the folder' ELSE '' END AS reason FROM pages")
+def _(t):
+    name = F.when(F.col("page_id") % 3 == 0, F.lit("C:\\x")).when(F.col("page_id") % 3 == 1, F.lit("a\\..\\b")).otherwise(F.concat(F.lit("a/..b/"), F.col("page_id").cast("string")))
+    return t("pages").select("page_id", N.unsafe_reason(name).alias("reason"))
+
+
+@query("archive_names", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE ['zip', '7z', 'tar'][p_partkey % 4 + 1] END AS kind, p_brand AS stem FROM part")
+def _(t):
+    name = F.concat("p_brand", F.get(F.array(*map(F.lit, [".ZIP", ".7z", ".tar.gz", ".txt"])), (F.col("p_partkey") % 4).cast("int")))
+    return t("part").select("p_partkey", N.archive_kind(name).alias("kind"), N.archive_stem(name).alias("stem"))
+
+
+@query("wifi", r"SELECT s_suppkey, 'WIFI:T:WPA;S:' || s_name || ';P:' || s_name || '\;\:' || ';' || CASE WHEN s_suppkey % 2 = 0 THEN 'H:true;' ELSE '' END || ';' AS code FROM supplier")
+def _(t):
+    return t("supplier").select("s_suppkey", N.wifi_text(F.col("s_name"), F.concat("s_name", F.lit(";:")), F.lit("?"), F.col("s_suppkey") % 2 == 0).alias("code"))
+
+
+@query("code_checks", """WITH c AS (SELECT o_orderkey, CAST(o_orderkey + 97800000000 * (o_orderkey % 2) AS VARCHAR) AS c FROM orders)
+SELECT o_orderkey, CASE WHEN length(c) IN (12, 13) THEN '' ELSE 'Needs 12 or 13 digits.' END AS ean13, CASE WHEN length(c) % 2 = 0 THEN '' ELSE 'Needs an even number of digits.' END AS itf, '' AS code39, '' AS code128, '' AS qr FROM c""")
+def _(t):
+    c = (F.col("o_orderkey") + F.lit(97800000000) * (F.col("o_orderkey") % 2)).cast("string")
+    return t("orders").select("o_orderkey", *(N.code_problem(c, k).alias(k) for k in ("ean13", "itf", "code39", "code128", "qr")))
+
+
+# --------------------------------------------------------------------- dates
+
+
+
+def _dated(name: str, pattern: str, sql: str) -> None:
+    query(name, f"SELECT o_orderkey, {sql} AS folder FROM orders")(lambda t: t("orders").select("o_orderkey", N.dated_folder(F.col("o_orderdate"), pattern, F.lit("jpg"), F.lit("Photos")).alias("folder")))
+
+
+_dated("dated_folders", "{year}/{month} - {monthname}", "strftime(o_orderdate, '%Y/%m - %B')")
+_dated("dated_folders_weekday", "{kind}/{date} {weekday}", "'Photos/' || strftime(o_orderdate, '%Y-%m-%d %A')")
+
+
+def _moves(t) -> DataFrame:
+    o = t("orders")
+    taken, recorded = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate")), F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderdate"))
+    b = P.best_date(taken, recorded, F.lit(None).cast("timestamp_ntz"))
+    return o.select("o_orderkey", b.alias("b")).select("o_orderkey", "b.found_by", N.dated_folder(F.col("b.when"), "{year}", F.lit(""), F.lit("")).alias("folder"), F.when(F.col("o_orderkey") % 7 == 0, "already there").alias("note"))
+
+
+_MOVES = "m AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'date taken' WHEN o_orderkey % 5 = 0 THEN 'recording date' ELSE 'no date' END AS found_by, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 THEN strftime(o_orderdate, '%Y') ELSE 'No date' END AS folder, o_orderkey % 7 = 0 AS there FROM orders)"
+
+
+@query("date_fallback", f"WITH {_MOVES} SELECT o_orderkey, found_by, folder FROM m")
+def _(t):
+    return _moves(t).drop("note")
+
+
+@query("folder_summary", f'WITH {_MOVES} SELECT count(*) AS files, count(DISTINCT folder) AS folders, count(*) FILTER (WHERE found_by = \'no date\') AS undated, count(*) FILTER (WHERE there) AS "left" FROM m')
+def _(t):
+    return P.folder_summary(_moves(t))
+
+
+# ----------------------------------------------------------------- intervals
+def _segments(t) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    at = F.row_number().over(w).cast("double") * 2
+    return t("events").select(F.col("user_id").alias("key"), F.row_number().over(w).cast("long").alias("seq"), at.alias("start"), (at + 0.25 + F.col("event_id") % 8 * 0.125).alias("end"))
+
+
+_SILENCE = "s AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_id FROM events), i AS (SELECT key, seq, seq * 2.0::DOUBLE AS a, seq * 2.0::DOUBLE + 0.25::DOUBLE + event_id % 8 * 0.125::DOUBLE AS b FROM s), d AS (SELECT key, max(a) + 1.0::DOUBLE AS duration FROM i GROUP BY key)"
+
+
+@query("silence_segments", f"""WITH {_SILENCE},
+c AS (SELECT i.key, seq, CASE WHEN a > 0.01 THEN a + 0.125::DOUBLE ELSE 0.0 END AS ca, CASE WHEN b < duration - 0.01 THEN b - 0.125::DOUBLE ELSE duration END AS cb FROM i JOIN d ON i.key = d.key),
+k AS (SELECT key, seq, ca, cb FROM c WHERE cb - ca > 0.05 UNION ALL SELECT key, 1000000000, duration, duration FROM d),
+p AS (SELECT *, greatest(0.0, coalesce(max(cb) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS start FROM k)
+SELECT key, start, ca AS "end" FROM p WHERE ca > start + 0.02""")
+def _(t):
+    s = _segments(t)
+    return I.speech_segments(s, s.groupBy("key").agg((F.max("start") + 1.0).alias("duration")), keep=0.125)
+
+
+@query("page_ranges", "WITH k AS (SELECT DISTINCT o_custkey, o_orderkey FROM orders), g AS (SELECT *, o_orderkey - row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM k) SELECT o_custkey, min(o_orderkey) AS first, max(o_orderkey) AS last FROM g GROUP BY o_custkey, i")
+def _(t):
+    return I.runs(t("orders"), key="o_custkey", value="o_orderkey")
+
+
+@query("page_spec", "WITH s AS (SELECT o_orderkey, 5 + o_orderkey % 5 AS n FROM orders), p AS (SELECT o_orderkey, 0 AS part, unnest([0, 1, 2]) AS page FROM s UNION ALL SELECT o_orderkey, 1, unnest(range(n - 1, 2, -1)) FROM s) SELECT o_orderkey, CAST(part AS BIGINT) AS part, CAST(page AS BIGINT) AS page FROM p")
+def _(t):
+    groups = I.pages(F.lit("1-3;end-4"), (5 + F.col("o_orderkey") % 5).cast("int"))
+    return t("orders").select("o_orderkey", F.posexplode(groups).alias("part", "g")).select("o_orderkey", F.col("part").cast("long").alias("part"), F.explode("g").alias("page")).withColumn("page", F.col("page").cast("long"))
+
+
+@query("ranges_text", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '1-3,7,6-7' ELSE '5' END AS said FROM orders")
+def _(t):
+    a = F.when(F.col("o_orderkey") % 2 == 0, F.array(*map(F.lit, [0, 1, 2, 6, 5, 6]))).otherwise(F.array(F.lit(4)))
+    return t("orders").select("o_orderkey", I.ranges_text(a).alias("said"))
+
+
+@query("chunks", "SELECT o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 3 + 1 AS chunk FROM orders")
+def _(t):
+    return I.chunks(t("orders"), 3, key="o_custkey", order="o_orderkey").select("o_orderkey", "chunk")
+
+
+@query("transcript_paragraphs")
+def _(t):
+    return I.transcript_paragraphs(_segments(t).withColumn("text", F.concat(F.lit("Said "), F.col("seq").cast("string"), F.lit("."))))
+
+
+@query("srt_lines", f"WITH {_SILENCE}, m AS (SELECT key, seq, CAST(round(a * 1000) AS BIGINT) AS a, CAST(round(b * 1000) AS BIGINT) AS b FROM i) SELECT key, seq AS n, CAST(seq AS VARCHAR) || chr(10) || printf('%02d:%02d:%02d,%03d', a // 3600000, a % 3600000 // 60000, a % 60000 // 1000, a % 1000) || ' --> ' || printf('%02d:%02d:%02d,%03d', b // 3600000, b % 3600000 // 60000, b % 60000 // 1000, b % 1000) || chr(10) || 'x' || chr(10) AS block FROM m")
+def _(t):
+    return I.srt(_segments(t).withColumn("text", F.lit("x"))).withColumn("n", F.col("n").cast("long"))
+
+
+@query("fixed_segments", "SELECT user_id, CAST(floor(value / 10.0) AS BIGINT) AS part, count(*) AS n FROM events GROUP BY 1, 2")
+def _(t):
+    return t("events").groupBy("user_id", I.segment(F.col("value"), 10.0).cast("long").alias("part")).agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------- numbers and pictures
+@query("human_size", "SELECT l_orderkey, l_linenumber, CASE WHEN v < 1024 THEN printf('%d B', CAST(floor(v) AS BIGINT)) WHEN v < 1048576 THEN printf('%.1f KB', v / 1024) WHEN v < 1073741824 THEN printf('%.1f MB', v / 1048576) ELSE printf('%.1f GB', v / 1073741824) END AS size FROM (SELECT l_orderkey, l_linenumber, l_extendedprice * (l_orderkey % 1000) AS v FROM lineitem)")
+def _(t):
+    return t("lineitem").select("l_orderkey", "l_linenumber", V.human_size(F.col("l_extendedprice") * (F.col("l_orderkey") % 1000)).alias("size"))
+
+
+@query("saving_percent", "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_quantity <= 0 THEN 0.0 ELSE (l_quantity - l_tax) * 100.0 / l_quantity END, 6) AS saved FROM lineitem")
+def _(t):
+    return t("lineitem").select("l_orderkey", "l_linenumber", F.round(V.saving_percent(F.col("l_quantity"), F.col("l_tax")), 6).alias("saved"))
+
+
+@query("time_said", "SELECT o_orderkey, CASE WHEN s < 10 THEN 'a few seconds left' WHEN s < 60 THEN printf('about %d s left', CAST(round_even(s / 5.0, 0) AS BIGINT) * 5) WHEN CAST(round_even(s / 60.0, 0) AS BIGINT) < 60 THEN printf('about %d min left', CAST(round_even(s / 60.0, 0) AS BIGINT)) ELSE printf('about %d h %02d min left', CAST(round_even(s / 60.0, 0) AS BIGINT) // 60, CAST(round_even(s / 60.0, 0) AS BIGINT) % 60) END AS said, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS clock FROM (SELECT o_orderkey, o_orderkey % 9000 AS s FROM orders)")
+def _(t):
+    s = F.col("o_orderkey") % 9000
+    return t("orders").select("o_orderkey", V.describe_seconds(s).alias("said"), V.clock(s).alias("clock"))
+
+
+@query("parse_time", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 50) * 60 + (o_orderkey % 60) + 0.5::DOUBLE END AS seconds FROM orders")
+def _(t):
+    k = F.col("o_orderkey")
+    text = F.when(k % 2 == 0, F.format_string(" 0:%d:%d,5 ", k % 50, k % 60)).otherwise(F.format_string("%dm", k))
+    return t("orders").select("o_orderkey", V.parse_time(text).alias("seconds"))
+
+
+@query("new_size", "SELECT p_partkey, CASE WHEN r > 1 THEN w ELSE greatest(1, CAST(round_even(w * r, 0) AS INTEGER)) END AS width, CASE WHEN r > 1 THEN h ELSE greatest(1, CAST(round_even(h * r, 0) AS INTEGER)) END AS height FROM (SELECT p_partkey, w, h, 400.0::DOUBLE / greatest(w, h) AS r FROM (SELECT p_partkey, p_size * 20 AS w, CAST(p_partkey % 900 + 1 AS INTEGER) AS h FROM part))")
+def _(t):
+    size = V.new_size(F.col("p_size") * 20, (F.col("p_partkey") % 900 + 1).cast("int"), "longest", 400)
+    return t("part").select("p_partkey", size.alias("s")).select("p_partkey", "s.width", "s.height")
+
+
+@query("kbps", "SELECT p_partkey, CASE WHEN v >= 80 THEN CAST(trunc(v) AS INTEGER) END AS kbps FROM (SELECT p_partkey, p_size * 8 * 1024 * 0.95::DOUBLE / (p_partkey % 4000 + 1) - 128 AS v FROM part)")
+def _(t):
+    return t("part").select("p_partkey", V.target_kbps(F.col("p_size"), F.col("p_partkey") % 4000 + 1).alias("kbps"))
+
+
+@query("hamming", "SELECT p_partkey, CAST(bit_count(xor(p_partkey, CAST(p_size AS BIGINT))) AS INTEGER) AS distance FROM part")
+def _(t):
+    return t("part").select("p_partkey", V.hamming(F.col("p_partkey"), F.col("p_size").cast("long")).cast("int").alias("distance"))
+
+
+@query("grid_layout", "SELECT p_partkey, (k % 4) * 210 AS x, (k // 4) * 110 AS y FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k FROM part)")
+def _(t):
+    return J.grid(t("part"), 4, 200, 100, 10, key="p_brand", order="p_partkey").select("p_partkey", "x", "y")
+
+
+def _levels(t) -> DataFrame:
+    return t("lineitem").groupBy(F.floor(F.col("l_quantity") * 5).cast("long").alias("level")).agg(F.count("*").alias("n"))
+
+
+@query("otsu", """WITH h AS (SELECT CAST(floor(l_quantity * 5) AS BIGINT) AS level, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1),
+w AS (SELECT level, sum(n) OVER (ORDER BY level) AS wb, sum(level * n) OVER (ORDER BY level) AS sb, sum(n) OVER () AS t, sum(level * n) OVER () AS s FROM h),
+b AS (SELECT level, wb * (t - wb) * power(sb / wb - (s - sb) / (t - wb), 2) AS v FROM w WHERE wb > 0 AND t - wb > 0)
+SELECT CAST(coalesce((SELECT level FROM b WHERE v > 0 ORDER BY v DESC, level LIMIT 1), 128) AS BIGINT) AS threshold""")
+def _(t):
+    return J.otsu(_levels(t))
+
+
+@query("top16_share", "WITH h AS (SELECT CAST(floor(l_quantity * 5) AS BIGINT) AS c, count(*) AS n FROM lineitem GROUP BY 1), k AS (SELECT n FROM h ORDER BY n DESC, c LIMIT 16) SELECT round((SELECT CAST(sum(n) AS DOUBLE) FROM k) / (SELECT CAST(sum(n) AS DOUBLE) FROM h), 9) AS share")
+def _(t):
+    return J.top_share(_levels(t).withColumnRenamed("level", "colour"))
+
+
+@query("dark_border", "SELECT user_id, avg(CASE WHEN value < 50 THEN 1.0 ELSE 0.0 END) > 0.6 AS dark FROM events GROUP BY user_id")
+def _(t):
+    return J.dark_border(t("events").select("user_id", F.col("value").alias("grey")), "user_id", 50)
+
+
+# ---------------------------------------------------------------------- jobs
+def _stage() -> Column:
+    return F.get(F.array(*map(F.lit, J.STAGES)), (F.col("o_orderkey") % 6).cast("int"))
+
+
+@query("batch_summary", "SELECT count(*) FILTER (WHERE o_orderkey % 6 = 2) AS done, count(*) FILTER (WHERE o_orderkey % 6 = 4) AS failed, count(*) FILTER (WHERE o_orderkey % 6 = 5) AS cancelled, count(*) FILTER (WHERE o_orderkey % 6 = 3) AS skipped, count(*) AS total FROM orders")
+def _(t):
+    return J.batch_summary(t("orders").select(_stage().alias("stage")))
+
+
+@query("queue_progress", "SELECT o_orderpriority, round(avg(CASE WHEN o_orderkey % 6 >= 2 THEN 100.0::DOUBLE ELSE o_orderkey % 100 END), 6) AS percent FROM orders GROUP BY o_orderpriority")
+def _(t):
+    return J.queue_progress(t("orders").select("o_orderpriority", _stage().alias("stage"), (F.col("o_orderkey") % 100).cast("double").alias("progress")), ["o_orderpriority"])
+
+
+@query("combined", "SELECT o_custkey, coalesce(string_agg(CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END, '|' ORDER BY o_orderkey), '') AS names, count(*) FILTER (WHERE o_orderstatus = 'F') AS failed FROM orders GROUP BY o_custkey")
+def _(t):
+    rows = t("orders").select("o_custkey", F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("name"), F.when(F.col("o_orderstatus") == "F", "failed").alias("error"))
+    return J.combined(rows, ["o_custkey"]).withColumn("names", F.array_join("names", "|"))
+
+
+_MESSAGES = ["Private video", "getaddrinfo failed", "HTTP Error 429", "it broke"]
+
+
+@query("error_class", "SELECT event_id, ['This video is private.', 'The site could not be reached. Check the internet connection, a VPN, or a firewall.', 'The site is rate-limiting this computer. Wait a few minutes and retry.', 'it broke'][event_id % 4 + 1] AS said, event_id % 4 = 2 AS blocked FROM events")
+def _(t):
+    m = F.get(F.array(*map(F.lit, _MESSAGES)), (F.col("event_id") % 4).cast("int"))
+    return t("events").select("event_id", J.explained(m, J.DOWNLOAD_ERRORS, m).alias("said"), J.is_block(m).alias("blocked"))
+
+
+@query("download_checks", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <= 3 THEN 'empty' WHEN l_returnflag = 'A' THEN 'no picture' WHEN l_linestatus = 'F' THEN 'no sound' WHEN l_quantity < 45 THEN 'too short' ELSE '' END AS problem FROM lineitem")
+def _(t):
+    p = J.download_problem(F.col("l_quantity") - 3, F.col("l_quantity"), F.lit(50.0), F.col("l_returnflag") != "A", F.col("l_linestatus") != "F")
+    return t("lineitem").select("l_orderkey", "l_linenumber", p.alias("problem"))
+
+
+def _ticks(t) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    n = F.row_number().over(w)
+    return t("events").select(F.col("user_id").alias("key"), n.cast("long").alias("seq"), (n * 1.5).alias("elapsed"), (n / 1024.0).alias("fraction"))
+
+
+@query("eta_smooth", """WITH RECURSIVE k AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events),
+x AS (SELECT key, seq, seq * 1.5::DOUBLE AS elapsed, seq / 1024.0::DOUBLE AS f FROM k),
+y AS (SELECT key, seq, elapsed < 3.0 OR f < 0.02 AS early, elapsed * (1.0 - f) / f AS raw FROM x),
+r(key, seq, s, early) AS (SELECT key, seq, CASE WHEN early THEN NULL ELSE raw END, early FROM y WHERE seq = 1
+  UNION ALL SELECT y.key, y.seq, CASE WHEN y.early THEN r.s WHEN r.s IS NULL THEN y.raw ELSE r.s * 0.7::DOUBLE + y.raw * 0.3::DOUBLE END, y.early FROM r JOIN y ON y.key = r.key AND y.seq = r.seq + 1)
+SELECT key, seq, CASE WHEN early THEN NULL ELSE round(s, 6) END AS "left" FROM r""")
+def _(t):
+    return J.time_left(_ticks(t)).withColumn("left", F.round("left", 6))
+
+
+@query("stage_weights", "SELECT key, seq, round(weight * 100.0 / sum(weight) OVER (PARTITION BY key), 6) AS percent FROM (SELECT l_orderkey AS key, min(l_quantity) AS weight, l_suppkey AS seq FROM lineitem GROUP BY l_orderkey, l_suppkey)")
+def _(t):
+    rows = t("lineitem").groupBy(F.col("l_orderkey").alias("key"), F.col("l_suppkey").alias("seq")).agg(F.min("l_quantity").alias("weight"))
+    return J.stage_weights(rows).select("key", "seq", F.round("percent", 6).alias("percent"))
+
+
+@query("best_quality", "SELECT l_suppkey AS key, coalesce(max(CASE WHEN l_extendedprice <= 20000 THEN l_quantity END), min(l_quantity)) AS quality, max(CASE WHEN l_extendedprice <= 20000 THEN 1 ELSE 0 END) = 1 AS reached FROM lineitem GROUP BY l_suppkey")
+def _(t):
+    return J.best_quality(t("lineitem").select(F.col("l_suppkey").alias("key"), F.col("l_quantity").alias("quality"), F.col("l_extendedprice").alias("size")), 20000)
+
+
+@query("routes", "WITH p AS (SELECT DISTINCT n_name AS source, r_name AS target FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT DISTINCT r_name, 'X' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey), b AS (SELECT a.source, c.target FROM p a JOIN p c ON a.target = 'ASIA' AND c.source = 'ASIA' WHERE a.source <> c.target) SELECT source, target, source || '>' || target AS route FROM p UNION ALL SELECT b.source, b.target, b.source || '>ASIA>' || b.target FROM b LEFT JOIN p ON b.source = p.source AND b.target = p.target WHERE p.source IS NULL")
+def _(t):
+    n = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return J.routes(n.select(F.col("n_name").alias("source"), F.col("r_name").alias("target")).unionByName(n.select(F.col("r_name").alias("source"), F.concat(F.lit("X"), "n_name").alias("target"))), "ASIA")
+
+
+@query("findings_summary", """WITH o AS (SELECT c_nationkey AS k, c_mktsegment AS label, max(CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END) AS s, max(CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END) AS r FROM customer GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s DESC, r DESC, label) AS i, count(*) OVER (PARTITION BY k) AS c FROM o)
+SELECT k, string_agg(label, ', ' ORDER BY i) FILTER (WHERE i <= 3) || CASE WHEN max(c) > 3 THEN ', ' || CAST(max(c) - 3 AS VARCHAR) || ' more' ELSE '' END AS summary FROM n GROUP BY k""")
+def _(t):
+    f = t("customer").select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("label"), (F.col("c_custkey") % 3 == 0).alias("sensitive"), (F.col("c_custkey") % 2 == 0).alias("removed"))
+    return J.findings_summary(f, "k")
+
+
+@query("labelled_findings", "SELECT c_custkey AS key, coalesce(n_name, 'other') AS label, c_name AS value, coalesce(n_regionkey = 1, false) AS sensitive FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey < 20")
+def _(t):
+    known = t("nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("tag"), F.col("n_name").alias("label"), (F.col("n_regionkey") == 1).alias("sensitive"))
+    return J.labelled(t("customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("tag"), F.col("c_name").alias("value")), known)
+
+
+@query("undo_plan", "SELECT o_orderkey AS seq, 'b' || CAST(o_orderkey AS VARCHAR) AS source, 'a' || CAST(o_orderkey AS VARCHAR) AS target, CASE WHEN o_orderstatus = 'F' THEN 'move back' WHEN o_custkey % 3 > 0 THEN 'delete copy' ELSE 'leave: changed since' END AS verdict FROM orders")
+def _(t):
+    k = F.col("o_orderkey").cast("string")
+    return P.undo(t("orders").select(F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "F", "move").otherwise("copy").alias("action"), F.concat(F.lit("a"), k).alias("source"), F.concat(F.lit("b"), k).alias("target"), F.col("o_custkey").alias("size"), F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey")).otherwise(-1).alias("target_size")))
+
+
+@query("settings", "SELECT c.c_name AS name, coalesce(s.s_name, c.c_mktsegment) AS value FROM customer c LEFT JOIN supplier s ON c.c_custkey = s.s_suppkey")
+def _(t):
+    defaults = t("customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("value"), "c_custkey")
+    stored = t("supplier").join(t("customer"), F.col("s_suppkey") == F.col("c_custkey")).select(F.col("c_name").alias("name"), F.col("s_name").alias("value"))
+    return J.settings(stored, defaults.drop("c_custkey"))
+
+
+# ------------------------------------------------------------ streams, chains
+@query("stable_emit", """WITH k AS (SELECT event_id AS tick0, CAST(user_id AS VARCHAR) AS path, CAST(floor(value / 20) AS BIGINT) AS size FROM events),
+l AS (SELECT row_number() OVER (PARTITION BY path ORDER BY tick0) AS tick, path, size FROM k),
+f AS (SELECT *, CASE WHEN lag(size) OVER (PARTITION BY path ORDER BY tick) = size THEN 0 ELSE 1 END AS fresh FROM l),
+v AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY tick) AS version FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY path, version ORDER BY tick) AS a FROM v)
+SELECT tick, path, size FROM r WHERE a = 2 AND size > 0""")
+def _(t):
+    tick = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
+    looks = t("events").select(tick.alias("tick"), F.col("user_id").cast("string").alias("path"), F.floor(F.col("value") / 20).cast("long").alias("size"), F.lit(0.0).alias("modified"))
+    return W.stable_batch(looks, include_existing=True).drop("modified")
+
+
+@query("windowed_events", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def _(t):
+    return W.windowed(t("events"), keys=["event_type"])
+
+
+@query("sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def _(t):
+    return W.sessions(t("events"), key="user_id")
 
 
-QUERIES["exact_duplicates"] = exact_duplicates
-ORACLE_SQL["exact_duplicates"] = """
-SELECT group_id, doc_id, n_chars, doc_id = group_id AS keep FROM (
-  SELECT doc_id, n_chars, min(doc_id) OVER (PARTITION BY text) AS group_id, count(*) OVER (PARTITION BY text) AS n FROM documents)
-WHERE n > 1"""
+@query("recipe_chain", "SELECT doc_id, lower(regexp_replace(text, '[<&]', '', 'g')) AS text FROM documents")
+def _(t):
+    recipe = R.Recipe.from_json('{"name": "r", "steps": [{"kind": "html_to_text"}, {"kind": "lower", "options": {"odd": 1}}]}')
+    return R.run(t("documents").select("doc_id", F.regexp_replace("text", "[<&]", "").alias("text")), recipe)

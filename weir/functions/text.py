@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What clean-up deletes, and what straight quotes replace, one for one.
 INVISIBLE = "​‌‍⁠﻿­"
@@ -48,7 +49,7 @@ def collapse(c: Column | str) -> Column:
     return strip(F.regexp_replace(_col(c), f"{SPACE}+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(c: pd.Series) -> pd.Series:
     """Unicode normal form C."""
     import unicodedata
@@ -97,7 +98,7 @@ def text_stats(c: Column | str) -> Column:
     return F.replace(F.concat(F.format_number(n, 0), F.lit(" words, "), minutes.cast("string"), F.lit(" min read")), F.lit(","), F.lit("."))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(c: pd.Series) -> pd.Series:
     """Character references as the characters."""
     return c.map(lambda x: None if x is None else html.unescape(x) if "&" in x else x)

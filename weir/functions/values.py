@@ -14,8 +14,7 @@ def typed(c: Column | str, comma_decimal: bool = False) -> Column:
     s = strip(c)
     float_ = r"^-?\d+,\d+$" if comma_decimal else r"^-?\d+\.\d+$"
     whole = s.rlike(r"^-?\d{1,15}$") & ~s.rlike(r"^-*0\d")
-    kind = F.when(s.isNull() | (s == "")).otherwise(F.when(whole, "int").when(s.rlike(float_), "float").otherwise("text"))
-    kind = F.coalesce(kind, F.lit("null"))
+    kind = F.when(s.isNull() | (s == ""), "null").when(whole, "int").when(s.rlike(float_), "float").otherwise("text")
     return F.struct(
         kind.alias("kind"),
         F.when(kind == "int", s.try_cast("bigint")).alias("i"),
@@ -57,9 +56,9 @@ def formula_guard(c: Column | str) -> Column:
 def human_size(c: Column | str, units: tuple[str, ...] = ("B", "KB", "MB", "GB")) -> Column:
     """'1.4 MB' for 1468006."""
     v = F.greatest(_col(c).cast("double"), F.lit(0.0))
-    out = F.format_string("%.1f " + units[-1], v / 1024.0 ** (len(units) - 1))
+    out = F.format_string("%.1f " + units[-1], F.bround(v / 1024.0 ** (len(units) - 1), 1))
     for k in range(len(units) - 2, -1, -1):
-        said = F.format_string("%d B", v.cast("bigint")) if not k else F.format_string("%.1f " + units[k], v / 1024.0**k)
+        said = F.format_string("%d B", v.cast("bigint")) if not k else F.format_string("%.1f " + units[k], F.bround(v / 1024.0**k, 1))
         out = F.when(v < 1024.0 ** (k + 1), said).otherwise(out)
     return out
 

@@ -17,11 +17,13 @@ def numbered(rows: DataFrame, order: list[Column], *, start: int = 1, step: int
     """With ``value`` and ``digits`` (enough for the last number), in the given order.
 
     A running number is one sequence, but rows are counted by range first: the
-    number is the count of the ranges before plus the place within the range.
+    number is the count of the ranges before plus the place within the range. The
+    ranges are held (in memory or on disk, else made again by the same bounds), as
+    both counts must see the same ones.
     """
     spark = rows.sparkSession
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.spark_partition_id().cast("long") * (1 << 33))
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.spark_partition_id().cast("long") * (1 << 33)).persist()
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
     out = ranged.join(F.broadcast(before), "_part")

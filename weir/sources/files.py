@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.names import archive_kind, suffix
 
@@ -59,7 +60,7 @@ def decoded_bytes(data: bytes | None) -> str | None:
         return data.decode("cp1252", "replace")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decoded(content: pd.Series) -> pd.Series:
     """UTF-8 or UTF-16 by its mark, else UTF-8, else Windows-1252."""
     return content.map(decoded_bytes)
