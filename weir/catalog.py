@@ -433,9 +433,9 @@ def _(t):
 
 
 # ------------------------------------------------------- numbers and pictures
-@query("human_size", "SELECT l_orderkey, l_linenumber, CASE WHEN v < 1024 THEN printf('%d B', CAST(floor(v) AS BIGINT)) WHEN v < 1048576 THEN printf('%.1f KB', v / 1024) WHEN v < 1073741824 THEN printf('%.1f MB', v / 1048576) ELSE printf('%.1f GB', v / 1073741824) END AS size FROM (SELECT l_orderkey, l_linenumber, l_extendedprice * (l_orderkey % 1000) AS v FROM lineitem)")
+@query("human_size", "SELECT l_orderkey, l_linenumber, CASE WHEN v < 1024 THEN printf('%d B', v) WHEN v < 1048576 THEN printf('%.1f KB', v / 1024.0::DOUBLE) WHEN v < 1073741824 THEN printf('%.1f MB', v / 1048576.0::DOUBLE) ELSE printf('%.1f GB', v / 1073741824.0::DOUBLE) END AS size FROM (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) * (l_orderkey % 1000) AS v FROM lineitem)")
 def _(t):
-    return t("lineitem").select("l_orderkey", "l_linenumber", V.human_size(F.col("l_extendedprice") * (F.col("l_orderkey") % 1000)).alias("size"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", V.human_size(F.floor("l_extendedprice") * (F.col("l_orderkey") % 1000)).alias("size"))
 
 
 @query("saving_percent", "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_quantity <= 0 THEN 0.0 ELSE (l_quantity - l_tax) * 100.0 / l_quantity END, 6) AS saved FROM lineitem")

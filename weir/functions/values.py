@@ -54,12 +54,22 @@ def formula_guard(c: Column | str) -> Column:
 
 
 def human_size(c: Column | str, units: tuple[str, ...] = ("B", "KB", "MB", "GB")) -> Column:
-    """'1.4 MB' for 1468006."""
-    v = F.greatest(_col(c).cast("double"), F.lit(0.0))
-    out = F.format_string("%.1f " + units[-1], F.bround(v / 1024.0 ** (len(units) - 1), 1))
+    """'1.4 MB' for 1468006 bytes; below 0 as 0. Halves round to even, in whole numbers."""
+    v = F.greatest(_col(c).cast("bigint"), F.lit(0).cast("bigint"))
+
+    def said(k: int) -> Column:
+        if not k:
+            return F.format_string("%d B", v)
+        size = F.lit(1 << 10 * k).cast("bigint")
+        rest = (v * 10) % size
+        down = ((v * 10 - rest) / size).cast("bigint")
+        up = (rest * 2 > size) | ((rest * 2 == size) & (down % 2 == 1))
+        n = F.when(up, down + 1).otherwise(down)
+        return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"), F.lit(" " + units[k]))
+
+    out = said(len(units) - 1)
     for k in range(len(units) - 2, -1, -1):
-        said = F.format_string("%d B", v.cast("bigint")) if not k else F.format_string("%.1f " + units[k], F.bround(v / 1024.0**k, 1))
-        out = F.when(v < 1024.0 ** (k + 1), said).otherwise(out)
+        out = F.when(v < F.lit(1 << 10 * (k + 1)).cast("bigint"), said(k)).otherwise(out)
     return out
 
 
