@@ -164,7 +164,7 @@ def clean(c: Column | str, *, quotes: bool = True, join_broken: bool = True, uni
         c = straight_quotes(c)
     lines = F.transform(F.split(c, "\n"), tidy_line)
     if unique_lines:
-        lines = F.transform(first_lines(lines), lambda x: x)
+        lines = first_lines(lines)
     blocks = F.split(F.regexp_replace(F.array_join(lines, "\n"), r"\n{2,}", "\u0001"), "\u0001")
     blocks = F.filter(F.transform(blocks, lambda b: F.filter(F.split(b, "\n"), lambda x: x != "")), lambda b: F.size(b) > 0)
     done = F.transform(blocks, joined_lines if join_broken else lambda b: F.array_join(b, "\n"))
@@ -173,8 +173,13 @@ def clean(c: Column | str, *, quotes: bool = True, join_broken: bool = True, uni
 
 def first_lines(lines: Column) -> Column:
     """Lines without those that stood before, whatever their case; blank lines all stay."""
-    folded = F.transform(lines, casefold)
-    return F.filter(lines, lambda x, i: (x == "") | (F.array_position(folded, casefold(x)) == i + 1))
+    none = F.array().cast("array<string>")
+
+    def step(a: Column, x: Column) -> Column:
+        again = (x != "") & F.array_contains(a["seen"], casefold(x))
+        return F.struct(F.when(again, a["seen"]).otherwise(F.array_append(a["seen"], casefold(x))).alias("seen"), F.when(again, a["kept"]).otherwise(F.array_append(a["kept"], x)).alias("kept"))
+
+    return F.aggregate(lines, F.struct(none.alias("seen"), none.alias("kept")), step, lambda a: a["kept"])
 
 
 def subtitles_to_text(c: Column | str) -> Column:
