@@ -258,8 +258,31 @@ def test_repeats(spark):
     texts |= {50: "a" * 1200, 51: "a" * 399, 52: passage, 53: passage, 54: "ab" * 500 + "c", 55: ""}
     want = brute_repeats(texts, 400)
     rows = spark.createDataFrame([(k, t, "", "", 1) for k, t in texts.items()], SCHEMA).repartition(4)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.without_repeats(rows).collect()}
-    assert got == want
+    for options in ({}, {"bucket": 5, "shards": 2}, {"most": 3}):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.without_repeats(rows, **options).collect()}
+        assert got == want, options
+
+
+@pytest.mark.parametrize("shards", [1, 2, 5])
+def test_merged_transforms(shards):
+    rnd = random.Random(shards)
+    strings = [np.array([rnd.choice([1, 1, 2, 3]) for _ in range(rnd.randint(1, 30))] + [0], np.uint16) for _ in range(40)]
+    dealt = [strings[k::shards] for k in range(shards)]
+    made, suffixes, heads = [], [], []
+    for own in dealt:
+        heads = np.concatenate([[0], np.cumsum([len(t) for t in own])])
+        text = np.concatenate(own)
+        place, symbol, follow = repeats.suffix_rows(text, heads[:-1])
+        made.append((symbol, follow))
+        suffixes += [tuple(text[p : heads[np.searchsorted(heads, p, side="right")]].tolist()) for p in place]
+    for depth in (1, 3, 8, 40):
+        order, block = repeats.merged_blocks(made, [len(own) for own in dealt], depth)
+        assert sorted(order.tolist()) == list(range(len(suffixes)))
+        seen = [suffixes[k][:depth] for k in order]
+        assert seen == sorted(seen)
+        for k in range(1, len(seen)):
+            same = seen[k] == seen[k - 1] and len(seen[k]) == depth and 0 not in seen[k]
+            assert (block[k] == block[k - 1]) == same
 
 
 def test_repeats_odd_rows(spark):

@@ -1,26 +1,33 @@
 """Repeated byte strings (operator 6).
 
 Every byte covered by a ``length``-byte string that also starts anywhere else is
-removed. README says why the merge of shard Burrows-Wheeler transforms isn't run
-symbol by symbol here. What is kept of it: suffixes are never sorted as a whole;
-each shard (a slice of rows) orders its own, at content-defined places only, and
-blocks of suffixes with a common prefix are refined across shards in three depths,
-where a block of one member is dropped at once.
+removed. Suffixes are never sorted as a whole. Blocks of strings with a common
+prefix are narrowed down across all rows first, by content-defined places, and what
+is left undecided is settled by merging Burrows-Wheeler transforms of shards.
 
 Places: every string of ``length`` bytes begins with a window of ``WINDOW`` k-byte
 substrings; the first of those with the least hash is the string's anchor, wherever
 the string stands. So strings that start in a row share an anchor (a range of starts
-owned by it), and equal strings lie alike around theirs.
+owned by it), and equal strings lie alike around theirs. The bytes from the anchor
+on that all its strings hold are its core.
 
-Depth 1: the bytes that all strings of an anchor share, from the anchor on. Anchors
-alone in their block go: their strings stand nowhere else.
-Depth 2: all bytes of a range of starts. Two equal ranges repeat as a whole.
-Depth 3: the single strings of the ranges that are left, against each other and
-against one member of each block of depth 2 that shares a depth-1 block with them.
+1. Anchors whose core stands nowhere else go: nor do their strings.
+2. Ranges that are equal in all their bytes repeat as a whole.
+3. The ranges that are left, and one of each block of 2 that shares a core with them,
+   are written over an alphabet of bytes and cores: a string becomes ``WINDOW``
+   symbols, one of them its core. Equal strings have equal cores, so buckets by core
+   are apart. In a bucket each shard of strings gets its BWT, and the BWTs are merged
+   by refining their interleave: each pass walks the merged order and deals the rows
+   out by the symbol before them, which sorts by one symbol more and parts the blocks
+   of rows with a common prefix. After ``WINDOW`` passes rows that share a block have
+   equal strings: the repeated intervals.
 
-Scale: blocks are counted by key with partial aggregation; no block is gathered.
-Depth 3 has rows only around the ends of repeats. Hashes have 96 bits (depth 1, which
-only selects, 64). Text is moved twice, to its document's ranges.
+A core that more than ``most`` ranges hold is no bucket's work: its strings are
+counted by their hashes instead, with partial aggregation.
+
+Scale: blocks are counted by key; a bucket is bounded by its number of strings, each
+of at most 2 * ``WINDOW`` symbols. Hashes have 96 bits (cores in step 1, which only
+selects, 64). Text is moved twice, to its document's ranges.
 """
 
 from __future__ import annotations
@@ -95,16 +102,161 @@ def _anchors(part: pa.RecordBatch, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["row", "start", "n", "back", "core", "ua", "ub"])
 
 
+def _ranges(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(text's number, start, n, back, open) of the ranges of each text."""
+    ranges = part.column("ranges")
+    counts = np.diff(np.array(ranges.offsets))
+    flat = ranges.flatten()
+    start, n, back = (np.array(flat.field(c), np.int64) for c in ("start", "n", "back"))
+    return np.repeat(np.arange(part.num_rows), counts), start, n, back, np.array(flat.field("open").to_pylist(), bool)
+
+
+def _pieces(part: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    """A row for each range: its core's hash and the bytes before and behind it."""
+    data, at = shared.flat(part.column("text"))
+    one, two = _ONE.sums(data), _TWO.sums(data)
+    text, start, n, back, open_ = _ranges(part)
+    first = at[text] + start
+    core = first + back
+    after = core + length - WINDOW + 1
+    a, b = _key(one, two, core, after)
+    raw = data.tobytes()
+    left = [raw[x:y] for x, y in zip(first.tolist(), core.tolist(), strict=True)]
+    right = [raw[x:y] for x, y in zip(after.tolist(), (first + n - 1 + length).tolist(), strict=True)]
+    columns = [part.column("row").take(pa.array(text)), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(open_), pa.array(a), pa.array(b), pa.array(left, pa.binary()), pa.array(right, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["row", "start", "n", "open", "a", "b", "left_", "right_"])
+
+
+def suffix_rows(text: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The BWT of a shard: (place of each row's suffix, symbol before it, row of the suffix that begins there).
+
+    ``text``: strings of symbols, each ended by 0; ends count as less than all symbols,
+    an earlier one as less. Sorted by prefix doubling; the symbol before a string is 0.
+    """
+    n = len(text)
+    ends = np.flatnonzero(text == 0)
+    rank = text.astype(np.int64) + len(ends)
+    rank[ends] = np.arange(len(ends))
+    span = 1
+    while True:
+        ahead = np.minimum(np.arange(n) + span, n - 1)
+        key = rank * (int(rank.max()) + 1) + rank[ahead]
+        order = np.argsort(key, kind="stable")
+        new = np.empty(n, np.int64)
+        sorted_ = key[order]
+        new[order] = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
+        rank = new
+        if rank.max() == n - 1:
+            break
+        span *= 2
+    before = np.maximum(order - 1, 0)
+    symbol = text[before].copy()
+    whole = np.zeros(n, bool)
+    whole[heads] = True
+    symbol[whole[order]] = 0
+    return order, symbol, rank[before]
+
+
+def merged_blocks(shards: list[tuple[np.ndarray, np.ndarray]], strings: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merges BWTs by iterative interleave refinement: (rows in merged order, block of each).
+
+    ``shards``: (symbol before, row there) by row; ``strings``: how many each has. Rows
+    are numbered through all shards. After each pass the order is that of one symbol
+    more, ties by shard; rows are in one block while as many symbols are equal. A row
+    whose string has ended is a block of its own. Nothing is sorted anew: a pass deals
+    the rows out by symbol and keeps their order.
+    """
+    base = np.concatenate([[0], np.cumsum([len(s) for s, _ in shards])])
+    symbol = np.concatenate([s for s, _ in shards]).astype(np.uint16)
+    follow = np.concatenate([f + b for (_, f), b in zip(shards, base, strict=False)]).astype(np.int32)
+    ends = np.concatenate([np.arange(m) + b for m, b in zip(strings, base, strict=False)]).astype(np.int32)
+    order, block = np.arange(base[-1], dtype=np.int32), np.zeros(base[-1], np.int32)
+    edge = np.empty(len(order), bool)
+    for _ in range(depth):
+        met = symbol[order]
+        to = np.argsort(met, kind="stable")[len(ends) :]
+        met = met[to]
+        was = block[to]
+        order = np.concatenate([ends, follow[order[to]]])
+        edge[: len(ends) + 1] = True
+        edge[len(ends) + 1 :] = (met[1:] != met[:-1]) | (was[1:] != was[:-1])
+        block = np.cumsum(edge, dtype=np.int32)
+        if edge.all():
+            break
+    return order, block
+
+
+def repeated_starts(left: list[bytes], right: list[bytes], cores: list[tuple], counts: list[int], shards: int) -> list[np.ndarray]:
+    """For each range of a bucket, which of its starts have a string that stands elsewhere too."""
+    number: dict[tuple, int] = {}
+    parts: list[list[np.ndarray]] = [[] for _ in range(shards)]
+    own: list[list[int]] = [[] for _ in range(shards)]
+    for k, (a, b, core) in enumerate(zip(left, right, cores, strict=True)):
+        text = np.empty(len(a) + len(b) + 2, np.uint16)
+        text[: len(a)] = np.frombuffer(a, np.uint8)
+        text[len(a) + 1 : -1] = np.frombuffer(b, np.uint8)
+        text += 1
+        text[len(a)] = 257 + number.setdefault(core, len(number))
+        text[-1] = 0
+        parts[k % shards].append(text)
+        own[k % shards].append(k)
+    made, places, heads_of, strings = [], [], [], []
+    for texts in parts:
+        if texts:
+            heads = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+            place, symbol, follow = suffix_rows(np.concatenate(texts), heads[:-1])
+            made.append((symbol, follow))
+            places.append(place)
+            heads_of.append(heads)
+            strings.append(len(texts))
+    order, block = merged_blocks(made, strings, WINDOW)
+    twice = np.bincount(block)[block] > 1
+    again = np.zeros(len(order), bool)
+    again[order[twice]] = True
+    out: list[np.ndarray] = [np.zeros(0, bool)] * len(left)
+    base = 0
+    for place, heads, mine in zip(places, heads_of, (o for o in own if o), strict=True):
+        here = np.zeros(len(place), bool)
+        here[place] = again[base : base + len(place)]
+        base += len(place)
+        for head, k in zip(heads[:-1].tolist(), mine, strict=True):
+            out[k] = here[head : head + counts[k]]
+    return out
+
+
+def _settled(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """Rows come bucket by bucket; a bucket may go on in the next batch."""
+    bucket, rows = None, []
+
+    def done() -> pa.RecordBatch:
+        found = repeated_starts([r["left_"] for r in rows], [r["right_"] for r in rows], [(r["a"], r["b"]) for r in rows], [r["n"] for r in rows], shards)
+        names, starts, counts = [], [], []
+        for r, again in zip(rows, found, strict=True):
+            if r["open"] and again.any():
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], again, [0]])))
+                for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                    names.append(r["row"])
+                    starts.append(r["start"] + x)
+                    counts.append(y - x)
+        return pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array(starts, pa.int32()), pa.array(counts, pa.int32())], ["row", "start", "n"])
+
+    for batch in batches:
+        kind = batch.schema.field("row").type
+        for r in batch.to_pylist():
+            if r["bucket"] != bucket:
+                if len(rows) > 1:
+                    yield done()
+                bucket, rows = r["bucket"], []
+            rows.append(r)
+    if len(rows) > 1:
+        yield done()
+
+
 def _strings(part: pa.RecordBatch, length: int) -> pa.RecordBatch:
     """A row for each string of the ranges of each text."""
     data, at = shared.flat(part.column("text"))
     one, two = _ONE.sums(data), _TWO.sums(data)
-    ranges = part.column("ranges")
-    counts = np.diff(np.array(ranges.offsets))
-    flat = ranges.flatten()
-    text = np.repeat(np.arange(part.num_rows), counts)
-    start, n = (np.array(flat.field(c), np.int64) for c in ("start", "n"))
-    open_ = np.array(flat.field("open").to_pylist(), bool)
+    text, start, n, _, open_ = _ranges(part)
     ends = np.cumsum(n)
     every = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(start, n)
     owner = np.repeat(text, n)
@@ -145,7 +297,7 @@ def _freed(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, digests: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, digests: bool = False, bucket: int = 8192, shards: int = 4, most: int = 32_768) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and the ``kept`` bytes (or ``kept_sha256``) for each row.
 
     Texts are UTF-8 bytes. A byte goes if a string of ``length`` bytes that covers it
@@ -153,7 +305,9 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     are judged on the input. No string crosses texts. ``n_spans``: maximal removed
     runs. What is left need not be whole characters, hence bytes. Null text counts
     as empty. Each row is a text of its own, whatever its id: rows with the same or a
-    null id are compared like others. Other columns are ignored.
+    null id are compared like others. Other columns are ignored. ``bucket``: how many
+    ranges a bucket holds about; ``most``: beyond how many ranges a core is settled by
+    hashes.
     """
     if length < WINDOW + GRAM:
         raise ValueError(f"length must be at least {WINDOW + GRAM}")
@@ -178,15 +332,24 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     whole = some.join(blocks.where("c > 1").select(*key).hint("merge"), key, "left_semi").select("row", "start", "n")
     whole = shared.keep(whole, "whole")
     single = blocks.where("c = 1")
-    rest = single.select(F.col("first.row").alias("row"), F.col("first.start").alias("start"), "n", F.lit(True).alias("open"))
+    of = [F.col("first.row").alias("row"), F.col("first.start").alias("start"), "n", "back", "core"]
     near = blocks.where("c > 1").join(single.select("core").distinct().hint("merge"), "core", "left_semi")
-    near = near.select(F.col("first.row").alias("row"), F.col("first.start").alias("start"), "n", F.lit(False).alias("open"))
-    ranges = rest.unionByName(near).groupBy("row").agg(F.collect_list(F.struct("start", "n", "open")).alias("ranges"))
+    left = single.select(*of, F.lit(True).alias("open")).unionByName(near.select(*of, F.lit(False).alias("open")))
+    # a core that only one block of equal ranges holds has been settled by step 2
+    sizes = left.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core", (F.col("c") > most).alias("hot"))
+    left = shared.keep(left.join(sizes.hint("merge"), "core").drop("core"), "undecided")
+    buckets = max(1, -(-left.count() // bucket))
+    ranges = left.groupBy("row", "hot").agg(F.collect_list(F.struct("start", "n", "back", "open")).alias("ranges"))
     text = plain.select("row", "text").join(ranges.hint("merge"), "row")
-    strings = text.mapInArrow(shared.by_slices(functools.partial(_strings, length=length), "text"), f"row {row}, start int, open boolean, a long, b int")
-    strings = shared.keep(strings, "strings")
-    twins = strings.groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b")
-    ends = shared.keep(strings.where("open").join(twins.hint("merge"), ["a", "b"], "left_semi").select("row", "start", F.lit(1).alias("n")), "ends")
+    pieces = text.where("not hot").drop("hot").mapInArrow(shared.by_slices(functools.partial(_pieces, length=length)), f"row {row}, start int, n int, open boolean, a long, b int, left_ binary, right_ binary")
+    pieces = pieces.withColumn("bucket", F.pmod("a", F.lit(buckets))).repartition("bucket").sortWithinPartitions("bucket", "row", "start")
+    ends = shared.keep(pieces.mapInArrow(functools.partial(_settled, shards=shards), f"row {row}, start int, n int"), "ends")
+    if left.where("hot").limit(1).count():
+        strings = text.where("hot").drop("hot").mapInArrow(shared.by_slices(functools.partial(_strings, length=length)), f"row {row}, start int, open boolean, a long, b int")
+        strings = shared.keep(strings, "strings")
+        twins = strings.groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b")
+        more = strings.where("open").join(twins.hint("merge"), ["a", "b"], "left_semi").select("row", "start", F.lit(1).alias("n"))
+        ends = ends.unionByName(shared.keep(more, "ends"))
     _freed(spark)
     found = whole.unionByName(ends).groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
     out = plain.join(found.hint("merge"), "row", "left").select("doc_id", "text", "ranges")
