@@ -246,3 +246,34 @@ def test_sinks(spark, tmp_path):
 def test_page_tables(spark):
     pages = spark.createDataFrame([(1, 1, True), (1, 2, True), (2, 1, False), (3, 1, True)], "queue int, page int, ok boolean")
     assert {(r.queue, r.page, r.place) for r in intervals.concatenated(pages).collect()} == {(1, 1, 1), (1, 2, 2), (3, 1, 3)}
+
+
+def test_translate_keeps_the_shape():
+    from weir.operators import translate
+
+    up = [lambda said: [s.upper() for s in said]]
+    assert translate.translated_text("# a b\n\n- one\n- two\n\nSaid. And\nmore", up) == "# A B\n\n- ONE\n- TWO\n\nSAID. AND MORE"
+    srt = "1\n00:00:01,000 --> 00:00:02,000\n<i>hi</i>\nyou\n\n2\n00:00:03,000 --> 00:00:04,000\nbye"
+    assert translate.translated_subtitles(srt, up) == "1\n00:00:01,000 --> 00:00:02,000\nHI YOU\n\n2\n00:00:03,000 --> 00:00:04,000\nBYE"
+
+
+def test_codes(spark):
+    from weir.operators import codes
+
+    got = codes.codes(codes.of_lines(spark.createDataFrame([("same\nsame\n\n123456789012",)], "text string")), "ean13").orderBy("seq").collect()
+    assert [(r.name, r.problem) for r in got] == [("same", "Needs 12 or 13 digits."), ("same (2)", "Needs 12 or 13 digits."), ("123456789012", "")]
+    rows = spark.createDataFrame([(0, ["code", "name"]), (1, ["1", ""]), (2, [" "])], "row_no int, cells array<string>")
+    assert [(r.content, r.name) for r in codes.of_rows(rows, 0, 1).orderBy("seq").collect()] == [("code", "name"), ("1", "1")]
+
+
+def test_media(spark):
+    from weir.functions import media
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    assert one(media.creation_time(F.lit("creation_time : 2026-07-12T10:00:00.000000Z"), "Europe/Rome")).hour == 12
+    assert one(media.creation_time(F.lit("creation_time : 2026-07-12T10:00:00+0500"))).hour == 10
+    assert one(media.creation_time(F.lit("creation_time : 1904-01-01T00:00:00Z"))) is None
+    assert one(media.pdf_date(F.lit("D:2026"))) == "2026" and one(media.pdf_date(F.lit("x"))) == "x"
+    assert one(media.without_app_tags(F.lit("<a/><Company>x</Company><Manager/>"))) == "<a/>"
+    assert tuple(one(media.layout(F.lit("/d"), F.lit("T: x"), F.lit("sorted")))) == ("/d/T x", "/d/T x/Video", "/d/T x/Audio", "/d/T x/Text")
+    assert one(media.fitting(F.lit("d" * 300), F.lit("n" * 60))) == "n" * 24

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import media as X
 from .functions import names as N
 from .functions import text as T
 from .functions import values as V
+from .operators import codes as K
 from .operators import compare as C
 from .operators import documents as M
 from .operators import duplicates as D
@@ -18,6 +20,7 @@ from .operators import jobs as J
 from .operators import plans as P
 from .operators import summaries as S
 from .operators import tables as B
+from .operators import translate as L
 from .plans import recipes as R
 from .streaming import watch as W
 
@@ -236,7 +239,7 @@ def _(t):
     return t("pages").select("page_id", T.escape("html").alias("html"))
 
 
-@query("url_list", r"""WITH u AS (SELECT page_id, regexp_extract_all(url || ' ' || html, 'https?://[^\s<>"'']+') AS u FROM pages), x AS (SELECT page_id, unnest(range(len(u))) AS k, unnest(list_transform(u, lambda x: regexp_replace(x, '[.,;:!?)\]}]+$', ''))) AS url FROM u), f AS (SELECT page_id, url, min(k) AS k FROM x GROUP BY page_id, url) SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS place, url FROM f""")
+@query("url_list", r"""WITH u AS (SELECT page_id, regexp_extract_all(url || ' ' || html, 'https?://[^\s<>"'']+') AS u FROM pages), x AS (SELECT page_id, unnest(range(len(u))) AS k, unnest(list_transform(u, lambda x: regexp_replace(x, '[.,;)\]}"'']+$', ''))) AS url FROM u), f AS (SELECT page_id, url, min(k) AS k FROM x GROUP BY page_id, url) SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS place, url FROM f""")
 def _(t):
     return t("pages").select("page_id", F.posexplode(T.urls(F.concat_ws(" ", "url", "html"))).alias("place", "url")).withColumn("place", F.col("place").cast("long"))
 
@@ -622,3 +625,102 @@ def _(t):
 def _(t):
     recipe = R.Recipe.from_json('{"name": "r", "steps": [{"kind": "html_to_text"}, {"kind": "lower", "options": {"odd": 1}}]}')
     return R.run(t("documents").select("doc_id", F.regexp_replace("text", "[<&]", "").alias("text")), recipe)
+
+
+# ------------------------------------------------------------ media and codes
+def _pick(column: str, *values: str) -> Column:
+    return F.get(F.array(*map(F.lit, values)), (F.col(column) % len(values)).cast("int"))
+
+
+@query("picture_formats", "SELECT p_partkey, ['JPEG', 'JPEG', 'TIFF', 'GIF', ''][p_partkey % 5 + 1] AS format, ['', '', '', 'It moves.', 'This kind of file cannot be made lighter without changing its format.'][p_partkey % 5 + 1] AS problem FROM part")
+def _(t):
+    f = _pick("p_partkey", "jpg", "JPEG", "tif", "gif", "")
+    return t("part").select("p_partkey", X.picture_format(f).alias("format"), X.cannot_shrink(f, {"GIF": "It moves."}).alias("problem"))
+
+
+@query("media_choices", "SELECT event_id, ['mp3', 'm4a', 'ogg', 'mp3'][event_id % 4 + 1] AS sound, ['flat', 'per_video', 'sorted', 'sorted'][event_id % 4 + 1] AS mode, event_id % 4 <> 2 AS plays, CASE WHEN event_id % 4 = 1 THEN 720 END AS height FROM events")
+def _(t):
+    return t("events").select("event_id", X.sound_format(_pick("event_id", ".MP3", ".aac", ".oga", ".xyz")).alias("sound"), X.layout_mode(_pick("event_id", "flat", "True", "false", "?")).alias("mode"), X.plays_everywhere(_pick("event_id", "h264", "hevc", "VP9", "mpeg4")).alias("plays"), X.height_limit(_pick("event_id", "Best there is", "up to 720p", "any", "best 1080")).alias("height"))
+
+
+@query("limited_size", "SELECT p_partkey, CASE WHEN greatest(w, h) <= 500 THEN w ELSE greatest(1, CAST(floor(w * (500.0::DOUBLE / greatest(w, h))) AS INTEGER)) END AS width, CASE WHEN greatest(w, h) <= 500 THEN h ELSE greatest(1, CAST(floor(h * (500.0::DOUBLE / greatest(w, h))) AS INTEGER)) END AS height FROM (SELECT p_partkey, p_size * 20 AS w, CAST(p_partkey % 900 + 1 AS INTEGER) AS h FROM part)")
+def _(t):
+    s = X.limited(F.col("p_size") * 20, (F.col("p_partkey") % 900 + 1).cast("int"), 500)
+    return t("part").select("p_partkey", s.alias("s")).select("p_partkey", "s.width", "s.height")
+
+
+@query("fitted_size", "SELECT p_partkey, nw AS width, nh AS height, CAST(floor((300 - nw) / 2.0) AS INTEGER) AS x, CAST(floor((200 - nh) / 2.0) AS INTEGER) AS y FROM (SELECT p_partkey, greatest(1, CAST(round_even(w * s, 0) AS INTEGER)) AS nw, greatest(1, CAST(round_even(h * s, 0) AS INTEGER)) AS nh FROM (SELECT p_partkey, w, h, least(300.0::DOUBLE / w, 200.0::DOUBLE / h) AS s FROM (SELECT p_partkey, p_size * 20 AS w, CAST(p_partkey % 900 + 1 AS INTEGER) AS h FROM part)))")
+def _(t):
+    s = X.fitted(F.col("p_size") * 20, (F.col("p_partkey") % 900 + 1).cast("int"), (300, 200))
+    return t("part").select("p_partkey", s.alias("s")).select("p_partkey", "s.*")
+
+
+@query("grid_size", "SELECT p_partkey, CASE WHEN n = 0 THEN 0 ELSE c END AS columns, CASE WHEN n = 0 THEN 0 ELSE CAST(ceil(n / CAST(c AS DOUBLE)) AS INTEGER) END AS rows FROM (SELECT p_partkey, n, CASE WHEN p_size % 4 > 0 THEN p_size % 4 ELSE greatest(1, CAST(ceil(sqrt(n)) AS INTEGER)) END AS c FROM (SELECT p_partkey, p_size, p_partkey % 50 AS n FROM part))")
+def _(t):
+    return t("part").select("p_partkey", X.grid_size(F.col("p_partkey") % 50, F.col("p_size") % 4).alias("s")).select("p_partkey", "s.columns", "s.rows")
+
+
+@query("colours", "SELECT p_partkey, printf('&H00%02X%02X%02X', p_size, CAST(p_partkey % 256 AS INTEGER), 255) AS subtitle, 255 AS r, CAST(p_partkey % 256 AS INTEGER) AS g, p_size AS b FROM part")
+def _(t):
+    c = F.format_string("#ff%02x%02x", F.col("p_partkey") % 256, F.col("p_size"))
+    return t("part").select("p_partkey", X.subtitle_colour(c).alias("subtitle"), X.colour(c).alias("c")).select("p_partkey", "subtitle", "c.r", "c.g", "c.b")
+
+
+@query("regions", "SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN p_size END AS x, CASE WHEN p_partkey % 3 > 0 THEN 1280 - p_size % 2 END AS width FROM part")
+def _(t):
+    text = F.when(F.col("p_partkey") % 3 > 0, F.format_string(" %d , 20  %d x 720 ", F.col("p_size"), 1280 + F.col("p_size") % 2)).otherwise("anywhere")
+    r = t("part").select("p_partkey", "p_size", X.region(text).alias("r"))
+    return r.select("p_partkey", "r.x", (V.even(F.col("r.width")) - F.col("p_size") % 2).cast("int").alias("width"))
+
+
+@query("metadata_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || ' 07:00' AS pdf, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END AS exif FROM orders")
+def _(t):
+    d = F.col("o_orderdate")
+    exif = F.when(F.col("o_orderkey") % 2 == 0, F.date_format(d, "yyyy:MM:dd HH:mm:ss")).otherwise("0000:00:00 00:00:00")
+    return t("orders").select("o_orderkey", X.pdf_date(F.concat(F.lit("D:"), F.date_format(d, "yyyyMMdd"), F.lit("07"))).alias("pdf"), V.exif_date(exif).cast("timestamp_ntz").alias("exif"))
+
+
+@query("gps", "SELECT s_suppkey, printf('%.5f, %.5f', -(s_nationkey + 30 / 60.0::DOUBLE), s_nationkey + 45 / 60.0::DOUBLE) AS place FROM supplier")
+def _(t):
+    n = F.col("s_nationkey").cast("double")
+    return t("supplier").select("s_suppkey", X.gps_text(F.array(n, F.lit(30.0), F.lit(0.0)), F.lit("s"), F.array(n, F.lit(45.0), F.lit(0.0)), F.lit("E")).alias("place"))
+
+
+@query("video_names", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' [' || CAST(p_partkey AS VARCHAR) || ']' ELSE p_name END AS name, CASE WHEN length(p_name) <= 30 THEN p_name ELSE rtrim(substr(p_name, 1, 30), ' .') END AS fits FROM part")
+def _(t):
+    i = F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey").cast("string")).otherwise("")
+    return t("part").select("p_partkey", X.base_name(F.col("p_name"), i).alias("name"), X.fitting(F.lit("d" * 200), F.col("p_name")).alias("fits"))
+
+
+@query("failure_kinds", "SELECT event_id, event_id % 4 = 0 AS merge, event_id % 4 = 1 AS cookie, event_id % 4 = 2 AS gpu, event_id % 4 = 3 AS address FROM events")
+def _(t):
+    m = _pick("event_id", "Merging of Multiple Formats", "no COOKIE file", "cuDNN failed", " HTTPS://a.b/c ")
+    return t("events").select("event_id", X.merge_problem(m).alias("merge"), X.cookie_problem(m).alias("cookie"), X.gpu_problem(m).alias("gpu"), X.web_address(m).alias("address"))
+
+
+@query("office_findings", "SELECT c_custkey, 'Author' AS label, c_name AS value, true AS sensitive FROM customer UNION ALL SELECT c_custkey, 'Revision', CAST(c_nationkey AS VARCHAR), false FROM customer")
+def _(t):
+    xml = F.concat(F.lit("<dc:creator> "), "c_name", F.lit("</dc:creator><x>no</x><cp:revision a='1'>"), F.col("c_nationkey").cast("string"), F.lit("</cp:revision><dc:title> </dc:title>"))
+    return t("customer").select("c_custkey", F.inline(X.office_findings(xml, X.CORE)))
+
+
+@query("drawing_shapes", "SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<p')) AS BIGINT) AS shapes FROM pages")
+def _(t):
+    return t("pages").select("page_id", X.shapes(F.regexp_replace("html", "(?i)<p", "<path ")).alias("s")).select("page_id", "s.shapes")
+
+
+@query("codes", "WITH c AS (SELECT s_suppkey AS seq, s_name AS content, 'n' || CAST(s_nationkey AS VARCHAR) AS base, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier) SELECT seq, content, CASE WHEN k = 1 THEN base ELSE base || ' (' || CAST(k AS VARCHAR) || ')' END AS name, 'Needs 7 or 8 digits.' AS problem FROM c")
+def _(t):
+    rows = t("supplier").select(F.col("s_suppkey").alias("row_no"), F.array(F.concat(F.lit(" "), "s_name"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))).alias("cells"))
+    return K.codes(K.of_rows(rows, 0, 1), "ean8")
+
+
+@query("translated", "SELECT conv_id, turn, lower(text) AS text FROM conversations WHERE regexp_matches(text, '^[a-zA-Z]') AND instr(text, chr(10)) = 0 AND instr(text, '  ') = 0 AND text = trim(text)")
+def _(t):
+    one = t("conversations").where(F.col("text").rlike("^[a-zA-Z]") & ~F.col("text").contains("\n") & ~F.col("text").contains("  ") & (F.col("text") == F.trim("text")))
+    return one.select("conv_id", "turn", L.translated("text", lambda: [lambda said: [s.lower() for s in said]]).alias("text"))
+
+
+@query("download_formats", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'bestaudio/best' ELSE 'bestvideo[height<=720]+bestaudio/best[height<=720]/best' END AS format FROM nation")
+def _(t):
+    return t("nation").select("n_nationkey", X.download_format(F.col("n_nationkey") % 2 > 0, F.lit(720), F.lit(True), F.lit(False)).alias("format"))

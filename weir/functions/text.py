@@ -122,8 +122,8 @@ def escape(c: Column | str) -> Column:
 
 def urls(c: Column | str) -> Column:
     """Ordered distinct web addresses, without punctuation behind them."""
-    found = F.regexp_extract_all(_col(c), F.lit(r"(https?://[^\s<>\"']+)"), 1)
-    return F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?)\]}]+$", "")))
+    found = F.regexp_extract_all(_col(c), F.lit(r"((?i:https?)://[^\s<>\"']+)"), 1)
+    return F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, r"[.,;)\]}\"']+$", "")))
 
 
 def paragraphs(c: Column | str) -> Column:

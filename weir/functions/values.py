@@ -168,11 +168,11 @@ def number_text(c: Column | str, digits: Column | int) -> Column:
 
 
 def exif_date(c: Column | str) -> Column:
-    """A picture's date in one of four formats; null for year 0000 and for what isn't a date."""
-    s = strip(c)
+    """A picture's date in one of four formats, what stands behind it ignored; null for year 0000 and for what isn't a date."""
+    s = F.regexp_replace(strip(c), "\u0000", "")
     s = F.when(~s.startswith("0000"), s)
-    formats = ("yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy:MM:dd", "yyyy-MM-dd")
-    return F.coalesce(*(F.try_to_timestamp(s, F.lit(f)) for f in formats))
+    formats = (("yyyy:MM:dd HH:mm:ss", 19), ("yyyy-MM-dd HH:mm:ss", 19), ("yyyy:MM:dd HH:mm", 16), ("yyyy:MM:dd", 10))
+    return F.coalesce(*(F.try_to_timestamp(F.substring(s, 1, n), F.lit(f)) for f, n in formats))
 
 
 def newer(left: Column, right: Column, dead: float = 2.0) -> Column:
