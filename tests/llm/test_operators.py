@@ -467,3 +467,27 @@ def test_pipeline_stages(spark, tmp_path):
             assert set(after) == set(before)
         docs = out
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_stages_take_empty_tables_and_more_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    rows, labels = labelled(60)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    none = spark.createDataFrame([], SCHEMA)
+    more = spark.createDataFrame([(*r, "x", 1, None) for r in [*rows, rows[0], (None, None, None, None, None)]], SCHEMA + ", label string, row long, component binary")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0, name
+        out = stage(spark, more, str(tmp_path))
+        if name != "packing":
+            assert out.columns == more.columns
+        assert out.where("doc_id is null").count() == 1, name
+
+
+def test_operators_take_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f", 5, "k", 1), (2, "a b c d e f", 6, "k", 1)], "doc_id long, text string, n long, keys string, bucket int")
+    assert {r.component_id for r in near_dups.near_duplicates(rows).collect()} == {1}
+    assert {r.n_removed for r in repeats.without_repeats(rows.withColumn("row", near_dups.F.lit(1))).collect()} == {0}
+    assert fingerprints.fingerprints(rows.withColumn("guest", near_dups.F.lit(True))).where("near_next = 1").count() == 2
+    assert line_dedup.without_copied_lines(rows.withColumn("at", near_dups.F.lit(1)).withColumn("line", near_dups.F.lit(1))).count() == 2
+    assert secrets.scanned(rows.withColumn("spans", near_dups.F.lit(1))).count() == 2
