@@ -208,13 +208,26 @@ def units(text: str) -> set[str]:
     return words | {w[:n] + "-" for w in words for n in STEM if len(w) > n}
 
 
-def _counted(batches: Iterator[pa.RecordBatch], wanted: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
-    """In how many texts each unit stands, summed within a slice."""
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each unit with the words that stand before it, once a slice."""
+    for part in shared.sliced(batches, "text"):
+        seen: set[tuple[str, str]] = set()
+        for text in shared.strings(part.column("text")).to_pylist():
+            low = text.lower()
+            points = code_points(low)
+            words = [low[a:b] for a, b in zip(*(x.tolist() for x in letter_runs(points, np.zeros(1, int))), strict=True)] if len(points) else []
+            for before, w in zip(["", *words], words, strict=False):
+                seen.add((w, before))
+                seen.update((w[:n] + "-", before) for n in STEM if len(w) > n)
+        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in seen], pa.string()), pa.array([x for _, x in seen], pa.string())], ["unit", "before"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch], wanted: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    """In how many texts each wanted unit stands, summed within a slice."""
     for part in shared.sliced(batches, "text"):
         count: Counter[str] = Counter()
         for text in shared.strings(part.column("text")).to_pylist():
-            mine = units(text)
-            count.update(mine & wanted if wanted is not None else mine)
+            count.update(units(text) & wanted)
         yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["unit", "n"])
 
 
@@ -229,7 +242,7 @@ def one_edit(word: str, term: str) -> bool:
 
 
 def choose(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int, *, least: int, odds: float, most: int) -> Lexicon:
-    """Units that stand in toxic texts far more often than in clean ones; a stem replaces the longer units that it begins."""
+    """Units that stand in toxic texts (at ``pos`` places) far more often than in clean ones (``neg`` texts); a stem replaces the longer units that it begins."""
     def ratio(u: str) -> float:
         return float(np.log((pos[u] + 0.5) / (n_pos + 1)) - np.log((neg.get(u, 0) + 0.5) / (n_neg + 1)))
 
@@ -256,9 +269,11 @@ def fit(
     sample = shared.keep(plain.join(F.broadcast(toxic.unionByName(clean)), "doc_id").select("text", "label"), "toxicity")
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     least = max(3, sizes.get(1, 0) // 200)
-    count = lambda kind, wanted: sample.where(F.col("label") == kind).mapInArrow(functools.partial(_counted, wanted=wanted), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    pos = {r["unit"]: r["n"] for r in count(1, None).where(F.col("n") >= least).orderBy(F.desc("n"), "unit").limit(most_units).collect()}
-    neg = {r["unit"]: r["n"] for r in count(0, frozenset(pos)).collect()}
+    # in toxic texts a unit counts once for each word it stands behind: copies of a text, of which there may be many, add nothing
+    pos = sample.where("label = 1").mapInArrow(_places, "unit string, before string").groupBy("unit").agg(F.count_distinct("before").alias("n"))
+    pos = {r["unit"]: r["n"] for r in pos.where(F.col("n") >= least).orderBy(F.desc("n"), "unit").limit(most_units).collect()}
+    neg = sample.where("label = 0").mapInArrow(functools.partial(_counted, wanted=frozenset(pos)), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    neg = {r["unit"]: r["n"] for r in neg.collect()}
     lexicon = choose(pos, neg, sizes.get(1, 0), sizes.get(0, 0), least=least, odds=odds, most=most_terms)
     near = sample.where("label = 0").mapInArrow(functools.partial(_near, lexicon=lexicon), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     lexicon.innocent = sorted(r["unit"] for r in near.orderBy(F.desc("n"), "unit").limit(most_units).collect())
