@@ -40,7 +40,7 @@ class WordIds:
     the distinct words.
     """
 
-    def __init__(self, path: str, words: int = 150_000):
+    def __init__(self, path: str, words: int = 60_000):
         from tokenizers import Tokenizer
 
         tool = Tokenizer.from_file(path)

@@ -294,21 +294,21 @@ def _near(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.Re
 
 
 def _measured(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
-    matcher, memo = Matcher(lexicon), Memo(150_000)
+    matcher, memo = Matcher(lexicon), Memo(60_000)
     for part in shared.sliced(batches, "text"):
         x = features(shared.strings(part.column("text")).to_pylist(), matcher, memo)
         yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["label", "x"])
 
 
 def _scored(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    matcher, memo = Matcher(model.lexicon), Memo(150_000)
+    matcher, memo = Matcher(model.lexicon), Memo(60_000)
     for part in shared.sliced(batches, "text"):
         x = features(shared.strings(part.column("text")).to_pylist(), matcher, memo)
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.scores(x))], ["doc_id", "score"])
 
 
 def _clean(batches: Iterable[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
-    matcher, memo = Matcher(model.lexicon), Memo(150_000)
+    matcher, memo = Matcher(model.lexicon), Memo(60_000)
     for part in shared.sliced(batches, "text"):
         x = features(shared.strings(part.column("text")).to_pylist(), matcher, memo)
         yield part.filter(pa.array(model.scores(x) < threshold))
