@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import shared
 
 NEVER = 1 << 60
+#: Words of more bytes are encoded one by one.
+SHORT = 48
 
 
 @functools.cache
@@ -56,6 +58,7 @@ class MergeAutomaton:
             self._gadget(rank, vocabulary[u], vocabulary[v], vocabulary[u + v])
         self.arcs.clear()
         self._table()
+        self._arrays()
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         if u not in self.born or v not in self.born or w in self.born or not self.arc(u, v):
@@ -114,6 +117,83 @@ class MergeAutomaton:
                     self.ends.append(-1)
             self.ends[node] = label
 
+    def _arrays(self) -> None:
+        """The trie as a dense table over inner nodes (1 is the root, 0 is dead, leaves come last), and a cache of arcs."""
+        inner = sorted({key >> 8 for key in self.step})
+        leaves = sorted(set(range(len(self.ends))) - set(inner))
+        number = {node: k + 1 for k, node in enumerate([*inner, *leaves])}
+        self.inner = len(inner)
+        self.table = np.zeros((self.inner + 1, 256), np.int32)
+        for key, node in self.step.items():
+            self.table[number[key >> 8], key & 255] = number[node]
+        self.end_of = np.full(len(number) + 1, -1, np.int32)
+        for node, k in number.items():
+            self.end_of[k] = self.ends[node]
+        self.size_of = np.zeros(max(self.bytes) + 1, np.int32)
+        for label, b in self.bytes.items():
+            self.size_of[label] = len(b)
+        self.slots = np.full(1 << 20, -1, np.int64)
+        self.found = np.zeros(1 << 20, bool)
+
+    def are_arcs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """``arc`` of many pairs: those not in the cache are looked up once each."""
+        pairs = (x.astype(np.int64) << 32) | y
+        slot = (shared.mix(pairs.view(np.uint64)) >> np.uint64(44)).astype(np.int64)
+        out = self.found[slot]
+        miss = np.flatnonzero(self.slots[slot] != pairs)
+        if len(miss):
+            new, back = np.unique(pairs[miss], return_inverse=True)
+            held = np.array([self.arc(p >> 32, p & 0xFFFFFFFF) for p in new.tolist()])
+            out[miss] = held[back]
+            self.slots[slot[miss]] = pairs[miss]
+            self.found[slot[miss]] = held[back]
+        return out
+
+    def encode_many(self, words: list[bytes]) -> list[list[int]]:
+        """``encode`` of many short words, all a place at a time through the tables."""
+        sizes = np.array([len(w) for w in words])
+        order = np.argsort(-sizes, kind="stable")
+        sizes = sizes[order]
+        data = np.frombuffer(b"".join([words[k] for k in order.tolist()]), np.uint8)
+        width = int(sizes[0])
+        at = np.cumsum(sizes) - sizes
+        text = np.zeros((len(words), width), np.uint8)
+        row = np.repeat(np.arange(len(words)), sizes)
+        text[row, np.arange(len(data)) - at[row]] = data
+        last = np.full((len(words), width + 1), -1, np.int32)
+        for start in range(width):
+            m = int(np.searchsorted(-sizes, -start, side="left"))  # words longer than start
+            rows, node, here = np.arange(m), self.table[1, text[:m, start]], start
+            while True:
+                live = node > 0
+                rows, node = rows[live], node[live]
+                if not len(rows):
+                    break
+                label = self.end_of[node]
+                ends = np.flatnonzero((label >= 0) & (last[rows, here + 1] < 0))
+                if len(ends):
+                    mine, label = rows[ends], label[ends]
+                    if start:
+                        good = self.are_arcs(last[mine, start], label)
+                        mine, label = mine[good], label[good]
+                    last[mine, here + 1] = label
+                here += 1
+                on = (sizes[rows] > here) & (node <= self.inner)
+                rows, node = rows[on], node[on]
+                if not len(rows):
+                    break
+                node = self.table[node, text[rows, here]]
+        # back from the ends
+        columns, left, every = [], sizes.copy(), np.arange(len(words))
+        while left.any():
+            label = np.where(left > 0, last[every, left], -1)
+            columns.append(label)
+            left = left - np.where(label >= 0, self.size_of[label], 0)
+        out: list[list[int]] = [[]] * len(words)
+        for k, labels in zip(order.tolist(), np.stack(columns[::-1], 1).tolist(), strict=True):
+            out[k] = [x for x in labels if x >= 0]
+        return out
+
     def encode(self, word: bytes) -> list[int]:
         """The labels of the one path of arcs that spells ``word``."""
         n = len(word)
@@ -258,12 +338,17 @@ class Codec:
             return [text]
         return self.split.split(text)
 
-    def word(self, word: str) -> str:
-        held = self.memo.get(word)
-        if held is None:
-            held = ",".join(map(str, self.automaton.encode(word.encode("utf-8"))))
-            self.memo.put(word, held)
-        return held
+    def words(self, words: list[str]) -> list[str]:
+        """The decimal ids of each word, joined by commas; those not encoded lately all at once."""
+        out = [self.memo.get(w) for w in words]
+        new = [k for k, held in enumerate(out) if held is None]
+        data = [words[k].encode("utf-8") for k in new]
+        short = [k for k, b in enumerate(data) if len(b) <= SHORT]
+        ids = dict(zip(short, self.automaton.encode_many([data[k] for k in short]), strict=True)) if short else {}
+        for j, k in enumerate(new):
+            out[k] = ",".join(map(str, ids[j] if j in ids else self.automaton.encode(data[j])))
+            self.memo.put(words[k], out[k])
+        return out
 
     def encode(self, texts: list[str]) -> list[str]:
         """The decimal ids of each text, joined by commas."""
@@ -280,7 +365,7 @@ class Codec:
         start = np.flatnonzero(token_starts(points, heads[:-1][sizes > 0])) if len(points) else np.zeros(0, np.int64)
         end = np.append(start[1:], len(points)) if len(start) else start
         first, inverse = distinct_words(points, start, end)
-        ids = [self.word(whole[a:b]) for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        ids = self.words([whole[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
         said = list(map(ids.__getitem__, inverse.tolist()))
         cut = np.searchsorted(start, heads)
         out: list[list[str]] = [[] for _ in texts]
