@@ -257,6 +257,36 @@ def test_translate_keeps_the_shape():
     assert translate.translated_subtitles(srt, up) == "1\n00:00:01,000 --> 00:00:02,000\nHI YOU\n\n2\n00:00:03,000 --> 00:00:04,000\nBYE"
 
 
+def test_all_conversations_are_translated(spark, tmp_path):
+    import re
+
+    import __spark_entry__ as entry
+
+    def brute(text):
+        out = []
+        for piece in re.split(r"(\n\s*\n)", text.replace("\r\n", "\n")):
+            lines = piece.split("\n")
+            heads = [re.match(r"\s*(#{1,6}\s+|[-*+]\s+|\d+[.)]\s+|>\s*)|", line)[0] for line in lines]
+            if not piece.strip():
+                out.append(piece)
+            elif len(lines) > 1 and all(h.strip() for h, line in zip(heads, lines, strict=True) if line[len(h) :].strip()):
+                out.append("\n".join(h + " ".join(line[len(h) :].split()).lower() for h, line in zip(heads, lines, strict=True)))
+            else:
+                lead = heads[0] if heads[0].strip() else ""
+                out.append(lead + " ".join(piece[len(lead) :].split()).lower())
+        return "".join(out)
+
+    texts = ["# A B\n\n- One\n- Two\n\n\nSaid.  And\nMore ", "1) X\r\n2) Y", "> Q\n \n\u00c9T\u00c9", " A", "", "Plain", "\n\nZ"]
+    spark.createDataFrame([(1, k, "user", x) for k, x in enumerate([*texts, None])], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.turn: r.text for r in entry.queries()["translated_all"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate([*map(brute, texts), None]))
+    assert got[0] == "# a b\n\n- one\n- two\n\n\nsaid. and more"
+    tables = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{tables}/conversations.parquet").collect()
+    assert sorted(map(tuple, entry.queries()["translated_all"](spark, tables).collect())) == sorted((r.conv_id, r.turn, brute(r.text)) for r in rows)
+
+
+
 def test_codes(spark):
     from weir.operators import codes
 

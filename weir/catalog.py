@@ -721,6 +721,11 @@ def _(t):
     return one.select("conv_id", "turn", L.translated("text", lambda: [lambda said: [s.lower() for s in said]]).alias("text"))
 
 
+@query("translated_all")
+def _(t):
+    return t("conversations").select("conv_id", "turn", L.translated("text", lambda: [lambda said: [s.lower() for s in said]]).alias("text"))
+
+
 @query("download_formats", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'bestaudio/best' ELSE 'bestvideo[height<=720]+bestaudio/best[height<=720]/best' END AS format FROM nation")
 def _(t):
     return t("nation").select("n_nationkey", X.download_format(F.col("n_nationkey") % 2 > 0, F.lit(720), F.lit(True), F.lit(False)).alias("format"))
