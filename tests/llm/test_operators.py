@@ -439,6 +439,17 @@ def test_statistics_of_any_text():
     assert np.isfinite(quality.statistics(column)).all()
 
 
+def test_statistics_do_not_depend_on_the_slice():
+    rnd = random.Random(4)
+    texts = ["x\nx\nx", "y\ny\nz", "", None, "\n", "\nq\n", "q\n", "q", *("".join(rnd.choice("ab \n\n.A") for _ in range(rnd.randint(0, 40))) for _ in range(300))]
+    alone = np.vstack([quality.statistics(pa.array([t], pa.string())) for t in texts])
+    assert np.array_equal(quality.statistics(pa.array(texts)), alone)
+    lines = [t.removesuffix("\n").split("\n") if t else [] for t in texts]
+    assert np.allclose(alone[:, -2], [len(set(x)) / max(len(x), 1) for x in lines])
+    assert np.allclose(alone[:, -1], [max(Counter(x).values(), default=0) / max(len(x), 1) for x in lines])
+
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

@@ -73,9 +73,9 @@ def statistics(column: pa.Array) -> np.ndarray:
     # lines: the hash of the bytes up to each line feed
     stop = np.flatnonzero((data == 10) if len(data) else np.zeros(0, bool))
     heads = np.concatenate([at[:-1][size > 0], stop + 1])
-    ends = np.unique(np.concatenate([stop, at[1:][size > 0]]))
     heads = np.unique(heads[heads < len(data)])
-    ends = ends[np.searchsorted(ends, heads)] if len(heads) else heads
+    # the next line feed, but at most the end of the text itself
+    ends = np.minimum(np.append(stop, len(data))[np.searchsorted(stop, heads)], at[np.searchsorted(at, heads, side="right")]) if len(heads) else heads
     lines = shared._WORD.of(shared._WORD.sums(data), heads, ends) if len(heads) else np.zeros(0, U64)
     line_at = np.searchsorted(heads, at)
     line_distinct, line_top = _distinct_share(lines, line_at)
