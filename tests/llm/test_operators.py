@@ -407,6 +407,57 @@ def test_misspelt_and_quoted(spark):
     assert x[0, 0] > 0 and x[0, 1] == 0 and x[1, 0] == 0 and x[1, 1] > 0 and not x[2].any() and x[3, 2] > 0 and x[3, 0] == 0
 
 
+def test_misspelt_forms_of_stems_and_within_words():
+    pos = {"stupid": 60, "stupidly": 30, "stupidness": 30, "stopid": 4, "stup-": 120, "stupi-": 120, "stupid-": 60, "idiot": 50, "moron": 50}
+    lexicon = toxicity.choose(pos, {}, 100, 200, least=5, odds=3.5, most=400)
+    assert lexicon.stems == ["stup"] and {"stupid", "stupidly", "idiot"} <= set(lexicon.terms)
+    lexicon.innocent = ["stolidly"]
+    match = toxicity.Matcher(lexicon).match
+    for word in ("stupid", "stupidest", "stupor", "idiot"):
+        assert match(word) == toxicity.EXACT, word
+    for word in ("stopid", "stpid", "sttupid", "stopidly", "stopidest", "st*pid", "st*pidest", "idi0t", "m0ron"):
+        assert match(word) == toxicity.FUZZY, word
+    for word in ("stop", "stopped", "stolidly", "idiom", "idiomatic", "st**pid", "id10t", "", "morals"):
+        assert match(word) == 0 or toxicity.one_edit(word, "idiot"), word
+    long = toxicity.Matcher(toxicity.Lexicon([], ["zwack"])).match
+    assert [long(w) for w in ("zwickel", "zackel", "zw4ckel", "zwacel", "zwac", "zwick", "zack")] == [1, 1, 1, 0, 0, 1, 1]
+    texts = ["you idi0t", "a m0ron", "so st*pid", "idi", "0t idi 0t", "idi\nt", "well-known idi-o", "idiot's", "x.y/st*pid's"]
+    x = toxicity.features(texts, toxicity.Matcher(lexicon), bpe.Memo(100))
+    assert (x[:, 2] > 0).tolist() == [True, True, True, False, False, False, False, False, True]
+    assert (x[:, 0] > 0).tolist() == [False] * 7 + [True, False]
+    each = np.vstack([toxicity.features([t], toxicity.Matcher(lexicon), bpe.Memo(100)) for t in texts])
+    assert np.array_equal(x, each)
+    assert toxicity.pairs("Idi0t st*pid\nx a-b") == {"idi0t", "st*pid", "a-b"} and toxicity.pairs("") == set()
+
+
+def test_misspelt_toxic_rows_are_caught(spark):
+    rnd = random.Random(6)
+    plain = [a + b + c for a in ("ba", "lo", "mi", "ren", "sto", "ver") for b in ("ka", "le", "nu", "po", "sim", "tor") for c in ("nd", "ta", "us", "ing", "er", "ly")]
+
+    def misspelt(word: str) -> str:
+        k = rnd.randrange(1, 6)
+        return word[:k] + rnd.choice([*"0134579*#$@+!fjquwxyz", *(word[k] + c for c in "01*#fjqwxyz")]) + word[k + 1 :]
+
+    rows, labels, odd = [], [], set()
+    for k in range(1500):
+        words = [rnd.choice(plain) for _ in range(rnd.randint(20, 60))]
+        if k % 3 == 0:
+            for _ in range(2):
+                words.insert(rnd.randrange(len(words)), "grobian" + rnd.choice(["", "", "e", "isch", "ung"]))
+        if k % 6 == 0:
+            odd.add(k)
+            words = [misspelt(w) if w.startswith("grobian") else w for w in words]
+        rows.append((k, " ".join(words), "en", "s", 1))
+        labels.append((k, 1, int(k % 3 == 0)))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert any("grobian".startswith(s) for s in model.lexicon.stems)
+    got = {r.doc_id: r.predicted for r in toxicity.scored(docs, model).where("held_out").collect()}
+    assert np.mean([got[k] for k in odd & set(got)]) > 0.95
+    assert np.mean([got[k] == labels[k][2] for k in got]) > 0.97
+
+
+
 def test_levenshtein_by_brute_force():
     rnd = random.Random(8)
     terms = ["abcab", "bcabca", "caabb"]

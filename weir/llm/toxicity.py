@@ -4,8 +4,10 @@ A lexicon of terms and stems (open at the end) stands in a trie. The Levenshtein
 automaton of a word's distance from a term is run over the trie: a state of the
 intersection is the set of (trie node, edits so far) that the characters read can
 lead to, made when it is first met and kept in a transition table; a word that no
-term is near falls into the empty state after a few letters. Terms of five letters
-or more may be misspelled by one edit; stems may not.
+term is near falls into the empty state after a few letters. Terms and stems of five
+letters or more may be misspelled by one edit, and so may a term that a stem begins,
+whatever follows it; what follows an open end is only read after a letter that fits.
+Two runs of letters with one digit or symbol between them are also read as one word.
 
 A hit's context decides what it counts for: hits inside quotation marks and hits
 outside, near misses, and how dense hits are within a window of words, are counted
@@ -26,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
-from .bpe import LETTER, Memo, code_points, distinct_words, kinds
+from .bpe import LETTER, SPACE, Memo, code_points, distinct_words, kinds
 from .quality import held_out, labelled_sample
 
 STEM = range(4, 7)
 WINDOW = 12
 EXACT, FUZZY = 2, 1
+#: Stands for a node: an open end was reached with an edit, and any letters may follow.
+PAST = -1
 
 
 @dataclass
@@ -51,7 +55,9 @@ class Matcher:
         self.term: dict[int, bool] = {}
         self.stem: dict[int, bool] = {}
         self.fuzzy: set[int] = set()
-        for word, ends in [*((t, self.term) for t in lexicon.terms), *((t, self.stem) for t in lexicon.stems)]:
+        self.near: set[int] = set()
+        self.open: set[int] = set()
+        for word, ends in [*((t, self.stem) for t in lexicon.stems), *((t, self.term) for t in lexicon.terms)]:
             node, path = 0, [0]
             for c in word:
                 node = self.children[node].setdefault(c, len(self.children))
@@ -59,8 +65,12 @@ class Matcher:
                     self.children.append({})
                 path.append(node)
             ends[node] = True
-            if ends is self.term and len(word) >= least:
+            if len(word) >= least:
                 self.fuzzy.update(path)
+                if ends is self.term:
+                    self.near.add(node)
+                if ends is self.stem or any(at in self.stem for at in path):
+                    self.open.add(node)
         self.innocent = set(lexicon.innocent)
         self.states: list[frozenset] = []
         self.known: dict[frozenset, int] = {}
@@ -84,15 +94,20 @@ class Matcher:
             self.states.append(held)
             self.rest.append(any(not edits and node in self.stem for node, edits in held))
             exact = any(not edits and node in self.term for node, edits in held)
-            self.verdicts.append(EXACT if exact else FUZZY if any(node in self.term and node in self.fuzzy for node, _ in held) else 0)
+            self.verdicts.append(EXACT if exact else FUZZY if any(node == PAST or node in self.near for node, _ in held) else 0)
         return k
 
     def _step(self, state: int, c: str) -> int:
         out = set()
         for node, edits in self.states[state]:
+            if node == PAST:
+                out.add((PAST, 1))
+                continue
             child = self.children[node].get(c)
             if child is not None and (not edits or child in self.fuzzy):
                 out.add((child, edits))
+                if edits and child in self.open:
+                    out.add((PAST, 1))
             if not edits and node in self.fuzzy:
                 out.add((node, 1))  # a letter too many
                 out.update((x, 1) for x in self.children[node].values() if x in self.fuzzy)  # another letter
@@ -103,7 +118,7 @@ class Matcher:
         return k
 
     def match(self, word: str) -> int:
-        """EXACT for a term or a word that begins with a stem, FUZZY for one edit from a term, else 0."""
+        """EXACT for a term or a word that begins with a stem, FUZZY for one edit from either, else 0."""
         state, steps = self.start, self.steps
         for c in word:
             then = steps.get((state, c))
@@ -130,6 +145,27 @@ def letter_runs(points: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.n
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def joined(points: np.ndarray, start: np.ndarray, end: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The numbers of the words that one character other than white space parts from the next word of the same text."""
+    k = np.flatnonzero(start[1:] - end[:-1] == 1)
+    k = k[kinds()[points[end[k]]] != SPACE]
+    return k[np.searchsorted(heads, start[k], side="right") == np.searchsorted(heads, start[k + 1], side="right")]
+
+
+def _verdicts(whole: str, points: np.ndarray, start: np.ndarray, end: np.ndarray, matcher: Matcher, memo: Memo) -> np.ndarray:
+    """The verdict of each span; each distinct word is matched once."""
+    first, inverse = distinct_words(points, start, end)
+    out = np.empty(len(first), np.int8)
+    for k, (a, b) in enumerate(zip(start[first].tolist(), end[first].tolist(), strict=True)):
+        word = whole[a:b]
+        held = memo.get(word)
+        if held is None:
+            held = matcher.match(word)
+            memo.put(word, held)
+        out[k] = held
+    return out[inverse]
+
+
 def features(texts: list[str], matcher: Matcher, memo: Memo) -> np.ndarray:
     """A row a text: log counts of hits outside and inside quotation marks and of near misses, their density, the densest window."""
     low = [t.lower() for t in texts]
@@ -142,16 +178,11 @@ def features(texts: list[str], matcher: Matcher, memo: Memo) -> np.ndarray:
     start, end = letter_runs(points, heads[:-1])
     if not len(start):
         return out
-    first, inverse = distinct_words(points, start, end)
-    verdicts = np.empty(len(first), np.int8)
-    for k, (a, b) in enumerate(zip(start[first].tolist(), end[first].tolist(), strict=True)):
-        word = whole[a:b]
-        held = memo.get(word)
-        if held is None:
-            held = matcher.match(word)
-            memo.put(word, held)
-        verdicts[k] = held
-    found = verdicts[inverse]
+    found = _verdicts(whole, points, start, end, matcher, memo)
+    pair = joined(points, start, end, heads[:-1])
+    pair = pair[(found[pair] == 0) & (found[pair + 1] == 0)]
+    if len(pair):
+        found[pair] = _verdicts(whole, points, start[pair], end[pair + 1], matcher, memo)
     hits = np.flatnonzero(found)
     marks = np.flatnonzero(points == 0x22)
     owner = np.searchsorted(heads, start[hits], side="right") - 1
@@ -208,6 +239,17 @@ def units(text: str) -> set[str]:
     return words | {w[:n] + "-" for w in words for n in STEM if len(w) > n}
 
 
+def pairs(text: str) -> set[str]:
+    """Two words of a text that one character other than white space parts, with it."""
+    low = text.lower()
+    points = code_points(low)
+    if not len(points):
+        return set()
+    start, end = letter_runs(points, np.zeros(1, int))
+    pair = joined(points, start, end, np.zeros(1, int))
+    return {low[a:b] for a, b in zip(start[pair].tolist(), end[pair + 1].tolist(), strict=True)}
+
+
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each unit with the words that stand before it, once a slice."""
     for part in shared.sliced(batches, "text"):
@@ -242,7 +284,12 @@ def one_edit(word: str, term: str) -> bool:
 
 
 def choose(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int, *, least: int, odds: float, most: int) -> Lexicon:
-    """Units that stand in toxic texts (at ``pos`` places) far more often than in clean ones (``neg`` texts); a stem replaces the longer units that it begins."""
+    """Units that stand in toxic texts (at ``pos`` places) far more often than in clean ones (``neg`` texts).
+
+    A stem replaces the longer stems that it begins; the whole words that it begins
+    stay beside it, so that they can be misspelt, and don't count towards ``most``.
+    """
+
     def ratio(u: str) -> float:
         return float(np.log((pos[u] + 0.5) / (n_pos + 1)) - np.log((neg.get(u, 0) + 0.5) / (n_neg + 1)))
 
@@ -254,8 +301,9 @@ def choose(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int, *,
     for u in sorted((u for u in good if u.endswith("-") and u not in single), key=lambda u: (len(u), -pos[u], u)):
         if not any(u.startswith(s) for s in stems):
             stems.append(u[:-1])
+    under = [u for u in good if u in whole and any(u.startswith(s) for s in stems)]
     terms = [u for u in good if u in whole and not any(u.startswith(s) for s in stems)]
-    return Lexicon(sorted(terms[:most]), sorted(stems[:most]))
+    return Lexicon(sorted(terms[:most] + under), sorted(stems[:most]))
 
 
 def fit(
@@ -284,12 +332,12 @@ def fit(
 
 
 def _near(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
-    """Words of clean texts that are one edit from a term."""
+    """Words and pairs of words of clean texts that are one edit from a term or stem."""
     matcher = Matcher(lexicon)
     for part in shared.sliced(batches, "text"):
         count: Counter[str] = Counter()
         for text in shared.strings(part.column("text")).to_pylist():
-            count.update(w for w in units(text) if not w.endswith("-") and matcher.match(w) == FUZZY)
+            count.update(w for w in units(text) | pairs(text) if not w.endswith("-") and matcher.match(w) == FUZZY)
         yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["unit", "n"])
 
 
