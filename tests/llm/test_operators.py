@@ -360,6 +360,21 @@ def test_line_dedup_finds_longest_copies(spark):
         line_dedup.without_copied_lines(spark.createDataFrame(rows, SCHEMA), min_lines=3)
 
 
+def test_rows_of_a_repeated_id_are_deduplicated(spark):
+    block, other = "\n".join(f"line {k} of it" for k in range(9)), "a b c d e f g h"
+    rows = [(3, block, "", "", 1), (3, block, "", "", 1), (4, "x\n" + block, "", "", 1), (7, other, "", "", 1), (7, other, "", "", 1), (7, "q r s t u v w", "", "", 1), (8, other, "", "", 1), (None, block, "", "", 1), (None, block, "", "", 1), (3, None, "", "", 1), (9, "", "", "", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = line_dedup.without_copied_lines(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_removed", "longest_copy"]
+    got = sorted((r.doc_id or 0, r.text or "", r.n_removed) for r in out.collect())
+    assert got == [(0, block, 0), (0, block, 0), (3, "", 0), (3, "", 9), (3, block, 0), (4, "x", 9), (7, other, 0), (7, other, 0), (7, "q r s t u v w", 0), (8, other, 0), (9, "", 0)]
+    left = near_dups.without_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, block), (0, block), (3, ""), (3, block), (7, other), (7, "q r s t u v w"), (9, "")]
+    rows = [(5, "a b c d e f g h", "", "", 1), (6, "a b c d e f g h", "", "", 1), (6, "i j k l m n o p", "", "", 1)]
+    assert sorted((r.doc_id, r.text[0]) for r in near_dups.without_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()) == [(5, "a"), (6, "i")]
+
+
 def test_line_dedup_is_native(docs):
     plan = line_dedup.without_copied_lines(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -41,11 +41,10 @@ def _classes(rows: DataFrame) -> DataFrame:
 def copied_lines(docs: DataFrame, min_lines: int, long_line: int) -> tuple[DataFrame, DataFrame]:
     """(``doc_id``, ``at`` of each line in a later copy; ``doc_id``, ``longest``: the largest 2**k for which a class of level k has a later copy there)."""
     plain = docs.where("doc_id is not null and text is not null")
-    twice = plain.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     full = F.filter(F.split("text", "\n"), lambda x: ~x.rlike(BLANK))
     line = plain.select("doc_id", F.posexplode(full).alias("at", "line"))
     rows = line.select("doc_id", "at", *_ids("line"), (F.length("line") >= long_line).alias("long"))
-    rows = shared.keep(rows.join(twice, "doc_id", "left_anti"), "lines")
+    rows = shared.keep(rows, "lines")
     level = shared.keep(_classes(rows), "lines")
     later = level.where("later")
     found = [(later if min_lines == 1 else later.where("long")).select("doc_id", "at", F.lit(1).alias("n"))]
@@ -99,19 +98,22 @@ def without_copied_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
 
     Blank lines neither make nor break a run. Null text stays null, with 0 lines;
     empty text stays empty. A null id: the row stays as it is and matches nothing.
-    Rows that share an id stay as they are and match nothing.
+    Rows that share an id are texts of their own, in the order of their texts' hashes.
     """
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError("min_lines must be a power of two")
-    plain = shared.texts(docs, id_col, text_col)
+    columns, row = docs.columns, id_col
+    if shared.repeated(docs, id_col):
+        docs, row = shared.numbered(docs, id_col, text_col), "_weir_row"
+    plain = shared.texts(docs, row, text_col)
     covered, longest = copied_lines(plain, min_lines, long_line)
     found = _runs(covered).join(longest, "doc_id")
     found = found.select(F.col("doc_id").alias("_weir_id"), F.col("runs").alias("_weir_runs"), F.col("n_removed").alias("_weir_removed"), F.col("longest").alias("_weir_longest"))
-    out = docs.join(found.hint("merge"), docs[id_col].cast("long") == found["_weir_id"], "left")
+    out = docs.join(found.hint("merge"), docs[row].cast("long") == found["_weir_id"], "left")
     text = kept_text(out[text_col].cast("string"), out["_weir_runs"])
     lines = F.size(F.filter(F.split(out[text_col].cast("string"), "\n"), lambda x: ~x.rlike(BLANK)))
-    added = {text_col: text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    columns = [added[c].alias(c) if c in added else docs[c] for c in docs.columns]
+    added = {text_col: text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in columns else {})
+    columns = [added[c].alias(c) if c in added else docs[c] for c in columns]
     return out.select(
         *columns,
         F.when(out[text_col].isNull(), 0).otherwise(lines).cast("long").alias("n_lines"),

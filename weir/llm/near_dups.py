@@ -193,13 +193,17 @@ def near_duplicates(
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``near_duplicates`` keeps.
 
-    Rows with a null id stay.
+    Rows with a null id stay. Rows that share an id are texts of their own: of copies
+    one row stays.
     """
-    gone = near_duplicates(docs, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias("_weir_id")).distinct()
-    return docs.join(gone.hint("merge"), docs[id_col].cast("long") == gone["_weir_id"], "left_anti")
+    columns, row = docs.columns, id_col
+    if shared.repeated(docs, id_col):
+        docs, row = shared.numbered(docs, id_col, text_col), "_weir_row"
+    gone = near_duplicates(docs, id_col=row, text_col=text_col, **options).where("not kept").select(F.col("doc_id").alias("_weir_id")).distinct()
+    return docs.join(gone.hint("merge"), docs[row].cast("long") == gone["_weir_id"], "left_anti").select(*(docs[c] for c in columns))
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

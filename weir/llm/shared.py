@@ -137,6 +137,19 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def repeated(docs: DataFrame, id_col: str) -> bool:
+    """Whether rows share an id that isn't null."""
+    ids = docs.select(docs[id_col].cast("long").alias("doc_id")).where("doc_id is not null")
+    return not ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` written once, with ``_weir_row``: a number for each row that rises with id and text's hash; null for a null id."""
+    sort = {"_weir_a": docs[id_col].cast("long"), "_weir_b": F.xxhash64(docs[text_col].cast("string")), "_weir_c": F.monotonically_increasing_id()}
+    out = docs.withColumns(sort).orderBy(*sort).withColumn("_weir_row", F.monotonically_increasing_id())
+    return keep(out.withColumn("_weir_row", F.when(F.col("_weir_a").isNotNull(), F.col("_weir_row"))).drop(*sort), "rows")
+
+
 U64 = np.uint64
 _MASK = (1 << 64) - 1
 
