@@ -96,6 +96,13 @@ def test_near_duplicates_odd_rows(spark):
     assert near_dups.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_near_duplicates_of_an_id_with_and_without_text(spark):
+    text = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(3, text, "", "", 1), (3, None, "", "", 1), (3, "", "", "", 1), (3, " \n", "", "", 1), (5, text + " 1", "", "", 1), (5, None, "", "", 1), (6, None, "", "", 1)]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [(3, 0, 3, True)] * 3 + [(3, 22, 3, True), (5, 0, 5, True), (5, 23, 3, False), (6, 0, 6, True)]
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(40)]

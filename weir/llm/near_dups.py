@@ -125,14 +125,18 @@ def _confirm(batches: Iterator[pa.RecordBatch], width: int, n: int, num: int, de
     for part in shared.sliced(batches, "text"):
         values, at = sets_of(part.column("text"), width)
         least = minima(values, at, n)
-        for k, (row, unit_of, doc_id) in enumerate(zip(range(part.num_rows), zip(*(part.column(c).to_pylist() for c in ("cluster", "i", "j")), strict=True), part.column("doc_id").to_pylist(), strict=True)):
+        # a row without words, of an id that also has a text, has no minima and no links
+        full = np.cumsum(at[:-1] < at[1:]) - 1
+        for row, (unit_of, doc_id) in enumerate(zip(zip(*(part.column(c).to_pylist() for c in ("cluster", "i", "j")), strict=True), part.column("doc_id").to_pylist(), strict=True)):
+            if at[row] == at[row + 1]:
+                continue
             if unit_of != unit:
                 if len(ids) > 1:
                     yield done()
                 unit, ids, sets, known = unit_of, [], [], []
             ids.append(doc_id)
             sets.append(values[at[row] : at[row + 1]])
-            known.append(least[k])
+            known.append(least[full[row]])
     if len(ids) > 1:
         yield done()
 
