@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import shared
 
 NEVER = 1 << 60
-#: Words of more bytes are encoded one by one.
+#: Words of more bytes are encoded one by one, by the same walk: only how many words go through the tables at a time differs.
 SHORT = 48
 
 
@@ -306,13 +306,9 @@ class Memo:
         self.young[key] = value
 
 
-POINTS = shared.Spans(0x110000, 23)
-
-
 def distinct_words(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the first place of each distinct word, for each word the number of its like)."""
-    hashes = POINTS.of(POINTS.sums(points), start, end)
-    _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    _, first, inverse = np.unique(shared.span_hashes(points, start, end), return_index=True, return_inverse=True)
     return first, inverse
 
 

@@ -76,7 +76,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     heads = np.unique(heads[heads < len(data)])
     # the next line feed, but at most the end of the text itself
     ends = np.minimum(np.append(stop, len(data))[np.searchsorted(stop, heads)], at[np.searchsorted(at, heads, side="right")]) if len(heads) else heads
-    lines = shared._WORD.of(shared._WORD.sums(data), heads, ends) if len(heads) else np.zeros(0, U64)
+    lines = shared.span_hashes(data, heads, ends) if len(heads) else np.zeros(0, U64)
     line_at = np.searchsorted(heads, at)
     line_distinct, line_top = _distinct_share(lines, line_at)
     n_lines = np.diff(line_at)

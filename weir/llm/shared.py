@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a local one only where that is unset."""
+    """The folder that ``spark.checkpoint.dir`` names; a local one only for a local session where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="weir-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -35,48 +38,96 @@ def shared_dir(spark: SparkSession) -> str:
 class Kept:
     """A DataFrame written once to the shared folder and read again: its lineage is the table.
 
-    A lost executor then costs a re-read, not the iterations before.
+    A lost executor then costs a re-read, not the iterations before. A table that a
+    result still reads stays until ``clear`` or the driver's end; the others are dropped
+    by the operator that made them.
     """
 
+    live: list[Kept] = []
+
     def __init__(self, df: DataFrame, what: str):
         spark = df.sparkSession
+        if not Kept.live:
+            atexit.register(clear)
         self.path = f"{shared_dir(spark)}/weir-{what}-{uuid.uuid4().hex}"
         schema = df.schema
+        Kept.live.append(self)
         df.write.parquet(self.path)
         self.df = spark.read.schema(schema).parquet(self.path)
+        self.spark = spark
 
     def drop(self) -> None:
-        spark = self.df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if self in Kept.live:
+            Kept.live.remove(self)
+            jvm = self.spark.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(self.path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keep(df: DataFrame, what: str) -> DataFrame:
     return Kept(df, what).df
 
 
+def settled(make: Callable[[], DataFrame], what: str) -> Kept:
+    """``make()`` kept; the tables that were kept on the way to it are dropped."""
+    before = len(Kept.live)
+    out = Kept(make(), what)
+    for table_ in Kept.live[before:]:
+        if table_ is not out:
+            table_.drop()
+    return out
+
+
+def clear() -> None:
+    """Drops every table that is still kept: for when results have been read, and at the driver's end."""
+    for table_ in list(Kept.live):
+        try:
+            table_.drop()
+        except Exception:  # noqa: BLE001  the session has ended: the folder goes with it, or by its owner's rule
+            Kept.live.remove(table_) if table_ in Kept.live else None
+
+
+#: A key is heavy if it holds more than this share of all rows; so there are at most as many heavy keys.
+HEAVY = 4096
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, by: list[str]) -> DataFrame:
+    """``rows`` joined to ``groups`` (one row a key, with ``n``: how many rows have it) on ``keys``; ``n`` is dropped.
+
+    A heavy key's rows are dealt out by the hash of the columns ``by`` and meet copies of its group:
+    no task gets more than about ``total / HEAVY`` rows of one key. Only heavy keys are broadcast, of
+    which arithmetic allows ``HEAVY``.
+    """
+    least = max(1, total // HEAVY)
+    heavy = groups.where(F.col("n") > least).select(*keys, F.ceil(F.col("n") / least).cast("int").alias("_parts"))
+    salt = F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1))).cast("int")
+    left = rows.join(F.broadcast(heavy), keys, "left").withColumn("_salt", salt).drop("_parts")
+    right = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > least, F.ceil(F.col("n") / least).cast("int") - 1).otherwise(0)))).drop("n")
+    return left.join(right.hint("merge"), [*keys, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star.
 
     ``edges``: long columns ``a``, ``b``; loops, repeats and either direction are
     allowed, null ends are dropped. Returns ``node``, ``component`` (the smallest
     node reachable) for every node that has an edge to another. Every round is a
-    groupBy-min and an equi-join on node keys, so a hub's links are spread by
-    partial aggregation and by adaptive skew splitting; no adjacency list is
-    collected. Rounds go on until the links no longer change.
+    groupBy-min with partial aggregation and a join in which a hub's links are dealt
+    over many tasks (``spread_join``); no adjacency list is collected. Rounds go on
+    until the links no longer change.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     now = Kept(edges.where("a <> b").select(high.alias("a"), low.alias("b")).distinct(), "links")
-    mark = None
+    size, mark = now.df.count(), None
     for _ in range(max_rounds):
         both = now.df.unionByName(now.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.sum((F.col("b") > F.col("a")).cast("long")).alias("n")).where("n > 0").select("a", F.least("a", "m").alias("m"), "n")
+        large = spread_join(both.where("b > a"), least, ["a"], size, ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         large = Kept(large, "large")
-        least = large.df.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
-        small = large.df.join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.where("a <> b").unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b")))
+        least = large.df.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large.df, least, ["a"], large.df.count(), ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = small.where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
         then = Kept(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
         large.drop()
         now.drop()
@@ -84,7 +135,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         said = now.df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if said == mark:
             break
-        mark = said
+        size, mark = said[0], said
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     ends = now.df.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -122,11 +173,11 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             start = stop
 
 
-def by_slices(work: Callable[[pa.RecordBatch], pa.RecordBatch], text: str = "text") -> Callable:
+def by_slices(work: Callable[[pa.RecordBatch], pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Callable:
     """A ``mapInArrow`` function from one that turns a slice of rows into rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sliced(batches, text):
+        for part in sliced(batches, text, most):
             yield work(part)
 
     return run
@@ -163,45 +214,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
-class Spans:
-    """64-bit hashes of many spans of an array of small numbers, by prefix sums.
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """64-bit hashes of spans of an array of numbers below 2**21.
 
-    The hash of a span is a polynomial in an odd base modulo 2**64 over a random
-    value for each symbol; as the base has an inverse, the sum over a span is
-    freed of its position by one multiplication.
+    The hash is the sum of a mixed number for each (place in the span, value): no
+    polynomial, so that no pattern of values makes differences cancel out. The work
+    grows with the spans' lengths: for spans that hardly overlap.
     """
-
-    BASE = 0x9E3779B97F4A7C15 | 1
-
-    def __init__(self, symbols: int, seed: int):
-        rng = np.random.Generator(np.random.PCG64(seed))
-        self.values = rng.integers(1, 2**63, symbols, dtype=np.int64).astype(U64)
-        self.up = self.down = np.ones(1, U64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            back = pow(self.BASE, -1, 1 << 64)
-            for name, base in (("up", self.BASE), ("down", back)):
-                out = np.full(n, U64(base))
-                out[0] = 1
-                setattr(self, name, np.multiply.accumulate(out))
-
-    def sums(self, data: np.ndarray) -> np.ndarray:
-        self._powers(len(data) + 1)
-        out = np.zeros(len(data) + 1, U64)
-        np.cumsum(self.values[data] * self.up[: len(data)], out=out[1:])
-        return out
-
-    def of(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(U64))
+    size = end - start
+    out = np.zeros(len(size), U64)
+    full = np.flatnonzero(size > 0)
+    if len(full):
+        n = size[full]
+        ends = np.cumsum(n)
+        heads = ends - n
+        every = np.arange(ends[-1])
+        place = every - np.repeat(heads, n)
+        every += np.repeat(start[full] - heads, n)
+        key = (place << 21).view(U64)
+        key |= data[every].astype(U64)
+        key *= U64(seed | 1)
+        key ^= key >> U64(32)
+        key *= U64(0xD6E8FEB86659FD93)
+        key ^= key >> U64(29)
+        out[full] = np.add.reduceat(key, heads)
+    return mix(out + size.astype(U64))
 
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_WORD = Spans(256, 11)
 
 
 def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,7 +267,7 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Of each word with A-Z in lower case."""
-    return _WORD.of(_WORD.sums(_LOWER[data]), start, end)
+    return span_hashes(_LOWER[data], start, end)
 
 
 def shingles(words: np.ndarray, text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
