@@ -80,7 +80,7 @@ def groups(texts: dict[int, str], width: int, num: int, den: int) -> dict[int, i
     return {k: root(k) for k in texts}
 
 
-@pytest.mark.parametrize("block", [512, 4])
+@pytest.mark.parametrize("block", [512, 4, 1])
 def test_near_duplicates(docs, texts, block):
     want = groups(texts, 3, 85, 100)
     got = {r.doc_id: r for r in near_dups.near_duplicates(docs, words=3, similarity=(85, 100), block=block).collect()}
@@ -115,6 +115,61 @@ def test_components(spark):
     assert got == {k: v for k, v in of.items() if k not in alone}
 
 
+def twins() -> tuple[str, str]:
+    """Two words of 1024 letters whose polynomial hashes modulo 2**64 are equal for any base."""
+    bits = [0]
+    for _ in range(10):
+        bits += [1 - x for x in bits]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_words_with_equal_polynomials_are_told_apart(spark):
+    one, two = twins()
+    assert near_dups.sets_of(pa.array([f"{one} x y {two} x y"]), 3)[1].tolist() == [0, 4]
+    texts = {1: f"{one} {two} {one}", 2: f"{two} {one} {two}", 3: one * 2, 4: two * 2}
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts.values()]
+    assert bpe.Codec(path).encode(list(texts.values())) == [",".join(map(str, x)) for x in want]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts.values()]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.WordIds(path).ids(list(texts.values()))] == want
+    rows = spark.createDataFrame([(k, t, "", "", 1) for k, t in texts.items()], SCHEMA)
+    got = {r.doc_id: r for r in fingerprints.fingerprints(rows).collect()}
+    assert got[1].fingerprint != got[2].fingerprint and got[3].fingerprint != got[4].fingerprint
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.without_repeats(rows).collect()}
+    assert found == brute_repeats(texts, 400)
+    assert len(set(toxicity.units(f"{one} {two}"))) == 2 + 6
+
+
+def test_spans_are_hashed_by_their_symbols_alone():
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 4, 5000).astype(np.uint8)
+    start = rng.integers(0, 4900, 3000)
+    end = start + rng.integers(0, 9, 3000)
+    for of, first in ((shared.span_hashes, 0), (lambda *x: repeats.keys(repeats.words(x[0]), *x[1:])[0], 8)):
+        said = [data[a : b + first].tobytes() for a, b in zip(start, end, strict=True)]
+        hashes = of(data, start, end + first)
+        assert len(set(hashes.tolist())) == len(set(said)) == len(set(zip(said, hashes.tolist(), strict=True)))
+
+
+def test_spread_join_is_the_join(spark):
+    rows = spark.range(30_000).selectExpr("id", "if(id % 3 = 0, 7, id % 9000) as k").repartition(6)
+    groups = rows.groupBy("k").agg(near_dups.F.count("*").alias("n"), near_dups.F.min("id").alias("first")).where("n > 1")
+    got = shared.spread_join(rows, groups, ["k"], 30_000, ["id"])
+    want = rows.join(groups.drop("n"), "k")
+    assert sorted(map(tuple, got.select("k", "id", "first").collect())) == sorted(map(tuple, want.select("k", "id", "first").collect()))
+
+
+def test_kept_tables_are_dropped(spark):
+    import os
+
+    table = shared.settled(lambda: shared.keep(spark.range(3), "a").join(shared.keep(spark.range(5), "b"), "id"), "c")
+    others = [t.path for t in shared.Kept.live if t is not table]
+    assert table.df.count() == 3 and not any("weir-a-" in p or "weir-b-" in p for p in others)
+    shared.clear()
+    assert not shared.Kept.live and not os.path.exists(table.path.removeprefix("file://"))
+
+
 ODD = ["", " ", "'s", "it's'sfoo 're 'refoo", "a" * 50, "0" * 37, " " * 30, "x<|endoftext|>y", "<|startoftext|>A", "été É ẞ İ ΑΣ", "é 日本語​\x85\x1c", "\n\n a\n b  c \t", "²Ⅷ١", "=-" * 40]
 
 
@@ -265,7 +320,7 @@ def test_repeats(spark):
     texts |= {50: "a" * 1200, 51: "a" * 399, 52: passage, 53: passage, 54: "ab" * 500 + "c", 55: ""}
     want = brute_repeats(texts, 400)
     rows = spark.createDataFrame([(k, t, "", "", 1) for k, t in texts.items()], SCHEMA).repartition(4)
-    for options in ({}, {"bucket": 5, "shards": 2}, {"most": 3}):
+    for options in ({}, {"bucket": 5, "shards": 2}, {"most": 3}, {"most": 1, "bucket": 3}):
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.without_repeats(rows, **options).collect()}
         assert got == want, options
 
@@ -280,16 +335,18 @@ def test_merged_transforms(shards):
         heads = np.concatenate([[0], np.cumsum([len(t) for t in own])])
         text = np.concatenate(own)
         place, symbol, follow = repeats.suffix_rows(text, heads[:-1])
-        made.append((symbol, follow))
+        made.append((symbol, follow, place - heads[np.searchsorted(heads, place, side="right") - 1]))
         suffixes += [tuple(text[p : heads[np.searchsorted(heads, p, side="right")]].tolist()) for p in place]
     for depth in (1, 3, 8, 40):
-        order, block = repeats.merged_blocks(made, [len(own) for own in dealt], depth)
-        assert sorted(order.tolist()) == list(range(len(suffixes)))
+        order, block = repeats.merged_blocks(made, depth)
+        # the rows whose first symbols, without an end, stand twice or more: in order, a block for each prefix
+        count = Counter(x[:depth] for x in suffixes)
+        twice = {k for k, x in enumerate(suffixes) if 0 not in x[:depth] and count[x[:depth]] > 1}
+        assert len(order) == len(twice) and set(order.tolist()) == twice
         seen = [suffixes[k][:depth] for k in order]
         assert seen == sorted(seen)
         for k in range(1, len(seen)):
-            same = seen[k] == seen[k - 1] and len(seen[k]) == depth and 0 not in seen[k]
-            assert (block[k] == block[k - 1]) == same
+            assert (block[k] == block[k - 1]) == (seen[k] == seen[k - 1])
 
 
 def test_repeats_odd_rows(spark):

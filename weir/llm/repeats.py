@@ -19,23 +19,26 @@ on that all its strings hold are its core.
    are apart. In a bucket each shard of strings gets its BWT, and the BWTs are merged
    by refining their interleave: each pass walks the merged order and deals the rows
    out by the symbol before them, which sorts by one symbol more and parts the blocks
-   of rows with a common prefix. After ``WINDOW`` passes rows that share a block have
-   equal strings: the repeated intervals.
-
-A core that more than ``most`` ranges hold is no bucket's work: its strings are
-counted by their hashes instead, with partial aggregation.
-
-Scale: blocks are counted by key; a bucket is bounded by its number of strings, each
-of at most 2 * ``WINDOW`` symbols. Hashes have 96 bits (cores in step 1, which only
-selects, 64). Text is moved twice, to its document's ranges.
+   of rows with a common prefix. A row that is alone in its block is settled and
+   leaves the passes, with all that lead on from it. After ``WINDOW`` passes rows that
+   share a block have equal strings: the repeated intervals.
+
+A core that more than ``most`` ranges hold is too much for one bucket. Its ranges are
+parted by further symbols of context: the half of the starts that lie nearer to the
+core takes the bytes behind it into the core, the other half those before it. Then 2
+and 3 hold for the halves, with half the symbols and passes, and so on.
+
+Scale: blocks are counted by key with partial aggregation, and a key that holds a
+large share of the ranges meets its group in many tasks (``shared.spread_join``). A
+bucket is bounded by its number of strings, each of at most 2 * ``WINDOW`` symbols; a
+task has a fixed number of buckets. Hashes have 64 bits in step 1, which only selects, else 96. Text is moved twice, to its document's ranges.
 """
 
 from __future__ import annotations
 
 import functools
-import gc
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,21 +49,58 @@ from . import shared
 from .shared import U64
 
 WINDOW, GRAM = 128, 16
-_ONE, _TWO = shared.Spans(256, 41), shared.Spans(256, 43)
-#: An anchor is the least of (36 bits of hash, place); a slice has at most 2**28 bytes.
-_PLACE = U64((1 << 28) - 1)
+#: An anchor is the least of (33 bits of hash, place); no text has 2**31 bytes.
+_PLACE = U64((1 << 31) - 1)
+#: Buckets a task works off one after another, and the most tasks a job is dealt to: beyond, a task has more of them.
+BUCKETS_A_TASK, MOST_TASKS = 16, 100_000
+
+
+def words(data: np.ndarray) -> np.ndarray:
+    """The number that eight bytes in a row make, from each place on."""
+    if len(data) < 8:
+        return np.zeros(0, U64)
+    two = data[:-1].astype(np.uint16) | (data[1:].astype(np.uint16) << np.uint16(8))
+    four = two[:-2].astype(np.uint32) | (two[2:].astype(np.uint32) << np.uint32(16))
+    return four[:-4].astype(U64) | (four[4:].astype(U64) << U64(32))
 
 
-def owners(data: np.ndarray, at: np.ndarray, sums: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def keys(eight: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of a hash of each span of at least 8 bytes, as long and int: two chains over its words of eight bytes.
+
+    The last word may overlap the one before. Each step is a bijection of the word and of
+    the chain, so spans that differ in one word never have one hash; there is no polynomial.
+    """
+    one, two = (end - start).astype(U64), np.full(len(start), U64(0x243F6A8885A308D3))
+    size = int((end - start).max()) if len(start) else 0
+    for at in range(0, size, 8):
+        word = eight[np.minimum(start + at, end - 8)]
+        one ^= word
+        one *= U64(0x9E3779B97F4A7C15)
+        one ^= one >> U64(32)
+        two ^= word
+        two *= U64(0xD6E8FEB86659FD93)
+        two ^= two >> U64(29)
+    return shared.mix(one).view(np.int64), (shared.mix(two) >> U64(32)).astype(np.uint32).view(np.int32)
+
+
+def grams(eight: np.ndarray) -> np.ndarray:
+    """A number for each ``GRAM`` (16) bytes in a row, whose high bits depend on all of them."""
+    out = eight[:-8] * U64(0x9E3779B97F4A7C15)
+    out += eight[8:] * U64(0xC4CEB9FE1A85EC53)
+    out ^= out >> U64(29)
+    out *= U64(0xD6E8FEB86659FD93)
+    return out
+
+
+def owners(eight: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ranges of starts with one anchor: (anchor, first start, starts, text's number)."""
     none = np.zeros(0, np.int64)
-    n = len(data) - GRAM + 1
+    n = int(at[-1]) - GRAM + 1
     if n < WINDOW:
         return none, none, none, none
-    if n > int(_PLACE):
-        raise ValueError("a text of more than 2**28 bytes")
-    place = np.arange(n)
-    least = (_ONE.of(sums, place, place + GRAM) & ~_PLACE) | place.astype(U64)
+    least = grams(eight)
+    least &= ~_PLACE
+    least |= np.arange(n, dtype=U64)
     span = 1
     while 2 * span <= WINDOW:
         least = np.minimum(least[:-span], least[span:])
@@ -68,9 +108,9 @@ def owners(data: np.ndarray, at: np.ndarray, sums: np.ndarray, length: int) -> t
     if span < WINDOW:
         more = WINDOW - span
         least = np.minimum(least[:-more], least[more:])
-    anchor = (least & _PLACE).astype(np.int64)
+    anchor = (least & _PLACE).view(np.int64)
     # starts whose whole string lies in its text
-    good = np.zeros(len(data) + 1, np.int64)
+    good = np.zeros(int(at[-1]) + 1, np.int32)
     whole = np.flatnonzero(np.diff(at) >= length)
     good[at[:-1][whole]] += 1
     good[at[1:][whole] - length + 1] -= 1
@@ -80,7 +120,7 @@ def owners(data: np.ndarray, at: np.ndarray, sums: np.ndarray, length: int) -> t
     own = anchor[start]
     new = np.concatenate([[True], (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1)])
     # texts of exactly `length` bytes in a row have neighbouring starts but are apart
-    head = np.zeros(len(data) + 1, bool)
+    head = np.zeros(int(at[-1]) + 1, bool)
     head[at[:-1]] = True
     new |= head[start]
     first = np.flatnonzero(new)
@@ -88,43 +128,71 @@ def owners(data: np.ndarray, at: np.ndarray, sums: np.ndarray, length: int) -> t
     return own[first], start[first], count, np.searchsorted(at, start[first], side="right") - 1
 
 
-def _key(one: np.ndarray, two: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _ONE.of(one, a, b).view(np.int64), (_TWO.of(two, a, b) >> U64(33)).astype(np.int32)
+def _cores(part: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    """The core of each range of step 1."""
+    data, at = shared.flat(part.column("text"))
+    eight = words(data)
+    anchor = owners(eight, at, length)[0]
+    return pa.RecordBatch.from_arrays([pa.array(keys(eight, anchor, anchor + length - WINDOW + 1)[0])], ["core"])
 
 
 def _anchors(part: pa.RecordBatch, length: int) -> pa.RecordBatch:
     data, at = shared.flat(part.column("text"))
-    one, two = _ONE.sums(data), _TWO.sums(data)
-    anchor, start, count, text = owners(data, at, one, length)
-    core = _ONE.of(one, anchor, anchor + length - WINDOW + 1)
-    ua, ub = _key(one, two, start, start + count - 1 + length)
-    columns = [part.column("row").take(pa.array(text)), pa.array(start - at[text], pa.int32()), pa.array(count, pa.int32()), pa.array(anchor - start, pa.int32()), pa.array(core.view(np.int64)), pa.array(ua), pa.array(ub)]
+    eight = words(data)
+    anchor, start, count, text = owners(eight, at, length)
+    core = keys(eight, anchor, anchor + length - WINDOW + 1)[0]
+    ua, ub = keys(eight, start, start + count - 1 + length)
+    columns = [part.column("row").take(pa.array(text)), pa.array(start - at[text], pa.int32()), pa.array(count, pa.int32()), pa.array(anchor - start, pa.int32()), pa.array(core), pa.array(ua), pa.array(ub)]
     return pa.RecordBatch.from_arrays(columns, ["row", "start", "n", "back", "core", "ua", "ub"])
 
 
+#: A range of starts: their strings begin ``low`` to ``high`` bytes before the anchor, which is ``back`` behind the first one.
+RANGE = ["start", "n", "back", "low", "high", "open"]
+
+
 def _ranges(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """(text's number, start, n, back, open) of the ranges of each text."""
+    """(text's number, then the columns of ``RANGE``) of the ranges of each text."""
     ranges = part.column("ranges")
     counts = np.diff(np.array(ranges.offsets))
     flat = ranges.flatten()
-    start, n, back = (np.array(flat.field(c), np.int64) for c in ("start", "n", "back"))
-    return np.repeat(np.arange(part.num_rows), counts), start, n, back, np.array(flat.field("open").to_pylist(), bool)
+    return np.repeat(np.arange(part.num_rows), counts), *(np.array(flat.field(c), np.int64) for c in RANGE)
 
 
 def _pieces(part: pa.RecordBatch, length: int) -> pa.RecordBatch:
     """A row for each range: its core's hash and the bytes before and behind it."""
     data, at = shared.flat(part.column("text"))
-    one, two = _ONE.sums(data), _TWO.sums(data)
-    text, start, n, back, open_ = _ranges(part)
+    eight = words(data)
+    text, start, n, back, low, high, open_ = _ranges(part)
     first = at[text] + start
-    core = first + back
-    after = core + length - WINDOW + 1
-    a, b = _key(one, two, core, after)
-    raw = data.tobytes()
-    left = [raw[x:y] for x, y in zip(first.tolist(), core.tolist(), strict=True)]
-    right = [raw[x:y] for x, y in zip(after.tolist(), (first + n - 1 + length).tolist(), strict=True)]
-    columns = [part.column("row").take(pa.array(text)), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(open_), pa.array(a), pa.array(b), pa.array(left, pa.binary()), pa.array(right, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["row", "start", "n", "open", "a", "b", "left_", "right_"])
+    core, after = first + back - low, first + back + length - high
+    a, b = keys(eight, core, after)
+
+    def cut(x: np.ndarray, y: np.ndarray) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(y - x)])
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(data[np.arange(ends[-1]) + np.repeat(x - ends[:-1], y - x)])]).cast(pa.binary())
+
+    columns = [part.column("row").take(pa.array(text)), *(pa.array(c, pa.int32()) for c in (start, n, low, high)), pa.array(open_ > 0), pa.array(a), pa.array(b), cut(first, core), cut(after, first + n - 1 + length)]
+    return pa.RecordBatch.from_arrays(columns, ["row", "start", "n", "low", "high", "open", "a", "b", "left_", "right_"])
+
+
+def _halves(part: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    """The ranges with their starts parted by half the distances from the anchor, and the larger cores of either half."""
+    data, at = shared.flat(part.column("text"))
+    eight = words(data)
+    text, start, n, back, low, high, open_ = (np.concatenate([x, x]) for x in _ranges(part))
+    far = np.arange(len(text)) >= len(text) // 2
+    mid = (low + high) // 2
+    low, high = np.where(far, mid + 1, low), np.where(far, high, mid)
+    # the starts at distances from high down to low
+    first, last = np.maximum(back - high, 0), np.minimum(back - low, n - 1)
+    some = first <= last
+    text, low, high, open_ = text[some], low[some], high[some], open_[some]
+    start, back, n = (start + first)[some], (back - first)[some], (last - first + 1)[some]
+    begin = at[text] + start
+    core = keys(eight, begin + back - low, begin + back + length - high)[0].view(U64) + low.astype(U64)
+    ua, ub = keys(eight, begin, begin + n - 1 + length)
+    columns = [part.column("row").take(pa.array(text)), *(pa.array(c, pa.int32()) for c in (start, n, back, low, high)), pa.array(open_ > 0), pa.array(core.view(np.int64)), pa.array(ua), pa.array(ub)]
+    return pa.RecordBatch.from_arrays(columns, ["row", *RANGE, "core", "ua", "ub"])
 
 
 def suffix_rows(text: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +209,7 @@ def suffix_rows(text: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.nda
     while True:
         ahead = np.minimum(np.arange(n) + span, n - 1)
         key = rank * (int(rank.max()) + 1) + rank[ahead]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.empty(n, np.int64)
         sorted_ = key[order]
         new[order] = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
@@ -157,113 +225,101 @@ def suffix_rows(text: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.nda
     return order, symbol, rank[before]
 
 
-def merged_blocks(shards: list[tuple[np.ndarray, np.ndarray]], strings: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merges BWTs by iterative interleave refinement: (rows in merged order, block of each).
+def merged_blocks(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merges BWTs by iterative interleave refinement: (rows of blocks of two or more in merged order, block of each).
 
-    ``shards``: (symbol before, row there) by row; ``strings``: how many each has. Rows
-    are numbered through all shards. After each pass the order is that of one symbol
-    more, ties by shard; rows are in one block while as many symbols are equal. A row
-    whose string has ended is a block of its own. Nothing is sorted anew: a pass deals
-    the rows out by symbol and keeps their order.
+    ``shards``: (symbol before, row there, place in its string) by row. Rows are numbered
+    through all shards. After each pass the order is that of one symbol more, ties by
+    shard; rows are in one block while as many symbols are equal. Nothing is sorted anew:
+    a pass deals the rows out by symbol and keeps their order. Only the rows go along that
+    lead to a place with ``depth`` symbols: they begin ``depth`` places behind it. A row
+    alone in its block leaves: so would all that a later pass finds by way of it.
     """
-    base = np.concatenate([[0], np.cumsum([len(s) for s, _ in shards])])
-    symbol = np.concatenate([s for s, _ in shards]).astype(np.uint16)
-    follow = np.concatenate([f + b for (_, f), b in zip(shards, base, strict=False)]).astype(np.int32)
-    ends = np.concatenate([np.arange(m) + b for m, b in zip(strings, base, strict=False)]).astype(np.int32)
-    order, block = np.arange(base[-1], dtype=np.int32), np.zeros(base[-1], np.int32)
-    edge = np.empty(len(order), bool)
+    base = np.concatenate([[0], np.cumsum([len(s[0]) for s in shards])])
+    symbol = np.concatenate([s[0] for s in shards]).astype(np.uint16)
+    follow = np.concatenate([s[1] + b for s, b in zip(shards, base, strict=False)]).astype(np.int32)
+    order = np.flatnonzero(np.concatenate([s[2] for s in shards]) >= depth).astype(np.int32)
+    block = np.zeros(len(order), np.int32)
     for _ in range(depth):
         met = symbol[order]
-        to = np.argsort(met, kind="stable")[len(ends) :]
-        met = met[to]
-        was = block[to]
-        order = np.concatenate([ends, follow[order[to]]])
-        edge[: len(ends) + 1] = True
-        edge[len(ends) + 1 :] = (met[1:] != met[:-1]) | (was[1:] != was[:-1])
-        block = np.cumsum(edge, dtype=np.int32)
-        if edge.all():
+        to = np.argsort(met, kind="stable")
+        met, was = met[to], block[to]
+        edge = np.ones(len(to) + 1, bool)
+        edge[1:-1] = (met[1:] != met[:-1]) | (was[1:] != was[:-1])
+        stay = ~(edge[:-1] & edge[1:])
+        order, block = follow[order[to[stay]]], np.cumsum(edge[:-1], dtype=np.int32)[stay]
+        if not len(order):
             break
     return order, block
 
 
-def repeated_starts(left: list[bytes], right: list[bytes], cores: list[tuple], counts: list[int], shards: int) -> list[np.ndarray]:
-    """For each range of a bucket, which of its starts have a string that stands elsewhere too."""
-    number: dict[tuple, int] = {}
-    parts: list[list[np.ndarray]] = [[] for _ in range(shards)]
-    own: list[list[int]] = [[] for _ in range(shards)]
-    for k, (a, b, core) in enumerate(zip(left, right, cores, strict=True)):
-        text = np.empty(len(a) + len(b) + 2, np.uint16)
-        text[: len(a)] = np.frombuffer(a, np.uint8)
-        text[len(a) + 1 : -1] = np.frombuffer(b, np.uint8)
-        text += 1
-        text[len(a)] = 257 + number.setdefault(core, len(number))
-        text[-1] = 0
-        parts[k % shards].append(text)
-        own[k % shards].append(k)
-    made, places, heads_of, strings = [], [], [], []
-    for texts in parts:
-        if texts:
-            heads = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-            place, symbol, follow = suffix_rows(np.concatenate(texts), heads[:-1])
-            made.append((symbol, follow))
-            places.append(place)
-            heads_of.append(heads)
-            strings.append(len(texts))
-    order, block = merged_blocks(made, strings, WINDOW)
-    twice = np.bincount(block)[block] > 1
-    again = np.zeros(len(order), bool)
-    again[order[twice]] = True
-    out: list[np.ndarray] = [np.zeros(0, bool)] * len(left)
-    base = 0
-    for place, heads, mine in zip(places, heads_of, (o for o in own if o), strict=True):
-        here = np.zeros(len(place), bool)
-        here[place] = again[base : base + len(place)]
-        base += len(place)
-        for head, k in zip(heads[:-1].tolist(), mine, strict=True):
-            out[k] = here[head : head + counts[k]]
-    return out
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes, how many each value has)."""
+    column = column.cast(pa.large_binary())
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, np.int64, len(column) + 1, column.offset * 8)
+    return np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]], np.diff(at)
+
+
+def repeated_starts(rows: pa.RecordBatch, depth: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(range, start within it) of the strings of a bucket's open ranges that stand elsewhere too; ``depth`` symbols each."""
+    left, n_left = _bytes(rows.column("left_"))
+    right, n_right = _bytes(rows.column("right_"))
+    counts = np.array(rows.column("n"), np.int64)
+    pair = np.array(rows.column("a"), np.int64), np.array(rows.column("b"), np.int64)
+    _, number = np.unique(np.rec.fromarrays(pair), return_inverse=True)
+    made, owners_, places = [], [], []
+    sizes = n_left + n_right + 2
+    from_left, from_right = np.cumsum(n_left) - n_left, np.cumsum(n_right) - n_right
+    for shard in range(min(shards, len(counts))):
+        own = np.arange(shard, len(counts), shards)
+        heads = np.concatenate([[0], np.cumsum(sizes[own])])
+        text = np.zeros(heads[-1], np.uint16)
+        for data, starts, n, to in ((left, from_left[own], n_left[own], heads[:-1]), (right, from_right[own], n_right[own], heads[:-1] + n_left[own] + 1)):
+            every = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            text[every + np.repeat(to, n)] = data[every + np.repeat(starts, n)].astype(np.uint16) + np.uint16(1)
+        text[heads[:-1] + n_left[own]] = 257 + number[own]
+        place, symbol, follow = suffix_rows(text, heads[:-1])
+        owner = np.repeat(np.arange(len(own)), sizes[own])[place]
+        owners_.append(own[owner])
+        places.append(place - heads[owner])
+        made.append((symbol, follow, places[-1]))
+    order, _ = merged_blocks(made, depth)
+    owner, place = np.concatenate(owners_)[order], np.concatenate(places)[order]
+    good = (place < counts[owner]) & np.array(rows.column("open"))[owner]
+    owner, place = owner[good], place[good]
+    by = np.lexsort((place, owner))
+    return owner[by], place[by]
 
 
 def _settled(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     """Rows come bucket by bucket; a bucket may go on in the next batch."""
-    bucket, rows = None, []
+    held: list[pa.RecordBatch] = []
+    unit: tuple | None = None
 
     def done() -> pa.RecordBatch:
-        found = repeated_starts([r["left_"] for r in rows], [r["right_"] for r in rows], [(r["a"], r["b"]) for r in rows], [r["n"] for r in rows], shards)
-        names, starts, counts = [], [], []
-        for r, again in zip(rows, found, strict=True):
-            if r["open"] and again.any():
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], again, [0]])))
-                for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                    names.append(r["row"])
-                    starts.append(r["start"] + x)
-                    counts.append(y - x)
-        return pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array(starts, pa.int32()), pa.array(counts, pa.int32())], ["row", "start", "n"])
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        owner, place = repeated_starts(rows, unit[2] - unit[1] + 1, shards)
+        new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)])) if len(owner) else np.zeros(0, np.int64)
+        count, owner, place = np.diff(np.append(new, len(owner))), owner[new], place[new]
+        start = np.array(rows.column("start"), np.int64)[owner] + place
+        return pa.RecordBatch.from_arrays([rows.column("row").take(pa.array(owner)), pa.array(start, pa.int32()), pa.array(count, pa.int32())], ["row", "start", "n"])
 
     for batch in batches:
-        kind = batch.schema.field("row").type
-        for r in batch.to_pylist():
-            if r["bucket"] != bucket:
-                if len(rows) > 1:
+        key = np.stack([np.array(batch.column(c), np.int64) for c in ("bucket", "low", "high")])
+        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            if x == y:
+                continue
+            if unit != (now := tuple(key[:, x].tolist())):
+                if sum(b.num_rows for b in held) > 1:
                     yield done()
-                bucket, rows = r["bucket"], []
-            rows.append(r)
-    if len(rows) > 1:
+                unit, held = now, []
+            held.append(batch.slice(x, y - x))
+    if sum(b.num_rows for b in held) > 1:
         yield done()
 
 
-def _strings(part: pa.RecordBatch, length: int) -> pa.RecordBatch:
-    """A row for each string of the ranges of each text."""
-    data, at = shared.flat(part.column("text"))
-    one, two = _ONE.sums(data), _TWO.sums(data)
-    text, start, n, _, open_ = _ranges(part)
-    ends = np.cumsum(n)
-    every = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(start, n)
-    owner = np.repeat(text, n)
-    a, b = _key(one, two, at[owner] + every, at[owner] + every + length)
-    return pa.RecordBatch.from_arrays([part.column("row").take(pa.array(owner)), pa.array(every, pa.int32()), pa.array(np.repeat(open_, n)), pa.array(a), pa.array(b)], ["row", "start", "open", "a", "b"])
-
-
 def cut_out(text: bytes, starts: list[tuple[int, int]], length: int) -> tuple[bytes, list[tuple[int, int]]]:
     """(what is left, the maximal runs that go) for ranges (first start, number of starts)."""
     runs: list[tuple[int, int]] = []
@@ -291,13 +347,30 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, digests: bool) -> Itera
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string() if digests else pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digests else "kept"])
 
 
-def _freed(spark: SparkSession) -> None:
-    """Tables whose lineage has been cut let go of their shuffle files."""
-    gc.collect()
-    spark._jvm.System.gc()
+def _blocks(some: DataFrame, kept: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(open ranges that are equal to another one in all their bytes; one range of each block of equal ones that shares
+    its core with an undecided one, and how many blocks have the core: ``held``)."""
+    key = ["ua", "ub", "starts", "back"]
+    some = some.withColumnRenamed("n", "starts")
+    # min over structs of small rows keeps the first member of each block
+    first = F.min(F.struct("row", "start")).alias("first")
+    blocks = kept(some.groupBy(*key).agg(F.count("*").alias("n"), first, F.min("core").alias("core"), F.min("low").alias("low"), F.min("high").alias("high"), F.min("open").alias("was")), "blocks")
+    alike = blocks.where("n > 1").select(*key, "n")
+    whole = shared.spread_join(some.where("open"), alike, key, some.count(), ["row", "start"])
+    whole = kept(whole.select("row", "start", F.col("starts").alias("n")), "whole")
+    one = blocks.select(F.col("first.row").alias("row"), F.col("first.start").alias("start"), "starts", "back", "low", "high", "core", (F.col("was") & (F.col("n") == 1)).alias("open"))
+    cores = one.groupBy("core").agg(F.count("*").alias("n"), F.max("open").alias("undecided")).where("n > 1 and undecided").select("core", "n", F.col("n").alias("held"))
+    left = shared.spread_join(one, cores, ["core"], blocks.count(), ["row", "start"])
+    return whole, kept(left.select("row", "start", F.col("starts").alias("n"), "back", "low", "high", "open", "held"), "undecided")
+
 
+def _with_text(plain: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``row``, ``text``, ``ranges`` of the texts that have ranges."""
+    held = ranges.groupBy("row").agg(F.collect_list(F.struct(*RANGE)).alias("ranges"))
+    return plain.select("row", "text").join(held.hint("merge"), "row")
 
-def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, digests: bool = False, bucket: int = 8192, shards: int = 4, most: int = 32_768) -> DataFrame:
+
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, digests: bool = False, bucket: int = 1024, shards: int = 4, most: int = 8192) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and the ``kept`` bytes (or ``kept_sha256``) for each row.
 
     Texts are UTF-8 bytes. A byte goes if a string of ``length`` bytes that covers it
@@ -306,8 +379,8 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     runs. What is left need not be whole characters, hence bytes. Null text counts
     as empty. Each row is a text of its own, whatever its id: rows with the same or a
     null id are compared like others. Other columns are ignored. ``bucket``: how many
-    ranges a bucket holds about; ``most``: beyond how many ranges a core is settled by
-    hashes.
+    ranges a bucket holds about; ``most``: beyond how many ranges a core's starts are
+    parted by more context.
     """
     if length < WINDOW + GRAM:
         raise ValueError(f"length must be at least {WINDOW + GRAM}")
@@ -321,37 +394,39 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     else:
         plain = plain.withColumn("row", F.col("doc_id"))
         row = "long"
-    anchors = plain.select("row", "text").mapInArrow(shared.by_slices(functools.partial(_anchors, length=length)), f"row {row}, start int, n int, back int, core long, ua long, ub int")
-    shared_cores = anchors.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
-    some = shared.keep(anchors.join(shared_cores.hint("merge"), "core", "left_semi"), "anchors")
-    _freed(spark)
-    # depth 2; min over structs of small rows keeps the first member of each block
-    key = ["ua", "ub", "n", "back"]
-    blocks = some.groupBy(*key).agg(F.count("*").alias("c"), F.min(F.struct("row", "start")).alias("first"), F.min("core").alias("core"))
-    blocks = shared.keep(blocks, "blocks")
-    whole = some.join(blocks.where("c > 1").select(*key).hint("merge"), key, "left_semi").select("row", "start", "n")
-    whole = shared.keep(whole, "whole")
-    single = blocks.where("c = 1")
-    of = [F.col("first.row").alias("row"), F.col("first.start").alias("start"), "n", "back", "core"]
-    near = blocks.where("c > 1").join(single.select("core").distinct().hint("merge"), "core", "left_semi")
-    left = single.select(*of, F.lit(True).alias("open")).unionByName(near.select(*of, F.lit(False).alias("open")))
-    # a core that only one block of equal ranges holds has been settled by step 2
-    sizes = left.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core", (F.col("c") > most).alias("hot"))
-    left = shared.keep(left.join(sizes.hint("merge"), "core").drop("core"), "undecided")
+    made: list[shared.Kept] = []
+
+    def kept(df: DataFrame, what: str) -> DataFrame:
+        made.append(shared.Kept(df, what))
+        return made[-1].df
+
+    # slices whose arrays stay in a core's cache
+    by_slices = lambda of: shared.by_slices(functools.partial(of, length=length), most=1 << 18)
+    cores = plain.select("text").mapInArrow(by_slices(_cores), "core long").groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
+    cores = kept(cores, "cores")
+    anchors = plain.select("row", "text").mapInArrow(by_slices(_anchors), f"row {row}, start int, n int, back int, core long, ua long, ub int").withColumnRenamed("n", "starts")
+    total = cores.agg(F.sum("n")).first()[0] or 0
+    some = kept(shared.spread_join(anchors, cores, ["core"], total, ["row", "start"]).withColumnRenamed("starts", "n"), "anchors")
+    some = some.withColumns({"low": F.lit(0), "high": F.lit(WINDOW - 1), "open": F.lit(True)})
+    whole, small = [], []
+    while True:
+        alike, left = _blocks(some, kept)
+        whole.append(alike)
+        small.append(left.where(F.col("held") <= most))
+        hot = left.where(F.col("held") > most)
+        if hot.isEmpty():
+            break
+        some = kept(_with_text(plain, hot).mapInArrow(by_slices(_halves), f"row {row}, start int, n int, back int, low int, high int, open boolean, core long, ua long, ub int"), "halves")
+    left = functools.reduce(DataFrame.unionByName, small)
     buckets = max(1, -(-left.count() // bucket))
-    ranges = left.groupBy("row", "hot").agg(F.collect_list(F.struct("start", "n", "back", "open")).alias("ranges"))
-    text = plain.select("row", "text").join(ranges.hint("merge"), "row")
-    pieces = text.where("not hot").drop("hot").mapInArrow(shared.by_slices(functools.partial(_pieces, length=length)), f"row {row}, start int, n int, open boolean, a long, b int, left_ binary, right_ binary")
-    pieces = pieces.withColumn("bucket", F.pmod("a", F.lit(buckets))).repartition("bucket").sortWithinPartitions("bucket", "row", "start")
-    ends = shared.keep(pieces.mapInArrow(functools.partial(_settled, shards=shards), f"row {row}, start int, n int"), "ends")
-    if left.where("hot").limit(1).count():
-        strings = text.where("hot").drop("hot").mapInArrow(shared.by_slices(functools.partial(_strings, length=length)), f"row {row}, start int, open boolean, a long, b int")
-        strings = shared.keep(strings, "strings")
-        twins = strings.groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b")
-        more = strings.where("open").join(twins.hint("merge"), ["a", "b"], "left_semi").select("row", "start", F.lit(1).alias("n"))
-        ends = ends.unionByName(shared.keep(more, "ends"))
-    _freed(spark)
-    found = whole.unionByName(ends).groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+    tasks = min(max(-(-buckets // BUCKETS_A_TASK), min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))), MOST_TASKS)
+    pieces = _with_text(plain, left).mapInArrow(by_slices(_pieces), f"row {row}, start int, n int, low int, high int, open boolean, a long, b int, left_ binary, right_ binary")
+    pieces = pieces.withColumn("bucket", F.pmod("a", F.lit(buckets))).repartition(tasks, "bucket").sortWithinPartitions("bucket", "low", "high", "row", "start")
+    ends = pieces.mapInArrow(functools.partial(_settled, shards=shards), f"row {row}, start int, n int")
+    every = functools.reduce(DataFrame.unionByName, [*whole, ends])
+    found = shared.keep(every.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("ranges")), "found")
+    for table in made:
+        table.drop()
     out = plain.join(found.hint("merge"), "row", "left").select("doc_id", "text", "ranges")
     return out.mapInArrow(functools.partial(_cut, length=length, digests=digests), "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digests else "kept binary"))
 
