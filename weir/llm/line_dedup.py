@@ -12,7 +12,8 @@ at the others the common prefix is a later copy. The copies that overlap or touc
 in a document make its maximal repeated runs, and those are deleted.
 
 Scale: the rounds move ids and places, never text. Classes are counted with partial
-aggregation, so a line that stands in a third of all documents is one row a task.
+aggregation, so a line that stands in a third of all documents is one row a task; the
+positions of such a class meet its first one in many tasks (``shared.spread_join``).
 The text is moved once, at the end, to meet its document's runs.
 """
 
@@ -35,7 +36,8 @@ def _classes(rows: DataFrame) -> DataFrame:
     """Rows in classes of two or more, with ``later``: whether the class has a member before."""
     # (doc_id, at) of the first member
     groups = rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).where("n > 1")
-    return rows.join(groups.drop("n").hint("merge"), ["a", "b"]).withColumn("later", F.struct("doc_id", "at") != F.col("first")).drop("first")
+    met = shared.spread_join(rows, groups, ["a", "b"], rows.count(), ["doc_id", "at"])
+    return met.withColumn("later", F.struct("doc_id", "at") != F.col("first")).drop("first")
 
 
 def copied_lines(docs: DataFrame, min_lines: int, long_line: int) -> tuple[DataFrame, DataFrame]:
@@ -44,16 +46,20 @@ def copied_lines(docs: DataFrame, min_lines: int, long_line: int) -> tuple[DataF
     full = F.filter(F.split("text", "\n"), lambda x: ~x.rlike(BLANK))
     line = plain.select("doc_id", F.posexplode(full).alias("at", "line"))
     rows = line.select("doc_id", "at", *_ids("line"), (F.length("line") >= long_line).alias("long"))
-    rows = shared.keep(rows, "lines")
-    level = shared.keep(_classes(rows), "lines")
+    rows = shared.Kept(rows, "lines")
+    levels = [shared.Kept(_classes(rows.df), "lines")]
+    rows.drop()
+    level = levels[0].df
     later = level.where("later")
     found = [(later if min_lines == 1 else later.where("long")).select("doc_id", "at", F.lit(1).alias("n"))]
     span = 1
     while not level.isEmpty():
         ahead = Window.partitionBy("doc_id").orderBy("at").rangeBetween(span, span)
         pair = level.select("doc_id", "at", "a", "b", F.max("a").over(ahead).alias("a2"), F.max("b").over(ahead).alias("b2"))
-        pair = shared.keep(pair.where("a2 is not null").select("doc_id", "at", *_ids("a", "b", "a2", "b2")), "lines")
-        level = shared.keep(_classes(pair), "lines")
+        pair = shared.Kept(pair.where("a2 is not null").select("doc_id", "at", *_ids("a", "b", "a2", "b2")), "lines")
+        levels.append(shared.Kept(_classes(pair.df), "lines"))
+        pair.drop()
+        level = levels[-1].df
         span *= 2
         if span >= min_lines:
             found.append(level.where("later").select("doc_id", "at", F.lit(span).alias("n")))
@@ -62,6 +68,8 @@ def copied_lines(docs: DataFrame, min_lines: int, long_line: int) -> tuple[DataF
         every = every.unionByName(more)
     # a copy at a longer level covers what the shorter ones at its place do
     every = shared.keep(every.groupBy("doc_id", "at").agg(F.max("n").alias("n")), "copies")
+    for done in levels:
+        done.drop()
     covered = every.select("doc_id", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("at")).distinct()
     return covered, every.groupBy("doc_id").agg(F.max("n").alias("longest"))
 

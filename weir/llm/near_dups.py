@@ -9,10 +9,14 @@ Scale: a text with an equal set counts once (its smallest id stands for the
 class), so copies cost one row each. Band rows are grouped by key with partial
 aggregation and linked to the smallest id of the band only, which gives a few
 links a text however large a band is. The components of these raw links hold all
-candidates of a text; each is confirmed in blocks of at most ``block`` classes,
-and a large one by pairs of blocks, so that no task holds an unbounded group.
-A block task searches breadth first among those not yet reached and returns a
-spanning forest, never all pairs.
+candidates of a text. A small component is confirmed as one unit, a larger one in
+pairs of blocks; unlike texts may chain into one that has more blocks than there
+are bands: there a unit is a band's bucket (any two candidates share one), so a text
+is moved at most once a band. A bucket of more than a block's size is itself
+confirmed in pairs of blocks. Blocks are bounded by their number of classes and by
+their number of shingles, so that no task holds an unbounded group. A unit's task
+searches breadth first among those not yet reached and returns a spanning forest,
+never all pairs.
 """
 
 from __future__ import annotations
@@ -141,6 +145,39 @@ def _confirm(batches: Iterator[pa.RecordBatch], width: int, n: int, num: int, de
         yield done()
 
 
+#: A block holds about so many shingles at most, 32 MB of hashes.
+BLOCK_SHINGLES = 1 << 22
+
+
+def units(cluster: DataFrame, band: DataFrame, bands: int, block: int) -> DataFrame:
+    """``doc_id``, ``cluster``, ``i``, ``j``: the units in which the classes of each cluster are confirmed; any two that share a band meet in one.
+
+    ``cluster``: ``node``, ``component``; ``band``: ``doc_id``, ``n_shingles``, ``key``.
+    """
+    size = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+
+    def blocked(rows: DataFrame, total: int) -> DataFrame:
+        sizes = rows.groupBy("cluster").agg(size, F.count("*").alias("n"))
+        met = shared.spread_join(rows, sizes, ["cluster"], total, ["doc_id"])
+        return met.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+
+    mass = band.groupBy("doc_id").agg(F.min("n_shingles").alias("n_shingles"))
+    node = cluster.join(mass.hint("merge"), F.col("node") == F.col("doc_id")).select("doc_id", "n_shingles", F.col("component").alias("cluster"))
+    every = held = shared.keep(blocked(node, cluster.count()), "sized")
+    wide = held.where(F.col("blocks") > bands).select("doc_id")
+    if not wide.isEmpty():
+        # a bucket's number stands in for the cluster's; of buckets with the same members one is enough
+        key = shared.keep(band.join(wide.hint("merge"), "doc_id"), "wide")
+        bucket = key.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s")).where("c > 1")
+        first = bucket.groupBy("c", "s").agg(F.min("key").alias("key"), F.min("c").alias("n")).select("key", "n")
+        total = key.count()
+        again = shared.spread_join(key, first, ["key"], total, ["doc_id"]).select("doc_id", "n_shingles", F.col("key").alias("cluster"))
+        every = held.where(F.col("blocks") <= bands).unionByName(blocked(again, total))
+    paired = every.select("doc_id", "cluster", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "blocks")
+    # of more than two blocks each pair of different ones is a unit: it also holds the pairs within either
+    return paired.where("blocks = 1 or mine <> other").select("doc_id", "cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -150,7 +187,7 @@ def near_duplicates(
     similarity: tuple[int, int] = (80, 100),
     bands: int = BANDS,
     rows: int = ROWS,
-    block: int = 512,
+    block: int = 256,
 ) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for each row of ``docs``.
 
@@ -177,19 +214,17 @@ def near_duplicates(
     plain = signed.where("doc_id is not null and n_shingles > 0")
     classes = shared.keep(plain.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     own = plain.join(classes.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
-    band = own.select("doc_id", F.explode("keys").alias("key")).distinct()
-    hubs = band.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    raw = band.join(hubs, "key").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-    cluster = shared.keep(shared.components(raw), "clusters")
-    sized = cluster.join(cluster.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "component")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    member = sized.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), mine.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "blocks")
-    # of more than two blocks each pair of different ones is a unit: it also holds the pairs within either
-    member = member.where("blocks = 1 or own <> other").select("doc_id", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    band = shared.Kept(own.select("doc_id", "n_shingles", F.explode("keys").alias("key")).distinct(), "bands")
+    hubs = band.df.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    met = shared.spread_join(band.df, hubs, ["key"], band.df.count(), ["doc_id"])
+    cluster = shared.Kept(shared.components(met.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))), "clusters")
+    member = shared.settled(lambda: units(cluster.df, band.df, bands, block), "units")
     # by a shuffle at any size: the members grow with the input and must not be broadcast while they happen to be few
-    unit = both.where("doc_id is not null").join(member.hint("merge"), "doc_id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
+    unit = both.where("doc_id is not null").join(member.df.hint("merge"), "doc_id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
     links = unit.select("doc_id", "text", "cluster", "i", "j").mapInArrow(functools.partial(_confirm, width=words, n=bands * rows, num=num, den=den), "a long, b long")
     found = shared.keep(shared.components(links), "components")
+    for done in (band, cluster, member):
+        done.drop()
     rep = classes.join(found, classes["rep"] == found["node"], "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = signed.drop("keys").join(rep, ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
