@@ -7,15 +7,17 @@ Hamming distance. With radius r done in segments 0..s and r - 1 in the others,
 every code within 4 r + s has been met (else each segment would differ by more
 than its radius); a query ends when its kth verified distance is that small.
 
-Rows are dealt by id into shards of bounded size, queries into blocks; each
-(shard, block) pair is one task's work and returns k rows a query, which are then
-merged. That is a stated query set against all rows, in blocks.
+Rows are dealt by id into shards of bounded size. A task reads a shard's rows, builds
+its index once, and then streams the queries past it, a batch at a time: each query
+goes to every shard, no row goes to more than one. A shard returns k rows a query,
+which are then merged. That is a stated query set against all rows, in blocks.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,8 @@ class Index:
     def __init__(self, codes: np.ndarray, ids: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.codes, self.ids = codes[order], ids[order]
+        # the number of the last query that met the row
+        self.met, self.queries = np.zeros(len(codes), np.int64), 0
         self.rows, self.starts, self.values = [], [], []
         for s in range(SEGMENTS):
             part = self.segment(self.codes, s)
@@ -74,15 +78,15 @@ class Index:
     def nearest(self, code: np.uint64, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of the k nearest, ties to the smaller id."""
         k = min(k, len(self.codes))
-        seen = np.zeros(len(self.codes), bool)
+        self.queries += 1
         met, away = np.zeros(0, np.int64), np.zeros(0, np.int64)
         own = [int(self.segment(code, s)) for s in range(SEGMENTS)]
         for radius in range(BITS + 1):
             for s in range(SEGMENTS):
                 rows = self.probe(s, own[s], radius)
-                rows = rows[~seen[rows]]
+                rows = rows[self.met[rows] != self.queries]
                 if len(rows):
-                    seen[rows] = True
+                    self.met[rows] = self.queries
                     met = np.concatenate([met, rows])
                     away = np.concatenate([away, np.bitwise_count(self.codes[rows] ^ code).astype(np.int64)])
                 if len(met) >= k and np.partition(away, k - 1)[k - 1] <= SEGMENTS * radius + s:
@@ -94,33 +98,49 @@ class Index:
 OUT = "query_id long, id long, distance long"
 
 
-def _searched(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
-    out: list[list[np.ndarray]] = [[], [], []]
-    if queries.num_rows and rows.num_rows:
-        index = Index(rows.column("code").to_numpy().view(np.uint64), rows.column("id").to_numpy())
-        for query, code in zip(queries.column("query_id").to_pylist(), queries.column("code").to_numpy().view(np.uint64), strict=True):
-            ids, away = index.nearest(code, k)
-            for column, values in zip(out, (np.full(len(ids), query), ids, away), strict=True):
-                column.append(values)
-    return pa.table({name: pa.array(np.concatenate(c) if c else [], pa.int64()) for name, c in zip(("query_id", "id", "distance"), out, strict=True)})
-
-
-def top_k(queries: DataFrame, rows: DataFrame, k: int, *, shard_rows: int = 1 << 18, block: int = 4096) -> DataFrame:
+def _searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows come shard by shard, each shard's own rows before the queries."""
+    shard, index = None, None
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("shard", "query")])
+        ids, codes = (batch.column(c).to_numpy() for c in ("id", "code"))
+        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            if x == y:
+                continue
+            if key[0, x] != shard:
+                shard, index, held = key[0, x], None, []
+            if not key[1, x]:
+                held.append((codes[x:y].view(np.uint64), ids[x:y]))
+                continue
+            if index is None and held:
+                index, held = Index(*(np.concatenate(c) for c in zip(*held, strict=True))), []
+            if index is not None:
+                for query, code in zip(ids[x:y].tolist(), codes[x:y].view(np.uint64), strict=True):
+                    found, away = index.nearest(code, k)
+                    out.append((np.full(len(found), query), found, away))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "id", "distance"])
+
+
+def top_k(queries: DataFrame, rows: DataFrame, k: int, *, shard_rows: int = 1 << 18) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``id``, ``distance``: the k nearest rows of each query.
 
     Both have long columns ``id`` and ``code``; rows with a null in either are left
-    out. Order: distance, then id. Queries and rows that repeat an id are each
-    searched and found (a repeated query counts once). Fewer than k rows: all of
-    them. Other columns are ignored.
+    out. Order: distance, then id. Rows that repeat an id are each found; of queries
+    that share an id the one with the least code counts. Fewer than k rows: all of
+    them. Other columns are ignored. ``shard_rows``: how many rows a shard holds at most,
+    about; few rows are dealt to as many shards as there are shuffle partitions.
     """
     rows = rows.select(F.col("id").cast("long"), F.col("code").cast("long")).where("id is not null and code is not null")
-    queries = queries.select(F.col("id").cast("long").alias("query_id"), F.col("code").cast("long")).where("query_id is not null and code is not null").dropDuplicates(["query_id"])
-    shards = max(1, math.ceil(rows.count() / shard_rows))
-    n = queries.count()
-    blocks = max(1, math.ceil(n / block), min(8, n // 64))  # some blocks even for few queries, so that they run side by side
-    left = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(lambda a, b: _searched(a, b, k), OUT)
+    queries = queries.select(F.col("id").cast("long"), F.col("code").cast("long")).where("id is not null and code is not null").groupBy("id").agg(F.min("code").alias("code"))
+    n = rows.count()
+    shards = max(1, math.ceil(n / shard_rows), min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 16_384))
+    both = rows.select(F.pmod(F.xxhash64("id", "code"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("query"), "id", "code")
+    both = both.unionByName(queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("query"), "id", "code"))
+    found = both.repartition(shards, "shard").sortWithinPartitions("shard", "query", "id").mapInArrow(functools.partial(_searched, k=k), OUT)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
