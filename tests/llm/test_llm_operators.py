@@ -211,7 +211,7 @@ def test_encoded_rows(spark, docs, texts):
 def test_packing(spark, docs, texts):
     path = public_tokenizers.path("word_bpe_49k.json")
     tool = Tokenizer.from_file(path)
-    rows = packing.packed(docs, path, window=256, most_open=8).collect()
+    rows = packing.packed(docs, path, window=256).collect()
     for doc_id, text in texts.items():
         ids, at = [*tool.encode(text, add_special_tokens=False).ids, 1], 0
         for r in sorted((r for r in rows if r.doc_id == doc_id), key=lambda r: r.start):
@@ -239,7 +239,7 @@ def test_word_ids_are_the_librarys(texts):
 
 
 def test_sum_of_squares_prefers_the_best_level():
-    packer = packing.Packer(16, 0, 100)
+    packer = packing.Packer(16, 0)
     for size in (10, 10, 6):
         packer.add(1, b"\0\0\0\0" * size)
     # 6 fills a window of 10, which lowers the sum of squares most
@@ -269,6 +269,62 @@ def test_fingerprints(docs, texts):
             assert texts[a] != texts[b] or got[a].fingerprint == got[b].fingerprint
 
 
+def test_registered_fingerprints_within_their_error(docs, texts):
+    got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
+    ids, off = sorted(texts), []
+    bag = lambda t: Counter(re.findall(rb"[^\x20\x09-\x0D]+", t.translate(LOWER).encode()))
+    for k, doc_id in enumerate(ids):
+        j = jaccard(bag(texts[doc_id]), bag(texts[ids[(k + 1) % len(ids)]]))
+        # of 64 samples each is equal with probability j
+        assert abs(got[doc_id].near_next - j) <= 5 * (j * (1 - j) / fingerprints.SAMPLES) ** 0.5 + 1e-9
+        off.append(got[doc_id].near_next - j)
+    assert abs(np.mean(off)) < 0.02
+
+
+@pytest.mark.parametrize("buckets", [1, 2, 40])
+def test_the_next_document_across_buckets(spark, buckets):
+    rows = [(3 * k + 5, f"w{k} " * (k % 4 + 1), "", "", 1) for k in range(30)] + [(5, "again", "", "", 1), (None, "lone w1", "", "", 1)]
+    order = sorted((r[:2] for r in rows if r[0] is not None), key=lambda r: (r[0], r[1]))
+    want = {}
+    for k, (doc_id, text) in enumerate(order):
+        want[doc_id, text] = hashlib.sha256(fingerprints.edited(text, order[(k + 1) % len(order)][1]).encode()).hexdigest()
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5).withColumn("bucket", near_dups.F.lit(1))
+    got = Counter((r.doc_id, r.edited_sha256) for r in fingerprints.fingerprints(docs, buckets=buckets).collect() if r.doc_id is not None)
+    assert got == Counter((d, x) for (d, _), x in want.items())
+
+
+def test_operators_take_empty_tables_and_odd_rows(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    none = spark.createDataFrame([], SCHEMA)
+    assert bpe.encoded(none, path).count() == 0 and secrets.scanned(none).count() == 0
+    odd = spark.createDataFrame([(None, None, "x", "y", 1), (1, "a b", "x", "y", 1), (1, "a b", "x", "y", 1), (1, "", "x", "y", 1)], SCHEMA)
+    odd = odd.withColumns({"ids": near_dups.F.lit(1), "n_tokens": near_dups.F.lit("z"), "score": near_dups.F.lit(2), "x": near_dups.F.lit(3)})
+    assert sorted((r.doc_id or 0, r.n_tokens, r.decoded) for r in bpe.encoded(odd, path).collect()) == [(0, 0, ""), (1, 0, ""), (1, 2, "a b"), (1, 2, "a b")]
+    rows, labels = labelled(120)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for tool in (quality, toxicity):
+        assert tool.scored(odd, tool.fit(spark.createDataFrame(rows, SCHEMA).withColumn("label", near_dups.F.lit(9)), marks)).count() == 4
+        model = tool.fit(none, marks)
+        assert tool.scored(none, model).count() == 0 and all(0 <= r.score <= 1 for r in tool.scored(odd, model).collect())
+
+
+def test_secrets_and_repeats_in_very_long_texts(spark):
+    rnd = random.Random(12)
+    body = "".join(rnd.choice("abcdefgh \n") for _ in range(3_000_000))
+    text = body[:2_000_000] + " token=abcdefghijklmnop " + body[1_000_000:1_000_500] + body[2_000_000:]
+    rows = spark.createDataFrame([(1, text, "", "", 1)], SCHEMA)
+    got = secrets.scanned(rows).first()
+    assert got.n_assign == 1 and f"assign:{text.index('token=')}:{text.index('token=') + 22}" in got.spans
+    cut = repeats.without_repeats(rows).first()
+    first, again = 1_000_000, text.index(body[1_000_000:1_000_500], 2_000_000)
+    a = b = 0
+    while text[first - a - 1] == text[again - a - 1]:
+        a += 1
+    while text[first + b] == text[again + b]:
+        b += 1
+    assert (cut.n_removed, cut.n_spans) == (2 * (a + b), 2) and bytes(cut.kept).decode() == text[: first - a] + text[first + b : again - a] + text[again + b :]
+
+
 def test_fingerprints_of_few_rows(spark):
     one = fingerprints.fingerprints(spark.createDataFrame([(1, "a b", "", "", 1)], SCHEMA)).first()
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"a a").hexdigest()
@@ -284,12 +340,18 @@ def test_top_k(spark):
     signed = [(k, c - (1 << 64) if c >> 63 else c) for k, c in codes.items()] + [(None, 1), (9999, None)]
     rows = spark.createDataFrame(signed, "id long, code long")
     got: dict[int, list] = {}
-    for r in hamming.top_k(rows.where("id % 100 = 0"), rows, 12, shard_rows=200, block=3).collect():
+    for r in hamming.top_k(rows.where("id % 100 = 0"), rows, 12, shard_rows=200).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.distance, r.id))
     for q in (k for k in codes if k % 100 == 0):
         want = sorted((bin(codes[q] ^ c).count("1"), k) for k, c in codes.items())[:12]
         assert [(d, k) for _, d, k in sorted(got[q])] == want
-    assert hamming.top_k(rows.limit(0), rows, 3).count() == 0
+    assert hamming.top_k(rows.limit(0), rows, 3).count() == 0 and hamming.top_k(rows, rows.limit(0), 3).count() == 0
+
+
+def test_top_k_of_repeated_ids_and_clashing_names(spark):
+    rows = spark.createDataFrame([(1, 7, 1, 1), (1, 5, 2, 2), (2, 4, 3, 3), (2, 4, 4, 4), (3, None, 5, 5)], "id long, code long, shard long, query long")
+    got = [tuple(r) for r in hamming.top_k(rows.where("id = 1"), rows, 9).orderBy("rank").collect()]
+    assert got == [(1, 1, 1, 0), (1, 2, 1, 1), (1, 3, 2, 1), (1, 4, 2, 1)]
 
 
 def test_sign_code(spark):
@@ -325,6 +387,35 @@ def test_repeats(spark):
         assert got == want, options
 
 
+def brute_passages(texts: dict[int, str], length: int, words: int) -> dict[int, int]:
+    found = {}
+    for k, t in texts.items():
+        d, at = t.encode(), []
+        spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", d)]
+        for i, (a, _) in enumerate(spans):
+            stop = min(spans[i + words - 1][1] if i + words <= len(spans) else 1 << 60, a + length)
+            if stop <= len(d) and stop - a >= min(256, length):
+                at.append(d[a:stop])
+        found[k] = at
+    count = Counter(p for at in found.values() for p in at)
+    return {k: sum(count[p] > 1 for p in at) for k, at in found.items()}
+
+
+def test_repeated_passages(spark):
+    rnd = random.Random(7)
+    prose = lambda n, m=9: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, m))) for _ in range(n))
+    short, long, wide = prose(60), prose(90), prose(70, 18)
+    texts = {k: prose(rnd.randint(0, 80)) + " " + [short, long, wide][k % 3] + (" " + prose(rnd.randint(0, 60)) if k % 2 else "") for k in range(24)}
+    texts |= {40: short, 41: short + " " + prose(3), 42: prose(200), 43: texts[4], 44: texts[4], 45: prose(20) + short + short, 46: "", 47: "a b " * 300, 48: prose(50), 49: short[:250], 50: "x" * 500, 51: "x" * 450 + " " + short}
+    rows = spark.createDataFrame([(k, t, "", "", 1) for k, t in texts.items()], SCHEMA).repartition(4)
+    for options in ({}, {"most": 2, "bucket": 3}, {"words": 20}, {"length": 200}):
+        got = {r.doc_id: r for r in repeats.without_repeats(rows, **options).collect()}
+        length = options.get("length", 400)
+        passages = brute_passages(texts, length, options.get("words", 51))
+        assert {k: r.repeats for k, r in got.items()} == {k: int(n > 0 or got[k].n_removed > 0) for k, n in passages.items()}, options
+        assert {k: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for k, r in got.items()} == brute_repeats(texts, length)
+
+
 @pytest.mark.parametrize("shards", [1, 2, 5])
 def test_merged_transforms(shards):
     rnd = random.Random(shards)
@@ -488,7 +579,7 @@ def test_misspelt_and_quoted(spark):
 
 def test_misspelt_forms_of_stems_and_within_words():
     pos = {"stupid": 60, "stupidly": 30, "stupidness": 30, "stopid": 4, "stup-": 120, "stupi-": 120, "stupid-": 60, "idiot": 50, "moron": 50}
-    lexicon = toxicity.choose(pos, {}, 100, 200, least=5, odds=3.5, most=400)
+    lexicon = toxicity.choose(pos, {}, 100, 200, least=5, odds=3.5)
     assert lexicon.stems == ["stup"] and {"stupid", "stupidly", "idiot"} <= set(lexicon.terms)
     lexicon.innocent = ["stolidly"]
     match = toxicity.Matcher(lexicon).match

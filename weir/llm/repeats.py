@@ -23,6 +23,13 @@ on that all its strings hold are its core.
    leaves the passes, with all that lead on from it. After ``WINDOW`` passes rows that
    share a block have equal strings: the repeated intervals.
 
+Passages: a word's passage are the ``words`` words from it on, or what ``length`` bytes
+hold of them, of at least 2 * ``WINDOW`` bytes. Whether one stands elsewhere is found on
+the way, at little cost, as it may be shorter than ``length``: the cores of step 1 are
+those of the shortest passage. A text with a range that is equal to another one is known
+to repeat; of the other texts' ranges, and of those that share a core with them, the
+passages are counted by hash.
+
 A core that more than ``most`` ranges hold is too much for one bucket. Its ranges are
 parted by further symbols of context: the half of the starts that lie nearer to the
 core takes the bytes behind it into the core, the other half those before it. Then 2
@@ -128,26 +135,49 @@ def owners(eight: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     return own[first], start[first], count, np.searchsorted(at, start[first], side="right") - 1
 
 
+def _least(length: int) -> int:
+    return min(2 * WINDOW, length)
+
+
 def _cores(part: pa.RecordBatch, length: int) -> pa.RecordBatch:
     """The core of each range of step 1."""
     data, at = shared.flat(part.column("text"))
     eight = words(data)
-    anchor = owners(eight, at, length)[0]
-    return pa.RecordBatch.from_arrays([pa.array(keys(eight, anchor, anchor + length - WINDOW + 1)[0])], ["core"])
+    anchor = owners(eight, at, _least(length))[0]
+    return pa.RecordBatch.from_arrays([pa.array(keys(eight, anchor, anchor + _least(length) - WINDOW + 1)[0])], ["near"])
 
 
 def _anchors(part: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    """The ranges; the first ``starts`` of their ``n`` starts have a whole string behind them: their core and bytes."""
     data, at = shared.flat(part.column("text"))
     eight = words(data)
-    anchor, start, count, text = owners(eight, at, length)
-    core = keys(eight, anchor, anchor + length - WINDOW + 1)[0]
-    ua, ub = keys(eight, start, start + count - 1 + length)
-    columns = [part.column("row").take(pa.array(text)), pa.array(start - at[text], pa.int32()), pa.array(count, pa.int32()), pa.array(anchor - start, pa.int32()), pa.array(core), pa.array(ua), pa.array(ub)]
-    return pa.RecordBatch.from_arrays(columns, ["row", "start", "n", "back", "core", "ua", "ub"])
+    anchor, start, n, text = owners(eight, at, _least(length))
+    count = np.clip(at[text + 1] - length - start + 1, 0, n)
+    near = keys(eight, anchor, anchor + _least(length) - WINDOW + 1)[0]
+    full = np.flatnonzero(count)
+    core, ua, ub = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), np.zeros(len(n), np.int32)
+    core[full] = keys(eight, anchor[full], anchor[full] + length - WINDOW + 1)[0]
+    ua[full], ub[full] = keys(eight, start[full], start[full] + count[full] - 1 + length)
+    columns = [part.column("row").take(pa.array(text)), pa.array(start - at[text], pa.int32()), pa.array(n, pa.int32()), pa.array(count, pa.int32()), pa.array(anchor - start, pa.int32()), pa.array(near), pa.array(core), pa.array(ua), pa.array(ub)]
+    return pa.RecordBatch.from_arrays(columns, ["row", "start", "all", "starts", "back", "near", "core", "ua", "ub"])
+
+
+def passages(data: np.ndarray, at: np.ndarray, length: int, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the passage of each word that has one."""
+    start, end, text = shared.word_spans(data, at)
+    if not len(start):
+        return start, end
+    last = np.minimum(np.arange(len(start)) + number - 1, len(start) - 1)
+    full = (np.arange(len(start)) + number <= len(start)) & (text[last] == text)
+    stop = np.minimum(np.where(full, end[last], np.int64(1) << 60), start + length)
+    good = (stop <= at[text + 1]) & (stop - start >= _least(length))
+    return start[good], stop[good]
 
 
 #: A range of starts: their strings begin ``low`` to ``high`` bytes before the anchor, which is ``back`` behind the first one.
-RANGE = ["start", "n", "back", "low", "high", "open"]
+#: ``open``: whether its own strings are asked for; ``kind``: MERGE, or PASSAGES if its passages are.
+RANGE = ["start", "n", "back", "low", "high", "open", "kind"]
+MERGE, PASSAGES = 0, 1
 
 
 def _ranges(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -158,28 +188,38 @@ def _ranges(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return np.repeat(np.arange(part.num_rows), counts), *(np.array(flat.field(c), np.int64) for c in RANGE)
 
 
-def _pieces(part: pa.RecordBatch, length: int) -> pa.RecordBatch:
-    """A row for each range: its core's hash and the bytes before and behind it."""
+def _pieces(part: pa.RecordBatch, length: int, number: int) -> pa.RecordBatch:
+    """A row for each range to merge: its core's hash and the bytes before and behind it; a row for each passage: its hash."""
     data, at = shared.flat(part.column("text"))
     eight = words(data)
-    text, start, n, back, low, high, open_ = _ranges(part)
+    every = _ranges(part)
+    text, start, n, back, low, high, open_, _ = (x[every[-1] == MERGE] for x in every)
     first = at[text] + start
     core, after = first + back - low, first + back + length - high
     a, b = keys(eight, core, after)
 
-    def cut(x: np.ndarray, y: np.ndarray) -> pa.Array:
-        ends = np.concatenate([[0], np.cumsum(y - x)])
-        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(data[np.arange(ends[-1]) + np.repeat(x - ends[:-1], y - x)])]).cast(pa.binary())
+    def cut(x: np.ndarray, y: np.ndarray, more: int) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(y - x), np.full(more, (y - x).sum())])
+        flat = data[np.arange((y - x).sum()) + np.repeat(x - ends[: len(x)], y - x)]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(x) + more, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
 
-    columns = [part.column("row").take(pa.array(text)), *(pa.array(c, pa.int32()) for c in (start, n, low, high)), pa.array(open_ > 0), pa.array(a), pa.array(b), cut(first, core), cut(after, first + n - 1 + length)]
-    return pa.RecordBatch.from_arrays(columns, ["row", "start", "n", "low", "high", "open", "a", "b", "left_", "right_"])
+    own, begin, size, *_, said, _ = (x[every[-1] == PASSAGES] for x in every)
+    p, q = passages(data, at, length, number)
+    lo = np.searchsorted(p, at[own] + begin)
+    count = np.searchsorted(p, at[own] + begin + size) - lo
+    which = np.arange(count.sum()) + np.repeat(lo - (np.cumsum(count) - count), count)
+    pa_, pb = keys(eight, p[which], q[which])
+    own, said, none = np.repeat(own, count), np.repeat(said, count), np.zeros(len(which), np.int32)
+    both = lambda x, y, kind=None: pa.array(np.concatenate([x, y]), kind)
+    columns = [part.column("row").take(both(text, own)), *(both(c, none, pa.int32()) for c in (start, n, low, high)), both(open_ > 0, said > 0), both(a, pa_), both(b, pb), cut(first, core, len(which)), cut(after, first + n - 1 + length, len(which)), both(np.full(len(text), MERGE), np.full(len(which), PASSAGES), pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, ["row", "start", "n", "low", "high", "open", "a", "b", "left_", "right_", "kind"])
 
 
 def _halves(part: pa.RecordBatch, length: int) -> pa.RecordBatch:
     """The ranges with their starts parted by half the distances from the anchor, and the larger cores of either half."""
     data, at = shared.flat(part.column("text"))
     eight = words(data)
-    text, start, n, back, low, high, open_ = (np.concatenate([x, x]) for x in _ranges(part))
+    text, start, n, back, low, high, open_, _ = (np.concatenate([x, x]) for x in _ranges(part))
     far = np.arange(len(text)) >= len(text) // 2
     mid = (low + high) // 2
     low, high = np.where(far, mid + 1, low), np.where(far, high, mid)
@@ -192,7 +232,7 @@ def _halves(part: pa.RecordBatch, length: int) -> pa.RecordBatch:
     core = keys(eight, begin + back - low, begin + back + length - high)[0].view(U64) + low.astype(U64)
     ua, ub = keys(eight, begin, begin + n - 1 + length)
     columns = [part.column("row").take(pa.array(text)), *(pa.array(c, pa.int32()) for c in (start, n, back, low, high)), pa.array(open_ > 0), pa.array(core.view(np.int64)), pa.array(ua), pa.array(ub)]
-    return pa.RecordBatch.from_arrays(columns, ["row", *RANGE, "core", "ua", "ub"])
+    return pa.RecordBatch.from_arrays(columns, ["row", "start", "starts", "back", "low", "high", "open", "core", "ua", "ub"])
 
 
 def suffix_rows(text: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -339,29 +379,41 @@ def cut_out(text: bytes, starts: list[tuple[int, int]], length: int) -> tuple[by
 def _cut(batches: Iterator[pa.RecordBatch], length: int, digests: bool) -> Iterator[pa.RecordBatch]:
     for part in shared.sliced(batches, "text"):
         rows = []
-        for text, ranges in zip(shared.strings(part.column("text")).to_pylist(), part.column("ranges").to_pylist(), strict=True):
-            data = text.encode("utf-8")
-            kept, runs = cut_out(data, [(r["start"], r["n"]) for r in ranges or []], length)
-            rows.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest() if digests else kept))
+        data, at = shared.flat(part.column("text"))
+        raw = data.tobytes()
+        for k, (ranges, again) in enumerate(zip(part.column("ranges").to_pylist(), part.column("again").to_pylist(), strict=True)):
+            text = raw[at[k] : at[k + 1]]
+            kept, runs = cut_out(text, [(r["start"], r["n"]) for r in ranges or []], length)
+            rows.append((len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest() if digests else kept, int(again or bool(runs))))
         columns = list(zip(*rows, strict=True))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string() if digests else pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digests else "kept"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string() if digests else pa.binary()), pa.array(columns[4], pa.int32())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digests else "kept", "repeats"])
 
 
-def _blocks(some: DataFrame, kept: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(open ranges that are equal to another one in all their bytes; one range of each block of equal ones that shares
+def _asked(every: DataFrame, blocks: DataFrame, alike: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ranges whose passages are counted by hash: one of each block, and the starts without a whole string behind
+    them, and the cores of step 1 that one of a text that isn't known to repeat shares with others."""
+    one = blocks.select(F.col("first.row").alias("row"), F.col("first.start").alias("start"), "starts", (F.col("n") == 1).alias("open"), "near")
+    tail = every.where(F.col("all") > F.col("starts")).select("row", (F.col("start") + F.col("starts")).alias("start"), (F.col("all") - F.col("starts")).alias("starts"), F.lit(True).alias("open"), "near")
+    known = alike.select("row").distinct().withColumn("known", F.lit(True))
+    both = one.unionByName(tail).join(known.hint("merge"), "row", "left").withColumn("open", F.col("open") & F.col("known").isNull()).drop("known")
+    cores = both.groupBy("near").agg(F.count("*").alias("n"), F.max("open").alias("some")).where("n > 1 and some").select("near", "n")
+    return both, cores
+
+
+def _blocks(some: DataFrame, kept: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the blocks of equal ranges; open ranges that are equal to another one in all their bytes; one range of each block of equal ones that shares
     its core with an undecided one, and how many blocks have the core: ``held``)."""
     key = ["ua", "ub", "starts", "back"]
-    some = some.withColumnRenamed("n", "starts")
     # min over structs of small rows keeps the first member of each block
     first = F.min(F.struct("row", "start")).alias("first")
-    blocks = kept(some.groupBy(*key).agg(F.count("*").alias("n"), first, F.min("core").alias("core"), F.min("low").alias("low"), F.min("high").alias("high"), F.min("open").alias("was")), "blocks")
+    blocks = kept(some.groupBy(*key).agg(F.count("*").alias("n"), first, F.min("core").alias("core"), *([F.min("near").alias("near")] if "near" in some.columns else []), F.min("low").alias("low"), F.min("high").alias("high"), F.min("open").alias("was")), "blocks")
     alike = blocks.where("n > 1").select(*key, "n")
     whole = shared.spread_join(some.where("open"), alike, key, some.count(), ["row", "start"])
     whole = kept(whole.select("row", "start", F.col("starts").alias("n")), "whole")
     one = blocks.select(F.col("first.row").alias("row"), F.col("first.start").alias("start"), "starts", "back", "low", "high", "core", (F.col("was") & (F.col("n") == 1)).alias("open"))
     cores = one.groupBy("core").agg(F.count("*").alias("n"), F.max("open").alias("undecided")).where("n > 1 and undecided").select("core", "n", F.col("n").alias("held"))
     left = shared.spread_join(one, cores, ["core"], blocks.count(), ["row", "start"])
-    return whole, kept(left.select("row", "start", F.col("starts").alias("n"), "back", "low", "high", "open", "held"), "undecided")
+    return blocks, whole, kept(left.select("row", "start", F.col("starts").alias("n"), "back", "low", "high", "open", F.lit(MERGE).alias("kind"), "held"), "undecided")
 
 
 def _with_text(plain: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -370,13 +422,17 @@ def _with_text(plain: DataFrame, ranges: DataFrame) -> DataFrame:
     return plain.select("row", "text").join(held.hint("merge"), "row")
 
 
-def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, digests: bool = False, bucket: int = 1024, shards: int = 4, most: int = 8192) -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and the ``kept`` bytes (or ``kept_sha256``) for each row.
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, words: int = 51, digests: bool = False, bucket: int = 1024, shards: int = 4, most: int = 8192) -> DataFrame:
+    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` the ``kept`` bytes (or ``kept_sha256``), ``repeats`` for each row.
 
     Texts are UTF-8 bytes. A byte goes if a string of ``length`` bytes that covers it
     also starts anywhere else, in this or another text; overlaps count, and strings
     are judged on the input. No string crosses texts. ``n_spans``: maximal removed
-    runs. What is left need not be whole characters, hence bytes. Null text counts
+    runs. ``repeats``: 1 if any byte goes, or if a passage of the text also stands
+    elsewhere: from some word on ``words`` words, or what the first ``length`` bytes hold
+    of them, 256 bytes (or ``length``, if that is less) at least; else 0. It changes
+    nothing in what is removed.
+    What is left need not be whole characters, hence bytes. Null text counts
     as empty. Each row is a text of its own, whatever its id: rows with the same or a
     null id are compared like others. Other columns are ignored. ``bucket``: how many
     ranges a bucket holds about; ``most``: beyond how many ranges a core's starts are
@@ -402,33 +458,47 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # slices whose arrays stay in a core's cache
     by_slices = lambda of: shared.by_slices(functools.partial(of, length=length), most=1 << 18)
-    cores = plain.select("text").mapInArrow(by_slices(_cores), "core long").groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
+    cores = plain.select("text").mapInArrow(by_slices(_cores), "near long").groupBy("near").agg(F.count("*").alias("n")).where("n > 1")
     cores = kept(cores, "cores")
-    anchors = plain.select("row", "text").mapInArrow(by_slices(_anchors), f"row {row}, start int, n int, back int, core long, ua long, ub int").withColumnRenamed("n", "starts")
+    anchors = plain.select("row", "text").mapInArrow(by_slices(_anchors), f"row {row}, start int, all int, starts int, back int, near long, core long, ua long, ub int")
     total = cores.agg(F.sum("n")).first()[0] or 0
-    some = kept(shared.spread_join(anchors, cores, ["core"], total, ["row", "start"]).withColumnRenamed("starts", "n"), "anchors")
-    some = some.withColumns({"low": F.lit(0), "high": F.lit(WINDOW - 1), "open": F.lit(True)})
-    whole, small = [], []
+    every = kept(shared.spread_join(anchors, cores, ["near"], total, ["row", "start"]), "anchors")
+    some = every.where("starts > 0").withColumns({"low": F.lit(0), "high": F.lit(WINDOW - 1), "open": F.lit(True)})
+    blocks, alike, left = _blocks(some, kept)
+    both, cores = _asked(every, blocks, alike)
+    both, cores = kept(both, "asked"), kept(cores, "cores")
+    asked = shared.spread_join(both, cores, ["near"], cores.agg(F.sum("n")).first()[0] or 0, ["row", "start"])
+    asked = asked.select("row", "start", F.col("starts").alias("n"), *(F.lit(0).alias(c) for c in ("back", "low", "high")), "open", F.lit(PASSAGES).alias("kind"))
+    whole, small = [alike], []
     while True:
-        alike, left = _blocks(some, kept)
-        whole.append(alike)
         small.append(left.where(F.col("held") <= most))
         hot = left.where(F.col("held") > most)
         if hot.isEmpty():
             break
-        some = kept(_with_text(plain, hot).mapInArrow(by_slices(_halves), f"row {row}, start int, n int, back int, low int, high int, open boolean, core long, ua long, ub int"), "halves")
+        some = kept(_with_text(plain, hot).mapInArrow(by_slices(_halves), f"row {row}, start int, starts int, back int, low int, high int, open boolean, core long, ua long, ub int"), "halves")
+        _, alike, left = _blocks(some, kept)
+        whole.append(alike)
     left = functools.reduce(DataFrame.unionByName, small)
     buckets = max(1, -(-left.count() // bucket))
     tasks = min(max(-(-buckets // BUCKETS_A_TASK), min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))), MOST_TASKS)
-    pieces = _with_text(plain, left).mapInArrow(by_slices(_pieces), f"row {row}, start int, n int, low int, high int, open boolean, a long, b int, left_ binary, right_ binary")
-    pieces = pieces.withColumn("bucket", F.pmod("a", F.lit(buckets))).repartition(tasks, "bucket").sortWithinPartitions("bucket", "low", "high", "row", "start")
+    pieces = _with_text(plain, left.drop("held").unionByName(asked)).mapInArrow(
+        shared.by_slices(functools.partial(_pieces, length=length, number=words), most=1 << 18),
+        f"row {row}, start int, n int, low int, high int, open boolean, a long, b int, left_ binary, right_ binary, kind int",
+    )
+    pieces = kept(pieces, "pieces")
+    said = pieces.where(F.col("kind") == PASSAGES).select("row", "open", "a", "b")
+    twins = said.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
+    again = shared.spread_join(said.withColumn("x", F.monotonically_increasing_id()), twins, ["a", "b"], said.count(), ["x"]).where("open")
+    again = again.select("row").distinct().withColumn("again", F.lit(True))
+    pieces = pieces.where(F.col("kind") == MERGE).drop("kind").withColumn("bucket", F.pmod("a", F.lit(buckets))).repartition(tasks, "bucket").sortWithinPartitions("bucket", "low", "high", "row", "start")
     ends = pieces.mapInArrow(functools.partial(_settled, shards=shards), f"row {row}, start int, n int")
     every = functools.reduce(DataFrame.unionByName, [*whole, ends])
-    found = shared.keep(every.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("ranges")), "found")
+    found = every.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+    found = shared.keep(found.join(again.hint("merge"), "row", "full"), "found")
     for table in made:
         table.drop()
-    out = plain.join(found.hint("merge"), "row", "left").select("doc_id", "text", "ranges")
-    return out.mapInArrow(functools.partial(_cut, length=length, digests=digests), "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digests else "kept binary"))
+    out = plain.join(found.hint("merge"), "row", "left").select("doc_id", "text", "ranges", F.coalesce("again", F.lit(False)).alias("again"))
+    return out.mapInArrow(functools.partial(_cut, length=length, digests=digests), "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digests else "kept binary") + ", repeats int")
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
