@@ -9,9 +9,10 @@ the smaller weights over the sum of the larger ones.
 
 The gamma quantiles are looked up in tables. Within a slice of rows a (term,
 weight) pair is sampled once, however many documents hold it. To hold a document
-against the next one, rows are dealt into buckets of neighbouring ids; the first row
-of each bucket also goes to the bucket before. One shuffle of the texts; what the
-driver holds is one number a bucket, at most ``MOST_BUCKETS``.
+against the next one, rows are dealt into buckets of neighbouring ids, as many as
+their bytes ask for; the first row of each bucket also goes to the bucket before. One
+shuffle of the texts and one of the ids; what the driver holds is one number for each
+``BUCKET_BYTES`` of text, 25 MB for 100 TB. A task streams its bucket in slices.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from . import shared
 from .shared import U64
 
 SAMPLES = 64
-MOST_BUCKETS = 4096
+#: Text that a bucket holds about.
+BUCKET_BYTES = 1 << 25
 
 
 @functools.cache
@@ -165,21 +167,21 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     plain = shared.texts(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    n = min(MOST_BUCKETS, buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = plain.select("doc_id").where("doc_id is not null")
-    cuts = np.unique(np.array([r for r in ids.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n).alias("q")).first()["q"] or []], np.int64))
-    place = F.pandas_udf(lambda x: pd.Series(np.searchsorted(cuts, x.to_numpy(), side="right")), "int")
-    firsts = {r["b"]: r["m"] for r in ids.select("doc_id", place("doc_id").alias("b")).groupBy("b").agg(F.min("doc_id").alias("m")).collect()}
-    # the first id of a bucket also goes to the bucket before it, the first of all to the last
-    order = sorted(firsts)
-    before = {firsts[b]: order[k - 1] for k, b in enumerate(order)}
+    ids = plain.where("doc_id is not null").select("doc_id")
+    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = buckets or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    dealt_ids = ids.repartitionByRange(n, "doc_id").groupBy(F.spark_partition_id().alias("b")).agg(F.min("doc_id").alias("m"))
+    # where each bucket begins; the first id of a bucket also goes to the bucket before it, the first of all to the last
+    firsts = np.unique(np.array([r["m"] for r in dealt_ids.collect()], np.int64))
 
     @F.pandas_udf("array<int>")
     def targets(x: pd.Series) -> pd.Series:
-        own = np.searchsorted(cuts, x.to_numpy(), side="right").tolist()
-        return pd.Series([[b, before[i]] if i in before else [b] for i, b in zip(x.tolist(), own, strict=True)])
+        values = x.to_numpy()
+        own = np.searchsorted(firsts, values, side="right") - 1
+        guest = (firsts[own] == values).tolist() if len(firsts) else []
+        return pd.Series([[b, (b or len(firsts)) - 1] if g else [b] for b, g in zip(own.tolist(), guest, strict=True)])
 
-    known = F.coalesce("doc_id", F.lit(0))
+    known = F.coalesce("doc_id", F.lit(int(firsts[0]) if len(firsts) else 0))
     lone = F.array((-1 - F.pmod(F.xxhash64("text"), F.lit(n))).cast("int"))
     dealt = plain.select("doc_id", "text", F.posexplode(F.when(F.col("doc_id").isNull(), lone).otherwise(targets(known))).alias("guest", "bucket"))
     dealt = dealt.select("doc_id", "text", (F.col("guest") > 0).alias("guest"), "bucket")
