@@ -3,11 +3,11 @@
 Every task packs the documents of its own partition, in the order it reads them.
 A document's whole windows stand alone; what is left over is placed whole, into
 the fill level that makes the sum of the squared counts of partly filled windows,
-tracked in an array by level, smallest. At the end of a partition, or when
-``most_open`` windows are open, the partly filled ones are joined by cutting: the
-emptiest fill up the fullest. The one that is left is cut into windows of powers of
-two, which need no padding. So padding doesn't grow with the number of partitions,
-and a task holds the pieces of the open windows only.
+tracked in an array by level, smallest. At the end of a partition the partly filled
+ones are joined by cutting: the emptiest fill up the fullest. The one that is left is
+cut into windows of powers of two, which need no padding. So padding doesn't grow with
+the number of partitions. A task holds the pieces of the open windows only, whose number
+the rule keeps small: never more than a partition's ids, 4 bytes each.
 
 A lost task is run again over the same partition and gives the same sequences;
 its number is the high part of ``sequence_id``. No shuffle.
@@ -127,11 +127,10 @@ def word_ids(path: str) -> WordIds:
 class Packer:
     """The windows of one partition. A piece: (doc_id, start, ids, tokens of the document)."""
 
-    def __init__(self, window: int, first: int, most_open: int):
-        self.window, self.next, self.most_open = window, first, most_open
+    def __init__(self, window: int, first: int):
+        self.window, self.next = window, first
         self.count = np.zeros(window + 1, np.int64)
         self.open: list[list[list[tuple]]] = [[] for _ in range(window)]
-        self.n_open = 0
         self.rows: list[tuple] = []
 
     def emit(self, pieces: list[tuple]) -> None:
@@ -162,7 +161,6 @@ class Packer:
         if level:
             held = self.open[level].pop()
             count[level] -= 1
-            self.n_open -= 1
         else:
             held = []
         held.append(piece)
@@ -171,17 +169,13 @@ class Packer:
         else:
             self.open[level + size].append(held)
             count[level + size] += 1
-            self.n_open += 1
-            if self.n_open > self.most_open:
-                self.drain(False)
 
-    def drain(self, last: bool) -> None:
-        """Join the partly filled windows by cutting the emptiest; but for the last time the one that is left stays open."""
+    def drain(self) -> None:
+        """Join the partly filled windows by cutting the emptiest; the one that is left is cut into powers of two."""
         w = self.window
         held = [(level, x) for level in range(w - 1, 0, -1) for x in self.open[level]]
         self.open = [[] for _ in range(w)]
         self.count[:] = 0
-        self.n_open = 0
         lo, hi = 0, len(held) - 1
         while lo < hi:
             level, pieces = held[lo]
@@ -203,11 +197,6 @@ class Packer:
                 lo += 1
         if lo == hi:
             level, pieces = held[lo]
-            if not last:
-                self.open[level].append(pieces)
-                self.count[level] += 1
-                self.n_open = 1
-                return
             bit = 1 << (w.bit_length() - 1)
             while level:
                 if bit > level:
@@ -232,9 +221,9 @@ def _schema() -> pa.Schema:
     return pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
 
-def _packed(batches: Iterator[pa.RecordBatch], path: str, window: int, most_open: int) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], path: str, window: int) -> Iterator[pa.RecordBatch]:
     tool, context = word_ids(path), TaskContext.get()
-    packer = Packer(window, (context.partitionId() if context else 0) << 40, most_open)
+    packer = Packer(window, (context.partitionId() if context else 0) << 40)
     schema = _schema()
 
     def rows() -> pa.RecordBatch:
@@ -245,11 +234,11 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, window: int, most_open
         for doc_id, ids in zip(part.column("doc_id").to_pylist(), tool.ids(shared.strings(part.column("text")).to_pylist()), strict=True):
             packer.add(doc_id, ids + END)
         yield rows()
-    packer.drain(True)
+    packer.drain()
     yield rows()
 
 
-def packed(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, most_open: int = 4096) -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = 2048) -> DataFrame:
     """A row for each piece: ``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
 
     A document's ids end with id 1; null or empty text has that one only. Each id
@@ -260,7 +249,7 @@ def packed(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
     """
     if window < 2 or window & (window - 1):
         raise ValueError("window must be a power of two")
-    return shared.texts(docs, id_col, text_col).mapInArrow(functools.partial(_packed, path=vocabulary, window=window, most_open=most_open), ", ".join(f"{f.name} long" for f in _schema()))
+    return shared.texts(docs, id_col, text_col).mapInArrow(functools.partial(_packed, path=vocabulary, window=window), ", ".join(f"{f.name} long" for f in _schema()))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
