@@ -182,7 +182,8 @@ def _features(part: pa.RecordBatch) -> pa.RecordBatch:
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = 12_000) -> Forest:
     """``most``: the bound of the sample, in rows (about 300 bytes each on the driver)."""
     ids = labelled_sample(labels, id_col, label, most)
-    rows = shared.texts(docs, id_col, text_col).join(F.broadcast(ids), "doc_id")
+    # a row an id, however many rows of ``docs`` repeat it
+    rows = shared.texts(docs, id_col, text_col).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
     got = rows.mapInArrow(shared.by_slices(_features), "label int, x array<double>").toArrow()
     x = np.array(got.column("x").combine_chunks().flatten()).reshape(got.num_rows, -1) if got.num_rows else np.zeros((0, 1))
     y = got.column("label").to_numpy().astype(float)

@@ -251,17 +251,24 @@ def pairs(text: str) -> set[str]:
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each unit with the words that stand before it, once a slice."""
+    """Each unit with the words around it, once a text, and whether it is the unit's first place there."""
     for part in shared.sliced(batches, "text"):
-        seen: set[tuple[str, str]] = set()
+        found: list[tuple[str, str, bool]] = []
         for text in shared.strings(part.column("text")).to_pylist():
             low = text.lower()
             points = code_points(low)
             words = [low[a:b] for a, b in zip(*(x.tolist() for x in letter_runs(points, np.zeros(1, int))), strict=True)] if len(points) else []
-            for before, w in zip(["", *words], words, strict=False):
-                seen.add((w, before))
-                seen.update((w[:n] + "-", before) for n in STEM if len(w) > n)
-        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in seen], pa.string()), pa.array([x for _, x in seen], pa.string())], ["unit", "before"])
+            seen: set[tuple[str, str]] = set()
+            met: set[str] = set()
+            for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+                around = f"{before} {after}"
+                for unit in (w, *(w[:n] + "-" for n in STEM if len(w) > n)):
+                    if (unit, around) not in seen:
+                        seen.add((unit, around))
+                        found.append((unit, around, unit not in met))
+                        met.add(unit)
+        columns = list(zip(*found, strict=True)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.bool_()), strict=True)], ["unit", "around", "first"])
 
 
 def _counted(batches: Iterator[pa.RecordBatch], wanted: frozenset[str]) -> Iterator[pa.RecordBatch]:
@@ -283,17 +290,17 @@ def one_edit(word: str, term: str) -> bool:
     return word[a + 1 :] == term[a + 1 :] or word[a:] == term[a + 1 :] or word[a + 1 :] == term[a:]
 
 
-def choose(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int, *, least: int, odds: float, most: int) -> Lexicon:
-    """Units that stand in toxic texts (at ``pos`` places) far more often than in clean ones (``neg`` texts).
+def choose(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int, *, least: int, odds: float) -> Lexicon:
+    """Every unit that stands in at least ``least`` toxic texts (``pos``) and far more often there than in clean ones (``neg``).
 
     A stem replaces the longer stems that it begins; the whole words that it begins
-    stay beside it, so that they can be misspelt, and don't count towards ``most``.
+    stay beside it, so that they can be misspelt.
     """
 
     def ratio(u: str) -> float:
         return float(np.log((pos[u] + 0.5) / (n_pos + 1)) - np.log((neg.get(u, 0) + 0.5) / (n_neg + 1)))
 
-    good = sorted((u for u, n in pos.items() if n >= least and ratio(u) >= odds), key=lambda u: (-pos[u], len(u), u))[: 4 * most]
+    good = sorted((u for u, n in pos.items() if n >= least and ratio(u) >= odds), key=lambda u: (-pos[u], len(u), u))
     whole = {u for u in good if not u.endswith("-")}
     # a stem that hardly stands for more than one word is that word
     single = {u for u in good if u.endswith("-") and any(w.startswith(u[:-1]) and pos[w] >= 0.9 * pos[u] for w in whole)}
@@ -301,31 +308,35 @@ def choose(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int, *,
     for u in sorted((u for u in good if u.endswith("-") and u not in single), key=lambda u: (len(u), -pos[u], u)):
         if not any(u.startswith(s) for s in stems):
             stems.append(u[:-1])
-    under = [u for u in good if u in whole and any(u.startswith(s) for s in stems)]
-    terms = [u for u in good if u in whole and not any(u.startswith(s) for s in stems)]
-    return Lexicon(sorted(terms[:most] + under), sorted(stems[:most]))
+    return Lexicon(sorted(whole), sorted(stems))
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-    most_toxic: int = 3_000, most_clean: int = 6_000, most_units: int = 20_000, most_terms: int = 400, odds: float = 3.5,
+    most_toxic: int = 3_000, most_clean: int = 6_000, least: int = 5, odds: float = 3.5,
 ) -> Model:
-    """Bounds: how many labelled rows of either kind are learnt from, how many units are counted, how many terms and stems there are."""
+    """Bounds: how many labelled rows of either kind are learnt from; what the driver holds of them is counts of their units.
+
+    A text counts once, however many rows have it. A unit counts for as many toxic texts as
+    have it, but for no more than the different pairs of words it stands between: near copies
+    of a text, of which there may be many, add little, and so does one long text.
+    """
     plain = shared.texts(docs, id_col, text_col)
     toxic = labelled_sample(labels.where(F.col(label) == 1), id_col, label, most_toxic)
     clean = labelled_sample(labels.where(F.col(label) == 0), id_col, label, most_clean)
-    sample = shared.keep(plain.join(F.broadcast(toxic.unionByName(clean)), "doc_id").select("text", "label"), "toxicity")
+    sample = plain.join(F.broadcast(toxic.unionByName(clean)), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    table = shared.Kept(sample.select("text", "label").distinct(), "toxicity")
+    sample = table.df
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    least = max(3, sizes.get(1, 0) // 200)
-    # in toxic texts a unit counts once for each word it stands behind: copies of a text, of which there may be many, add nothing
-    pos = sample.where("label = 1").mapInArrow(_places, "unit string, before string").groupBy("unit").agg(F.count_distinct("before").alias("n"))
-    pos = {r["unit"]: r["n"] for r in pos.where(F.col("n") >= least).orderBy(F.desc("n"), "unit").limit(most_units).collect()}
+    pos = sample.where("label = 1").mapInArrow(_places, "unit string, around string, first boolean").groupBy("unit").agg(F.count_distinct("around").alias("places"), F.sum(F.col("first").cast("int")).alias("texts"))
+    pos = {r["unit"]: r["n"] for r in pos.select("unit", F.least("places", "texts").alias("n")).where(F.col("n") >= least).collect()}
     neg = sample.where("label = 0").mapInArrow(functools.partial(_counted, wanted=frozenset(pos)), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     neg = {r["unit"]: r["n"] for r in neg.collect()}
-    lexicon = choose(pos, neg, sizes.get(1, 0), sizes.get(0, 0), least=least, odds=odds, most=most_terms)
-    near = sample.where("label = 0").mapInArrow(functools.partial(_near, lexicon=lexicon), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    lexicon.innocent = sorted(r["unit"] for r in near.orderBy(F.desc("n"), "unit").limit(most_units).collect())
+    lexicon = choose(pos, neg, sizes.get(1, 0), sizes.get(0, 0), least=least, odds=odds)
+    near = sample.where("label = 0").mapInArrow(functools.partial(_near, lexicon=lexicon), "unit string").distinct()
+    lexicon.innocent = sorted(r["unit"] for r in near.collect())
     rows = sample.mapInArrow(functools.partial(_measured, lexicon=lexicon), "label int, x array<double>").collect()
+    table.drop()
     rows = sorted((r["label"], *r["x"]) for r in rows)
     held = np.array(rows) if rows else np.zeros((0, 6))
     return Model(lexicon, *logistic(held[:, 1:], held[:, 0]))
@@ -335,10 +346,10 @@ def _near(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.Re
     """Words and pairs of words of clean texts that are one edit from a term or stem."""
     matcher = Matcher(lexicon)
     for part in shared.sliced(batches, "text"):
-        count: Counter[str] = Counter()
+        found: set[str] = set()
         for text in shared.strings(part.column("text")).to_pylist():
-            count.update(w for w in units(text) | pairs(text) if not w.endswith("-") and matcher.match(w) == FUZZY)
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["unit", "n"])
+            found.update(w for w in units(text) | pairs(text) if not w.endswith("-") and matcher.match(w) == FUZZY)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["unit"])
 
 
 def _measured(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
