@@ -44,10 +44,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over ``documents``; each stage reads the table that the one before wrote."""
-    docs = shared.table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = shared.keep(docs, name)
-    return docs
+    """The last stage's rows over ``documents``; each stage reads the table that the one before wrote.
+
+    When a stage's table is written, that of the stage before it and all that was
+    kept on the way are dropped. What the last stage reads stays until ``shared.clear``
+    or the driver's end.
+    """
+    docs, before = shared.table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        table = shared.settled(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), name)
+        if before is not None:
+            before.drop()
+        docs, before = table.df, table
+    return STAGES[-1][1](spark, docs, sf_dir)
