@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import hamming, max_distance
+from .storage import cut
 
 #: What decides which copy stays, best first; lower(path) decides last.
 KEEP = {
@@ -18,24 +19,18 @@ KEEP = {
 }
 
 
-def exact_groups(files: DataFrame, content: Column | str = "content", *, min_size: int = 0, prefix: int = 65536) -> DataFrame:
+def exact_groups(files: DataFrame, content: Column | str = "content", *, min_size: int = 0) -> DataFrame:
     """Rows whose content another row has too, with ``group_id`` (the smallest id of the group).
 
-    ``files``: id, path, size, modified, pixels and the content. Cheap tests go
-    first: only sizes that occur twice are hashed at all, only equal beginnings are
-    hashed whole. Each stage is a count by key (partially aggregated) and a semi-join,
-    so a group of any size is never gathered.
+    ``files``: id, path, size, modified, pixels and the content. The content is hashed where it is read
+    and goes no further unless the result's content is asked for: what is counted (with partial
+    aggregation) and joined are sizes, hashes and ids, so a group of any size is never gathered.
     """
     c = F.col(content) if isinstance(content, str) else content
-    rows = files.where(F.col("size") >= min_size)
-    sizes = rows.groupBy("size").agg(F.count("*").alias("n")).where("n > 1").select("size")
-    rows = rows.join(sizes, "size", "left_semi")
-    rows = rows.withColumn("head_hash", F.xxhash64(F.substring(c, 1, prefix)))
-    heads = rows.groupBy("size", "head_hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(heads, ["size", "head_hash"], "left_semi")
-    rows = rows.withColumn("content_hash", F.sha2(c, 256)).drop("head_hash")
-    groups = rows.groupBy("content_hash").agg(F.min("id").alias("group_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(groups, "content_hash")
+    rows = files.where(F.col("size") >= min_size).withColumn("content_hash", F.sha2(c, 256))
+    key = ["size", "content_hash"]
+    groups = rows.groupBy(*key).agg(F.min("id").alias("group_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(groups, key)
 
 
 def mark(groups: DataFrame, keep: str = "largest") -> DataFrame:
@@ -84,25 +79,18 @@ def similar_pairs(rows: DataFrame, similarity: int = 90) -> DataFrame:
 def clusters(pairs: DataFrame, rounds: int = 40) -> DataFrame:
     """``id``, ``group_id``: connected components of links (a, b) by the least label, with pointer jumping.
 
-    Lineage is cut by checkpoint() every round where a checkpoint folder is set.
+    Lineage is cut by checkpoint() every round.
     """
-    spark = pairs.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        if not root:
-            import tempfile
-
-            root = "file://" + tempfile.mkdtemp(prefix="weir-")
-        spark.sparkContext.setCheckpointDir(root)
     edges = pairs.select("a", "b").where("a is not null and b is not null")
-    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = edges.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("label")).select(F.col("a").alias("id"), "label").checkpoint()
+    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    edges = cut(edges)
+    labels = cut(edges.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("label")).select(F.col("a").alias("id"), "label"))
     mark_ = None
     for _ in range(rounds):
         near = edges.join(labels, edges["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("least"))
         step = labels.join(near, labels["id"] == near["a"]).select("id", F.least("label", "least").alias("label"))
         over = step.select(F.col("id").alias("k"), F.col("label").alias("over"))
-        labels = step.join(over, F.col("label") == F.col("k"), "left").select("id", F.least("label", F.coalesce("over", "label")).alias("label")).checkpoint()
+        labels = cut(step.join(over, F.col("label") == F.col("k"), "left").select("id", F.least("label", F.coalesce("over", "label")).alias("label")))
         said = labels.agg(F.sum(F.xxhash64("id", "label").cast("decimal(38,0)"))).first()[0]
         if said == mark_:
             return labels.withColumnRenamed("label", "group_id")

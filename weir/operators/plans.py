@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.names import natural_key, safe_filename, without_number
 from ..functions.text import casefold
 from ..functions.values import number_text
+from .storage import cut
 
 
 def numbered(rows: DataFrame, order: list[Column], *, start: int = 1, step: int = 1) -> DataFrame:
@@ -18,12 +19,12 @@ def numbered(rows: DataFrame, order: list[Column], *, start: int = 1, step: int
 
     A running number is one sequence, but rows are counted by range first: the
     number is the count of the ranges before plus the place within the range. The
-    ranges are held (in memory or on disk, else made again by the same bounds), as
-    both counts must see the same ones.
+    ranges are written once, as both counts must see the same ones.
     """
     spark = rows.sparkSession
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.spark_partition_id().cast("long") * (1 << 33)).persist()
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.spark_partition_id().cast("long") * (1 << 33))
+    ranged = cut(ranged)
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
     out = ranged.join(F.broadcast(before), "_part")
@@ -98,9 +99,14 @@ def _fold(x: str) -> str:
     return x.casefold()
 
 
-def natural_order(rows: DataFrame, name: str = "name", descending: bool = False) -> DataFrame:
-    """2 before 10, whatever the case; ties by the name itself. Descending turns every key."""
-    keys = [natural_key(name), F.col(name)]
+def natural_order(rows: DataFrame, name: str = "name", descending: bool = False, by: str = "name") -> DataFrame:
+    """2 before 10, whatever the case; ties by the name itself. Descending turns every key.
+
+    ``by``: name, modified, created, taken (else modified) or manual, which is the place in the column ``seq``;
+    rows of one date are in the order of their names.
+    """
+    dates = {"name": [], "modified": ["modified"], "created": ["created"], "taken": ["taken", "modified"], "manual": []}
+    keys = [F.col("seq")] if by == "manual" else [*([F.coalesce(*dates[by])] if dates[by] else []), natural_key(name), F.col(name)]
     return rows.orderBy(*(k.desc() if descending else k.asc() for k in keys))
 
 
