@@ -79,11 +79,12 @@ def height_limit(quality: Column | str) -> Column:
 
 
 def clamped(c: Column, low: int, high: int, other: int) -> Column:
-    return F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), c.try_cast("int"))), F.lit(other))
+    # greatest and least pass over a null
+    return F.when(c.try_cast("int").isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c.try_cast("int")))).otherwise(other)
 
 
 def target_bytes(kilobytes: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(1), kilobytes.try_cast("long")), F.lit(500)) * 1024
+    return F.when(kilobytes.try_cast("long").isNotNull(), F.greatest(F.lit(1), kilobytes.try_cast("long"))).otherwise(500) * 1024
 
 
 def limited(width: Column, height: Column, most: int) -> Column:

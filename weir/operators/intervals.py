@@ -68,6 +68,22 @@ def pages(spec: Column, count: Column) -> Column:
     return F.when((F.size(parts) > 0) & ~bad, groups)
 
 
+def page_spec_problem(spec: Column) -> Column:
+    """What is wrong with '1-3,7;5-end' before the number of pages is known; '' if nothing is."""
+    parts = F.filter(F.transform(F.split(F.replace(spec, F.lit(";"), F.lit(",")), ","), lambda p: F.trim(p)), lambda p: p != "")
+    odd = F.get(F.filter(parts, lambda p: ~p.rlike(r"(?i)^(\d+|end|last)(\s*-\s*(\d+|end|last))?$")), F.lit(0))
+    zero = F.exists(parts, lambda p: p.rlike(r"(^|-\s*)0+(\s*-|$)"))
+    said = F.concat(F.lit("'"), odd, F.lit("' is not a page or a range. Write for example  1-3,7  or  5-end"))
+    return F.when(odd.isNotNull(), said).when(zero, "Pages are counted from 1.").otherwise("")
+
+
+def left_after(listing: DataFrame, gone: DataFrame) -> DataFrame:
+    """``doc``, ``pages`` left of each document, with ``problem`` where all of them would go."""
+    left = listing.join(gone.select("doc", "page").distinct().withColumn("_gone", F.lit(1)), ["doc", "page"], "left")
+    kept = F.count_if(F.col("_gone").isNull())
+    return left.groupBy("doc").agg(kept.alias("pages"), F.when(kept == 0, "That would delete every page: nothing would be left.").otherwise("").alias("problem"))
+
+
 def ranges_text(indexes: Column) -> Column:
     """[0, 1, 2, 6] as '1-3,7': runs of +1 in the given order."""
     pair = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))
@@ -98,10 +114,12 @@ def without_pages(listing: DataFrame, gone: DataFrame) -> DataFrame:
 
 def concatenated(listing: DataFrame) -> DataFrame:
     """Pages (queue, page, ok) of all inputs in the order of the queue, failed inputs left out, with ``place`` from 1."""
-    good = listing.where("ok")
-    sizes = good.groupBy("queue").agg(F.max("page").alias("n"))
+    at = F.row_number().over(Window.partitionBy("queue").orderBy("page"))
+    good = listing.where("ok").withColumn("at", at)
+    sizes = good.groupBy("queue").agg(F.count("*").alias("n"))
+    # one row an input
     before = sizes.select("queue", (F.sum("n").over(Window.orderBy("queue")) - F.col("n")).alias("before"))
-    return good.join(before, "queue").select("queue", "page", (F.col("before") + F.col("page")).alias("place"))
+    return good.join(before, "queue").select("queue", "page", (F.col("before") + F.col("at")).alias("place"))
 
 
 def segment(seconds: Column, length: float) -> Column:

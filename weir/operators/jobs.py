@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,13 +49,18 @@ def time_left(ticks: DataFrame, *, key: str = "key", least_seconds: float = 3.0,
     return rows.select(key, F.inline(F.aggregate("t", zero, step, lambda a: a["out"])))
 
 
-#: The first text that is found decides.
+#: The first rule decides one of whose texts is found; texts in a tuple must all be there.
 DOWNLOAD_ERRORS = [
     (["private video"], "This video is private."),
     (["video unavailable", "not available"], "This video is unavailable (removed, region-locked or age-restricted)."),
+    ([("age", "restricted"), ("age", "confirm your age")], 'This video is age-restricted. Set "Use cookies from" to the browser where you are logged in to that site.'),
     (["unsupported url"], "This link is not supported."),
     (["http error 429", "too many requests"], "The site is rate-limiting this computer. Wait a few minutes and retry."),
+    (["not a bot", "sign in to confirm"], 'The site took the run for a robot and asks for a sign-in. Waiting a while usually clears it; setting "Use cookies from" to the browser where you are logged in to that site avoids it.'),
     (["urlopen error", "getaddrinfo", "proxy", "unable to connect", "connection reset", "connection aborted", "timed out", "temporary failure", "unable to download api page", "ssl"], "The site could not be reached. Check the internet connection, a VPN, or a firewall."),
+    (["confirm you are on the latest version", "extractor"], 'The download engine does not understand what the site answered. Press "Update the download engine" and try again.'),
+    (["requested format is not available"], "The requested quality is not available for this video."),
+    (["merging of multiple formats", ("ffmpeg", "not installed")], "FFmpeg is missing, so the video and audio streams cannot be joined. Install it with:  pip install -U imageio-ffmpeg"),
 ]
 #: Fixed values, as above.
 MEDIA_ERRORS = [
@@ -63,14 +71,19 @@ MEDIA_ERRORS = [
 ]
 
 
-def explained(message: Column, rules: list[tuple[list[str], str]], other: Column) -> Column:
+def explained(message: Column, rules: list[tuple[list[str | tuple[str, ...]], str]], other: Column) -> Column:
     """What a message means, by the first rule one of whose texts it has."""
     low = F.lower(message)
-    out = None
-    for texts, meaning in rules:
-        hit = low.rlike("|".join(t.replace(".", r"\.") for t in texts))
-        out = F.when(hit, meaning) if out is None else out.when(hit, meaning)
-    return out.otherwise(other)
+    has = lambda texts: reduce(and_, [F.contains(low, F.lit(t)) for t in ([texts] if isinstance(texts, str) else texts)])
+    return F.coalesce(*(F.when(reduce(or_, map(has, texts)), meaning) for texts, meaning in rules), other)
+
+
+def download_error(message: Column) -> Column:
+    """What a download's error means; else its first line, named as FFmpeg's if it is."""
+    said = F.regexp_replace(F.replace(message, F.lit("ERROR: "), F.lit("")), r"^\s+|\s+$", "")
+    first = F.substring_index(F.regexp_replace(said, "\r\n?", "\n"), "\n", 1)
+    other = F.when(F.lower(said).contains("ffmpeg"), F.concat(F.lit("FFmpeg reported a problem: "), first)).when(said == "", "Unknown download error.").otherwise(first)
+    return explained(said, DOWNLOAD_ERRORS, other)
 
 
 def is_block(message: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.names import archive_kind, suffix
+from ..functions.values import typed
 
 #: What separates cells, in the order that decides a tie.
 DELIMITERS = [";", ",", "\t", "|"]
@@ -97,7 +98,7 @@ def rows_of(text: str, name: str = "") -> tuple[str, list[list[str]]]:
     return mark, rows
 
 
-def raw_rows(spark: SparkSession, path: str) -> DataFrame:
+def raw_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``source``, ``delimiter``, ``row_no`` (from 0), ``cells`` of delimited files, each in its own dialect and encoding.
 
     A file is one task's work; the header is row 0. For large uniform files use ``table``.
@@ -119,6 +120,17 @@ def table(spark: SparkSession, path: str, name: str = "") -> DataFrame:
     return spark.read.csv(path, sep=delimiter_of(head, name or path), header=True, multiLine=False)
 
 
+def typed_rows(rows: DataFrame) -> DataFrame:
+    """``raw_rows`` with ``cells`` as numbers and texts (kind, i, f, t): with a semicolon between cells a comma is a decimal one."""
+    comma = F.transform("cells", lambda c: typed(c, True))
+    return rows.withColumn("cells", F.when(F.col("delimiter") == ";", comma).otherwise(F.transform("cells", lambda c: typed(c))))
+
+
+def read_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``source``, ``delimiter``, ``row_no``, ``cells`` of delimited files, with the cells typed."""
+    return typed_rows(raw_rows(spark, path))
+
+
 def archive_entries(spark: SparkSession, path: str) -> DataFrame:
     """``archive``, ``name``, ``size``, ``folder``, ``encrypted`` of ZIP and TAR files; others give one row with ``error``."""
     files = spark.read.format("binaryFile").load(path).select("path", "content").withColumn("kind", archive_kind("path"))

@@ -7,6 +7,7 @@ yet; a path that goes is forgotten.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -40,32 +41,41 @@ OUT = "tick long, path string, size long, modified double"
 STATE = "tick long, size long, modified double, done boolean"
 
 
-def _emit(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+def _emit(key: tuple, frames: Iterator[pd.DataFrame], state: Any, baseline: int | None, forget_ms: int) -> Iterator[pd.DataFrame]:
     (path,) = key
+    if state.hasTimedOut:
+        # no look has shown the path for so long: it is gone
+        state.remove()
+        return
     tick, size, modified, done = state.get if state.exists else (None, None, None, False)
     out = []
     for row in pd.concat(list(frames)).sort_values("tick").itertuples():
         same = tick is not None and row.tick == tick + 1 and (size, modified) == (row.size_, row.modified)
-        done = done and same
+        done = (done and same) or (baseline is not None and row.tick <= baseline)
         if same and not done and row.size_ > 0:
             out.append((row.tick, path, row.size_, row.modified))
             done = True
         tick, size, modified = int(row.tick), int(row.size_), float(row.modified)
     state.update((tick, size, modified, done))
+    state.setTimeoutDuration(forget_ms)
     yield pd.DataFrame(out, columns=["tick", "path", "size", "modified"])
 
 
-def stable_stream(looks: DataFrame, extensions: list[str] = ()) -> DataFrame:
+def stable_stream(looks: DataFrame, extensions: list[str] = (), *, baseline: int | None = None, forget_ms: int = 3_600_000) -> DataFrame:
     """The same over a stream of looks: a state for each path, kept in the checkpoint, so a restart repeats nothing.
 
-    Hidden and temporary names are left out; ``extensions``: only those endings.
+    Hidden and temporary names are left out; ``extensions``: only those endings. ``baseline``: the last tick whose
+    paths are taken for done while they stay as they are (None: none is, as with ``include_existing``). A path that
+    no look shows for ``forget_ms`` is forgotten, so the state holds what is there and not what ever was; one that
+    comes back sooner but lacks a tick is new as well.
     """
     name = F.substring_index("path", "/", -1)
     rows = looks.where(~hidden_or_temporary(name))
     if extensions:
         rows = rows.where(F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).isin(extensions))
     rows = rows.select(F.col("tick").cast("long"), "path", F.col("size").cast("long").alias("size_"), F.col("modified").cast("double"))
-    return rows.groupBy("path").applyInPandasWithState(_emit, OUT, STATE, "append", "NoTimeout")
+    work = functools.partial(_emit, baseline=baseline, forget_ms=forget_ms)
+    return rows.groupBy("path").applyInPandasWithState(work, OUT, STATE, "append", "ProcessingTimeTimeout")
 
 
 def run_each(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "3 seconds"):
