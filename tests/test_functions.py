@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from weir.functions import media as X
 from weir.functions import names as N
 from weir.functions import text as T
 from weir.functions import values as V
@@ -134,3 +135,22 @@ def test_dated_folder(spark):
     assert at("d", "{year}/{month} - {monthname}") == "2026/07 - July"
     assert at("d", "{kind}/{year}-{mon}-{day} {weekday}") == "Videos/2026-Jul-12 Sunday"
     assert at("d", "{ext}") == "jpg" and at("e", "{year}") == "No date"
+
+
+def test_templates_and_numbers_that_are_none(spark):
+    assert N.folder_template_problem("{year}/{month} - {monthname}") is None and "Unknown" in N.folder_template_problem("{n}")
+    assert N.folder_template_problem("same") and N.folder_template_problem("") and N.folder_template_problem("{year}:x") and not N.folder_template_problem("{date}/x")
+    row = spark.range(1).select(X.clamped(F.lit("x"), 1, 9, 5), X.clamped(F.lit("70"), 1, 9, 5), X.target_bytes(F.lit("y")), X.target_bytes(F.lit("0"))).first()
+    assert tuple(row) == (5, 9, 500 * 1024, 1024)
+
+
+def test_dated_folders_compile(spark):
+    try:
+        spark.conf.set("spark.sql.codegen.fallback", "false")
+        spark.conf.set("spark.sql.codegen.factoryMode", "CODEGEN_ONLY")
+        when = F.current_timestamp()
+        made = spark.range(3).select(N.dated_folder(when, "{year}/{month} - {monthname}/{kind}/{weekday}", F.lit("JPG"), F.concat(F.col("id").cast("string"), F.lit("x"))).alias("f"))
+        assert made.count() == 3 and made.first().f.count("/") == 3
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+        spark.conf.unset("spark.sql.codegen.factoryMode")

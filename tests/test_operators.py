@@ -151,14 +151,56 @@ MARKDOWN = "# Title\n\nSome **bold** and *it* `c` [l](u)\nmore\n\n## Sub\n- a\n-
 
 
 def test_markdown(spark):
-    blocks = documents.parse_markdown(MARKDOWN)
-    assert [b["kind"] for b in blocks] == ["heading", "para", "heading", "bullet", "bullet", "bullet", "number", "number", "quote", "table", "code"]
-    assert blocks[5]["level"] == 1 and blocks[9]["rows"] == [["h", "k"], ["1", "2"]]
-    html = spark.createDataFrame([(MARKDOWN,)], "t string").select(documents.converted("t", "html")).first()[0]
-    assert "<strong>bold</strong>" in html and "<ul>\n<li>a</li>\n<li>b</li>\n<ul>\n<li>c</li>\n</ul>\n</ul>\n<ol>" in html
-    assert "1. x\n2. y" in documents.to_text(blocks) and "1. x\n\n1. y" in documents.to_markdown(blocks)
-    assert documents.inline("**a *b* c**d") == [("a ", True, False, False, ""), ("b", True, True, False, ""), (" c", True, False, False, ""), ("d", False, False, False, "")]
-    assert documents.parse_markdown("") == [] and documents.to_html([]) == ""
+    docs = spark.createDataFrame([(1, MARKDOWN), (2, ""), (3, None), (4, " \n\r\n")], "doc_id int, text string")
+    blocks = documents.markdown_blocks(docs)
+    got = blocks.orderBy("place").collect()
+    assert {r.doc_id for r in got} == {1} and [r.place for r in got] == list(range(11))
+    assert [r.kind for r in got] == ["heading", "para", "heading", "bullet", "bullet", "bullet", "number", "number", "quote", "table", "code"]
+    assert got[5].level == 1 and got[9].rows == [["h", "k"], ["1", "2"]] and got[1].text == "Some **bold** and *it* `c` [l](u) more" and got[10].text == "code *x*"
+    said = {to: documents.converted(docs, to).first().text for to in ("txt", "md", "html")}
+    assert said["txt"] == "TITLE\n\nSome bold and it c l more\n\nSub\n\n- a\n- b\n  - c\n1. x\n2. y\n\nsaid\n\nh\tk\n1\t2\n\ncode *x*\n"
+    assert said["md"] == "# Title\n\nSome **bold** and *it* `c` [l](u) more\n\n## Sub\n\n- a\n- b\n  - c\n1. x\n1. y\n\n> said\n\n| h | k |\n| --- | --- |\n| 1 | 2 |\n\n```\ncode *x*\n```\n"
+    assert "<strong>bold</strong> and <em>it</em> <code>c</code> <a href=\"u\">l</a> more</p>" in said["html"]
+    assert "<ul>\n<li>a</li>\n<li>b</li>\n<ul>\n<li>c</li>\n</ul>\n</ul>\n<ol>\n<li>x</li>\n<li>y</li>\n</ol>\n<blockquote>said</blockquote>" in said["html"]
+    assert "<table><thead><tr><th>h</th><th>k</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr></tbody></table>\n<pre><code>code *x*</code></pre>\n</body></html>\n" in said["html"]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("a\n---\nb\r\rc\r\n* * *", [("para", "a"), ("para", "b"), ("para", "c")]),
+        ("# a # ##\n##\n####### x\n#\ty #", [("heading", "a #"), ("para", "## ####### x"), ("heading", "y")]),
+        ("> > said\n>\n  >> more ", [("quote", "said"), ("quote", ""), ("quote", "more")]),
+        ("```\n# a\n\n  ```x\nb", [("code", "# a\n"), ("para", "b")]),
+        ("x\n```\n|a|\n|-|--", [("para", "x"), ("code", "|a|\n|-|--")]),
+        ("a | b\n--- | ---\nc", [("para", "a | b --- | --- c")]),
+        ("|a|\n--- | ---\n|b|\n--|--\n|c|\n| :--: |\n|d\\|e|", [("table", [["a"], ["b"]]), ("para", "--|--"), ("table", [["c"], ["d\\", "e"]])]),
+        ("|a|\n|--|\n|--|\nx|y", [("table", [["a"], ["--"]]), ("para", "x|y")]),
+        ("|x|\n|a|\n---", [("para", "|x|"), ("table", [["a"]])]),
+        ("|a|\n|b|", [("para", "|a| |b|")]),
+        ("\t- a\n  + b\n-c\n- \n12) d\n1.e", [("bullet", "a"), ("bullet", "b"), ("para", "-c"), ("bullet", ""), ("number", "d"), ("para", "1.e")]),
+    ],
+)
+def test_markdown_lines(spark, text, want):
+    got = documents.markdown_blocks(spark.createDataFrame([(1, text)], "doc_id int, text string")).orderBy("place").collect()
+    assert [(r.kind, r.rows if r.kind == "table" else r.text) for r in got] == want
+
+
+def test_runs():
+    plain = lambda t: (t, False, False, False, "")
+    assert documents.runs_of("**a *b* c**d") == [("a ", True, False, False, ""), ("b", True, True, False, ""), (" c", True, False, False, ""), plain("d")]
+    assert documents.runs_of("") == [] and documents.runs_of("2 * 3 * 4 a_b [x] (y) [x]( y) `` *") == [plain("2 * 3 * 4 a_b [x] (y) [x]( y) `` *")]
+    assert documents.runs_of("_a `b`_ [c *d*](e) **x") == [("a ", False, True, False, ""), ("b", False, True, True, ""), plain(" "), ("c *d*", False, False, False, "e"), plain(" **x")]
+    assert documents.runs_of("***a***") == [("*a", True, False, False, ""), plain("*")] and documents.runs_of("**a*") == [("*a", False, True, False, "")]
+
+
+def test_rendered_runs(spark):
+    rows = spark.createDataFrame([(1, "- ** a ** `x|y` <b> & [\"q\"](u&v)\n  1. z\n      - deep\n- end\n\ntext\n1. one\n\n|a|b\n|--|--\n|c")], "doc_id int, text string")
+    said = {to: documents.converted(rows, to).first().text for to in ("txt", "md", "html")}
+    assert said["txt"] == "-  a  x|y <b> & \"q\"\n  1. z\n      - deep\n- end\n\ntext\n\n1. one\n\na\tb\nc\n"
+    assert said["md"] == "-  **a**  `x|y` <b> & [\"q\"](u&v)\n  1. z\n      - deep\n- end\n\ntext\n\n1. one\n\n| a | b |\n| --- | --- |\n| c |  |\n"
+    body = said["html"].split("<body>\n")[1]
+    assert body.startswith('<ul>\n<li><strong> a </strong> <code>x|y</code> &lt;b&gt; &amp; <a href="u&amp;v">&quot;q&quot;</a></li>\n<ol>\n<li>z</li>\n<ul>\n<ul>\n<li>deep</li>\n</ul>\n</ul>\n</ol>\n<li>end</li>\n</ul>\n<p>text</p>\n<ol>\n<li>one</li>\n</ol>\n<table>')
 
 
 def test_cells_left(spark):
@@ -248,13 +290,22 @@ def test_page_tables(spark):
     assert {(r.queue, r.page, r.place) for r in intervals.concatenated(pages).collect()} == {(1, 1, 1), (1, 2, 2), (3, 1, 3)}
 
 
-def test_translate_keeps_the_shape():
+def test_translate_keeps_the_shape(spark):
     from weir.operators import translate
 
-    up = [lambda said: [s.upper() for s in said]]
-    assert translate.translated_text("# a b\n\n- one\n- two\n\nSaid. And\nmore", up) == "# A B\n\n- ONE\n- TWO\n\nSAID. AND MORE"
+    def up():
+        return [lambda said: [s.upper() for s in said]]
+
+    texts = {
+        "# a b\n\n- one\n- two\n\nSaid. And\nmore": "# A B\n\n- ONE\n- TWO\n\nSAID. AND MORE", "": "", "\n": "\n", " \na": "A", "a\n": "A", "- a\n": "- A\n", "\n\na\r\n \n\n b\n\n": "\n\nA\n \n\nB\n\n",
+        "- a\nb": "- A B", "> a\n> \n1) c d": "> A\n> \n1) C D", "x  y": "X Y", None: None,
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.text for r in translate.translated_text(rows, up).collect()}
+    assert got == dict(enumerate(texts.values()))
     srt = "1\n00:00:01,000 --> 00:00:02,000\n<i>hi</i>\nyou\n\n2\n00:00:03,000 --> 00:00:04,000\nbye"
-    assert translate.translated_subtitles(srt, up) == "1\n00:00:01,000 --> 00:00:02,000\nHI YOU\n\n2\n00:00:03,000 --> 00:00:04,000\nBYE"
+    said = translate.translated_subtitles(spark.createDataFrame([(1, srt), (2, None)], "id int, text string"), up).orderBy("id").collect()
+    assert said[0].text == "1\n00:00:01,000 --> 00:00:02,000\nHI YOU\n\n2\n00:00:03,000 --> 00:00:04,000\nBYE" and said[1].text is None
 
 
 def test_all_conversations_are_translated(spark, tmp_path):
@@ -278,12 +329,12 @@ def test_all_conversations_are_translated(spark, tmp_path):
 
     texts = ["# A B\n\n- One\n- Two\n\n\nSaid.  And\nMore ", "1) X\r\n2) Y", "> Q\n \n\u00c9T\u00c9", " A", "", "Plain", "\n\nZ"]
     spark.createDataFrame([(1, k, "user", x) for k, x in enumerate([*texts, None])], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {r.turn: r.text for r in entry.queries()["translated_all"](spark, str(tmp_path)).collect()}
+    got = {r.turn: r.text for r in entry.queries()["translated"](spark, str(tmp_path)).collect()}
     assert got == dict(enumerate([*map(brute, texts), None]))
     assert got[0] == "# a b\n\n- one\n- two\n\n\nsaid. and more"
     tables = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{tables}/conversations.parquet").collect()
-    assert sorted(map(tuple, entry.queries()["translated_all"](spark, tables).collect())) == sorted((r.conv_id, r.turn, brute(r.text)) for r in rows)
+    assert sorted(map(tuple, entry.queries()["translated"](spark, tables).collect())) == sorted((r.conv_id, r.turn, brute(r.text)) for r in rows)
 
 
 

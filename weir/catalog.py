@@ -22,6 +22,7 @@ from .operators import summaries as S
 from .operators import tables as B
 from .operators import translate as L
 from .plans import recipes as R
+from .sources import files as Z
 from .streaming import watch as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,10 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def _sql_text(said: str) -> str:
+    return "'" + said.replace("'", "''") + "'"
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Callable], Callable]:
     """Registers a function of a table reader; ``sql`` gives the same rows."""
 
@@ -41,6 +46,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable], Callable]:
     return add
 
 
+#: White space in the oracle's expressions, as the operators count it.
+_IN = r"\s\p{Z}\x0b\x1c-\x1f\x85"
+_WS = f"[{_IN}]"
+
+
 # ---------------------------------------------------------------- duplicates
 def _files(t) -> DataFrame:
     d = t("documents")
@@ -249,20 +259,102 @@ def _(t):
     return t("pages").groupBy(F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host")).agg(F.count("*").alias("n"))
 
 
-@query("render_markdown", "SELECT doc_id, '# ' || source || chr(10) || chr(10) || trim(text, ' ' || chr(10)) || chr(10) AS md FROM documents WHERE text = trim(text, ' ' || chr(10)) AND length(text) > 0 AND instr(text, chr(10) || chr(10)) = 0")
+@query("render_markdown", rf"""
+WITH b AS (SELECT doc_id, source, list_filter(string_split(regexp_replace(regexp_replace(text, '^{_WS}+', ''), '{_WS}+$', ''), chr(10) || chr(10)), lambda p: regexp_matches(p, '[^{_IN}]')) AS b FROM documents)
+SELECT doc_id, '# ' || source || chr(10) || chr(10) || array_to_string(b, chr(10) || chr(10)) || chr(10) AS md FROM b""")
 def _(t):
-    d = t("documents").where((T.strip("text") == F.col("text")) & (F.length("text") > 0) & ~F.col("text").contains("\n\n"))
+    d = t("documents")
     return d.select("doc_id", T.rendered("text", F.col("source"), "md").alias("md"))
 
 
-@query("clean_text")
+def _quoted(text: str) -> str:
+    return " || ".join(f"chr({ord(c)})" for c in text)
+
+
+_LINES = "SELECT doc_id, unnest(string_split(c, chr(10))) AS line, unnest(range(len(string_split(c, chr(10))))) AS pos FROM c"
+#: The fold over a paragraph's lines is a recursion; characters that both sides replace are few and named.
+_CLEAN = rf"""
+WITH RECURSIVE c AS (SELECT doc_id, replace(translate(replace(replace(replace(translate(nfc_normalize(text), {_quoted(T.INVISIBLE)}, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(9), '    '), {_quoted(T.QUOTES)}, {_quoted(T.STRAIGHT)}), '…', '...') AS c FROM documents WHERE text IS NOT NULL),
+l AS ({_LINES}),
+y AS (SELECT doc_id, pos, regexp_replace(regexp_replace(regexp_replace(line, '[ \x{{a0}}]{{2,}}', ' ', 'g'), '^{_WS}+', ''), '{_WS}+$', '') AS line FROM l),
+-- a blank line ends a paragraph
+p AS (SELECT doc_id, pos, line, sum(CASE WHEN line = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS para FROM y),
+n AS (SELECT doc_id, para, line, row_number() OVER (PARTITION BY doc_id, para ORDER BY pos) AS k FROM p WHERE line <> ''),
+f(doc_id, para, k, o) AS (SELECT doc_id, para, k, line FROM n WHERE k = 1 UNION ALL
+  SELECT n.doc_id, n.para, n.k, CASE
+    WHEN regexp_matches(n.line, '^([-*•]|[0-9]+[.)])\s') OR f.o LIKE '%:' OR (length(f.o) < 40 AND regexp_matches(f.o, '[.!?]$')) THEN f.o || chr(10) || n.line
+    WHEN f.o LIKE '%-' AND f.o NOT LIKE '% -' AND regexp_matches(n.line, '^\p{{Ll}}') THEN left(f.o, length(f.o) - 1) || n.line
+    ELSE f.o || ' ' || n.line END
+  FROM f JOIN n ON n.doc_id = f.doc_id AND n.para = f.para AND n.k = f.k + 1),
+e AS (SELECT doc_id, para, arg_max(o, k) AS o FROM f GROUP BY doc_id, para),
+g AS (SELECT doc_id, string_agg(o, chr(10) || chr(10) ORDER BY para) AS o FROM e GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o, '') || chr(10) END AS text FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id"""
+
+
+@query("clean_text", _CLEAN)
 def _(t):
     return t("documents").select("doc_id", T.clean("text").alias("text"))
 
 
-@query("markdown_blocks")
+_BLOCKS = rf"""
+WITH c AS (SELECT doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') AS c FROM documents),
+l AS ({_LINES}),
+s AS (SELECT *, regexp_replace(regexp_replace(line, '^{_WS}+', ''), '{_WS}+$', '') AS s FROM l),
+f AS (SELECT *, s LIKE '```%' AS fence, sum(CASE WHEN s LIKE '```%' THEN 1 ELSE 0 END) OVER w % 2 = 1 AS code,
+        coalesce(regexp_full_match(lead(line) OVER w, '{_WS}*\|?{_WS}*:?-{{2,}}:?{_WS}*(\|{_WS}*:?-{{2,}}:?{_WS}*)*\|?{_WS}*'), false) AS after FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+i AS (SELECT *, NOT fence AND NOT code AND s LIKE '|%' AS pipe FROM f),
+r AS (SELECT *, pipe AND NOT coalesce(lag(pipe) OVER w, false) AS first FROM i WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+r2 AS (SELECT *, CASE WHEN pipe THEN sum(CASE WHEN first THEN 1 ELSE 0 END) OVER w END AS run FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+h AS (SELECT *, CASE WHEN pipe THEN min(CASE WHEN after THEN pos END) OVER (PARTITION BY doc_id, run) END AS head FROM r2),
+t AS (SELECT *, CASE WHEN pipe AND pos >= head THEN head END AS tab FROM h),
+t2 AS (SELECT *, CASE WHEN pipe THEN tab WHEN NOT code AND NOT fence THEN lag(CASE WHEN tab = pos THEN pos END) OVER w END AS in_table FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+k AS (SELECT *, CASE WHEN code THEN 'code' WHEN fence OR s = '' THEN '' WHEN regexp_matches(s, '^#{{1,6}}{_WS}') THEN 'heading' WHEN in_table IS NOT NULL THEN 'table'
+        WHEN regexp_full_match(regexp_replace(s, '{_WS}', '', 'g'), '-{{3,}}|\*{{3,}}|_{{3,}}') THEN '' WHEN regexp_matches(line, '^{_WS}*[-*+]{_WS}+') THEN 'bullet'
+        WHEN regexp_matches(line, '^{_WS}*[0-9]+[.)]{_WS}+') THEN 'number' WHEN s LIKE '>%' THEN 'quote' ELSE 'para' END AS kind FROM t2),
+b AS (SELECT *, sum(CASE WHEN kind <> '' AND (CASE kind WHEN 'code' THEN fence WHEN 'table' THEN in_table = pos WHEN 'para' THEN coalesce(kind_before <> 'para', true) ELSE true END) THEN 1 ELSE 0 END) OVER w AS block FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) AS kind_before FROM k) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+x AS (SELECT *, CASE kind WHEN 'code' THEN CASE WHEN NOT fence THEN line END WHEN 'heading' THEN regexp_replace(regexp_replace(s, '^#{{1,6}}{_WS}+', ''), '{_WS}*#*$', '')
+        WHEN 'quote' THEN regexp_replace(regexp_replace(s, '^[> ]+', ''), '^{_WS}+', '') WHEN 'para' THEN s WHEN 'table' THEN NULL ELSE regexp_replace(line, '^{_WS}*([-*+]|[0-9]+[.)]){_WS}+', '') END AS body,
+      CASE WHEN kind = 'heading' THEN length(regexp_extract(s, '^#+')) WHEN kind IN ('bullet', 'number') THEN length(replace(regexp_extract(line, '^{_WS}*'), chr(9), '    ')) // 2 ELSE 0 END AS level FROM b WHERE kind <> '')
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS INTEGER) AS place, any_value(kind) AS kind, CAST(min(level) AS INTEGER) AS level,
+  coalesce(CASE WHEN any_value(kind) = 'code' THEN string_agg(body, chr(10) ORDER BY pos) ELSE string_agg(body, ' ' ORDER BY pos) END, '') AS text FROM x GROUP BY doc_id, block"""
+
+
+@query("markdown_blocks", _BLOCKS)
 def _(t):
-    return t("documents").select("doc_id", F.posexplode(M.markdown_blocks("text")).alias("place", "b")).select("doc_id", "place", "b.kind", "b.level", "b.text")
+    return M.markdown_blocks(t("documents")).select("doc_id", "place", "kind", "level", "text")
+
+
+def _leaflets(t) -> DataFrame:
+    """A Markdown text for each part, made of its columns."""
+    p, lines = F.col("p_partkey").cast("string"), []
+    for piece in ("# ", "p_name", "\n\nBrand **", "p_brand", "** of *", "p_brand", "*\nand `", "p_type", "` <b>\n- one\n  - [", p, "](u/", p, ")\n3. ", "p_brand", "\n3. b\n\n> ", "p_brand", "\n\n|a|", "p_brand", "|\n|--|--|\n|", p, "\n***\n```\n", "p_type", " *x*\n```\nend"):
+        lines.append(piece if not isinstance(piece, str) else F.col(piece) if piece.startswith("p_") else F.lit(piece))
+    return t("part").select(F.col("p_partkey").alias("doc_id"), F.concat(*lines).alias("text"))
+
+
+_LF = "chr(10)"
+_HTML = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
+
+
+def _leaflet_sql(*pieces: str) -> str:
+    said = [x if x.startswith(("p_", "upper(", "k.", "replace(")) or x == "CAST(p_partkey AS VARCHAR)" else "'" + x.replace("'", "''").replace("\n", f"' || {_LF} || '") + "'" for x in pieces]
+    return f"SELECT p_partkey AS doc_id, {' || '.join(said)} AS text FROM part"
+
+
+_P = "CAST(p_partkey AS VARCHAR)"
+_H = _HTML.format
+for _to, _sql in {
+    "txt": _leaflet_sql("upper(p_name)", "\n\nBrand ", "p_brand", " of ", "p_brand", " and ", "p_type", " <b>\n\n- one\n  - ", _P, "\n1. ", "p_brand", "\n2. b\n\n", "p_brand", "\n\na\t", "p_brand", "\n", _P, "\n\n", "p_type", " *x*\n\nend\n"),
+    "md": _leaflet_sql("# ", "p_name", "\n\nBrand **", "p_brand", "** of *", "p_brand", "* and `", "p_type", "` <b>\n\n- one\n  - [", _P, "](u/", _P, ")\n1. ", "p_brand", "\n1. b\n\n> ", "p_brand", "\n\n| a | ", "p_brand", " |\n| --- | --- |\n| ", _P, " |  |\n\n```\n", "p_type", " *x*\n```\n\nend\n"),
+    "html": _leaflet_sql('<!doctype html>\n<html><head><meta charset="utf-8"><title></title><style>' + M.STYLE + "</style></head>\n<body>\n<h1>", _H("p_name"), "</h1>\n<p>Brand <strong>", _H("p_brand"), "</strong> of <em>", _H("p_brand"), "</em> and <code>", _H("p_type"), '</code> &lt;b&gt;</p>\n<ul>\n<li>one</li>\n<ul>\n<li><a href="u/', _P, '">', _P, "</a></li>\n</ul>\n</ul>\n<ol>\n<li>", _H("p_brand"), "</li>\n<li>b</li>\n</ol>\n<blockquote>", _H("p_brand"), "</blockquote>\n<table><thead><tr><th>a</th><th>", _H("p_brand"), "</th></tr></thead><tbody><tr><td>", _P, "</td></tr></tbody></table>\n<pre><code>", _H("p_type"), " *x*</code></pre>\n<p>end</p>\n</body></html>\n"),
+}.items():
+    query(f"markdown_to_{_to}", _sql)(lambda t, to=_to: M.converted(_leaflets(t), to))
+
+
+@query("inline_runs", "WITH r AS (SELECT n_nationkey, unnest([{'k': 0, 'x': replace(n_name, '_', '-'), 'b': true, 'i': false}, {'k': 1, 'x': ' and ', 'b': false, 'i': false}, {'k': 2, 'x': replace(lower(n_name), '_', '-'), 'b': false, 'i': true}]) AS r FROM nation) SELECT n_nationkey, CAST(r.k AS INTEGER) AS place, r.x AS text, r.b AS bold, r.i AS italic FROM r")
+def _(t):
+    runs = M.runs(F.concat(F.lit("__"), F.translate("n_name", "_", "-"), F.lit("__ and *"), F.translate(F.lower("n_name"), "_", "-"), F.lit("*")))
+    return t("nation").select("n_nationkey", F.posexplode(runs).alias("place", "r")).select("n_nationkey", "place", "r.text", "r.bold", "r.italic")
 
 
 @query("paragraphs", r"SELECT doc_id, trim(regexp_replace(text, '\s*\n\s*', ' ', 'g')) AS para FROM documents WHERE length(trim(text)) > 0")
@@ -317,9 +409,9 @@ def _(t):
     return P.free_names(t("customer").select(F.col("c_custkey").alias("seq"), F.col("c_mktsegment").alias("base"))).select("seq", "base", "name")
 
 
-@query("extension_filter", "SELECT nation.n_nationkey, '.' || lower(n_name) AS ext FROM nation WHERE instr(n_name, ' ') = 0")
+@query("extension_filter", "SELECT n_nationkey, unnest(list_transform(string_split(lower(n_name), ' '), lambda x: '.' || x)) AS ext FROM nation")
 def _(t):
-    return t("nation").where("instr(n_name, ' ') = 0").select("n_nationkey", F.explode(N.extensions(F.concat(F.lit(" ,;."), F.col("n_name"), F.lit("; ")))).alias("ext"))
+    return t("nation").select("n_nationkey", F.explode(N.extensions(F.concat(F.lit(" ,;."), F.col("n_name"), F.lit("; ")))).alias("ext"))
 
 
 @query("unsafe_paths", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'an absolute path' WHEN page_id % 3 = 1 THEN 'a path that climbs out of the folder' ELSE '' END AS reason FROM pages")
@@ -420,11 +512,130 @@ def _(t):
     return I.chunks(t("orders"), 3, key="o_custkey", order="o_orderkey").select("o_orderkey", "chunk")
 
 
-@query("transcript_paragraphs")
+@query("transcript_paragraphs", f"""WITH RECURSIVE {_SILENCE},
+q AS (SELECT key, row_number() OVER w AS k, 'Said ' || CAST(seq AS VARCHAR) || '.' AS text, coalesce(lead(a) OVER w - b > 1.5, false) AS gap FROM i WINDOW w AS (PARTITION BY key ORDER BY seq)),
+f(key, k, n, said, done) AS (SELECT key, k, 0, text, length(text) > 280 OR gap FROM q WHERE k = 1 UNION ALL
+  SELECT q.key, q.k, CASE WHEN f.done THEN f.n + 1 ELSE f.n END, CASE WHEN f.done THEN q.text ELSE f.said || ' ' || q.text END, length(CASE WHEN f.done THEN q.text ELSE f.said || ' ' || q.text END) > 280 OR q.gap
+  FROM f JOIN q ON q.key = f.key AND q.k = f.k + 1)
+SELECT key, n, arg_max(said, k) AS text FROM f GROUP BY key, n""")
 def _(t):
     return I.transcript_paragraphs(_segments(t).withColumn("text", F.concat(F.lit("Said "), F.col("seq").cast("string"), F.lit("."))))
 
 
+# ------------------------------------------------- operators over one table's rows in two roles
+@query("subtitles_found", "SELECT '/m/films' AS folder, 's' || CAST(s_suppkey AS VARCHAR) AS stem, CASE WHEN s_suppkey % 2 = 0 THEN '/m/films' ELSE '/m/subs' END AS subtitle_folder, 's' || CAST(s_suppkey AS VARCHAR) || CASE WHEN s_suppkey % 2 = 0 THEN '.en' ELSE '' END AS subtitle FROM supplier WHERE s_suppkey % 3 > 0")
+def _(t):
+    s, stem = t("supplier"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    subs = s.where("s_suppkey % 3 > 0 and s_suppkey % 2 = 0").select(F.lit("/m/films").alias("folder"), F.concat(stem, F.lit(".en")).alias("stem"))
+    subs = subs.unionByName(s.where("s_suppkey % 3 > 0").select(F.lit("/m/subs").alias("folder"), stem.alias("stem"))).unionByName(s.select(F.lit("/x/subs").alias("folder"), stem.alias("stem")))
+    return J.subtitles_for(s.select(F.lit("/m/films").alias("folder"), stem.alias("stem")), subs)
+
+
+@query("targets_taken", "SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'A file or folder with this name is already there' ELSE '' END AS problem FROM customer")
+def _(t):
+    c, key = t("customer"), F.col("c_custkey").cast("string")
+    plan = c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("string").alias("parent"), F.concat(F.lit("old "), key).alias("name"), F.concat(F.lit("New "), key).alias("new_name"), F.lit("").alias("problem"))
+    there = c.where("c_custkey % 4 = 0").select(F.col("c_nationkey").cast("string").alias("parent"), F.concat(F.lit("NEW "), key).alias("name"))
+    return P.taken(plan, there).select("id", "problem")
+
+
+@query("media_there", "WITH f AS (SELECT o_custkey AS stem, CASE o_orderkey % 3 WHEN 0 THEN '.mp4' WHEN 1 THEN '.mp3' ELSE '.MKV' END AS suffix, o_orderkey % 50 AS size FROM orders), g AS (SELECT stem, suffix, size, row_number() OVER (PARTITION BY stem ORDER BY CASE WHEN lower(suffix) IN ('.mp4', '.mkv') THEN 0 ELSE 1 END, size DESC, suffix) AS r FROM f WHERE size > 0 AND stem % 2 = 0) SELECT stem, suffix, size FROM g WHERE r = 1")
+def _(t):
+    suffix = F.when(F.col("o_orderkey") % 3 == 0, ".mp4").when(F.col("o_orderkey") % 3 == 1, ".mp3").otherwise(".MKV")
+    files = t("orders").select(F.col("o_custkey").alias("stem"), suffix.alias("suffix"), (F.col("o_orderkey") % 50).alias("size"))
+    return J.existing_media(t("customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("stem")), files, [".mp4", ".mkv"])
+
+
+@query("newest_file", "WITH f AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 100 DESC, CAST(o_orderkey AS VARCHAR)) AS r FROM orders WHERE o_orderstatus <> 'P') SELECT o_custkey, o_orderkey FROM f WHERE r = 1")
+def _(t):
+    files = t("orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 100).alias("modified"), F.col("o_orderkey").cast("string").alias("name"), F.col("o_orderstatus").alias("suffix"))
+    return J.newest(files, "o_custkey", ["p"]).select("o_custkey", "o_orderkey")
+
+
+@query("silences", "SELECT o_custkey AS key, o_orderkey AS seq, CAST(CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_orderkey END AS DOUBLE) AS start, CASE WHEN r = 1 THEN 1e9 ELSE o_orderkey + 0.5 END AS \"end\" FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders)")
+def _(t):
+    o = t("orders").withColumn("r", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey"))))
+    start = F.when(F.col("o_orderkey") % 7 == 0, "-0.25").otherwise(F.col("o_orderkey").cast("string"))
+    lines = F.array(F.concat(F.lit("[x] silence_start: "), start), F.lit("frame=1"), F.when(F.col("r") > 1, F.concat(F.lit("silence_end: "), F.col("o_orderkey").cast("string"), F.lit(".5 | silence_duration: 1"))))
+    log = o.select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("k"), F.posexplode(lines).alias("p", "line")).where("line is not null")
+    log = log.select("key", (F.col("k") * 3 + F.col("p")).alias("seq"), "line")
+    found = Z.silences(log, t("orders").groupBy(F.col("o_custkey").alias("key")).agg(F.lit(1e9).alias("duration")))
+    return found.select("key", (F.col("seq") / 3).cast("long").alias("seq"), "start", "end")
+
+
+_GOES = "CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END"
+
+
+def _pages(t) -> DataFrame:
+    return t("orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("page"), "o_orderstatus")
+
+
+@query("pages_left", f"SELECT o_custkey AS doc, CAST(sum({_GOES}) AS BIGINT) AS pages, CASE WHEN sum({_GOES}) = 0 THEN 'That would delete every page: nothing would be left.' ELSE '' END AS problem FROM orders GROUP BY o_custkey")
+def _(t):
+    return I.left_after(_pages(t).select("doc", "page"), _pages(t).where("o_orderstatus = 'F'"))
+
+
+@query("pages_without", "SELECT o_custkey AS doc, o_orderkey AS page FROM orders WHERE o_orderstatus <> 'F'")
+def _(t):
+    return I.without_pages(_pages(t).select("doc", "page"), _pages(t).where("o_orderstatus = 'F'").select("doc", "page"))
+
+
+@query("pages_concatenated", "SELECT o_custkey AS queue, o_orderkey AS page, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS place FROM orders WHERE o_custkey % 3 > 0")
+def _(t):
+    pages = t("orders").select(F.col("o_custkey").alias("queue"), F.col("o_orderkey").alias("page"), (F.col("o_custkey") % 3 > 0).alias("ok"))
+    return I.concatenated(pages).select("queue", "page", F.col("place").cast("long").alias("place"))
+
+
+@query("union_distinct", "WITH u AS (SELECT c_nationkey AS k, 0 AS f, c_custkey AS seq FROM customer WHERE c_nationkey < 15 UNION ALL SELECT s_nationkey, 1, s_suppkey FROM supplier), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY f, seq) AS r FROM u) SELECT k, seq FROM r WHERE r = 1")
+def _(t):
+    one = t("customer").where("c_nationkey < 15").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("seq"))
+    return D.union_distinct([one, t("supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("seq"))], F.col("k")).select("k", "seq")
+
+
+@query("below_the_common_folder", "SELECT o_orderkey, o_orderstatus || '/' || CAST(o_orderkey AS VARCHAR) AS relative FROM orders")
+def _(t):
+    return D.relative_to_root(t("orders").select("o_orderkey", F.concat(F.lit("/m/x/"), "o_orderstatus", F.lit("/"), F.col("o_orderkey").cast("string")).alias("path"))).select("o_orderkey", "relative")
+
+
+@query("hidden_names", "SELECT o_orderkey, o_orderkey % 4 < 3 AS hidden FROM orders")
+def _(t):
+    name = F.concat(F.when(F.col("o_orderkey") % 4 == 0, ".").when(F.col("o_orderkey") % 4 == 1, "~$").otherwise("x"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 4 == 2, ".PART").otherwise(".mp4"))
+    return t("orders").select("o_orderkey", N.hidden_or_temporary(name).alias("hidden"))
+
+
+@query("trims", "SELECT l_orderkey, l_linenumber, CAST(least(l_quantity, 30) - 2 AS DOUBLE) AS seconds FROM lineitem")
+def _(t):
+    return t("lineitem").select("l_orderkey", "l_linenumber", V.trimmed(F.lit(2.0), F.col("l_quantity").cast("double"), F.lit(30.0)).alias("seconds"))
+
+
+@query("clamps", "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 7 ELSE greatest(100, least(5000, o_orderkey)) END AS INTEGER) AS side FROM orders")
+def _(t):
+    return t("orders").select("o_orderkey", X.clamped(F.when(F.col("o_orderkey") % 5 == 0, "x").otherwise(F.col("o_orderkey").cast("string")), 100, 5000, 7).alias("side"))
+
+
+@query("names_without_number", "SELECT o_orderkey, 'order ' || o_orderstatus AS name FROM orders")
+def _(t):
+    return t("orders").select("o_orderkey", N.without_number(F.concat(F.lit(" "), F.col("o_orderkey").cast("string"), F.lit(" - order "), "o_orderstatus")).alias("name"))
+
+
+@query("typed_rows", "SELECT p_partkey AS row_no, CASE WHEN p_partkey % 2 = 0 THEN ['int', 'float', 'text'] ELSE ['int', 'text', 'float'] END AS kinds FROM part")
+def _(t):
+    rows = t("part").select(F.col("p_partkey").alias("row_no"), F.when(F.col("p_partkey") % 2 == 0, ";").otherwise(",").alias("delimiter"), F.array(F.col("p_partkey").cast("string"), F.lit("1,5"), F.lit("1.5")).alias("cells"))
+    return Z.typed_rows(rows).select("row_no", F.transform("cells", lambda c: c["kind"]).alias("kinds"))
+
+
+@query("page_specs", "SELECT o_orderkey, ['', chr(39) || 'x-2' || chr(39) || ' is not a page or a range. Write for example  1-3,7  or  5-end', 'Pages are counted from 1.', ''][o_orderkey % 4 + 1] AS problem FROM orders")
+def _(t):
+    spec = F.get(F.array(*map(F.lit, ["1-3, 7;5-end", "1, x-2", "3-0", " ; last"])), (F.col("o_orderkey") % 4).cast("int"))
+    return t("orders").select("o_orderkey", I.page_spec_problem(spec).alias("problem"))
+
+
+@query("ocr_text", "SELECT n_nationkey, n_name || ' ' || CAST(n_nationkey AS VARCHAR) || chr(10) || chr(10) || 'below' AS text FROM nation")
+def _(t):
+    word = lambda text, left, top: F.struct(text.alias("text"), F.lit(left).alias("left"), F.lit(top).alias("top"), F.lit(left + 10.0).alias("right"), F.lit(top + 10.0).alias("bottom"))
+    return t("nation").select("n_nationkey", M.words_to_text(F.array(word(F.lit("below"), 0.0, 60.0), word(F.col("n_nationkey").cast("string"), 50.0, 1.0), word(F.col("n_name"), 0.0, 0.0))).alias("text"))
+
+
 @query("srt_lines", f"WITH {_SILENCE}, m AS (SELECT key, seq, CAST(round(a * 1000) AS BIGINT) AS a, CAST(round(b * 1000) AS BIGINT) AS b FROM i) SELECT key, seq AS n, CAST(seq AS VARCHAR) || chr(10) || printf('%02d:%02d:%02d,%03d', a // 3600000, a % 3600000 // 60000, a % 60000 // 1000, a % 1000) || ' --> ' || printf('%02d:%02d:%02d,%03d', b // 3600000, b % 3600000 // 60000, b % 60000 // 1000, b % 1000) || chr(10) || 'x' || chr(10) AS block FROM m")
 def _(t):
     return I.srt(_segments(t).withColumn("text", F.lit("x"))).withColumn("n", F.col("n").cast("long"))
@@ -523,13 +734,17 @@ def _(t):
     return J.combined(rows, ["o_custkey"]).withColumn("names", F.array_join("names", "|"))
 
 
-_MESSAGES = ["Private video", "getaddrinfo failed", "HTTP Error 429", "it broke"]
+_SAID = {
+    "ERROR: Private video": 0, "Video unavailable": 1, "This content may be age restricted": 2, "Please confirm your age": 2, "Unsupported URL: x": 3, "HTTP Error 429": 4, "Sign in to confirm": 5, "getaddrinfo failed": 6, "SSL broke": 6,
+    "please confirm you are on the latest version": 7, "The requested format is not available": 1, "Merging of multiple formats": 9, "ffmpeg is not installed": 9, "it broke\nhere": None, "ffmpeg: bad\nhere": None, "ERROR: ": None,
+}
+_MEANT = [J.DOWNLOAD_ERRORS[k][1] if k is not None else {"it": "it broke", "ff": "FFmpeg reported a problem: ffmpeg: bad", "ER": "Unknown download error."}[m[:2]] for m, k in _SAID.items()]
 
 
-@query("error_class", "SELECT event_id, ['This video is private.', 'The site could not be reached. Check the internet connection, a VPN, or a firewall.', 'The site is rate-limiting this computer. Wait a few minutes and retry.', 'it broke'][event_id % 4 + 1] AS said, event_id % 4 = 2 AS blocked FROM events")
+@query("error_class", f"SELECT event_id, [{', '.join(_sql_text(m) for m in _MEANT)}][event_id % {len(_MEANT)} + 1] AS said, event_id % {len(_MEANT)} IN ({', '.join(str(k) for k, m in enumerate(_SAID) if '429' in m or 'Sign in' in m)}) AS blocked FROM events")
 def _(t):
-    m = F.get(F.array(*map(F.lit, _MESSAGES)), (F.col("event_id") % 4).cast("int"))
-    return t("events").select("event_id", J.explained(m, J.DOWNLOAD_ERRORS, m).alias("said"), J.is_block(m).alias("blocked"))
+    m = F.get(F.array(*map(F.lit, _SAID)), (F.col("event_id") % len(_SAID)).cast("int"))
+    return t("events").select("event_id", J.download_error(m).alias("said"), J.is_block(m).alias("blocked"))
 
 
 @query("download_checks", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <= 3 THEN 'empty' WHEN l_returnflag = 'A' THEN 'no picture' WHEN l_linestatus = 'F' THEN 'no sound' WHEN l_quantity < 45 THEN 'too short' ELSE '' END AS problem FROM lineitem")
@@ -715,15 +930,34 @@ def _(t):
     return K.codes(K.of_rows(rows, 0, 1), "ean8")
 
 
-@query("translated", "SELECT conv_id, turn, lower(text) AS text FROM conversations WHERE regexp_matches(text, '^[a-zA-Z]') AND instr(text, chr(10)) = 0 AND instr(text, '  ') = 0 AND text = trim(text)")
+_TRANSLATED = rf"""
+WITH l AS (SELECT conv_id, turn, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS line, unnest(range(len(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))))) AS pos FROM conversations),
+b AS (SELECT *, regexp_full_match(line, '{_WS}*') AS blank FROM l),
+g AS (SELECT *, blank AND NOT ((lag(blank) OVER w IS NULL AND NOT coalesce(lead(blank) OVER w, true)) OR (lead(blank) OVER w IS NULL AND NOT coalesce(lag(blank) OVER w, true))) AS gap FROM b WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos)),
+k AS (SELECT *, sum(CASE WHEN gap OR before THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS block FROM (SELECT *, coalesce(lag(gap) OVER (PARTITION BY conv_id, turn ORDER BY pos), true) AS before FROM g)),
+m AS (SELECT *, regexp_extract(line, '^{_WS}*(#{{1,6}}{_WS}+|[-*+]{_WS}+|[0-9]+[.)]{_WS}+|>{_WS}*)?') AS mark FROM k),
+r AS (SELECT *, substr(line, length(mark) + 1) AS rest, NOT regexp_full_match(mark, '{_WS}*') AS marked FROM m),
+d AS (SELECT *, regexp_full_match(rest, '{_WS}*') AS bare FROM r),
+e AS (SELECT *, NOT gap AND count(*) OVER w > 1 AND NOT bool_or(NOT marked AND NOT bare) OVER w AS listed, pos = min(pos) OVER w AS first FROM d WINDOW w AS (PARTITION BY conv_id, turn, block)),
+o AS (SELECT conv_id, turn, pos, CASE WHEN gap OR bare THEN line ELSE mark || lower(trim(regexp_replace(rest, '{_WS}+', ' ', 'g'))) END AS line FROM e WHERE gap OR listed
+  UNION ALL SELECT conv_id, turn, min(pos), coalesce(max(CASE WHEN first AND marked THEN mark END), '') || lower(trim(regexp_replace(string_agg(CASE WHEN first AND marked THEN rest ELSE line END, ' ' ORDER BY pos), '{_WS}+', ' ', 'g'))) FROM e WHERE NOT gap AND NOT listed GROUP BY conv_id, turn, block)
+SELECT c.conv_id, c.turn, CASE WHEN c.text IS NOT NULL THEN x.text END AS text FROM conversations c LEFT JOIN (SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY pos) AS text FROM o GROUP BY conv_id, turn) x ON c.conv_id = x.conv_id AND c.turn = x.turn"""
+
+
+def _lower() -> list:
+    return [lambda said: [s.lower() for s in said]]
+
+
+@query("translated", _TRANSLATED)
 def _(t):
-    one = t("conversations").where(F.col("text").rlike("^[a-zA-Z]") & ~F.col("text").contains("\n") & ~F.col("text").contains("  ") & (F.col("text") == F.trim("text")))
-    return one.select("conv_id", "turn", L.translated("text", lambda: [lambda said: [s.lower() for s in said]]).alias("text"))
+    one = t("conversations").select(F.struct("conv_id", "turn").alias("id"), "text")
+    return L.translated_text(one, _lower).select("id.conv_id", "id.turn", "text")
 
 
-@query("translated_all")
+@query("translated_subtitles", f"SELECT n_nationkey AS id, 'WEBVTT' || {_LF} || {_LF} || '7' || {_LF} || '00:01.000 --> 00:02.500 x' || {_LF} || lower(n_name) || ' is it. and on' || {_LF} || {_LF} || 'NOTE A' || {_LF} || '00:00:03,000 --> 00:00:04,000' || {_LF} || '01:00.000 --> 01:01.000' || {_LF} || 'end' AS text FROM nation")
 def _(t):
-    return t("conversations").select("conv_id", "turn", L.translated("text", lambda: [lambda said: [s.lower() for s in said]]).alias("text"))
+    said = F.concat(F.lit("WEBVTT\r\n\n7\n00:01.000 --> 00:02.500 x\n<i>"), "n_name", F.lit("</i> is it. And\non\n\nNOTE A\n00:00:03,000 --> 00:00:04,000\n01:00.000 --> 01:01.000\nEND"))
+    return L.translated_subtitles(t("nation").select(F.col("n_nationkey").alias("id"), said.alias("text")), _lower)
 
 
 @query("download_formats", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'bestaudio/best' ELSE 'bestvideo[height<=720]+bestaudio/best[height<=720]/best' END AS format FROM nation")
