@@ -40,7 +40,7 @@ class WordIds:
     the distinct words.
     """
 
-    def __init__(self, path: str, words: int = 60_000):
+    def __init__(self, path: str, words: int = 200_000):
         from tokenizers import Tokenizer
 
         tool = Tokenizer.from_file(path)
@@ -230,7 +230,8 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, window: int) -> Iterat
         columns = list(zip(*packer.taken(), strict=True)) or [[]] * len(schema)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
-    for part in shared.sliced(batches, "text"):
+    # larger slices: a word is looked up once a slice
+    for part in shared.sliced(batches, "text", 2 * shared.SLICE_BYTES):
         for doc_id, ids in zip(part.column("doc_id").to_pylist(), tool.ids(shared.strings(part.column("text")).to_pylist()), strict=True):
             packer.add(doc_id, ids + END)
         yield rows()
