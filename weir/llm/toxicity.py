@@ -252,7 +252,8 @@ def pairs(text: str) -> set[str]:
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each unit with the words around it, once a text, and whether it is the unit's first place there."""
-    for part in shared.sliced(batches, "text"):
+    # small slices: a text's places take far more room than the text
+    for part in shared.sliced(batches, "text", 1 << 17):
         found: list[tuple[str, str, bool]] = []
         for text in shared.strings(part.column("text")).to_pylist():
             low = text.lower()
