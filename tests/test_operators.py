@@ -358,3 +358,46 @@ def test_media(spark):
     assert one(media.without_app_tags(F.lit("<a/><Company>x</Company><Manager/>"))) == "<a/>"
     assert tuple(one(media.layout(F.lit("/d"), F.lit("T: x"), F.lit("sorted")))) == ("/d/T x", "/d/T x/Video", "/d/T x/Audio", "/d/T x/Text")
     assert one(media.fitting(F.lit("d" * 300), F.lit("n" * 60))) == "n" * 24
+
+
+def test_one_level(spark, tmp_path):
+    for name in ("a.txt", "in/b.txt", "in/deep/c.txt", ".hidden/d.txt", "other/e.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    found = files.listing(spark, str(tmp_path))
+    assert [r.name for r in files.files_in(found).collect()] == ["a.txt"]
+    assert [r.name for r in plans.natural_order(files.folders_in(found), descending=True, by="name").collect()] == ["other", "in"]
+
+
+def test_packs(spark, tmp_path):
+    for name, said, model in (("one", '{"from_code": "en", "to_code": "de"}', True), ("two", '{"from_code": "en", "to_code": "de"}', True), ("bare", '{"from_code": "en", "to_code": "fr"}', False), ("bad", "{", True), ("half", '{"from_code": "en", "to_code": ""}', True)):
+        (tmp_path / name / "model").mkdir(parents=True)
+        (tmp_path / name / "metadata.json").write_text(said)
+        if model:
+            (tmp_path / name / "model" / "model.bin").write_text("x")
+    assert [tuple(r) for r in files.packs(spark, str(tmp_path)).collect()] == [("en", "de", "two")]
+    (tmp_path / "index.json").write_text('[{"from_code": "en", "to_code": "de"},\n {"from_code": "de", "to_code": "en"}]')
+    assert {(r.from_code, r.to_code) for r in files.pack_index(spark, str(tmp_path / "index.json")).collect()} == {("en", "de"), ("de", "en")}
+
+
+def test_colour_steps(spark):
+    tries = spark.createDataFrame([(1, 0, 10), (1, 256, 5), (2, 0, 90), (2, 256, 80), (2, 192, 20), (2, 4, 1), (3, 0, 90), (3, 4, 80), (3, 5, 1)], "key long, colours int, size long")
+    got = {tuple(r) for r in jobs.fewest_lost_colours(tries, 20).collect()}
+    assert got == {(1, None, 10, 1, True), (2, 192, 20, 3, True), (3, 4, 80, 12, False)}
+
+
+def test_snapshots(spark):
+    shape = "id long, destination string, stage string, progress double, message string, error string, output string, source_bytes long, output_bytes long, info map<string,string>"
+    now = spark.createDataFrame([(1, "/d", "done", 100.0, "m", "", "/o", 5, 4, {"rows": "3"}), (2, "/d", "failed", 7.0, "", "bad", "", 6, 0, {}), (3, "/d", "queued", 0.0, "", "", "", 7, 0, None)], shape)
+    taken = spark.createDataFrame([(1, '{"stage": "working", "destination": ""}'), (3, "no json")], "id long, snapshot string")
+    got = {r.id: tuple(r)[1:] for r in jobs.applied(now, taken).collect()}
+    assert got[1] == ("/d", "working", 0.0, "", "", "", 5, 0, {}) and got[2][1] == "failed"
+    again = {r.id: r for r in jobs.applied(jobs.reset(now, F.lit(True)), jobs.snapshots(now)).collect()}
+    assert tuple(again[1]) == tuple(now.where("id = 1").first()) and again[2].error == "bad"
+    assert {r.stage for r in jobs.reset(now, F.col("stage") == "failed").where("id = 2").collect()} == {"queued"}
+    assert jobs.queue_weight(now.limit(0)).first().bytes == 0
+
+
+def test_sure_words(spark):
+    words = spark.createDataFrame([(" a\n", [(1, 2), (3, 0)], 0.5), ("b", [(0, 0)], 0.49), (" ", [(0, 0)], 0.9), ("c", [(5, 5)], None)], "text string, points array<struct<x:int,y:int>>, score double")
+    assert [tuple(r) for r in documents.sure_words(words).orderBy("text").collect()] == [("a", 1.0, 0.0, 3.0, 2.0), ("c", 5.0, 5.0, 5.0, 5.0)]

@@ -23,6 +23,7 @@ from .operators import tables as B
 from .operators import translate as L
 from .plans import recipes as R
 from .sources import files as Z
+from .sources import office as O
 from .streaming import watch as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -963,3 +964,91 @@ def _(t):
 @query("download_formats", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'bestaudio/best' ELSE 'bestvideo[height<=720]+bestaudio/best[height<=720]/best' END AS format FROM nation")
 def _(t):
     return t("nation").select("n_nationkey", X.download_format(F.col("n_nationkey") % 2 > 0, F.lit(720), F.lit(True), F.lit(False)).alias("format"))
+
+
+# ----------------------------------------------- jobs, pictures' cells, read words
+@query("colour_steps", "WITH s AS (SELECT o_orderkey AS key, x.k AS step, x.c AS colours, CAST(o_custkey % 300 + 3 * x.c AS BIGINT) AS size FROM orders, (SELECT unnest([400, 256, 192, 128, 96, 64, 48, 32, 24, 16, 8, 4]) AS c, unnest(range(12)) AS k) AS x), f AS (SELECT key, coalesce(min(step) FILTER (size <= 300), 11) AS step, count(*) FILTER (size <= 300) > 0 AS reached FROM s GROUP BY key) SELECT f.key, CASE WHEN step > 0 THEN s.colours END AS colours, s.size, CAST(step + 1 AS BIGINT) AS tries, reached FROM f JOIN s USING (key, step)")
+def _(t):
+    steps = F.explode(F.array(*(F.struct(F.lit(c).alias("colours"), F.lit(3 * (c or 400)).alias("weight")) for c in (0, *J.COLOUR_LADDER))))
+    tries = t("orders").select(F.col("o_orderkey").alias("key"), (F.col("o_custkey") % 300).alias("base"), steps.alias("x"))
+    return J.fewest_lost_colours(tries.select("key", "x.colours", (F.col("base") + F.col("x.weight")).cast("bigint").alias("size")), 300).withColumn("tries", F.col("tries").cast("bigint"))
+
+
+@query("cell_sizes", "WITH r AS (SELECT o_custkey AS sheet, avg((o_orderkey % 7 + 1.0::DOUBLE) / (o_orderkey % 5 + 1)) AS r FROM orders GROUP BY o_custkey) SELECT sheet, CASE WHEN r >= 1 THEN 200 ELSE greatest(1, CAST(round_even(200 * r, 0) AS INTEGER)) END AS cell_width, CASE WHEN r >= 1 THEN greatest(1, CAST(round_even(200 / r, 0) AS INTEGER)) ELSE 200 END AS cell_height FROM r")
+def _(t):
+    return J.cell_sizes(t("orders").select(F.col("o_custkey").alias("sheet"), (F.col("o_orderkey") % 7 + 1).alias("width"), (F.col("o_orderkey") % 5 + 1).alias("height")), "sheet", 200)
+
+
+@query("tool_order", 'SELECT p_partkey AS id, p_size AS "order", p_name AS name FROM part WHERE p_partkey % 3 <> 0 ORDER BY p_size, lower(p_name)')
+def _(t):
+    enabled = F.when(F.col("p_partkey") % 3 == 0, False).when(F.col("p_partkey") % 3 == 1, True)
+    return J.in_order(t("part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("order"), F.col("p_name").alias("name"), enabled.alias("enabled"))).drop("enabled")
+
+
+def _jobs(t) -> DataFrame:
+    o, k = t("orders"), F.col("o_orderkey")
+    stage = F.element_at(F.array(*(F.lit(s) for s in J.STAGES)), (k % 6 + 1).cast("int"))
+    empty = F.create_map().cast("map<string,string>")
+    return o.select(
+        k.alias("id"), F.concat(F.lit("/d/"), "o_orderpriority").alias("destination"), stage.alias("stage"), (k % 100).cast("double").alias("progress"), F.concat(F.lit("m \"'é"), k.cast("string")).alias("message"),
+        F.lit("").alias("error"), F.when(k % 2 == 0, F.concat(F.lit("/o/"), k.cast("string"))).otherwise("").alias("output"), F.col("o_custkey").cast("bigint").alias("source_bytes"), F.col("o_custkey").cast("bigint").alias("output_bytes"),
+        F.when(k % 3 == 0, empty).otherwise(F.create_map(F.lit("rows"), k.cast("string"))).alias("info"),
+    )
+
+
+_JOB = "o_orderkey AS id, '/d/' || o_orderpriority AS destination, CAST(o_custkey AS BIGINT) AS source_bytes"
+
+
+@query("jobs_reset", f"SELECT {_JOB}, CASE WHEN again THEN 'queued' ELSE stage END AS stage, CASE WHEN again THEN 0.0 ELSE CAST(o_orderkey % 100 AS DOUBLE) END AS progress, CASE WHEN again THEN '' ELSE 'm \"''é' || CAST(o_orderkey AS VARCHAR) END AS message, '' AS error, CASE WHEN again OR o_orderkey % 2 <> 0 THEN '' ELSE '/o/' || CAST(o_orderkey AS VARCHAR) END AS output, CASE WHEN again THEN 0 ELSE CAST(o_custkey AS BIGINT) END AS output_bytes, CASE WHEN NOT again AND o_orderkey % 3 <> 0 THEN CAST(o_orderkey AS VARCHAR) END AS rows FROM (SELECT *, o_orderkey % 6 IN (4, 5) AS again, ['queued', 'working', 'done', 'skipped', 'failed', 'cancelled'][o_orderkey % 6 + 1] AS stage FROM orders)")
+def _(t):
+    out = J.reset(_jobs(t), F.col("stage").isin("failed", "cancelled"))
+    return out.withColumn("rows", F.element_at("info", F.lit("rows"))).drop("info")
+
+
+@query("job_snapshots", f"SELECT {_JOB}, ['queued', 'working', 'done', 'skipped', 'failed', 'cancelled'][o_orderkey % 6 + 1] AS stage, CAST(o_orderkey % 100 AS DOUBLE) AS progress, 'm \"''é' || CAST(o_orderkey AS VARCHAR) AS message, '' AS error, CASE WHEN o_orderkey % 2 = 0 THEN '/o/' || CAST(o_orderkey AS VARCHAR) ELSE '' END AS output, CAST(o_custkey AS BIGINT) AS output_bytes, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey AS VARCHAR) END AS rows FROM orders")
+def _(t):
+    jobs = _jobs(t)
+    out = J.applied(J.reset(jobs, F.col("id") % 5 > 0).withColumn("source_bytes", F.lit(0).cast("bigint")), J.snapshots(jobs))
+    return out.withColumn("rows", F.element_at("info", F.lit("rows"))).drop("info")
+
+
+@query("queue_weight", "SELECT count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents")
+def _(t):
+    return J.queue_weight(t("documents").select(F.col("n_chars").alias("source_bytes")))
+
+
+@query("sure_words", "SELECT l_orderkey, l_linenumber, l_returnflag AS text, CAST(l_linenumber AS DOUBLE) AS left, least(l_quantity, 10.0)::DOUBLE AS top, CAST(l_linenumber + l_quantity AS DOUBLE) AS right, greatest(l_quantity, 10.0)::DOUBLE AS bottom FROM lineitem WHERE (l_discount >= 0.05 OR l_linenumber = 1) AND l_linenumber <> 2")
+def _(t):
+    point = lambda x, y: F.struct(F.col(x).cast("double").alias("x") if isinstance(x, str) else x.cast("double").alias("x"), y.cast("double").alias("y"))
+    n, q = F.col("l_linenumber"), F.col("l_quantity")
+    points = F.array(point(n, F.lit(10)), point(n + q, q), point(n + q, F.lit(10)))
+    said = F.when(n == 2, " \n").otherwise(F.concat(F.lit(" "), "l_returnflag", F.lit("\t")))
+    score = F.when(n == 1, None).otherwise(F.col("l_discount").cast("double") * 10)
+    return M.sure_words(t("lineitem").select("l_orderkey", "l_linenumber", said.alias("text"), points.alias("points"), score.alias("score")))
+
+
+# --------------------------------------------------------- workbooks and Word files
+@query("workbook_cells", "WITH r AS (SELECT n_regionkey, n_nationkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation) SELECT 'r' || CAST(n_regionkey AS VARCHAR) AS path, 'Sheet 1' AS sheet, k - 1 AS row_no, CASE WHEN n_nationkey % 2 = 0 THEN '''=' || n_name ELSE n_name END AS name, CAST(n_nationkey AS BIGINT) AS number, n_nationkey + 0.5::DOUBLE AS half FROM r")
+def _(t):
+    n, k = t("nation"), F.col("n_nationkey")
+    cells = F.array(F.when(k % 2 == 0, F.concat(F.lit("="), "n_name")).otherwise(F.col("n_name")), k.cast("string"), F.concat(k.cast("string"), F.lit(".5")), F.lit(" "))
+    rows = n.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("path"), F.lit(0).alias("sheet_no"), F.lit("Sheet/1").alias("sheet"), k.alias("row_no"), O.text_cells(cells).alias("cells"))
+    back = O.workbook_rows(O.workbooks(rows))
+    return back.select("path", "sheet", "row_no", F.col("cells")[0]["t"].alias("name"), F.col("cells")[1]["i"].alias("number"), F.col("cells")[2]["f"].alias("half"))
+
+
+@query("workbook_row_counts", "SELECT 'r' || CAST(n_regionkey AS VARCHAR) AS path, count(*) - 2 AS rows FROM nation GROUP BY n_regionkey")
+def _(t):
+    k = F.col("n_nationkey")
+    rows = t("nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("path"), (F.row_number().over(Window.partitionBy("n_regionkey").orderBy(k)) % 2).alias("sheet_no"), F.lit("s").alias("sheet"), k.alias("row_no"), O.text_cells(F.array("n_name")).alias("cells"))
+    return O.row_counts(O.workbook_rows(O.workbooks(rows)))
+
+
+@query("word_text", "WITH m AS (SELECT n_regionkey, string_agg(CASE WHEN n_nationkey % 2 = 0 THEN '- ' || n_name ELSE '  - ' || n_name || ' & <b>' END, chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey) SELECT 'r' || CAST(n_regionkey AS VARCHAR) AS path, 'REGION' || chr(10) || chr(10) || text || chr(10) AS text FROM m")
+def _(t):
+    k = F.col("n_nationkey")
+    line = F.when(k % 2 == 0, F.concat(F.lit("- **"), "n_name", F.lit("**"))).otherwise(F.concat(F.lit("  - "), "n_name", F.lit(" & <b>")))
+    docs = t("nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), line.alias("line")))).alias("x"))
+    docs = docs.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("path"), F.concat(F.lit("# Region\n\n"), F.array_join(F.transform("x", lambda x: x["line"]), "\n")).alias("text"))
+    blocks = M.markdown_blocks(docs, "path").withColumn("runs", M.runs("text"))
+    return M.to_text(O.word_blocks(O.word_files(blocks)), "path")

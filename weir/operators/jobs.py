@@ -207,3 +207,71 @@ def newest(files: DataFrame, key: str, without: list[str]) -> DataFrame:
 def settings(stored: DataFrame, defaults: DataFrame) -> DataFrame:
     """Each default (name, value) with the stored value where there is one; unknown stored names go."""
     return defaults.join(stored.withColumnRenamed("value", "own"), "name", "left").select("name", F.coalesce("own", "value").alias("value"))
+
+
+#: Numbers of colours tried one after the other.
+COLOUR_LADDER = [256, 192, 128, 96, 64, 48, 32, 24, 16, 8, 4]
+
+
+def fewest_lost_colours(tries: DataFrame, target: int) -> DataFrame:
+    """``key``, ``colours``, ``size``, ``tries``, ``reached`` from sizes by number of colours; 0 stands for all colours.
+
+    All colours, then steps of the ladder from the most colours down, until one is small enough; the last step if none is.
+    ``colours`` is null for all colours, ``tries`` counts steps up to the one chosen.
+    """
+    step = F.when(F.col("colours") == 0, 0).otherwise(F.array_position(F.array(*map(F.lit, COLOUR_LADDER)), F.col("colours")))
+    steps = tries.withColumn("step", step).where("colours = 0 or step > 0")
+    said = F.struct("step", "colours", "size")
+    fit = F.min(F.when(F.col("size") <= target, said))
+    out = steps.groupBy("key").agg(fit.alias("fit"), F.max(said).alias("last")).withColumn("one", F.coalesce("fit", "last"))
+    return out.select("key", F.nullif("one.colours", F.lit(0)).alias("colours"), F.col("one.size").alias("size"), (F.col("one.step") + 1).alias("tries"), F.col("fit").isNotNull().alias("reached"))
+
+
+def cell_sizes(pictures: DataFrame, key: str, size: int) -> DataFrame:
+    """``key``, ``cell_width``, ``cell_height``: cells with the mean shape of the pictures (width, height), the longer side ``size``."""
+    ratio = pictures.groupBy(key).agg(F.avg(F.col("width") / F.col("height")).alias("r"))
+    side = lambda x: F.greatest(F.bround(x).cast("int"), F.lit(1))
+    wide = F.col("r") >= 1
+    return ratio.select(key, F.when(wide, size).otherwise(side(size * F.col("r"))).alias("cell_width"), F.when(wide, side(size / F.col("r"))).otherwise(size).alias("cell_height"))
+
+
+def in_order(tools: DataFrame) -> DataFrame:
+    """Tools that are enabled (null: they are) by ``order``, then by their name in small letters."""
+    return tools.where(F.coalesce("enabled", F.lit(True))).orderBy("order", F.lower("name"))
+
+
+#: What a job starts again with.
+FRESH = {"stage": "queued", "progress": 0.0, "message": "", "error": "", "output": "", "output_bytes": 0}
+
+
+def reset(jobs: DataFrame, which: Column) -> DataFrame:
+    """The jobs of ``which`` as if they had never run; their ``info`` is emptied."""
+    kinds = {f.name: f.dataType for f in jobs.schema}
+    fresh = {c: F.lit(v).cast(kinds[c]) for c, v in FRESH.items()} | {"info": F.create_map().cast(kinds["info"])}
+    return jobs.withColumns({c: F.when(which, v).otherwise(F.col(c)) for c, v in fresh.items()})
+
+
+def snapshots(jobs: DataFrame) -> DataFrame:
+    """``id``, ``snapshot``: a job as JSON that ``applied`` reads."""
+    return jobs.select("id", F.to_json(F.struct(*(c for c in jobs.columns if c != "id")), {"ignoreNullFields": "true"}).alias("snapshot"))
+
+
+def applied(jobs: DataFrame, taken: DataFrame) -> DataFrame:
+    """The jobs as their snapshots (id, snapshot) say; what a snapshot lacks is fresh, but sizes of sources and destinations stay.
+
+    A job without a snapshot stays as it is. An id has at most one snapshot.
+    """
+    kinds = {f.name: f.dataType for f in jobs.schema}
+    fields = [f for f in jobs.schema if f.name in {*FRESH, "info", "source_bytes", "destination"}]
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    said = taken.select("id", F.from_json("snapshot", shape).alias("_said")).where("_said is not null")
+    fresh = lambda c: F.lit(FRESH[c]).cast(kinds[c]) if c in FRESH else F.create_map().cast(kinds[c]) if c == "info" else F.col(c)
+    found = F.col("_said").isNotNull()
+    there = lambda c: F.nullif(F.col("_said")[c], F.lit("")) if c == "destination" else F.col("_said")[c]
+    out = jobs.join(said, "id", "left").withColumns({f.name: F.when(found, F.coalesce(there(f.name), fresh(f.name))).otherwise(F.col(f.name)) for f in fields})
+    return out.select(*jobs.columns)
+
+
+def queue_weight(jobs: DataFrame) -> DataFrame:
+    """One row: ``files``, ``bytes`` of the queue."""
+    return jobs.agg(F.count("*").alias("files"), F.coalesce(F.sum("source_bytes"), F.lit(0)).alias("bytes"))

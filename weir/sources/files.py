@@ -36,6 +36,34 @@ def listing(spark: SparkSession, folder: str, *, recursive: bool = True, extensi
     return out.dropDuplicates(["path"])
 
 
+def folders_in(files: DataFrame) -> DataFrame:
+    """``name``, ``modified`` of the folders directly in a listed folder that hold files; the date is that of their newest file."""
+    inner = files.where(F.col("rel").contains("/"))
+    return inner.groupBy(F.substring_index("rel", "/", 1).alias("name")).agg(F.max("modified").alias("modified"))
+
+
+def files_in(files: DataFrame) -> DataFrame:
+    """Those of a listing that lie directly in its folder."""
+    return files.where(~F.col("rel").contains("/"))
+
+
+def packs(spark: SparkSession, folder: str) -> DataFrame:
+    """``source``, ``target``, ``folder`` of the language packs in a folder: those with readable metadata and a model.
+
+    Of several packs for one direction the last by name counts.
+    """
+    at = F.element_at(F.split("path", "/"), -2)
+    facts = spark.read.format("binaryFile").load(folder.rstrip("/") + "/*/metadata.json").select(at.alias("folder"), F.from_json(decoded("content"), "from_code string, to_code string").alias("m"))
+    models = listing(spark, folder, hidden=True).where(F.col("rel").rlike("^[^/]+/model/.")).select(F.substring_index("rel", "/", 1).alias("folder")).distinct()
+    named = facts.where("m.from_code <> '' and m.to_code <> ''").join(models, "folder", "left_semi")
+    return named.groupBy(F.col("m.from_code").alias("source"), F.col("m.to_code").alias("target")).agg(F.max("folder").alias("folder"))
+
+
+def pack_index(spark: SparkSession, path: str) -> DataFrame:
+    """The packs that exist, from an index that is one JSON array: a row for each, columns as found."""
+    return spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
 def collected(explicit: DataFrame, found: DataFrame, extensions: list[str]) -> DataFrame:
     """Files named one by one, whatever their ending, and those of folders with an ending asked for; the first of each path, whatever its case."""
     every = explicit.select("seq", "path").unionByName(found.where(F.lower(suffix("path")).isin(extensions)).select("seq", "path"))
