@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, bpe, fingerprints, hamming, line_dedup, near_dups, overlaps, packing, quality, repeats, secrets, toxicity
+from . import audit, bpe, fingerprints, graph, hamming, line_dedup, near_dups, overlaps, packing, quality, repeats, secrets, toxicity
 
 QUERIES = {
     "op1_near_duplicates": near_dups.op1_near_duplicates,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
     "op11_filter_audit": audit.op11_filter_audit,
     "op12_overlaps": overlaps.op12_overlaps,
+    "op13_nearest_vectors": graph.op13_nearest_vectors,
 }
 ORACLE_SQL: dict[str, str] = {"op5_top_k": hamming.OP5_SQL, "op9_line_dedup": line_dedup.OP9_SQL, "op11_filter_audit": audit.OP11_SQL, "op12_overlaps": overlaps.OP12_SQL}
