@@ -35,7 +35,7 @@ from . import shared
 #: Links a node keeps when its list is pruned; links it may have before.
 DEGREE, ROOM = 32, 48
 #: Rows that a search for neighbours, or for a query, keeps in sight; of these it looks at so many at a step.
-BUILD_BEAM, QUERY_BEAM, WIDTH = 64, 192, 4
+BUILD_BEAM, QUERY_BEAM, WIDTH = 64, 160, 4
 #: A link goes if a kept one is closer to its end by this factor (in squared distances).
 RELAXED = 1.2**2
 #: A graph with fewer nodes is scanned.
@@ -52,7 +52,7 @@ class Graph:
         square = (near**2).sum(axis=1)
         self.size, self.far = len(vectors), square.max()
         more = np.sqrt(np.maximum(self.far - square, 0))
-        self.points = np.concatenate([near, more[:, None]], axis=1).astype(np.float32)
+        self.points = np.concatenate([near, more[:, None]], axis=1)
         self.links = np.full((self.size, ROOM), -1, np.int32)
         self.degree = np.zeros(self.size, np.int64)
         order = np.random.default_rng(seed).permutation(self.size).astype(np.int32)
@@ -76,7 +76,7 @@ class Graph:
         turn = np.zeros((n, self.size + 1), np.int16)  # the last column is for links there are not
         met[:, self.entry] = True
         nodes = np.full((n, beam), -1, np.int32)
-        close = np.full((n, beam), -np.inf, np.float32)
+        close = np.full((n, beam), -np.inf)
         nodes[:, 0], close[:, 0] = self.entry, wanted @ self.points[self.entry]
         seen = nodes < 0
         going = np.arange(n)
@@ -204,7 +204,7 @@ class Nodes:
             nodes = np.broadcast_to(np.arange(len(self.vectors)), (len(wanted), len(self.vectors)))
         else:
             way = wanted / np.abs(wanted).max(axis=1, keepdims=True)
-            nodes, _ = self.graph.search(np.concatenate([way, np.zeros((len(way), 1))], axis=1).astype(np.float32), max(beam, 2 * k))
+            nodes, _ = self.graph.search(np.concatenate([way, np.zeros((len(way), 1))], axis=1), max(beam, 2 * k))
         score = np.where(nodes >= 0, (self.vectors[nodes] * wanted[:, None, :]).sum(axis=2), -np.inf)
         best = np.lexsort((self.ids[self.starts[nodes]], -score), axis=1)[:, : k + 1]
         nodes, score = np.take_along_axis(nodes, best, 1), np.take_along_axis(score, best, 1)

@@ -154,13 +154,15 @@ def _dealt(left: DataFrame, right: DataFrame, keys: DataFrame, span: int, rows:
     """Both sides by key, shard and part, the right side's rows of each first; the left side's have 1 in ``left``, or 2 without an id."""
     right = right.withColumn("shard", floored("start", span))
     reach = right.groupBy("key", "shard").agg(F.min("start").alias("lo"), F.max("end").alias("hi"))
-    sizes = keys.groupBy("key").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))
-    reach = reach.join(sizes, "key")
-    put = right.join(reach.select("key", "shard", "parts"), ["key", "shard"])
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / rows).cast("int"))
+    put = right.join(reach.select("key", "shard").join(sizes.drop("n"), "key"), ["key", "shard"])
     put = put.select("key", "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("left"), F.lit(None).cast("long").alias("id"), "start", "end", "n", "measure")
-    ask = left.join(reach, "key").where((F.col("lo") <= F.col("end")) & (F.col("hi") >= F.col("start")))
+    # a key's shards are few: as many as its right rows' starts fill
+    shards = reach.groupBy("key").agg(F.collect_list(F.struct("shard", "lo", "hi")).alias("shards")).join(sizes, "key")
+    ask = shared.spread_join(left.withColumnRenamed("n", "times"), shards, ["key"], keys.count(), ["id", "start", "end"])
     part = F.pmod(F.xxhash64("id", "start", "end"), "parts").cast("int")
-    ask = ask.select("key", "shard", part.alias("part"), F.when(F.col("id").isNull(), 2).otherwise(1).alias("left"), "id", "start", "end", "n", F.lit(None).cast("long").alias("measure"))
+    ask = ask.select("key", part.alias("part"), "id", "start", "end", "times", F.inline("shards")).where((F.col("lo") <= F.col("end")) & (F.col("hi") >= F.col("start")))
+    ask = ask.select("key", "shard", "part", F.when(F.col("id").isNull(), 2).otherwise(1).alias("left"), "id", "start", "end", F.col("times").alias("n"), F.lit(None).cast("long").alias("measure"))
     return put.unionByName(ask).repartition(*KEY).sortWithinPartitions(*KEY, "left", "start", "end")
 
 
