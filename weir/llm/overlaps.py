@@ -176,7 +176,7 @@ def _once(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
 
 
-def joined(left: DataFrame, right: DataFrame, *, span: int = 1024, rows: int = 4096) -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, *, span: int = 1024, rows: int = 2048) -> DataFrame:
     """``left_id``, ``right_id``, ``relation``, ``shared`` of every two rows with one key whose intervals share a point.
 
     Both sides: long ``id``, ``key``, ``start``, ``end`` (inclusive; ``OPEN``: no end).
@@ -189,7 +189,7 @@ def joined(left: DataFrame, right: DataFrame, *, span: int = 1024, rows: int = 4
     return out.select(F.col("id").alias("left_id"), F.col("measure").alias("right_id"), named("relation").alias("relation"), "shared")
 
 
-def related(left: DataFrame, right: DataFrame, *, keys: DataFrame | None = None, span: int = 1024, rows: int = 4096) -> DataFrame:
+def related(left: DataFrame, right: DataFrame, *, keys: DataFrame | None = None, span: int = 1024, rows: int = 2048) -> DataFrame:
     """``id``, ``relation``, ``n_pairs``, ``shared``, ``measure``: the pairs of ``joined`` by left id and relation, never listed.
 
     ``left`` may have ``n``, how often a row stands there. ``keys``: rows with ``key`` by which the left
