@@ -1052,3 +1052,6 @@ def _(t):
     docs = docs.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("path"), F.concat(F.lit("# Region\n\n"), F.array_join(F.transform("x", lambda x: x["line"]), "\n")).alias("text"))
     blocks = M.markdown_blocks(docs, "path").withColumn("runs", M.runs("text"))
     return M.to_text(O.word_blocks(O.word_files(blocks)), "path")
+
+
+from . import catalog_files  # noqa: E402, F401  registers its own

@@ -79,12 +79,9 @@ def below(path: Column, folder: str) -> Column:
 def decoded_bytes(data: bytes | None) -> str | None:
     if data is None:
         return None
-    if data[:3] == b"\xef\xbb\xbf":
-        return data[3:].decode("utf-8", "replace")
-    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return data.decode("utf-16", "replace")
+    wide = data[:2] in (b"\xff\xfe", b"\xfe\xff")
     try:
-        return data.decode("utf-8")
+        return data.decode("utf-16" if wide else "utf-8-sig")
     except UnicodeDecodeError:
         return data.decode("cp1252", "replace")
 
@@ -96,8 +93,8 @@ def decoded(content: pd.Series) -> pd.Series:
 
 
 def is_binary(content: Column) -> Column:
-    """Whether a zero byte stands among the first 4096."""
-    return F.hex(F.substring(content, 1, 4096)).rlike("^(..)*?00")
+    """Whether a zero byte stands among the first 4096, unless a mark says that characters have two bytes."""
+    return F.hex(F.substring(content, 1, 4096)).rlike("^(?!FFFE|FEFF)(..)*?00")
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
@@ -129,7 +126,7 @@ def rows_of(text: str, name: str = "") -> tuple[str, list[list[str]]]:
 def raw_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``source``, ``delimiter``, ``row_no`` (from 0), ``cells`` of delimited files, each in its own dialect and encoding.
 
-    A file is one task's work; the header is row 0. For large uniform files use ``table``.
+    A file is one task's work; the header is row 0. For large files use ``delimited.split_rows``.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -142,10 +139,11 @@ def raw_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return files.mapInPandas(run, "source string, delimiter string, row_no long, cells array<string>")
 
 
-def table(spark: SparkSession, path: str, name: str = "") -> DataFrame:
-    """A large delimited file as text columns by its header; the dialect from its beginning."""
-    head = "\n".join(r["value"] for r in spark.read.text(path).limit(50).collect())
-    return spark.read.csv(path, sep=delimiter_of(head, name or path), header=True, multiLine=False)
+def table(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Large delimited files as text columns by their header: see ``delimited.table``."""
+    from . import delimited
+
+    return delimited.table(spark, path)
 
 
 def typed_rows(rows: DataFrame) -> DataFrame:
