@@ -103,6 +103,30 @@ def _(t):
     return D.clusters(D.similar_pairs(_codes(t), 80))
 
 
+#: Pairs of letters: whether a text has each an odd number of times is a code that few edits change little.
+_LETTERS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur la un el ie us ei ue da du so ta no qu".split()
+_ODD = " + ".join(f"(CAST((length(text) - length(replace(text, '{b}', ''))) // 2 % 2 AS BIGINT) << {k})" for k, b in enumerate(_LETTERS))
+
+
+def _text_codes(t) -> DataFrame:
+    odd = lambda b: (F.length("text") - F.length(F.replace("text", F.lit(b), F.lit("")))) / 2 % 2
+    code = sum((F.call_function("shiftleft", odd(b).cast("long"), F.lit(k)) for k, b in enumerate(_LETTERS)), F.lit(0).cast("long"))
+    return t("documents").select(F.col("doc_id").alias("id"), code.alias("code"))
+
+
+_TEXT_PAIRS = f"c AS MATERIALIZED (SELECT doc_id, {_ODD} AS code FROM documents WHERE text IS NOT NULL), r AS MATERIALIZED (SELECT min(doc_id) AS id, code FROM c GROUP BY code), p AS MATERIALIZED (SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.code, b.code)) AS INTEGER) AS distance FROM r a JOIN r b ON a.id < b.id WHERE bit_count(xor(a.code, b.code)) <= 13 UNION ALL SELECT r.id, c.doc_id, 0 FROM r JOIN c ON c.code = r.code AND c.doc_id <> r.id)"
+
+
+@query("similar_text_pairs", f"WITH {_TEXT_PAIRS} SELECT a, b, distance FROM p")
+def _(t):
+    return D.similar_pairs(_text_codes(t), 80)
+
+
+@query("similar_text_clusters", f"WITH RECURSIVE {_TEXT_PAIRS}, e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), w(id, reach) AS (SELECT DISTINCT a, a FROM e UNION SELECT w.id, e.b FROM w JOIN e ON w.reach = e.a) SELECT id, min(reach) AS group_id FROM w GROUP BY id")
+def _(t):
+    return D.clusters(D.similar_pairs(_text_codes(t), 80))
+
+
 # ------------------------------------------------------------------- compare
 def _sides(t) -> tuple[DataFrame, DataFrame]:
     o = t("orders").where("o_orderkey % 5 < 4").select(F.format_string("Order/%d", "o_orderkey").alias("rel"), F.col("o_custkey").alias("size"), F.col("o_orderkey").cast("double").alias("modified"), F.col("o_orderstatus").alias("hash"))

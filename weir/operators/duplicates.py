@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import hamming, max_distance
-from .storage import cut
+from .components import components
+from .spread import heavy_keys, spread_join
+
+def _most(c: str) -> list[Column]:
+    """Largest first, null last, as keys of which the least counts."""
+    return [F.col(c).isNull().alias(f"no_{c}"), (-F.col(c)).alias(f"most_{c}")]
+
 
 #: What decides which copy stays, best first; lower(path) decides last.
 KEEP = {
-    "largest": lambda: [F.desc("pixels"), F.desc("size"), F.asc("modified")],
-    "oldest": lambda: [F.asc("modified"), F.length("path").asc()],
-    "newest": lambda: [F.desc("modified"), F.length("path").asc()],
-    "shortest": lambda: [F.length("path").asc(), F.asc("modified")],
+    "largest": lambda: [*_most("pixels"), *_most("size"), F.col("modified").alias("modified")],
+    "oldest": lambda: [F.col("modified").alias("modified"), F.length("path").alias("length")],
+    "newest": lambda: [*_most("modified"), F.length("path").alias("length")],
+    "shortest": lambda: [F.length("path").alias("length"), F.col("modified").alias("modified")],
 }
 
 
@@ -24,19 +32,26 @@ def exact_groups(files: DataFrame, content: Column | str = "content", *, min_siz
 
     ``files``: id, path, size, modified, pixels and the content. The content is hashed where it is read
     and goes no further unless the result's content is asked for: what is counted (with partial
-    aggregation) and joined are sizes, hashes and ids, so a group of any size is never gathered.
+    aggregation) and joined are sizes, hashes and ids, and a group that holds a large share of all rows
+    is dealt over many tasks.
     """
     c = F.col(content) if isinstance(content, str) else content
     rows = files.where(F.col("size") >= min_size).withColumn("content_hash", F.sha2(c, 256))
     key = ["size", "content_hash"]
-    groups = rows.groupBy(*key).agg(F.min("id").alias("group_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(groups, key)
+    groups = rows.groupBy(*key).agg(F.min("id").alias("group_id"), F.count("*").alias("n")).where("n > 1")
+    return spread_join(rows, groups.drop("n"), key, heavy_keys(groups, key, files.where(F.col("size") >= min_size).count()), ["id"])
 
 
 def mark(groups: DataFrame, keep: str = "largest") -> DataFrame:
-    """With ``keep``: whether the row is the one of its group that stays."""
-    rank = Window.partitionBy("group_id").orderBy(*KEEP[keep](), F.lower("path"), "path")
-    return groups.withColumn("keep", F.row_number().over(rank) == 1)
+    """With ``keep``: whether the row is the one of its group that stays. A row that is there twice (same id and path) is marked twice.
+
+    The best row is a minimum with partial aggregation, joined back: a group is never sorted in one task.
+    """
+    best = F.min(F.struct(*KEEP[keep](), F.lower("path").alias("lower"), F.col("path").alias("path"), F.col("id").alias("id")))
+    first = groups.groupBy("group_id").agg(best.alias("_best"), F.count("*").alias("n"))
+    heavy = heavy_keys(first, ["group_id"], groups.count())
+    out = spread_join(groups, first.select("group_id", F.col("_best.path").alias("_path"), F.col("_best.id").alias("_id")), ["group_id"], heavy, ["id"])
+    return out.withColumn("keep", F.col("path").eqNullSafe(F.col("_path")) & F.col("id").eqNullSafe(F.col("_id"))).drop("_path", "_id")
 
 
 def summary(marked: DataFrame) -> DataFrame:
@@ -56,46 +71,77 @@ def refused(marked: DataFrame) -> DataFrame:
     return marked.groupBy("group_id").agg(F.bool_and(~F.col("keep")).alias("all_go")).where("all_go").select("group_id", F.lit("keep at least one").alias("problem"))
 
 
+def _plans(distance: int, bits: int) -> list[tuple[list[int], list[int]]]:
+    """(lengths, radii) of ways to cut a code so that codes within ``distance`` are within the radius in one segment at least."""
+    out = []
+    for segments in range(1, min(distance + 1, bits) + 1):
+        share = lambda x, m=segments: [x // m + (k < x % m) for k in range(m)]
+        out.append((share(bits), share(distance - segments + 1)))
+    return out
+
+
+def segment_plan(distance: int, n: int, *, bits: int = 64, most: int = 1 << 15) -> tuple[list[int], list[int]]:
+    """The way that costs least for ``n`` codes: values looked up, and pairs met by chance, each of which costs as much as four.
+
+    ``most``: values that one code may look up. The result is the same whatever the way.
+    """
+    near = lambda size, radius: sum(math.comb(size, k) for k in range(radius + 1))
+
+    def cost(plan: tuple[list[int], list[int]]) -> float:
+        values = [near(*x) for x in zip(*plan, strict=True)]
+        return n * sum(values) + 4 * n * n * sum(v / 2**size for v, size in zip(values, plan[0], strict=True))
+
+    fit = [p for p in _plans(distance, bits) if sum(near(*x) for x in zip(*p, strict=True)) <= most]
+    return min(fit, key=cost)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def candidates(reps: DataFrame, distance: int) -> tuple[DataFrame, Column]:
+    """(``a``, ``b``, ``ca``, ``cb``, ``segment``: pairs with a < b that are near in a segment; whether it is the first such segment)."""
+    n = reps.count()
+    sizes, radii = segment_plan(distance, n)
+    masks = [((1 << size) - 1) << at for size, at in zip(sizes, itertools.accumulate([0, *sizes]), strict=False)]
+    bits = [[b for b in range(64) if m >> b & 1] for m in masks]
+    flips = [(k, _signed(sum(1 << b for b in chosen))) for k, r in enumerate(radii) for count in range(r + 1) for chosen in itertools.combinations(bits[k], count)]
+    flips = reps.sparkSession.createDataFrame(flips, "segment int, flip long")
+    parts = F.array(*(F.struct(F.lit(k).alias("segment"), F.col("code").bitwiseAND(_signed(m)).alias("value")) for k, m in enumerate(masks)))
+    own = reps.select("id", "code", F.inline(parts))
+    asked = own.join(F.broadcast(flips), "segment").select("segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"), F.col("id").alias("a"), F.col("code").alias("ca"))
+    own = own.select("segment", "value", F.col("id").alias("b"), F.col("code").alias("cb"))
+    heavy = heavy_keys(own.groupBy("segment", "value").agg(F.count("*").alias("n")), ["segment", "value"], n)
+    met = spread_join(own, asked, ["segment", "value"], heavy, ["b"]).where("a < b").drop("value")
+    away = F.col("ca").bitwiseXOR(F.col("cb"))
+    earlier = [(F.col("segment") <= k) | (F.bit_count(away.bitwiseAND(_signed(m))) > r) for k, (m, r) in enumerate(zip(masks, radii, strict=True))]
+    return met, reduce(lambda x, y: x & y, earlier)
+
+
 def similar_pairs(rows: DataFrame, similarity: int = 90) -> DataFrame:
     """``a``, ``b`` (a < b), ``distance`` of rows (id, code) whose 64-bit codes differ in few enough bits.
 
-    Exact, by pigeonhole: 64 bits in d + 1 bands; codes within d bits agree on one.
-    Equal codes are one representative first, so copies never make pairs with each
-    other here: their links are (smallest id, id).
+    Exact: codes are cut into a few long segments, and two codes within d bits are within
+    a radius in one of them. Each code looks up the values around its own in every
+    segment; the pairs so met are verified, each at the first segment that shows it.
+    Equal codes are one representative first, so copies never make pairs with each other
+    here: their links are (smallest id, id). Rows without a code or id take no part; rows
+    that share an id and differ in code may make a pair of an id's other code, never (x, x).
     """
     d = max_distance(similarity)
-    rows = rows.where("code is not null").select("id", "code")
-    reps = rows.groupBy("code").agg(F.min("id").alias("id"))
-    cuts = [64 * k // (d + 1) for k in range(d + 2)]
-    bands = F.array(*(F.struct(F.lit(k).alias("band"), F.call_function("shiftrightunsigned", F.call_function("shiftleft", F.col("code"), F.lit(64 - hi)), F.lit(64 - hi + lo)).alias("value")) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))))
-    keyed = reps.select("id", "code", F.inline(bands))
-    left, right = (keyed.select(F.col("id").alias(n), F.col("code").alias("c" + n), "band", "value") for n in "ab")
-    near = left.join(right, ["band", "value"]).where((F.col("a") < F.col("b")) & (hamming(F.col("ca"), F.col("cb")) <= d))
-    near = near.select("a", "b", hamming(F.col("ca"), F.col("cb")).cast("int").alias("distance")).distinct()
-    copies = rows.join(reps.withColumnRenamed("id", "a"), "code").where("id <> a").select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
+    rows = rows.where("code is not null and id is not null").select("id", "code")
+    reps = rows.groupBy("code").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    met, first = candidates(reps.select("id", "code"), d)
+    apart = hamming(F.col("ca"), F.col("cb"))
+    near = met.where(first & (apart <= d)).select("a", "b", apart.cast("int").alias("distance"))
+    heavy = heavy_keys(reps, ["code"], rows.count())
+    copies = spread_join(rows, reps.select("code", F.col("id").alias("a")), ["code"], heavy, ["id"]).where("id <> a").select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
     return near.unionByName(copies)
 
 
-def clusters(pairs: DataFrame, rounds: int = 40) -> DataFrame:
-    """``id``, ``group_id``: connected components of links (a, b) by the least label, with pointer jumping.
-
-    Lineage is cut by checkpoint() every round.
-    """
-    edges = pairs.select("a", "b").where("a is not null and b is not null")
-    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = cut(edges)
-    labels = cut(edges.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("label")).select(F.col("a").alias("id"), "label"))
-    mark_ = None
-    for _ in range(rounds):
-        near = edges.join(labels, edges["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("least"))
-        step = labels.join(near, labels["id"] == near["a"]).select("id", F.least("label", "least").alias("label"))
-        over = step.select(F.col("id").alias("k"), F.col("label").alias("over"))
-        labels = cut(step.join(over, F.col("label") == F.col("k"), "left").select("id", F.least("label", F.coalesce("over", "label")).alias("label")))
-        said = labels.agg(F.sum(F.xxhash64("id", "label").cast("decimal(38,0)"))).first()[0]
-        if said == mark_:
-            return labels.withColumnRenamed("label", "group_id")
-        mark_ = said
-    raise RuntimeError(f"clusters did not settle in {rounds} rounds")
+def clusters(pairs: DataFrame) -> DataFrame:
+    """``id``, ``group_id`` (the smallest id): groups of rows that links (a, b) connect, see ``components``."""
+    return components(pairs.select("a", "b"))
 
 
 def relative_to_root(files: DataFrame, path: str = "path") -> DataFrame:

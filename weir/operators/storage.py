@@ -49,12 +49,16 @@ def root(spark: SparkSession) -> str:
     return held.get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read from it: later steps see the same rows, and a lost executor costs a re-read."""
-    root(df.sparkSession)
-    return df.checkpoint()
-
-
 def folder(spark: SparkSession, what: str) -> str:
     """The path of a folder that isn't there yet, for files of this driver only."""
     return f"{root(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from it: later steps see the same rows, and a lost executor costs a re-read.
+
+    A table and not ``checkpoint()``: a checkpoint hands on all that the planner knew of the rows, which grows with each round of a loop.
+    """
+    path, schema = folder(df.sparkSession, "cut"), df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
