@@ -24,6 +24,7 @@ from .operators import translate as L
 from .plans import recipes as R
 from .sources import files as Z
 from .sources import office as O
+from .sources import sinks as N_OUT
 from .streaming import watch as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -434,6 +435,15 @@ def _(t):
     return P.free_names(t("customer").select(F.col("c_custkey").alias("seq"), F.col("c_mktsegment").alias("base"))).select("seq", "base", "name")
 
 
+@query("free_names_beside_others", "WITH n AS (SELECT c_custkey AS seq, c_mktsegment AS base, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS k FROM customer) SELECT seq, base || '.txt' AS name, base || ' (' || CAST(CASE WHEN k < 3 THEN k + 2 ELSE k + 3 END AS VARCHAR) || ').txt' AS output FROM n")
+def _(t):
+    """Where the name, its number 2 and, in other letters, its number 5 are there already."""
+    rows = t("customer").select(F.col("c_custkey").alias("seq"), F.concat("c_mktsegment", F.lit(".txt")).alias("name"))
+    ends = F.explode(F.array(*map(F.lit, (".txt", " (2).txt", " (5).TXT"))))
+    there = t("customer").select("c_mktsegment").distinct().select(F.concat(F.initcap("c_mktsegment"), ends).alias("name"))
+    return N_OUT.numbered_outputs(rows, there).select("seq", "name", "output")
+
+
 @query("extension_filter", "SELECT n_nationkey, unnest(list_transform(string_split(lower(n_name), ' '), lambda x: '.' || x)) AS ext FROM nation")
 def _(t):
     return t("nation").select("n_nationkey", F.explode(N.extensions(F.concat(F.lit(" ,;."), F.col("n_name"), F.lit("; ")))).alias("ext"))

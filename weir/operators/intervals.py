@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import prefix_sum
+
 
 def speech_segments(silences: DataFrame, durations: DataFrame, *, keep: float = 0.2, key: str = "key") -> DataFrame:
     """``key``, ``start``, ``end`` of what isn't silent, each silence shortened by ``keep`` at either end.
@@ -113,13 +115,12 @@ def without_pages(listing: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def concatenated(listing: DataFrame) -> DataFrame:
-    """Pages (queue, page, ok) of all inputs in the order of the queue, failed inputs left out, with ``place`` from 1."""
-    at = F.row_number().over(Window.partitionBy("queue").orderBy("page"))
-    good = listing.where("ok").withColumn("at", at)
-    sizes = good.groupBy("queue").agg(F.count("*").alias("n"))
-    # one row an input
-    before = sizes.select("queue", (F.sum("n").over(Window.orderBy("queue")) - F.col("n")).alias("before"))
-    return good.join(before, "queue").select("queue", "page", (F.col("before") + F.col("at")).alias("place"))
+    """Pages (queue, page, ok) of all inputs in the order of the queue, failed inputs left out, with ``place`` from 1.
+
+    One sequence over all inputs, counted by ranges: no task sees more than its range of pages.
+    """
+    good = listing.where("ok").select("queue", "page", F.lit(1).alias("one"))
+    return prefix_sum(good, [], ["queue", "page"], "one", "place").select("queue", "page", (F.col("place") + 1).alias("place"))
 
 
 def segment(seconds: Column, length: float) -> Column:

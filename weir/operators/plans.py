@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import natural_key, safe_filename, without_number
 from ..functions.text import casefold
 from ..functions.values import number_text
+from .free_names import free_names  # noqa: F401  a plan like the others
+from .spread import heavy_keys, spread_join
 from .storage import cut
 
 
@@ -48,12 +47,19 @@ def new_name(name: Column, number: Column, *, style: str = "number_name", text:
 def clashes(plan: DataFrame) -> DataFrame:
     """With ``problem``: rows (parent, name, new_name, seq) that would get a name twice, whatever the case.
 
-    A later row names the first one; the first one names the second.
+    A later row names the first one; the first one names the second. Both are minima with
+    partial aggregation, joined back to the rows, of which a name may have any number.
     """
-    w = Window.partitionBy(casefold("parent"), casefold("new_name")).orderBy("seq")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    other = F.when(F.row_number().over(w) > 1, F.first("name").over(whole)).otherwise(F.nth_value("name", 2).over(whole))
-    return plan.withColumn("problem", F.when(F.count("*").over(whole) > 1, F.concat(F.lit("Same new name as '"), other, F.lit("'"))).otherwise(""))
+    key = ["_p", "_n"]
+    rows = plan.withColumns({"_p": F.coalesce(casefold("parent"), F.lit("")), "_n": F.coalesce(casefold("new_name"), F.lit(""))})
+    least = F.min(F.struct("seq", "name"))
+    first = rows.groupBy(*key).agg(least.alias("_first"), F.count("*").alias("n")).where("n > 1")
+    heavy = heavy_keys(first, key, plan.count())
+    rows = spread_join(rows, first.drop("n"), key, heavy, ["seq"], "left")
+    second = rows.where(F.col("seq") > F.col("_first.seq")).groupBy(*key).agg(least.alias("_second"))
+    rows = spread_join(rows, second, key, heavy, ["seq"], "left")
+    other = F.when(F.col("seq") > F.col("_first.seq"), F.col("_first.name")).otherwise(F.col("_second.name"))
+    return rows.withColumn("problem", F.when(F.col("_first").isNotNull(), F.concat(F.lit("Same new name as '"), other, F.lit("'"))).otherwise("")).drop(*key, "_first", "_second")
 
 
 def taken(plan: DataFrame, there: DataFrame) -> DataFrame:
@@ -65,40 +71,6 @@ def taken(plan: DataFrame, there: DataFrame) -> DataFrame:
     return out.withColumn("problem", F.when(there_, "A file or folder with this name is already there").otherwise(F.col("problem"))).drop("_p", "_n", "_there")
 
 
-def free_names(rows: DataFrame, key: list[str] = ()) -> DataFrame:
-    """With ``name``: ``base``, or ``base (2)``, ``base (3)`` ... until free, in the order of ``seq``, within ``key``.
-
-    A fold: a literal 'a (2)' takes that name from the copies of 'a'. So bases that
-    could meet (equal without their numbers in brackets) are one group's work, a
-    group's rows in order; groups are spread over tasks.
-    """
-    family = F.regexp_replace(casefold("base"), r"( \(\d+\))+$", "")
-    schema = rows.schema.simpleString()[7:-1]
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, used, following = None, set(), {}
-        for part in batches:
-            names = []
-            for base, group in zip(part["base"], part["_family"], strict=True):
-                if group != at:
-                    at, used, following = group, set(), {}
-                name, n = base, following.get(_fold(base), 2)
-                while _fold(name) in used:
-                    name = f"{base} ({n})"
-                    n += 1
-                following[_fold(base)] = n
-                used.add(_fold(name))
-                names.append(name)
-            yield part.drop(columns="_family").assign(name=names)
-
-    tagged = rows.withColumn("_family", F.concat_ws("\u0001", *key, family))
-    return tagged.repartition("_family").sortWithinPartitions("_family", "seq").mapInPandas(fold, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", name string") if schema else rows
-
-
-def _fold(x: str) -> str:
-    return x.casefold()
-
-
 def natural_order(rows: DataFrame, name: str = "name", descending: bool = False, by: str = "name") -> DataFrame:
     """2 before 10, whatever the case; ties by the name itself. Descending turns every key.
 

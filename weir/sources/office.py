@@ -8,6 +8,7 @@ one (``path``, ``content``). A file is one task's work; many files are many task
 from __future__ import annotations
 
 import io
+import itertools
 import os
 import re
 import zipfile
@@ -231,14 +232,10 @@ def workbook_rows(files: DataFrame) -> DataFrame:
 
 
 def free_sheet_name(name: str | None, taken: set[str]) -> str:
-    """A name a workbook accepts that isn't among ``taken`` (lower case): ' (2)', ' (3)' and so on at its end."""
-    base = re.sub(NOT_IN_NAMES, " ", name or "Sheet").strip()[:MOST_NAME] or "Sheet"
-    said, n = base, 1
-    while said.lower() in taken:
-        n += 1
-        end = f" ({n})"
-        said = base[: MOST_NAME - len(end)] + end
-    return said
+    """A name a workbook accepts that isn't among ``taken`` (lower case): the first of the numbered ones, each cut to fit."""
+    bare = re.sub(NOT_IN_NAMES, " ", name or "").strip()[:MOST_NAME] or "Sheet"
+    endings = itertools.chain([""], map(" ({})".format, itertools.count(2)))
+    return next(said for said in (bare[: MOST_NAME - len(end)] + end for end in endings) if said.lower() not in taken)
 
 
 class _Sheet(NamedTuple):

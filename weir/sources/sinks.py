@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import stem, suffix
 from ..functions.values import cell_text, formula_guard
+from ..operators.free_names import free_names
 
 
 def as_cells(df: DataFrame, *, comma_decimal: bool = False, guard: bool = False) -> DataFrame:
@@ -35,10 +37,14 @@ def rendered_lines(rows: DataFrame, key: str, order: str, line: str, separator:
     return rows.groupBy(key).agg(F.array_join(F.transform(held, lambda s: s[line]), separator).alias("text"))
 
 
-def numbered_outputs(plan: DataFrame, there: DataFrame) -> DataFrame:
-    """``name`` as it is if free, else with ' (n)': one more than the largest n that is there."""
-    n = F.coalesce(F.regexp_extract("name", r" \((\d+)\)$", 1).try_cast("int"), F.lit(1))
-    used = there.select(F.lower(F.regexp_replace("name", r" \(\d+\)$", "")).alias("k"), n.alias("n")).groupBy("k").agg(F.max("n").alias("most"))
-    at = F.row_number().over(Window.partitionBy("k").orderBy("seq"))
-    out = plan.withColumn("k", F.lower("name")).join(used, "k", "left").withColumn("n", at + F.coalesce("most", F.lit(0)))
-    return out.withColumn("output", F.when(F.col("n") == 1, F.col("name")).otherwise(F.concat("name", F.lit(" ("), F.col("n").cast("string"), F.lit(")")))).drop("k", "most", "n")
+def numbered_outputs(plan: DataFrame, there: DataFrame, *, folder: str | None = None) -> DataFrame:
+    """With ``output``: ``name`` if it is free, else the first ``stem (n).ending`` from 2 on, in the order of ``seq``, whatever the case.
+
+    ``there``: names that exist (``name``), in the column ``folder`` if one is named; a
+    name given to one row is taken for the next. See ``free_names``.
+    """
+    parts = lambda df: df.withColumns({"base": stem("name"), "_ending": suffix("name")})
+    rows = parts(plan).withColumnRenamed("name", "_name")
+    key = [folder] if folder else []
+    out = free_names(rows, key, there=parts(there).drop("name"), ending="_ending")
+    return out.withColumnsRenamed({"name": "output", "_name": "name"}).drop("base", "_ending")
