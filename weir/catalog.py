@@ -24,7 +24,7 @@ from .operators import translate as L
 from .plans import recipes as R
 from .sources import files as Z
 from .sources import office as O
-from .sources import sinks as N_OUT
+from .sources import sinks as Y
 from .streaming import watch as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -439,9 +439,9 @@ def _(t):
 def _(t):
     """Where the name, its number 2 and, in other letters, its number 5 are there already."""
     rows = t("customer").select(F.col("c_custkey").alias("seq"), F.concat("c_mktsegment", F.lit(".txt")).alias("name"))
-    ends = F.explode(F.array(*map(F.lit, (".txt", " (2).txt", " (5).TXT"))))
-    there = t("customer").select("c_mktsegment").distinct().select(F.concat(F.initcap("c_mktsegment"), ends).alias("name"))
-    return N_OUT.numbered_outputs(rows, there).select("seq", "name", "output")
+    ends = F.explode(F.array(*map(F.lit, (".txt", " (2).txt", " (5).TXT")))).alias("end")
+    there = t("customer").select("c_mktsegment").distinct().select("c_mktsegment", ends).select(F.concat(F.initcap("c_mktsegment"), "end").alias("name"))
+    return Y.numbered_outputs(rows, there).select("seq", "name", "output")
 
 
 @query("extension_filter", "SELECT n_nationkey, unnest(list_transform(string_split(lower(n_name), ' '), lambda x: '.' || x)) AS ext FROM nation")
