@@ -154,3 +154,31 @@ def test_dated_folders_compile(spark):
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")
         spark.conf.unset("spark.sql.codegen.factoryMode")
+
+
+def test_joined_lines_are_those_of_a_fold(spark):
+    """The text as it grows line by line, with short beginnings, lone dashes, cut words and lists."""
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    def grown(lines):
+        out = ""
+        for line in lines:
+            if not out:
+                out = line
+            elif re.match(r"([-*•]|[0-9]+[.)])\s", line) or out.endswith(":") or (len(out) < 40 and out[-1] in ".!?"):
+                out += "\n" + line
+            elif out.endswith("-") and not out.endswith(" -") and line[0].islower():
+                out = out[:-1] + line
+            else:
+                out += " " + line
+        return out
+
+    rnd = random.Random(5)
+    bits = ["-", "a", "b-", "x -", "con-", "crete", "Up", "- item", "12) x", "head:", "End.", "so?", "-a", "é", "word " * 9 + "w", "q" * 39 + ".", ":", "--", "a long enough line that goes on."]
+    rows = [([rnd.choice(bits) for _ in range(rnd.randint(0, 12))],) for _ in range(600)] + [(["a-"] * 300,), (["w x"] * 3000,), (None,)]
+    df = spark.createDataFrame(rows, "lines array<string>").repartition(4)
+    got = df.select("lines", T.joined_lines(F.col("lines")).alias("text")).collect()
+    assert all(r.text == (None if r.lines is None else grown(r.lines)) for r in got) and len(got) == len(rows)

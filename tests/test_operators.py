@@ -209,8 +209,25 @@ def test_cells_left(spark):
 
 def test_ocr(spark):
     boxes = [("world", 50.0, 0.0, 90.0, 10.0), ("Hello", 0.0, 1.0, 40.0, 11.0), ("Far below", 0.0, 60.0, 40.0, 70.0)]
-    df = spark.createDataFrame([(boxes,)], "w array<struct<text:string,left:double,top:double,right:double,bottom:double>>")
-    assert df.select(documents.words_to_text("w")).first()[0] == "Hello world\n\nFar below"
+    df = spark.createDataFrame([(1, k, *b) for k, b in enumerate(boxes)], "page int, seq int, text string, left double, top double, right double, bottom double")
+    assert documents.words_to_text(df).first()["text"] == "Hello world\n\nFar below"
+
+
+def test_words_of_crowded_pages(spark):
+    """Words of many heights, of which some join a line above the last one; brute force over the first words of lines."""
+    import random
+
+    rnd = random.Random(7)
+    pages = {p: [(k, f"w{k}", float(rnd.randint(0, 30)), float(top := rnd.randint(0, 80)), 9.0, float(top + rnd.choice([2, 6, 7, 20, 31]))) for k in range(n)] for p, n in ((1, 40), (2, 1), (3, 25), (None, 3))}
+    df = spark.createDataFrame([(p, *w) for p, ws in pages.items() for w in ws], "page int, seq int, text string, left double, top double, right double, bottom double").repartition(3)
+    got = {(r.page, r.seq): r.line for r in documents.word_lines(df).collect()}
+    for page, words in pages.items():
+        heads = []
+        for seq, _, _, top, _, bottom in sorted(words, key=lambda w: ((w[3] + w[5]) / 2, w[0])):
+            fits = [k for k, (middle, height) in enumerate(heads, 1) if abs(middle - (top + bottom) / 2) <= 0.5 * min(height, bottom - top)]
+            if not fits:
+                heads.append(((top + bottom) / 2, bottom - top))
+            assert got[page, seq] == (fits[0] if fits else len(heads))
 
 
 LOOKS = [(1, "old", 5), (2, "old", 5), (2, "new", 3), (3, "new", 4), (4, "new", 4), (5, "new", 4), (3, "old", 5), (4, "old", 6), (5, "old", 6), (4, "empty", 0), (5, "empty", 0), (7, "new", 4), (8, "new", 4)]

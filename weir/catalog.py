@@ -547,14 +547,27 @@ def _(t):
     return I.chunks(t("orders"), 3, key="o_custkey", order="o_orderkey").select("o_orderkey", "chunk")
 
 
-@query("transcript_paragraphs", f"""WITH RECURSIVE {_SILENCE},
+_PARAGRAPHS = f"""WITH RECURSIVE {_SILENCE},
 q AS (SELECT key, row_number() OVER w AS k, 'Said ' || CAST(seq AS VARCHAR) || '.' AS text, coalesce(lead(a) OVER w - b > 1.5, false) AS gap FROM i WINDOW w AS (PARTITION BY key ORDER BY seq)),
 f(key, k, n, said, done) AS (SELECT key, k, 0, text, length(text) > 280 OR gap FROM q WHERE k = 1 UNION ALL
   SELECT q.key, q.k, CASE WHEN f.done THEN f.n + 1 ELSE f.n END, CASE WHEN f.done THEN q.text ELSE f.said || ' ' || q.text END, length(CASE WHEN f.done THEN q.text ELSE f.said || ' ' || q.text END) > 280 OR q.gap
   FROM f JOIN q ON q.key = f.key AND q.k = f.k + 1)
-SELECT key, n, arg_max(said, k) AS text FROM f GROUP BY key, n""")
+SELECT key, n, arg_max(said, k) AS text FROM f GROUP BY key, n"""
+
+
+def _said(t) -> DataFrame:
+    return _segments(t).withColumn("text", F.concat(F.lit("Said "), F.col("seq").cast("string"), F.lit(".")))
+
+
+@query("transcript_paragraphs", _PARAGRAPHS)
+def _(t):
+    return I.transcript_paragraphs(_said(t))
+
+
+@query("transcript_paragraphs_by_ranges", _PARAGRAPHS)
 def _(t):
-    return I.transcript_paragraphs(_segments(t).withColumn("text", F.concat(F.lit("Said "), F.col("seq").cast("string"), F.lit("."))))
+    """As for keys of which one has too many segments for one row."""
+    return I.transcript_paragraphs(_said(t), most=0)
 
 
 # ------------------------------------------------- operators over one table's rows in two roles
@@ -667,8 +680,9 @@ def _(t):
 
 @query("ocr_text", "SELECT n_nationkey, n_name || ' ' || CAST(n_nationkey AS VARCHAR) || chr(10) || chr(10) || 'below' AS text FROM nation")
 def _(t):
-    word = lambda text, left, top: F.struct(text.alias("text"), F.lit(left).alias("left"), F.lit(top).alias("top"), F.lit(left + 10.0).alias("right"), F.lit(top + 10.0).alias("bottom"))
-    return t("nation").select("n_nationkey", M.words_to_text(F.array(word(F.lit("below"), 0.0, 60.0), word(F.col("n_nationkey").cast("string"), 50.0, 1.0), word(F.col("n_name"), 0.0, 0.0))).alias("text"))
+    word = lambda seq, text, left, top: F.struct(F.lit(seq).alias("seq"), text.alias("text"), F.lit(left).alias("left"), F.lit(top).alias("top"), F.lit(left + 10.0).alias("right"), F.lit(top + 10.0).alias("bottom"))
+    words = F.array(word(0, F.lit("below"), 0.0, 60.0), word(1, F.col("n_nationkey").cast("string"), 50.0, 1.0), word(2, F.col("n_name"), 0.0, 0.0))
+    return M.words_to_text(t("nation").select("n_nationkey", F.inline(words)), "n_nationkey")
 
 
 @query("srt_lines", f"WITH {_SILENCE}, m AS (SELECT key, seq, CAST(round(a * 1000) AS BIGINT) AS a, CAST(round(b * 1000) AS BIGINT) AS b FROM i) SELECT key, seq AS n, CAST(seq AS VARCHAR) || chr(10) || printf('%02d:%02d:%02d,%03d', a // 3600000, a % 3600000 // 60000, a % 60000 // 1000, a % 1000) || ' --> ' || printf('%02d:%02d:%02d,%03d', b // 3600000, b % 3600000 // 60000, b % 60000 // 1000, b % 1000) || chr(10) || 'x' || chr(10) AS block FROM m")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -145,16 +146,51 @@ def rendered(c: Column | str, title: Column, fmt: str) -> Column:
     return F.concat(F.array_join(blocks, "\n\n"), F.lit("\n"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used in lambdas."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+#: A text below this many characters that ends a sentence is a heading of its own.
+_HEADING = 40
+_ITEM, _LOWER = r"^([-*•]|[0-9]+[.)])\s", r"^\p{Ll}"
+
+
 def joined_lines(lines: Column) -> Column:
-    """A fold: broken lines joined, list items and lines behind a colon kept apart, a cut word put together."""
+    """Broken lines joined, list items and lines behind a colon kept apart, a cut word put together. Lines aren't empty.
+
+    What stands between two lines follows from these two, but for a short beginning,
+    which is looked at alone, and for a dash that is a line of its own, which needs the
+    decision before it. So the text is put together once.
+    """
+
+    def begun(a: Column, line: Column) -> Column:
+        """A short text as it grows, and how many lines were joined while it was short."""
+        out = a["out"]
+        apart = line.rlike(_ITEM) | out.endswith(":") | out.rlike("[.!?]$")
+        gone = out.endswith("-") & ~out.endswith(" -") & line.rlike(_LOWER)
+        now = F.when(out == "", line).when(apart, F.concat(out, F.lit("\n"), line)).when(gone, F.concat(F.substring(out, F.lit(1), F.length(out) - 1), line)).otherwise(F.concat(out, F.lit(" "), line))
+        return F.when(F.length(out) >= _HEADING, a).otherwise(F.struct(now.alias("out"), (a["n"] + (F.length(now) < _HEADING).cast("int")).alias("n")))
+
+    # a line adds a character at least, but for one in two that completes a word
+    short = F.aggregate(F.slice(lines, 1, 2 * _HEADING), F.struct(F.lit("").alias("out"), F.lit(0).alias("n")), begun)["n"]
+
+    def put(x: Column, few: Column) -> Column:
+        before = lambda i: F.get(x, i - 1)
+        apart = F.transform(x, lambda line, i: (i > 0) & (line.rlike(_ITEM) | before(i).endswith(":") | ((i <= few) & before(i).rlike("[.!?]$"))))
+
+        def cut(ap: Column) -> Column:
+            spaced = lambda i: before(i).endswith(" -") | ((before(i) == "-") & (i > 1) & ~F.get(ap, i - 1))
+            return F.transform(x, lambda line, i: (i > 0) & ~F.get(ap, i) & before(i).endswith("-") & ~spaced(i) & line.rlike(_LOWER))
+
+        def text(ap: Column, gone: Column) -> Column:
+            mark = lambda i: F.when(i == 0, "").when(F.get(ap, i), "\n").when(F.get(gone, i), "").otherwise(" ")
+            own = lambda line, i: F.when(F.coalesce(F.get(gone, i + 1), F.lit(False)), F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
+            return F.array_join(F.transform(x, lambda line, i: F.concat(mark(i), own(line, i))), "")
 
-    def step(out: Column, line: Column) -> Column:
-        apart = line.rlike(r"^([-*•]|[0-9]+[.)])\s") | out.endswith(":") | ((F.length(out) < 40) & out.rlike(r"[.!?]$"))
-        cut = out.endswith("-") & ~out.endswith(" -") & line.rlike(r"^\p{Ll}")
-        glued = F.concat(F.substring(out, F.lit(1), F.length(out) - 1), line)
-        return F.when(out == "", line).when(apart, F.concat(out, F.lit("\n"), line)).when(cut, glued).otherwise(F.concat(out, F.lit(" "), line))
+        return bound(apart, lambda ap: bound(cut(ap), lambda gone: text(ap, gone)))
 
-    return F.aggregate(lines, F.lit(""), step)
+    return bound(lines, lambda x: bound(short, lambda few: put(x, few)))
 
 
 def clean(c: Column | str, *, quotes: bool = True, join_broken: bool = True, unique_lines: bool = False) -> Column:
