@@ -723,3 +723,51 @@ def test_operators_take_clashing_names(spark):
     assert fingerprints.fingerprints(rows.withColumn("guest", near_dups.F.lit(True))).where("near_next = 1").count() == 2
     assert line_dedup.without_copied_lines(rows.withColumn("at", near_dups.F.lit(1)).withColumn("line", near_dups.F.lit(1))).count() == 2
     assert secrets.scanned(rows.withColumn("spans", near_dups.F.lit(1))).count() == 2
+
+
+def quoted_by_pairs(text: str) -> list[bool]:
+    """For every character whether it stands in a quotation: each mark tries all marks behind it, one by one."""
+    text = text.lower()
+    inside, at = [False] * len(text), 0
+    fellow = {'"': '"', "'": "'", "“": "”", "”": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‚": "‘’", "‹": "›", "›": "‹"}
+    while at < len(text):
+        before, after = text[at - 1 : at] if at else " ", text[at + 1 : at + 2] or " "
+        if text[at] in fellow and not before.isalnum() and before not in fellow and not after.isspace():
+            for end in range(at + 2, len(text)):
+                said = text[at + 1 : end]
+                if "\n" in said or len(re.findall(r"[^\W\d_]+", said)) > toxicity.QUOTED:
+                    break
+                if text[end] in fellow[text[at]] and not text[end - 1].isspace() and not text[end + 1 : end + 2].isalnum():
+                    inside[at : end + 1] = [True] * (end + 1 - at)
+                    at = end
+                    break
+        at += 1
+    return inside
+
+
+def test_quotation_is_by_pairs_of_marks():
+    matcher = toxicity.Matcher(toxicity.Lexicon(["idiot", "moron"], []))
+    of = lambda text: np.rint(np.expm1(toxicity.features([text], matcher, bpe.Memo(100))[0, :2])).astype(int).tolist()  # noqa: E731  hits outside, inside
+    for text, want in {
+        'a 5" pipe. you idiot': [1, 0], "Er sagte „gut“. you idiot": [1, 0], "Er sagte „idiot“ heute": [0, 1], "'idiot'": [0, 1], "»idiot«": [0, 1], "« idiot »": [1, 0], "«idiot»": [0, 1],
+        'he said "you idiot" and left, idiot': [1, 1], "don't be an idiot, it isn't funny": [1, 0], "the dogs' idiot 'x'": [1, 0], '"idiot\nidiot"': [2, 0], '"never closed, idiot': [1, 0], '5" and 6" idiot "moron"': [1, 1],
+        '"idiot ' + "word " * 60 + 'moron"': [2, 0], "“idiot” moron": [1, 1], "‚idiot‘ ‘moron’": [0, 2],
+    }.items():
+        assert of(text) == want, text
+
+
+def test_features_are_those_of_characters():
+    """Hits in and out of quotations, of texts that are worked on together, against one that goes through characters."""
+    rnd = random.Random(11)
+    matcher = toxicity.Matcher(toxicity.Lexicon(["idiot", "moron"], []))
+    bits = ["idiot", "moron", "word", "Idiot", '"', "'", "„", "“", "”", "«", "»", "‘", "’", " ", " ", " ", "\n", "5", ".", "it's", "é"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 60))) for _ in range(400)] + ["", "idiot " * 300, '"' * 50 + "idiot" + '"' * 50]
+    got = toxicity.features(texts, matcher, bpe.Memo(1000))
+    for text, x in zip(texts, got, strict=True):
+        inside = quoted_by_pairs(text)
+        found = [(m.start(), m.group()) for m in re.finditer(r"[^\W\d_]+", text.lower())]
+        hits = [k for k, (_, w) in enumerate(found) if w in ("idiot", "moron")]
+        plain = [k for k in hits if not inside[found[k][0]]]
+        assert np.allclose(x[:2], np.log1p([len(plain), len(hits) - len(plain)]))
+        assert np.isclose(x[3], 100 * len(plain) / len(found) if found else 0)
+        assert x[4] == max((sum(k <= j < k + toxicity.WINDOW for j in hits) for k in hits), default=0)

@@ -11,7 +11,8 @@ Two runs of letters with one digit or symbol between them are also read as one w
 
 A hit's context decides what it counts for: hits inside quotation marks and hits
 outside, near misses, and how dense hits are within a window of words, are counted
-apart, and a logistic regression weighs them. Lexicon and weights are learnt from
+apart, and a logistic regression weighs them. Quotation marks count in pairs only, of
+one line and a window of words. Lexicon and weights are learnt from
 bounded samples of labelled rows; scoring is a map over slices of bounded size.
 """
 
@@ -166,6 +167,41 @@ def _verdicts(whole: str, points: np.ndarray, start: np.ndarray, end: np.ndarray
     return out[inverse]
 
 
+#: Marks that open a quotation, and those that close it: English, German, French either way, single ones.
+CLOSES = {'"': '"', "'": "'", "“": "”", "”": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‚": "‘’", "‹": "›", "›": "‹"}
+_MARKS = sorted(ord(c) for c in {*CLOSES, *"".join(CLOSES.values())})
+#: Words that a quotation may have.
+QUOTED = 40
+
+
+def quotations(whole: str, marks: list[int], head: int, tail: int, words: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(opening mark, closing mark) of the quotations of a text, which is ``whole[head:tail]``; ``words``: where words start.
+
+    A mark opens a quotation if no letter, digit or mark stands before it and something
+    other than white space behind it, and if a mark that closes this kind follows in the
+    same line and within ``QUOTED`` words, with white space neither before it nor a letter
+    or digit behind it. What doesn't open is passed over: an inch mark, an apostrophe, or
+    a mark without its fellow quotes nothing. Quotations don't overlap.
+    """
+    beside = lambda at: whole[at] if head <= at < tail else " "
+    k = 0
+    while k < len(marks):
+        at, k = marks[k], k + 1
+        closers = CLOSES.get(whole[at])
+        if closers is None or beside(at - 1).isalnum() or beside(at - 1) in CLOSES or beside(at + 1).isspace():
+            continue
+        line = whole.find("\n", at, tail)
+        last = min(tail if line < 0 else line, *words[np.searchsorted(words, at) + QUOTED :][:1].tolist() or [tail])
+        for n in range(k, len(marks)):
+            other = marks[n]
+            if other >= last:
+                break
+            if whole[other] in closers and other > at + 1 and not beside(other - 1).isspace() and not beside(other + 1).isalnum():
+                yield at, other
+                k = n + 1
+                break
+
+
 def features(texts: list[str], matcher: Matcher, memo: Memo) -> np.ndarray:
     """A row a text: log counts of hits outside and inside quotation marks and of near misses, their density, the densest window."""
     low = [t.lower() for t in texts]
@@ -184,13 +220,12 @@ def features(texts: list[str], matcher: Matcher, memo: Memo) -> np.ndarray:
     if len(pair):
         found[pair] = _verdicts(whole, points, start[pair], end[pair + 1], matcher, memo)
     hits = np.flatnonzero(found)
-    marks = np.flatnonzero(points == 0x22)
     owner = np.searchsorted(heads, start[hits], side="right") - 1
-    before = np.searchsorted(marks, start[hits]) - np.searchsorted(marks, heads[owner])
-    opened = np.flatnonzero((points == 0x201C) | (points == 0xAB))
-    closed = np.flatnonzero((points == 0x201D) | (points == 0xBB))
-    depth = np.searchsorted(opened, start[hits]) - np.searchsorted(opened, heads[owner]) - np.searchsorted(closed, start[hits]) + np.searchsorted(closed, heads[owner])
-    quoted = (before % 2 == 1) | (depth > 0)
+    quoted = np.zeros(len(hits), bool)
+    marks = np.flatnonzero(np.isin(points, _MARKS))
+    for k in np.unique(owner).tolist() if len(marks) else []:
+        for opens, closes in quotations(whole, marks[np.searchsorted(marks, heads[k]) : np.searchsorted(marks, heads[k + 1])].tolist(), int(heads[k]), int(heads[k + 1]), start):
+            quoted[np.searchsorted(start[hits], opens) : np.searchsorted(start[hits], closes)] = True
     cuts = np.searchsorted(start, heads)
     for k in np.unique(owner).tolist():
         mine = owner == k if len(hits) < 64 else slice(np.searchsorted(owner, k), np.searchsorted(owner, k, side="right"))
