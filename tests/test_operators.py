@@ -418,3 +418,28 @@ def test_snapshots(spark):
 def test_sure_words(spark):
     words = spark.createDataFrame([(" a\n", [(1, 2), (3, 0)], 0.5), ("b", [(0, 0)], 0.49), (" ", [(0, 0)], 0.9), ("c", [(5, 5)], None)], "text string, points array<struct<x:int,y:int>>, score double")
     assert [tuple(r) for r in documents.sure_words(words).orderBy("text").collect()] == [("a", 1.0, 0.0, 3.0, 2.0), ("c", 5.0, 5.0, 5.0, 5.0)]
+
+
+def test_recipes_keep_errors_to_their_rows(spark):
+    def halved(text: str, least: int = 2) -> str:
+        if len(text) < least:
+            raise recipes.StepError("too short")
+        return text[: len(text) // int(text[0])] if text[0].isdigit() else None
+
+    recipes.text_kind("halved", halved, least=2)
+    try:
+        rows = [(1, "2abcde"), (2, "0abc"), (3, "x"), (4, "word"), (5, None), (6, "2AbC")]
+        df = spark.createDataFrame([(*r, "old") for r in rows], "k int, text string, stage string").repartition(3)
+        recipe = recipes.Recipe("r", [recipes.Step("halved", {"least": 3}, only="k < 6"), recipes.Step("lower", only="k <> 5")])
+        got = {r.k: (r.text, r.stage, r.failed_step, r.error) for r in recipes.run_isolated(df, recipe).collect()}
+        # a null is a value: 'word' became one, and nothing failed
+        assert {k: v[:3] for k, v in got.items()} == {1: ("2ab", "done", None), 2: ("0abc", "failed", 1), 3: ("x", "failed", 1), 4: (None, "done", None), 5: (None, "done", None), 6: ("2abc", "done", None)}
+        assert got[2][3].startswith("Unexpected problem: ") and got[3][3] == "too short"
+        with pytest.raises(Exception, match="too short"):
+            recipes.run(df.where("k = 3"), recipe).collect()
+        many = recipes.Recipe("r", [recipes.Step("seconds"), recipes.Step("sentences")])
+        out = recipes.run_isolated(spark.createDataFrame([(1, "1:30"), (2, "soon"), (3, "")], "k int, text string"), many).collect()
+        assert {(r.k, r.sentence, r.stage, r.failed_step) for r in out} == {(1, "90.0", "done", None), (2, None, "failed", 1), (3, None, "failed", 1)}
+        assert {(r.k, r.stage) for r in recipes.run_isolated(df, recipes.Recipe("r", [recipes.Step("lower", only="k < 0")])).collect()} == {(k, "skipped") for k in range(1, 7)}
+    finally:
+        recipes.KINDS.pop("halved")

@@ -265,7 +265,10 @@ def _(t):
 _HTML = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g'), '(?i)<br\s*/?>|</p>|</h[0-9]>|</li>|</div>', chr(10), 'g'), '<[^>]+>', '', 'g')"
 
 
-@query("html_to_text", f"SELECT page_id, replace(replace(replace(replace({_HTML}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&') AS text FROM pages")
+_PAGE_TEXT = f"replace(replace(replace(replace({_HTML}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query("html_to_text", f"SELECT page_id, {_PAGE_TEXT} AS text FROM pages")
 def _(t):
     return t("pages").select("page_id", T.html_to_text("html").alias("text"))
 
@@ -885,10 +888,21 @@ def _(t):
     return W.sessions(t("events"), key="user_id")
 
 
-@query("recipe_chain", "SELECT doc_id, lower(regexp_replace(text, '[<&]', '', 'g')) AS text FROM documents")
+@query("recipe_chain", f"SELECT page_id, lower({_PAGE_TEXT}) AS text FROM pages")
 def _(t):
     recipe = R.Recipe.from_json('{"name": "r", "steps": [{"kind": "html_to_text"}, {"kind": "lower", "options": {"odd": 1}}]}')
-    return R.run(t("documents").select("doc_id", F.regexp_replace("text", "[<&]", "").alias("text")), recipe)
+    return R.run(t("pages").select("page_id", F.col("html").alias("text")), recipe)
+
+
+@query("recipe_stages", """WITH x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 < 5 THEN strftime(CAST(o_orderdate AS TIMESTAMP) + INTERVAL (o_custkey) SECOND, '%H:%M:%S') ELSE o_orderpriority END AS said, o_orderkey % 7 < 5 AS good, o_orderstatus FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN said WHEN good THEN CAST(CAST(split_part(said, ':', 1) AS DOUBLE) * 3600 + CAST(split_part(said, ':', 2) AS DOUBLE) * 60 + CAST(split_part(said, ':', 3) AS DOUBLE) AS VARCHAR) ELSE said END AS text,
+  CASE WHEN o_orderstatus = 'F' THEN 'skipped' WHEN good THEN 'done' ELSE 'failed' END AS stage, CASE WHEN o_orderstatus <> 'F' AND NOT good THEN 1 END AS failed_step FROM x""")
+def _(t):
+    """Times as seconds, and orders' priorities, which aren't times: the rows that fail are told from those that are left out."""
+    at = F.date_format(F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(secs=F.col("o_custkey")), "HH:mm:ss")
+    rows = t("orders").select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 7 < 5, at).otherwise(F.col("o_orderpriority")).alias("text"))
+    recipe = R.Recipe("seconds", [R.Step("seconds", only="o_orderstatus <> 'F'"), R.Step("lower", only="false")])
+    return R.run_isolated(rows, recipe).select("o_orderkey", "text", "stage", "failed_step")
 
 
 # ------------------------------------------------------------ media and codes
