@@ -6,12 +6,14 @@ import itertools
 import math
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import hamming, max_distance
 from .components import components
 from .spread import heavy_keys, spread_join
+from .storage import cut
 
 def _most(c: str) -> list[Column]:
     """Largest first, null last, as keys of which the least counts."""
@@ -106,7 +108,7 @@ def candidates(reps: DataFrame, distance: int) -> tuple[DataFrame, Column]:
     masks = [((1 << size) - 1) << at for size, at in zip(sizes, itertools.accumulate([0, *sizes]), strict=False)]
     bits = [[b for b in range(64) if m >> b & 1] for m in masks]
     flips = [(k, _signed(sum(1 << b for b in chosen))) for k, r in enumerate(radii) for count in range(r + 1) for chosen in itertools.combinations(bits[k], count)]
-    flips = reps.sparkSession.createDataFrame(flips, "segment int, flip long")
+    flips = reps.sparkSession.createDataFrame(pa.table({"segment": pa.array([k for k, _ in flips], pa.int32()), "flip": pa.array([f for _, f in flips], pa.int64())}))
     parts = F.array(*(F.struct(F.lit(k).alias("segment"), F.col("code").bitwiseAND(_signed(m)).alias("value")) for k, m in enumerate(masks)))
     own = reps.select("id", "code", F.inline(parts))
     asked = own.join(F.broadcast(flips), "segment").select("segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"), F.col("id").alias("a"), F.col("code").alias("ca"))
@@ -129,7 +131,8 @@ def similar_pairs(rows: DataFrame, similarity: int = 90) -> DataFrame:
     that share an id and differ in code may make a pair of an id's other code, never (x, x).
     """
     d = max_distance(similarity)
-    rows = rows.where("code is not null and id is not null").select("id", "code")
+    # codes may be dear to make, and are read several times
+    rows = cut(rows.where("code is not null and id is not null").select("id", "code"))
     reps = rows.groupBy("code").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     met, first = candidates(reps.select("id", "code"), d)
     apart = hamming(F.col("ca"), F.col("cb"))
