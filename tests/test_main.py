@@ -32,6 +32,24 @@ def test_duplicates_convert_tables(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/o4").first().text == "# a\n"
 
 
+def test_compare_and_sheets(spark, tmp_path):
+    for side, files in {"l": {"same": "x", "sub/Deep": "y", "changed": "aaaa", "only-left": "z"}, "r": {"same": "x", "sub/deep": "y", "changed": "bbbb", "only-right": "z"}}.items():
+        for name, text in files.items():
+            (tmp_path / side / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / side / name).write_text(text)
+            os.utime(tmp_path / side / name, (1, 1))
+    want = {"same": "identical", "sub/Deep": "identical", "changed": "different", "only-left": "only-left", "only-right": "only-right"}
+    for flags, changed in (([], "different"), (["--quick"], "identical")):
+        cli.main(["compare", f"{tmp_path}/l", f"{tmp_path}/r", *flags, "--out", f"{tmp_path}/o{len(flags)}"])
+        assert {r.rel: r.status for r in spark.read.parquet(f"{tmp_path}/o{len(flags)}").collect()} == want | {"changed": changed}
+    (tmp_path / "January.csv").write_text("Name,Amount\nAnna,12\nLuca,7\n")
+    (tmp_path / "February.csv").write_text('amount;NAME;City\n5;Sara;"Ro\nme"\n')
+    cli.main(["sheets", f"{tmp_path}/January.csv", f"{tmp_path}/February.csv", "--out", f"{tmp_path}/o5"])
+    got = spark.read.parquet(f"{tmp_path}/o5")
+    assert got.columns == ["Name", "Amount", "City", "Source file"]
+    assert {tuple(r) for r in got.collect()} == {("Anna", "12", None, "January.csv"), ("Luca", "7", None, "January.csv"), ("Sara", "5", "Ro\nme", "February.csv")}
+
+
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
 def test_run(spark, tmp_path):
     cli.main(["run", "chunks", "--tables", TABLES, "--out", f"{tmp_path}/o"])

@@ -6,6 +6,8 @@
     python -m weir convert FOLDER --to txt|md|html [--out DIR]
     python -m weir recipe RECIPE.json FOLDER [--out DIR]
     python -m weir tables FILES... [--out DIR]
+    python -m weir sheets FILES... [--out DIR]
+    python -m weir compare LEFT RIGHT [--quick] [--out DIR]
     python -m weir check (--rename T | --folders T | --pages SPEC)
 
 Without ``--out`` the first rows are printed.
@@ -24,10 +26,31 @@ def _duplicates(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     from .operators import duplicates
 
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(a.folder)
-    files = found.select(F.monotonically_increasing_id().alias("id"), "path", F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("modified"), F.lit(0).alias("pixels"), "content")
+    files = found.select(F.xxhash64("path").alias("id"), "path", F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("modified"), F.lit(0).alias("pixels"), "content")
     return duplicates.mark(duplicates.exact_groups(files, min_size=a.min_size), keep=a.keep).drop("content")
 
 
+def _compare(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    from .operators import compare
+    from .sources import files
+
+    def side(folder: str) -> DataFrame:
+        listed = files.listing(spark, folder).select("path", "rel", "size", "modified")
+        if a.quick:
+            return listed.withColumn("hash", F.lit(None).cast("string"))
+        held = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.sha2("content", 256).alias("hash"))
+        return listed.join(held, "path")
+
+    return compare.compare(side(a.left), side(a.right), quick=a.quick).select("rel", "status", "newer")
+
+
+def _sheets(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    from .operators import tables
+    from .sources import delimited
+
+    return tables.merged({f.rsplit("/", 1)[-1]: delimited.table(spark, f) for f in a.files})
+
+
 def _convert(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     from .operators import documents
     from .sources import files
@@ -85,6 +108,8 @@ def parser() -> argparse.ArgumentParser:
     command("list", None, "the queries there are")
     command("run", _run, "a registered query over a folder of tables", query={}, tables={"option": True, "required": True})
     command("duplicates", _duplicates, "equal files and which to keep", folder={}, min_size={"option": True, "type": int, "default": 1}, keep={"option": True, "default": "oldest"})
+    command("compare", _compare, "two folders, by contents or by size and time", left={}, right={}, quick={"option": True, "action": "store_true"})
+    command("sheets", _sheets, "delimited files merged by column name", files={"nargs": "+"})
     command("convert", _convert, "Markdown files as txt, md or html", folder={}, to={"option": True, "choices": ["txt", "md", "html"], "required": True})
     command("recipe", _recipe, "a recipe over text files", recipe={}, folder={})
     command("tables", _tables, "delimited files with typed cells", files={"nargs": "+"})
