@@ -5,10 +5,13 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weir.operators import components, duplicates, spread
+from weir.functions import text
+from weir.operators import components, duplicates, near_codes, spread
 
 
 @pytest.fixture
@@ -50,6 +53,51 @@ def test_similar_pairs_are_all(spark, similarity, all_is_heavy):
     assert Counter(map(tuple, got)) == Counter(want) and want
 
 
+def brute_pairs(rows: list[tuple], d: int) -> Counter:
+    mask, rows = (1 << 64) - 1, [r for r in rows if None not in r]
+    apart = lambda a, b: ((a ^ b) & mask).bit_count()
+    return Counter((i, j, apart(a, b)) for i, a in rows for j, b in rows if i < j and apart(a, b) <= d)
+
+
+@pytest.mark.parametrize("shard", [7, 1 << 16])
+def test_blocks_miss_nothing(spark, monkeypatch, shard):
+    """In a few shards and many: every pair, copies' pairs included, and groups as the pairs make them."""
+    monkeypatch.setattr(near_codes, "SHARD", shard)
+    rows = codes(7, 40)
+    table = spark.createDataFrame(rows, "id long, code long")
+    want = brute_pairs(rows, 13)
+    assert Counter(map(tuple, duplicates.all_similar_pairs(table, 80).collect())) == want and sum(k[2] == 0 for k in want) > 20
+    got = {r["id"]: r["group_id"] for r in duplicates.similar_groups(table, 80).collect()}
+    assert got == brute_components([k[:2] for k in want]) and got
+
+
+@pytest.mark.parametrize("cut", [1, 20, 45])
+def test_tiles_miss_nothing(monkeypatch, cut):
+    """Tiles smaller than a block, links joined a few at a time: of two shards what lies between them, of one what lies in it."""
+    for name, value in (("WIDE", 11), ("HIGH", 3), ("HELD", 5)):
+        monkeypatch.setattr(near_codes, name, value)
+    rows = [(k, c) for k, (_, c) in enumerate(r for r in codes(7, 40) if None not in r)][:45]
+    want = Counter({k: n for k, n in brute_pairs(rows, 13).items() if cut == len(rows) or k[0] < cut <= k[1]})
+    got = near_codes._near(np.array([c for _, c in rows]).view(np.uint64), cut, 13)
+    assert Counter((int(x), int(y), int(n)) for a, b, d in got for x, y, n in zip(a, b, d, strict=True)) == want
+    batch = pa.RecordBatch.from_pydict({"id": [k for k, _ in rows], "code": [c for _, c in rows], "shard": [int(k >= cut) for k, _ in rows], "own": [True] * len(rows), "block": [0] * len(rows)})
+    links = [tuple(r.values()) for out in near_codes._links(13)(iter([batch.slice(0, 30), batch.slice(30)])) for r in out.to_pylist()]
+    assert brute_components(links) == brute_components([k[:2] for k in want])
+
+
+def test_no_codes_are_no_pairs(spark):
+    none = spark.createDataFrame([], "id long, code long")
+    assert duplicates.all_similar_pairs(none, 80).count() == duplicates.similar_pairs(none, 80).count() == duplicates.similar_groups(none, 80).count() == 0
+
+
+def test_text_codes_are_as_by_replacing(spark):
+    texts = ["", "lll the he", "llll", None, "th" * 3, "ué un qu qu é"]
+    pieces = ["th", "he", "ll"] + ["qu"] * 61
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(text.odd_counts("t", pieces)).collect()]
+    want = [None if t is None else sum((len(t) - len(t.replace(p, ""))) // 2 % 2 << k for k, p in enumerate(pieces)) for t in texts]
+    assert got == [w if w is None or w < 1 << 63 else w - (1 << 64) for w in want]
+
+
 def test_few_pairs_are_met(spark):
     rnd = random.Random(4)
     reps = spark.createDataFrame([(k, rnd.getrandbits(64) - (1 << 63)) for k in range(2000)], "id long, code long")
