@@ -443,3 +443,12 @@ def test_recipes_keep_errors_to_their_rows(spark):
         assert {(r.k, r.stage) for r in recipes.run_isolated(df, recipes.Recipe("r", [recipes.Step("lower", only="k < 0")])).collect()} == {(k, "skipped") for k in range(1, 7)}
     finally:
         recipes.KINDS.pop("halved")
+
+
+def test_markdown_tasks_grow_with_the_text(spark, monkeypatch):
+    """Texts are dealt over as many parts as their length asks for, and blocks stay the same."""
+    docs = spark.createDataFrame([(k, f"# {k}\n\na\nb\n- c") for k in range(50)], "doc_id long, text string")
+    want = sorted(map(tuple, documents.markdown_blocks(docs).select("doc_id", "place", "kind", "text").collect()))
+    monkeypatch.setattr(documents, "TASK_CHARS", 40)
+    got = documents.markdown_blocks(docs)
+    assert got.rdd.getNumPartitions() > 10 and sorted(map(tuple, got.select("doc_id", "place", "kind", "text").collect())) == want
