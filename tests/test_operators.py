@@ -72,6 +72,18 @@ def test_summary(spark):
     assert [r.sentence.split()[0] for r in got.orderBy("place").collect()] == ["Solar", "Solar", "Panels"]
 
 
+def test_summary_gets_a_text_as_one_string(spark):
+    rows = [(1, "solar panel\n\npanel light\nsolar panel light\n", "light light"), (2, "", "solar"), (3, None, None), (4, "one\ntwo\n", "")]
+    got = spark.createDataFrame(rows, "id int, said string, rest string").select("id", summaries._told(2)("said", "rest").alias("told"))
+    assert {r.id: r.told for r in got.collect()} == {1: [2, 3], 2: [], 3: None, 4: [0, 1]}
+
+
+def test_summary_of_odd_spaces(spark):
+    text = "\u3000Solar \t panels\x1c\u00a0turn light to power.  \n My cat sleeps on the sofa today. Solar! Solar\r\n\x85light is cheap on panels.\u2028Rain fell in the morning here. \x1f"
+    got = summaries.summary(spark.createDataFrame([(1, text)], "doc_id int, text string"), 2).collect()
+    assert [tuple(r) for r in got] == [(1, 0, "Solar panels turn light to power."), (1, 2, "Solar light is cheap on panels.")]
+
+
 def test_lines(spark):
     got = summaries.repeated_lines(spark.createDataFrame([(1, "a\nA\n\nb\n\na")], "doc_id int, text string")).first()
     assert got.text == "a\n\nb\n"

@@ -8,7 +8,7 @@ from collections import Counter
 from collections.abc import Callable
 from decimal import ROUND_HALF_UP, Decimal
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,25 +28,29 @@ def _weight(n: int, top: int) -> int:
 
 
 def _told(size: int) -> Callable[..., Column]:
-    """Array of the places of the sentences that tell most, from (words of each sentence, words of the text)."""
+    """Array of the places of the sentences that tell most, from the words of each (behind each a line feed) and those of the rest of the text."""
 
-    def places(sentences_: list, words_: list) -> list[int]:
-        counts = Counter(w for w in words_ if w not in _STOP)
-        top = max(counts.values(), default=1)
-        n = len(sentences_)
+    def places(said: str, rest: str) -> list[int]:
+        own = [s.split() for s in said.split("\n")[:-1]]
+        n = len(own)
         k = size if size > 0 else max(1, math.ceil(n * -size / 100.0))
         if k >= n:
             return list(range(n))
+        counts = Counter(said.split())
+        counts.update(rest.split())
+        top = max((c for w, c in counts.items() if w not in _STOP), default=1)
+        weights = {w: 0 if w in _STOP else _weight(c, top) for w, c in counts.items()}
         scores = []
-        for place, own in enumerate(sentences_):
-            useful = sum(_weight(counts[w], top) for w in own if w in counts) / 10**12
-            value = useful / math.sqrt(len(own)) * (1.25 if place == 0 else 1.0) if len(own) else 0.0
+        for place, all_ in enumerate(own):
+            useful = sum(map(weights.__getitem__, all_)) / 10**12
+            value = useful / math.sqrt(len(all_)) * (1.25 if place == 0 else 1.0) if all_ else 0.0
             scores.append((-Decimal(repr(value)).quantize(Decimal("1e-9"), ROUND_HALF_UP), place))
         return sorted(place for _, place in sorted(scores)[:k])
 
-    @F.pandas_udf("array<int>")
-    def told(said: pd.Series, every: pd.Series) -> pd.Series:
-        return pd.Series([None if s is None or w is None else places(s, w) for s, w in zip(said, every, strict=True)], dtype=object)
+    @F.arrow_udf("array<int>")
+    def told(said: pa.Array, rest: pa.Array) -> pa.Array:
+        # one document at a time is a string here, and only its own words
+        return pa.array((places(s.as_py(), r.as_py()) if s.is_valid else None for s, r in zip(said, rest, strict=True)), pa.list_(pa.int32()))
 
     return told
 
@@ -62,11 +66,15 @@ def summary(docs: DataFrame, size: int = 5, *, key: str = "doc_id", text: str =
     root of how many words it has, the opening one by a quarter more; ties to the
     earlier one. Sums are taken over whole numbers, so they don't depend on the order.
     Each row is a document and is worked on by itself: sentences and words are told by
-    expressions, only the words are counted in Arrow batches, and nothing is shuffled.
+    expressions, only the words are counted in Arrow batches, each document as one string,
+    and nothing is shuffled. A text's words are those of its sentences, so they are told once.
     """
-    said = docs.select(key, F.filter(sentences(text), lambda s: F.length(s) > 20).alias("_said"), words(text).alias("_words"))
-    said = said.withColumn("_told", _told(size)(F.transform("_said", words), "_words"))
-    return said.select(key, "_said", F.explode("_told").alias("place")).select(key, "place", F.get("_said", F.col("place")).alias("sentence"))
+    every = docs.select(key, sentences(text).alias("_every"))
+    every = every.select(key, F.filter("_every", lambda s: F.length(s) > 20).alias("_said"), F.filter("_every", lambda s: F.length(s) <= 20).alias("_short"))
+    spaced = lambda s: F.array_join(words(s), " ")
+    own = F.array_join(F.transform("_said", lambda s: F.concat(spaced(s), F.lit("\n"))), "")
+    said = every.select(key, "_said", _told(size)(own, spaced(F.array_join("_short", " "))).alias("_told"))
+    return said.select(key, F.inline(F.transform("_told", lambda p: F.struct(p.alias("place"), F.get("_said", p).alias("sentence")))))
 
 
 def repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
