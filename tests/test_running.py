@@ -68,3 +68,14 @@ def test_paragraphs_either_way(spark, seed, most):
     df = spark.createDataFrame(rows, "key string, seq long, start double, end double, text string").repartition(3)
     got = [tuple(r) for r in intervals.transcript_paragraphs(df, most=most).collect()]
     assert len(got) == len(set(got)) and set(got) == paragraphs(rows)
+
+
+def test_paragraphs_by_ranges_write_one_table(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    written, parquet = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: written.append(path) or parquet(self, path, *a, **b))
+    rows = spoken(2)
+    df = spark.createDataFrame(rows, "key string, seq long, start double, end double, text string").repartition(3)
+    got = [tuple(r) for r in intervals.transcript_paragraphs(df, longest=280, most=0).collect()]
+    assert len(written) == 1 and len(got) == len(set(got)) and set(got) == paragraphs(rows)

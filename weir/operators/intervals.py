@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .running import END, next_least, prefix_sum, visited
-from .storage import cut
+from .paragraphs import SAID, by_ranges
+from .running import prefix_sum
 
 
 def speech_segments(silences: DataFrame, durations: DataFrame, *, keep: float = 0.2, key: str = "key") -> DataFrame:
@@ -32,11 +32,11 @@ def transcript_paragraphs(segments: DataFrame, *, key: str = "key", longest: int
 
     The length so far starts anew with each paragraph. Keys of at most ``most`` segments
     are folded, each in one row; if there is a larger one, paragraphs are found by
-    ``_paragraph_starts``, to the same result. A null text is empty.
+    ``by_ranges``, to the same result. A null text is empty.
     """
     segments = segments.select(key, "seq", "start", "end", F.coalesce("text", F.lit("")).alias("text"))
     if not segments.groupBy(key).count().where(F.col("count") > most).isEmpty():
-        return _paragraphs_of_ranges(segments, key, longest, pause)
+        return by_ranges(segments, key, longest, pause)
     w = Window.partitionBy(key).orderBy("seq")
     ahead = F.coalesce(F.lead("start").over(w) - F.col("end") > pause, F.lit(False))
     rows = segments.withColumn("gap", ahead).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "text", "gap"))).alias("s"))
@@ -44,7 +44,7 @@ def transcript_paragraphs(segments: DataFrame, *, key: str = "key", longest: int
 
     def step(a: Column, x: Column) -> Column:
         now = F.when(a["now"].isNull(), x["text"]).otherwise(F.concat(a["now"], F.lit(" "), x["text"]))
-        over = (x["text"].rlike(_SAID) & (F.length(now) > longest)) | x["gap"]
+        over = (x["text"].rlike(SAID) & (F.length(now) > longest)) | x["gap"]
         return F.struct(F.when(over, F.concat(a["done"], F.array(now))).otherwise(a["done"]).alias("done"), F.when(~over, now).alias("now"))
 
     folded = rows.select(key, F.aggregate("s", empty, step).alias("a"))
@@ -52,37 +52,6 @@ def transcript_paragraphs(segments: DataFrame, *, key: str = "key", longest: int
     return folded.select(key, F.posexplode(every).alias("n", "text"))
 
 
-#: The end of a sentence.
-_SAID = r"[.!?…]\z"
-
-
-def _paragraphs_of_ranges(segments: DataFrame, key: str, longest: int, pause: float) -> DataFrame:
-    """Paragraphs without gathering a key: where one that begins at a segment ends is known for each segment, whether it begins there or not.
-
-    Characters are counted from the key's first segment on. A paragraph from segment s ends
-    with the first pause from s on, or with the first sentence end at which more than
-    ``longest`` characters have come since s: the next one in the order of characters.
-    The segments at which paragraphs do begin are then visited from the first one on.
-    """
-    rows = segments.withColumns({"_group": F.xxhash64(key), "_one": F.lit(1), "_size": F.length("text") + 1})
-    rows = prefix_sum(rows, ["_group"], ["seq"], ["_one", "_size"], ["at", "_chars"]).drop("_one")
-    ahead = rows.select("_group", (F.col("at") - 1).alias("at"), F.col("start").alias("_ahead"))
-    rows = cut(rows.join(ahead, ["_group", "at"], "left").withColumn("_pause", F.when(F.col("_ahead") - F.col("end") > pause, F.col("at"))).drop("_ahead"))
-    # sentence ends by the characters up to them, and for each segment the characters that must be exceeded; an end as far comes first and doesn't count
-    ends = rows.where(F.col("text").rlike(_SAID)).select("_group", (F.col("_chars") + F.col("_size")).alias("_far"), F.lit(0).alias("_asks"), F.lit(None).cast("long").alias("at"), F.col("at").alias("_end"))
-    asks = rows.select("_group", (F.col("_chars") + longest + 1).alias("_far"), F.lit(1).alias("_asks"), "at", F.lit(None).cast("long").alias("_end"))
-    long = next_least(ends.unionByName(asks), ["_group"], ["_far", "_asks"], "_end", "_long").where("_asks = 1").select("_group", "at", "_long")
-    pauses = next_least(rows.select("_group", "at", "_pause"), ["_group"], ["at"], "_pause", "_stop").select("_group", "at", "_stop")
-    steps = pauses.join(long, ["_group", "at"]).select("_group", "at", F.coalesce(F.least("_long", "_stop") + 1, F.lit(END)).alias("step"))
-    sizes = rows.groupBy("_group").agg(F.max("at").alias("_last"))
-    steps = steps.join(sizes, "_group").select("_group", "at", F.when(F.col("step") > F.col("_last"), END).otherwise(F.col("step")).alias("step"))
-    begins = visited(steps).withColumn("_new", F.lit(1))
-    marked = rows.join(begins, ["_group", "at"], "left").withColumn("_new", F.coalesce("_new", F.lit(0)))
-    marked = prefix_sum(marked, ["_group"], ["at"], "_new", "_before").withColumn("n", (F.col("_before") + F.col("_new") - 1).cast("int"))
-    held = F.array_sort(F.collect_list(F.struct("at", "text")))  # of one paragraph
-    return marked.groupBy("_group", key, "n").agg(F.array_join(F.transform(held, lambda x: x["text"]), " ").alias("text")).select(key, "n", "text")
-
-
 def srt(segments: DataFrame, *, key: str = "key") -> DataFrame:
     """``key``, ``n``, ``block``: numbered SRT blocks."""
     from ..functions.values import srt_time
