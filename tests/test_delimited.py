@@ -111,3 +111,28 @@ def test_texts_of_two_byte_characters(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     got = {r.path.rsplit("/", 1)[-1]: (r.text, r.error) for r in files.texts(spark, str(tmp_path)).collect()}
     assert got == {"le": ("grüße\n", None), "be": ("x\n", None), "plain": ("ok", None), "zero": (None, "This is not a text file.")}
+
+
+def test_csv_records_tells_empty_from_null_texts_and_is_not_misled_by_them(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    texts = ["','" * 3000, ',"x",' * 1000, "", None, "\n", '"', '""', "a\r\nb\r", "\x00", " x ", ";", "null", '";"', "\\"]
+    rows = [(k, ("en", "", None)[k % 3], ("", "s", None, "a;b")[k % 4], text) for k, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = entry.queries()["csv_records"](spark, str(tmp_path)).select("doc_id", "lang", "source", "text")
+    assert sorted(map(tuple, got.collect())) == rows
+
+
+def test_ranges_that_change_between_the_passes_are_an_error(spark, tmp_path, small_ranges):
+    (tmp_path / "a.csv").write_text("a;b\n" + "1;2\n" * 1000)
+    rows = delimited.split_rows(spark, str(tmp_path / "a.csv"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    with pytest.raises(Exception, match="other ranges"):
+        rows.collect()
+
+
+def test_a_given_delimiter_is_one_of_those_known(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b,c\n" * 9)
+    assert {len(r.cells) for r in delimited.split_rows(spark, str(tmp_path / "a.csv"), "|").collect()} == {1}
+    with pytest.raises(ValueError, match="delimiter"):
+        delimited.split_rows(spark, str(tmp_path / "a.csv"), "x")

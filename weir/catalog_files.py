@@ -20,17 +20,20 @@ def _as_csv(df: DataFrame, mark: str) -> str:
 
 @query("csv_records", "SELECT doc_id, lang, source, text FROM documents WHERE doc_id IS NOT NULL")
 def _(t):
-    """Whole texts, line feeds and all, through delimited files read by ranges."""
-    docs = t("documents").select("doc_id", "lang", "source", "text").where("doc_id is not null")
-    back = S.table(docs.sparkSession, _as_csv(docs, ";"))
-    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", "text")
+    """Whole texts, line feeds and all, through delimited files read by ranges; a column says which cells are null and not empty."""
+    texts = ("lang", "source", "text")
+    nulls = F.concat_ws(",", *(F.when(F.col(c).isNull(), F.lit(c)) for c in texts))
+    docs = t("documents").select("doc_id", nulls.alias("nulls"), *texts).where("doc_id is not null")
+    back = S.table(docs.sparkSession, _as_csv(docs, ";"), ";")
+    null = lambda c: F.array_contains(F.split(F.coalesce("nulls", F.lit("")), ","), c)
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.when(~null(c), F.coalesce(c, F.lit(""))).alias(c) for c in texts))
 
 
 @query("csv_row_numbers", "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(sum(length(text)) AS BIGINT) AS characters, true AS numbers_are_gapless FROM conversations")
 def _(t):
     """Turns of conversations as cells of one-column rows: every file's rows are numbered from its header on."""
     turns = t("conversations").select("text", F.lit("x").alias("x"))
-    rows = S.split_rows(turns.sparkSession, _as_csv(turns, "|"))
+    rows = S.split_rows(turns.sparkSession, _as_csv(turns, "|"), "|")
     files = rows.groupBy("source").agg(F.count("*").alias("n"), F.max("row_no").alias("last"), F.count_distinct("row_no").alias("numbers"), F.sum(F.when(F.col("row_no") > 0, F.length(F.col("cells")[0]))).alias("characters"))
     return files.agg(F.sum(F.col("n") - 1).alias("rows"), F.sum("characters").alias("characters"), F.bool_and((F.col("numbers") == F.col("n")) & (F.col("last") == F.col("n") - 1)).alias("numbers_are_gapless"))
 

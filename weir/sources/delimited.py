@@ -77,27 +77,31 @@ def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @F.pandas_udf(StringType())
-def _mark_of(path: pd.Series, head: pd.Series) -> pd.Series:
-    """The delimiter; null for a text of two-byte characters, which can't be cut at bytes."""
+def _mark_of(path: pd.Series, head: pd.Series, given: pd.Series) -> pd.Series:
+    """The delimiter, told from the text if none is given; null for a text of two-byte characters, which can't be cut at bytes."""
 
-    def one(path: str, head: bytes) -> str | None:
+    def one(path: str, head: bytes, given: str | None) -> str | None:
         if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
             return None
+        if given is not None:
+            return given
         try:
             text = head.decode("utf-8")
         except UnicodeDecodeError as error:  # the sample may end within a character
             text = head.decode("utf-8", "ignore") if error.start > len(head) - 4 else head.decode("cp1252", "replace")
         return delimiter_of(text[:SAMPLE], path)
 
-    return pd.Series([one(p, h) for p, h in zip(path, head, strict=True)], dtype=object)
+    return pd.Series([one(*x) for x in zip(path, head, given, strict=True)], dtype=object)
 
 
-def _dialects(lines: DataFrame) -> DataFrame:
+def _dialects(lines: DataFrame, mark: str | None = None) -> DataFrame:
     """``file``, ``path``, ``delimiter`` of each file that isn't empty."""
+    if mark is not None and mark not in DELIMITERS:
+        raise ValueError(f"a delimiter is one of {DELIMITERS}")
     heads = lines.where(F.col("range") < _SAMPLE_BYTES).select("file", "range", "path", F.col("value").cast("binary").alias("value")).mapInArrow(_beginnings, "file long, range long, path string, head binary")
     held = F.array_sort(F.collect_list(F.struct("range", "head")))  # of the ranges that a sample can reach into
     heads = heads.groupBy("file", "path").agg(F.aggregate(held, F.lit(b""), lambda out, x: F.when(F.length(out) == 0, x["head"]).otherwise(F.concat(out, F.lit(b"\n"), x["head"]))).alias("head"))
-    return heads.select("file", "path", "head", _mark_of("path", "head").alias("delimiter"))
+    return heads.select("file", "path", "head", _mark_of("path", "head", F.lit(mark).cast("string")).alias("delimiter"))
 
 
 _SUMMARY = "file long, range long, size long, bytes long, utf8 boolean, end0 boolean, end1 boolean, n0 long, n1 long, last0 long, last1 long"
@@ -224,6 +228,8 @@ def _parsed(batches: Iterator[pa.RecordBatch], pieces: bool) -> Iterator[pa.Reco
     out: list[tuple] = []
     for key, part in itertools.groupby(rows, lambda r: r[:-1]):
         file, at, inside, first, last, utf8, no_feed, path, mark = key
+        if first is None:
+            raise RuntimeError("the file is cut into other ranges than in the first pass: hold spark.sql.files.maxPartitionBytes, and spark.sql.files.minPartitionNum where executors come and go")
         number = first - inside
         for cells, error, whole, lines in _records(_Feed((r[-1] for r in part), _decoder(utf8)), mark, inside):
             here, number = number, number + 1
@@ -266,8 +272,8 @@ def _closed(text: str, mark: str) -> bool:
     return next(csv.reader(io.StringIO(text + "x\n"), delimiter=mark)) == next(csv.reader(io.StringIO(text), delimiter=mark))
 
 
-def split_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``source``, ``delimiter``, ``row_no`` (from 0), ``cells``, ``error`` of delimited files, each in its own dialect.
+def split_rows(spark: SparkSession, path: str | list[str], delimiter: str | None = None) -> DataFrame:
+    """``source``, ``delimiter``, ``row_no`` (from 0), ``cells``, ``error`` of delimited files, each in its own dialect unless ``delimiter`` is given.
 
     The rows are those of the standard csv reader over the whole text: line feeds and
     doubled quotes within quotes, quotes within unquoted cells, CR LF, blank rows at a
@@ -275,15 +281,17 @@ def split_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     file isn't UTF-8. A file is read by as many tasks as Spark cuts it into ranges
     (``spark.sql.files.maxPartitionBytes``). A lone carriage return outside quotes gives
     a row with ``error``; so does a file in UTF-16, for which see ``files.raw_rows``.
+    Either pass has to meet the same ranges; rows of others are an error, not left out.
     """
     lines = _lines(spark, path)
-    dialects = cut(_dialects(lines).drop("head"))
+    dialects = cut(_dialects(lines, delimiter).drop("head"))
     held = cut(ranges(lines, dialects))
     told = held.drop("goes_on")
     bytes_ = lines.select("file", "range", F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("value"))
     # a broadcast if the ranges are few enough for one; else both sides are sorted, and the lines put in order again
-    in_order = lambda of: bytes_.join(of, ["file", "range"]).sortWithinPartitions("file", "range", "at").drop("at")
-    whole = in_order(told).mapInArrow(lambda b: _parsed(b, False), _ROWS)
+    in_order = lambda of, rows=bytes_, how="inner": rows.join(of, ["file", "range"], how).sortWithinPartitions("file", "range", "at").drop("at")
+    narrow = bytes_.join(dialects.where("delimiter is null").select("file"), "file", "left_anti")
+    whole = in_order(told, narrow, "left").mapInArrow(lambda b: _parsed(b, False), _ROWS)
     pieces = in_order(held.where("inside or goes_on").drop("goes_on")).mapInArrow(lambda b: _parsed(b, True), _PIECES)
     text = F.aggregate(F.array_sort(F.collect_list(F.struct("range", "text"))), F.lit(b""), lambda out, x: F.concat(out, x["text"]))
     joined = pieces.groupBy("file", "row_no", "path", "delimiter", "utf8", "no_feed").agg(text.alias("text")).mapInArrow(_whole, _ROWS)
@@ -291,13 +299,13 @@ def split_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return whole.unionByName(joined).unionByName(wide).select(F.element_at(F.split("path", "/"), -1).alias("source"), "delimiter", "row_no", "cells", "error")
 
 
-def table(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def table(spark: SparkSession, path: str | list[str], delimiter: str | None = None) -> DataFrame:
     """Delimited files with one header as text columns: blank rows and files' headers left out, empty cells null.
 
     The header is that of the first file by path. A name that is there twice, whatever its
     case, gets its column's number behind it; an empty one is ``_c`` and the number.
     """
-    first = _dialects(_lines(spark, path)).where("delimiter is not null").orderBy("path").select("head", "delimiter").first()
+    first = _dialects(_lines(spark, path), delimiter).where("delimiter is not null").orderBy("path").select("head", "delimiter").first()
     if first is None:
         return spark.createDataFrame([], "_c0 string").limit(0)
     try:
@@ -307,5 +315,5 @@ def table(spark: SparkSession, path: str | list[str]) -> DataFrame:
     header = next(csv.reader(io.StringIO(text), delimiter=first["delimiter"]), [])
     often = [h.lower() for h in header]
     names = [f"_c{k}" if not h else f"{h}{k}" if often.count(h.lower()) > 1 else h for k, h in enumerate(header)]
-    rows = split_rows(spark, path).where((F.col("row_no") > 0) & (F.size("cells") > 0))
+    rows = split_rows(spark, path, delimiter).where((F.col("row_no") > 0) & (F.size("cells") > 0))
     return rows.select(*(F.nullif(F.get("cells", F.lit(k)), F.lit("")).alias(n) for k, n in enumerate(names)))
