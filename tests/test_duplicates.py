@@ -170,3 +170,30 @@ def test_spread_join_keeps_every_row(spark):
     for how in ("inner", "left"):
         got = spread.spread_join(rows, others, ["k"], heavy, ["id"], how)
         assert Counter(map(tuple, got.collect())) == Counter(map(tuple, rows.join(others, ["k"], how).collect()))
+
+
+def test_pairs_of_many_tiles_are_sent_in_large_batches_with_the_smaller_id_first():
+    n = 2000
+    codes = np.random.default_rng(7).integers(0, 1 << 8, n)
+    ids = np.random.default_rng(8).permutation(n)
+    block = pa.RecordBatch.from_pydict({"id": [f"{k:04}" for k in ids], "code": codes, "shard": np.zeros(n, np.int32), "own": np.ones(n, bool), "block": np.zeros(n, np.int32)})
+    got = list(near_codes._pairs(2)(iter([block])))
+    assert len(got) <= -(-sum(b.num_rows for b in got) // near_codes.BATCH)
+    away = np.bitwise_count(codes[:, None] ^ codes[None, :])
+    want = sorted((*sorted((f"{ids[i]:04}", f"{ids[j]:04}")), int(away[i, j])) for i, j in zip(*np.nonzero(np.triu(away <= 2, 1)), strict=True))
+    assert sorted(r for b in got for r in zip(*(c.to_pylist() for c in b.columns), strict=True)) == want
+
+
+def test_places_of_hits():
+    for size in (0, 1, 7, 8, 9, 1000, 1003):
+        for share in (0, 0.01, 0.5, 1):
+            hit = np.random.default_rng(size).random(size) < share
+            assert near_codes._places(hit).tolist() == np.flatnonzero(hit).tolist()
+
+
+def test_odd_counts_of_pairs_of_letters_and_of_other_pieces(spark):
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("lltheanéL\0 \n😀") for _ in range(rnd.randint(0, 60))) for _ in range(500)] + [None, "", "l", "ll", "lll", "l" * 28]
+    for pieces in (["th", "he", "ll", "an", "\0l"], ["ll", "th", "l", "the", "é", "th", "aa"]):
+        got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(text.odd_counts("t", pieces)).collect()]
+        assert got == [None if t is None else sum((t.count(piece) & 1) << k for k, piece in enumerate(pieces)) for t in texts]
