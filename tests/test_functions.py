@@ -93,6 +93,14 @@ def test_times(one):
     assert one(V.clock, 59, types="long") == "0:59" and one(V.clock, 3661, types="long") == "1:01:01"
 
 
+def test_letters_of_large_numbers(one):
+    def name(n: int) -> str:
+        return name((n - 1) // 26) + chr(65 + (n - 1) % 26) if n else ""
+
+    for n in (475254, 475255, 321272406, 321272407, 2**53 + 1, 2**63 - 1):
+        assert one(V.letters, n, types="long") == name(n)
+
+
 @pytest.mark.parametrize(("mode", "value", "enlarge", "want"), [("longest", 400, False, (400, 200)), ("width", 2000, False, (800, 400)), ("width", 1600, True, (1600, 800)), ("percent", 25, False, (200, 100))])
 def test_new_size(one, mode, value, enlarge, want):
     assert tuple(one(lambda w, h: V.new_size(w, h, mode, value, enlarge), 800, 400, types="int")) == want
